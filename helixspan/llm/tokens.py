@@ -8,14 +8,17 @@ library; the cache only spares repetitions.
 """
 from __future__ import annotations
 
+import os
 import re
+from itertools import chain
 
 import numpy as np
 
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 160 << 20
+LOT = 128
 _PIECES = re.compile(r"(?<=\S)(?= )")
 _MARKS = frozenset(".,;:!?")
-_SPACE_BEFORE_SPACE = re.compile(r"\s ")
+_TWO_SPACES = re.compile(r"\s\s")
 
 
 def word_pieces(text: str) -> list:
@@ -24,108 +27,154 @@ def word_pieces(text: str) -> list:
 
 
 def spaced_pieces(text: str) -> list:
-    """Pieces that start at a space which follows a non-space character."""
-    if _SPACE_BEFORE_SPACE.search(text) is None:
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]]
-    return _PIECES.split(text)
-
-
-class _Known(dict):
-    """Ids by piece; pieces that aren't known are noted."""
+    """Pieces that start at a space which follows a non-space character; a lone line feed is a piece."""
+    if _TWO_SPACES.search(text) is not None:
+        return _PIECES.split(text)
+    out: list = []
+    for i, line in enumerate(text.split("\n")):
+        if i:
+            out.append("\n")
+        head, *rest = line.split(" ")
+        if head:
+            out.append(head)
+        out += [" " + x for x in rest]
+    return out
+
+
+class _Rows(dict):
+    """Row number by piece; new pieces get the next number and are noted."""
 
     def __init__(self):
         super().__init__()
         self.todo: list = []
 
-    def __missing__(self, piece):
+    def __missing__(self, piece) -> int:
         self.todo.append(piece)
-        return b""
+        i = self[piece] = len(self)
+        return i
+
+
+class _Grown:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.zeros(1024, dtype), 0
+
+    def room(self, n: int) -> np.ndarray:
+        """The data, with room for n entries in all."""
+        if n > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(n - len(self.data), len(self.data)), self.data.dtype)])
+        self.n = max(self.n, n)
+        return self.data
+
+    def extend(self, values: np.ndarray) -> int:
+        at = self.n
+        self.room(at + len(values))[at : at + len(values)] = values
+        return at
 
 
 class Encoder:
-    """ids of texts as little-endian 16-bit numbers; both vocabularies have fewer than 65536 ids."""
+    """ids of texts as 16-bit numbers; both vocabularies have fewer than 65536 ids.
 
-    def __init__(self, path: str, words: bool):
+    A piece's ids are flat[first : first + size] of its row; row 0 is the end of a document.
+    """
+
+    def __init__(self, path: str, words: bool, end: int):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.cut = word_pieces if words else spaced_pieces
-        self.words = words
-        # Two generations: a full one becomes the old one, whose pieces come back when they are met again.
-        self.known = _Known()
-        self.old: dict = {}
-        self.room = CACHE_BYTES
+        self.words, self.end = words, end
         self.marks = np.zeros(65536, bool)
         for piece, i in self.library.get_vocab().items():
-            self.marks[i] = piece.endswith("</w>") if words else piece.startswith("\u0120")
+            self.marks[i] = piece.endswith("</w>") if words else piece.startswith("Ġ")
+        self.reset()
 
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        look, tail, todo = self.known.__getitem__, np.array([end], "<u2").tobytes(), self.known.todo
-        cuts, out = [self.cut(t) if t else [] for t in texts], []
+    def reset(self) -> None:
+        self.rows = _Rows()
+        self.rows[None] = 0
+        self.first, self.size, self.flat = _Grown(np.int64), _Grown(np.int32), _Grown(np.uint16)
+        self.room = CACHE_BYTES
+        self._put(np.array([0]), np.array([1]), np.array([self.end]))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, each with the end id; number of ids by text)."""
+        cuts = [self.cut(t) if t else [] for t in texts]
         for c in cuts:
-            n = len(todo)
-            joined = b"".join(map(look, c))
-            out.append(joined + tail if n == len(todo) else None)
-        if todo:
-            new = set(todo)
-            todo.clear()
-            again = new & self.old.keys()
-            for piece in again:
-                self._keep(piece, self.old[piece])
-            self._learn(list(new - again))
-            out = [b"".join(map(look, c)) + tail if o is None else o for c, o in zip(cuts, out)]
+            c.append(None)
+        counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(cuts)), np.int64, int(counts.sum()))
+        self._learn_noted()
+        ids, sizes = self._gather(rows)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
         if self.room < 0:
-            self.known, self.old, self.room = _Known(), self.known, CACHE_BYTES
-        return out
-
-
-    def _learn(self, new: list) -> None:
-        """Encodes pieces. Plain words go to the library many at a time, as one text, whose ids fall
-        into words again by the vocabulary's own mark of a word's end or beginning."""
+            self.reset()
+        return ids, np.diff(ends, prepend=0)
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.size.data[rows].astype(np.int64)
+        at = np.repeat(self.first.data[rows] - (np.cumsum(sizes) - sizes), sizes)
+        at += np.arange(len(at))
+        return self.flat.data[at], sizes
+
+    def _put(self, rows: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """ids of the rows, one row after another."""
+        top = int(rows.max(initial=-1)) + 1
+        at = self.flat.extend(ids)
+        self.first.room(top)[rows] = at + np.cumsum(sizes) - sizes
+        self.size.room(top)[rows] = sizes
+        self.room -= 2 * len(ids)
+
+    def _learn_noted(self) -> None:
+        new = self.rows.todo
+        if not new:
+            return
+        base = len(self.rows) - len(new)
+        self.rows.todo = []
         text = [x.decode("utf-8") for x in new] if self.words else new
+        self.room -= 200 * len(new) + sum(map(len, new))
         plain, rest, marked = [], [], []
         for i, t in enumerate(text):
-            if t[-1:] in _MARKS and (t[:-1] if self.words else t[1:-1]).isalpha() and (self.words or t[0] == " "):
-                marked.append(i)  # a word and one mark are split before merging
-                continue
-            (plain if (t if self.words else t[1:]).isalpha() and len(t) < 64 and (self.words or t[0] == " ") else rest).append(i)
-        lots = [plain[i : i + 128] for i in range(0, len(plain), 128)]
+            body = t if self.words or t[:1] != " " else t[1:]
+            if (self.words or body is not t) and len(t) < 64:
+                if body.isalpha():
+                    plain.append(i)
+                    continue
+                if body[-1:] in _MARKS and body[:-1].isalpha():
+                    marked.append(i)  # a word and one mark are split before merging
+                    continue
+            rest.append(i)
+        # Plain words go to the library many at a time, as one text, whose ids fall into words again
+        # by the vocabulary's own mark of a word's end or beginning.
+        lots = [plain[i : i + LOT] for i in range(0, len(plain), LOT)]
         glue = " " if self.words else ""
         for lot, e in zip(lots, self.library.encode_batch_fast([glue.join([text[i] for i in lot]) for lot in lots], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u2")
+            ids = np.array(e.ids, np.uint16)
             at = np.flatnonzero(self.marks[ids])
             if len(at) != len(lot):  # a word that isn't one unit after normalisation
                 rest += lot
                 continue
-            ends = (at + 1 if self.words else np.append(at[1:], len(ids))).tolist()
-            raw, a = ids.tobytes(), 0
-            for i, b in zip(lot, ends):
-                self._keep(new[i], raw[2 * a : 2 * b])
-                a = b
-        for i, e in zip(rest, self.library.encode_batch_fast([text[i] for i in rest], add_special_tokens=False)):
-            self._keep(new[i], np.array(e.ids, "<u2").tobytes())
-
+            sizes = np.diff(at, prepend=-1) if self.words else np.diff(at, append=len(ids))
+            self._put(base + np.array(lot), sizes, ids)
+        if rest:
+            found = [e.ids for e in self.library.encode_batch_fast([text[i] for i in rest], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._put(base + np.array(rest), sizes, np.fromiter(chain.from_iterable(found), np.uint16, int(sizes.sum())))
         if marked:
-            bare = [new[i][:-1] for i in marked]
-            self._learn([x for x in {*bare, *(new[i][-1:] for i in marked)} if x not in self.known])
-            for i, x in zip(marked, bare):
-                self._keep(new[i], self.known[x] + self.known[new[i][-1:]])
-
-    def _keep(self, piece, ids: bytes) -> None:
-        self.known[piece] = ids
-        self.room -= 200 + len(piece) + len(ids)
+            look = self.rows.__getitem__
+            parts = np.array([(look(new[i][:-1]), look(new[i][-1:])) for i in marked])
+            self._learn_noted()
+            ids, sizes = self._gather(parts.ravel())
+            self._put(base + np.array(marked), sizes.reshape(-1, 2).sum(1), ids)
 
 
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, words: bool) -> Encoder:
+def encoder(path: str, words: bool, end: int) -> Encoder:
     """One encoder for each worker process and vocabulary."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (path, words) not in _ENCODERS:
-        _ENCODERS[path, words] = Encoder(path, words)
-    return _ENCODERS[path, words]
+    if (path, words, end) not in _ENCODERS:
+        _ENCODERS[path, words, end] = Encoder(path, words, end)
+    return _ENCODERS[path, words, end]

@@ -52,7 +52,7 @@ class WaveletMatrix:
         planes, ones, zeros = [], [], np.zeros(bits, np.uint64)
         cur = ids
         for k in range(bits):
-            bit = ((cur >> (bits - 1 - k)) & 1).astype(bool)
+            bit = (cur & cur.dtype.type(1 << (bits - 1 - k))) != 0
             packed = np.packbits(bit, bitorder="little")
             planes.append(packed)
             ones.append(_step_counts(packed))
@@ -129,7 +129,7 @@ class WaveletMatrix:
         """Every id in order, by undoing the partitions from the lowest plane up."""
         cur = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k in reversed(range(self.bits)):
-            bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             z = int(self.zeros[k])
             up = np.empty_like(cur)
             up[~bit] = cur[:z]
@@ -148,13 +148,13 @@ def _step_counts(packed: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(_POP[full].reshape(-1, size).sum(1))]).astype("<u4")
 
 
-def to_image(doc_ids: list, lengths: list[int], ids: np.ndarray, bits: int = BITS) -> bytes:
+def to_image(doc_ids: list, lengths, ids: np.ndarray, bits: int = BITS) -> bytes:
     w = WaveletMatrix.build(ids, bits)
     pack = zstandard.ZstdCompressor(level=1).compress
     out = [
         MAGIC, struct.pack("<BIQ", bits, len(doc_ids), w.n),
         np.array([NULL_ID if d is None else d for d in doc_ids], "<i8").tobytes(),
-        np.array(lengths, "<u8").tobytes(), w.zeros.astype("<u8").tobytes(),
+        np.asarray(lengths).astype("<u8").tobytes(), w.zeros.astype("<u8").tobytes(),
     ]
     for plane, ones in zip(w.planes, w.ones):
         frame = pack(plane.tobytes() + ones.tobytes())
@@ -201,23 +201,23 @@ def write(
 
         def flush():
             nonlocal shard, base, ids, names, sizes, held
-            image = to_image(names, sizes, np.frombuffer(b"".join(ids), "<u2"))
+            image = to_image(names, np.concatenate(sizes), np.concatenate(ids))
             row = [[part], [shard], [base], [held], [len(names)], [image]]
             shard, base = shard + 1, base + held
             ids, names, sizes, held = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, target)], schema=target)
 
-        enc = encoder(vocabulary, True)
+        enc = encoder(vocabulary, True, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for d, e in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist(), end_id)):
-                    ids.append(e)
-                    names.append(d)
-                    sizes.append(len(e) // 2)
-                    held += len(e) // 2
-                    if held >= shard_tokens:
-                        yield flush()
+            for at in range(0, batch.num_rows, 64):
+                piece = batch.slice(at, 64)
+                got, lengths = enc.encode(piece.column(1).to_pylist())
+                ids.append(got)
+                names += piece.column(0).to_pylist()
+                sizes.append(lengths)
+                held += len(got)
+                if held >= shard_tokens:
+                    yield flush()
         if names:
             yield flush()
 
