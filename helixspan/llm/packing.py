@@ -14,7 +14,7 @@ proportions in every window.
 
 Plan: one scan encodes the texts and writes (part, queue, place in the part's queue, ids) to the
 shared folder; sums by (part, queue) give each part's place in each queue; a join (a broadcast
-only if Spark finds the sums small enough) brings them to the documents.
+while the sums are few, else a shuffle) brings them to the documents.
 
 Defined cases: null text is the empty text (its document is the end id alone); null source is a
 queue of its own; repeated rows are separate documents; an empty table has no pieces. Beyond
@@ -38,6 +38,7 @@ CAPACITY = 1024
 WINDOW = 64 * CAPACITY
 END_ID = 0
 MAX_QUEUES = 1024
+BROADCAST_SUMS = 200_000
 NO_SOURCE = ""
 
 
@@ -138,17 +139,19 @@ def encode_queues(docs: DataFrame, vocabulary: str | None = None, end_id: int =
 
     def run(batches):
         part, sent = TaskContext.get().partitionId(), {}
-        enc, pack = encoder(vocabulary, False), zstandard.ZstdCompressor(level=1).compress
+        enc, pack = encoder(vocabulary, False, end_id), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
                 queues = piece.column(1).to_pylist()
-                ids = enc.encode(piece.column(2).to_pylist(), end_id)
-                local = []
-                for q, e in zip(queues, ids):
+                ids, sizes = enc.encode(piece.column(2).to_pylist())
+                ends = np.cumsum(sizes).tolist()
+                local, frames = [], []
+                for q, a, b in zip(queues, [0, *ends], ends):
                     local.append(sent.get(q, 0))
-                    sent[q] = local[-1] + len(e) // 2
-                cols = [[part] * len(ids), queues, piece.column(0), local, [len(e) // 2 for e in ids], [pack(e) for e in ids]]
+                    sent[q] = local[-1] + b - a
+                    frames.append(pack(ids[a:b].astype("<u2").tobytes()))
+                cols = [[part] * len(frames), queues, piece.column(0), local, sizes.tolist(), frames]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) if isinstance(v, list) else v for v, f in zip(cols, target)], schema=target)
 
     return stage(docs.select("doc_id", queue.alias("queue"), "text").mapInArrow(run, ddl), "packing")
@@ -186,6 +189,8 @@ def pack(
                 cols = list(zip(*rows)) if rows else [[]] * len(target)
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, target)], schema=target)
 
+    # The texts' ids stay where they are while the sums (tasks x queues rows) are few.
+    bases = F.broadcast(bases) if sums.count() <= BROADCAST_SUMS else bases
     placed = encoded.join(bases, ["part", "queue"]).select(
         "doc_id", "queue", (F.col("base") + F.col("local")).alias("place"), "n_tokens", "ids"
     )
