@@ -32,12 +32,12 @@ def common_suffix(a: Column, b: Column) -> Column:
 
 
 def common_prefix_of_all(alleles: Column) -> Column:
-    first = F.element_at(alleles, 1)
+    first = F.get(alleles, F.lit(0))
     return F.array_min(F.transform(alleles, lambda x: common_prefix(first, x)))
 
 
 def common_suffix_of_all(alleles: Column) -> Column:
-    first = F.element_at(alleles, 1)
+    first = F.get(alleles, F.lit(0))
     return F.array_min(F.transform(alleles, lambda x: common_suffix(first, x)))
 
 

@@ -50,7 +50,7 @@ def is_hom(gt: Column) -> Column:
 
 
 def is_reference(gt: Column) -> Column:
-    return F.coalesce(is_hom(gt) & (F.element_at(distinct_alleles(gt), 1) == 0), F.lit(False))
+    return F.coalesce(is_hom(gt) & (F.get(distinct_alleles(gt), F.lit(0)) == 0), F.lit(False))
 
 
 def canonical(gt: Column) -> Column:

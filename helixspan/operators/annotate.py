@@ -64,7 +64,7 @@ def annotated(a: DataFrame, b: DataFrame, specs: list[str], numbers: dict[str, s
     entries = []
 
     def spread(v: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(F.map_contains_key("matches", i), F.element_at(v, 1)))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(F.map_contains_key("matches", i), F.get(v, F.lit(0))))
 
     for old, new, per_alt in wanted:
         v = F.col("_info")[old]

@@ -62,7 +62,7 @@ def rarity(singleton: Column, maf: Column) -> Column:
 def spectrum(calls: DataFrame, sites: DataFrame, keys=("site",)) -> DataFrame:
     """Copies of each base change, G and T references complemented, over single-base references."""
     rows = diploid_calls(calls).join(sites.select("site", "ref", "alts"), "site").filter(F.length("ref") == 1)
-    rows = rows.select(*keys, "ref", F.explode(F.transform(F.filter(g.indices(F.col("gt")), lambda i: i > 0), lambda i: F.element_at("alts", i))).alias("alt"))
+    rows = rows.select(*keys, "ref", F.explode(F.transform(F.filter(g.indices(F.col("gt")), lambda i: i > 0), lambda i: F.try_element_at("alts", i))).alias("alt"))
     rows = rows.filter((F.length("alt") == 1) & F.upper("alt").isin("A", "C", "G", "T"))
     return rows.groupBy(*keys, g.transition(F.col("ref"), F.col("alt")).alias("change")).agg(F.count("*").alias("n"))
 

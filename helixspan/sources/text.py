@@ -21,7 +21,7 @@ def read_bed(spark: SparkSession, path, max_extra: int = -1) -> DataFrame:
     f = F.split("value", "\t", -1)
     extra = F.slice(f, F.lit(4), F.greatest(F.size(f) - 3, F.lit(0)))
     extra = F.slice(extra, 1, max_extra) if max_extra >= 0 else extra
-    allele = F.regexp_replace(F.regexp_replace(F.upper(F.element_at(extra, 1)), "^[0-](?=/)", "*"), "(?<=/)[0-]$", "*")
+    allele = F.regexp_replace(F.regexp_replace(F.upper(F.get(extra, F.lit(0))), "^[0-](?=/)", "*"), "(?<=/)[0-]$", "*")
     fixed = F.when(F.size(extra) > 0, F.concat(F.array(allele), F.slice(extra, F.lit(2), F.size(extra)))).otherwise(extra)
     return _lines(spark, path).select(
         F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("bigint").alias("start"), F.get(f, F.lit(2)).cast("bigint").alias("stop"),
