@@ -100,3 +100,69 @@ def combined_mask(codes: Column) -> Column:
 def pure_indel(ref: Column, alt: Column) -> Column:
     """One side empty after trimming."""
     return (F.length(ref) != F.length(alt)) & ((F.length(ref) == 0) | (F.length(alt) == 0))
+
+
+def variant(pos: Column, ref: Column, alt: Column) -> Column:
+    return F.struct(pos.cast("bigint").alias("pos"), ref.alias("ref"), alt.alias("alt"))
+
+
+def split_indel(raw: Column) -> Column:
+    """struct(substitution, indel) of a trimmed variant that changes both bases and length.
+
+    The shorter allele is matched at the left of the longer one: what differs there is the
+    substitution, what is left over the pure indel. For other variants the indel is null.
+    """
+    pos, ref, alt = raw["pos"], raw["ref"], raw["alt"]
+    n = F.least(F.length(ref), F.length(alt))
+    differing = n - common_suffix(F.substr(ref, F.lit(1), n), F.substr(alt, F.lit(1), n))
+    rest_ref, rest_alt = F.substr(ref, differing + 1, F.length(ref)), F.substr(alt, differing + 1, F.length(alt))
+    at = differing + F.least(common_prefix(rest_ref, rest_alt), n - differing)
+    both = F.struct(
+        variant(pos, F.substr(ref, F.lit(1), differing), F.substr(alt, F.lit(1), differing)).alias("substitution"),
+        variant(pos + at, F.substr(ref, at + 1, F.length(ref)), F.substr(alt, at + 1, F.length(alt))).alias("indel"),
+    )
+    none = F.lit(None).cast("struct<pos:bigint,ref:string,alt:string>")
+    mixed = (F.length(ref) > 0) & (F.length(alt) > 0) & (F.length(ref) != F.length(alt))
+    return F.when(mixed, both).otherwise(F.struct(variant(pos, ref, alt).alias("substitution"), none.alias("indel")))
+
+
+def join_variants(first: Column, second: Column, bases: Column, start: Column) -> Column:
+    """One variant for two that follow each other; bases: the reference from start on. Overlap gives null."""
+    after = first["pos"] + F.length(first["ref"])
+    gap = F.substr(bases, (after - start + 1).cast("int"), (second["pos"] - after).cast("int"))
+    joined = variant(first["pos"], F.concat(first["ref"], gap, second["ref"]), F.concat(first["alt"], gap, second["alt"]))
+    return F.when(second.isNull(), first).when(first.isNull(), second).when(second["pos"] >= after, joined)
+
+
+def covered_reference(raws: Column) -> Column:
+    """The reference over sorted variants (pos, ref, alt), with `.` where none of them has it."""
+    first = F.get(raws, F.lit(0))["pos"]
+
+    def add(text: Column, v: Column) -> Column:
+        at = (v["pos"] - first).cast("int")
+        padded = F.rpad(text, F.greatest(F.length(text), at), ".")
+        return F.concat(padded, F.substr(v["ref"], F.length(padded) - at + 1, F.length(v["ref"])))
+
+    return F.aggregate(raws, F.lit(""), add)
+
+
+def indel_aware_span(pos: Column, ref: Column, alts: Column) -> Column:
+    """Half-open span of a record in which padded indels count from behind their padding."""
+
+    def span(alt: Column) -> Column:
+        start = pos - 1 + common_prefix(ref, alt)
+        longer = F.length(alt) > F.length(ref)
+        stop = F.when(longer, start + 1).when(F.length(alt) < F.length(ref), start + F.length(ref)).otherwise(pos - 1 + F.length(ref))
+        return F.struct(F.when(longer, start + 1).otherwise(start).alias("start"), stop.alias("stop"))
+
+    spans = F.transform(alts, span)
+    return F.struct(
+        F.least(pos, F.array_min(F.transform(spans, lambda s: s.start))).cast("bigint").alias("start"),
+        F.greatest(pos, F.array_max(F.transform(spans, lambda s: s.stop))).cast("bigint").alias("stop"),
+    )
+
+
+def bases_of(code: Column) -> Column:
+    """The bases that an IUPAC code stands for."""
+    mask = base_mask(code)
+    return F.filter(F.array(*[F.lit(b) for b in "ACGT"]), lambda b: base_mask(b).bitwiseAND(mask) != 0)

@@ -219,3 +219,27 @@ def chunked(seqs: DataFrame, size: int = 1 << 20, overlap: int = 1 << 10) -> Dat
     return seqs.filter(F.length("seq") > 0).select("name", "seq", at).select(
         "name", "chunk", (F.col("chunk") * size).alias("offset"), F.substr("seq", (F.col("chunk") * size + 1).cast("int"), F.lit(size + overlap)).alias("bases")
     )
+
+
+def base_contigs(variants: DataFrame, seqs: DataFrame, flank: int = 99) -> DataFrame:
+    """Contigs of interval variants (chrom, start, stop, ref, alt), one for each base an IUPAC code stands for.
+
+    (name, seq); the name carries place, CIGAR with = and X, the variant's span in the contig,
+    and its bases.
+    """
+    v = variants.join(seqs.withColumnRenamed("name", "chrom"), "chrom")
+    lo, hi = F.greatest(F.col("start") - flank, F.lit(0)), F.col("stop") + flank
+    fits = hi <= F.length("seq")
+    snp, gone = (F.length("ref") == 1) & (F.length("alt") == 1), F.length("alt") == 0
+    options = F.when(snp, F.filter(al.bases_of(F.col("alt")), lambda b: b != F.upper("ref"))).when(gone, F.array("ref")).otherwise(F.array("alt"))
+    v = v.withColumns({
+        "_lo": lo, "_hi": F.when(fits, hi).otherwise(F.col("stop")), "_pre": bases_at(F.col("seq"), lo, F.col("start")),
+        "_post": F.when(fits, bases_at(F.col("seq"), F.col("stop"), hi)).otherwise(""), "_gone": gone, "_snp": snp, "_bases": F.explode(options),
+    })
+    size = F.length("_bases")
+    change = F.when(F.col("_snp"), "1X").when(F.col("_gone"), _op(size, "D")).otherwise(_op(size, "I"))
+    cigar = F.concat(_op(F.length("_pre"), "="), change, _op(F.length("_post"), "="))
+    end = F.length("_pre") + F.when(F.col("_gone"), 0).otherwise(size)
+    parts = [F.concat(F.lit("REMAP-"), "chrom"), F.col("_lo"), F.col("_hi"), cigar, F.length("_pre"), end, F.col("_bases")]
+    name = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return v.select(name.alias("name"), F.concat("_pre", F.when(F.col("_gone"), "").otherwise(F.col("_bases")), "_post").alias("seq"))

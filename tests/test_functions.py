@@ -119,3 +119,23 @@ def test_bad_formats():
             projection.compile_format(bad)
     with pytest.raises(ValueError):
         sequences.check_tokens(["a/t", "t"])
+
+
+def test_split_and_join(spark):
+    v = lambda p, r, a: al.variant(F.lit(p), F.lit(r), F.lit(a))
+    (got,) = one(spark, al.split_indel(v(10, "AC", "GCTT")))
+    assert (tuple(got.substitution), tuple(got.indel)) == ((10, "A", "G"), (12, "", "TT"))
+    (got,) = one(spark, al.split_indel(v(10, "GCTT", "AC")))
+    assert (tuple(got.substitution), tuple(got.indel)) == ((10, "G", "A"), (12, "TT", ""))
+    assert one(spark, al.split_indel(v(10, "A", "G")))[0].indel is None
+    assert tuple(one(spark, al.join_variants(v(10, "A", "G"), v(12, "", "TT"), F.lit("ACGT"), F.lit(10)))[0]) == (10, "AC", "GCTT")
+    assert one(spark, al.join_variants(v(10, "AC", "G"), v(11, "C", "T"), F.lit("ACGT"), F.lit(10)))[0] is None
+    assert one(spark, al.covered_reference(F.array(v(5, "ACG", "A"), v(6, "CG", "C"), v(10, "TT", "T"))))[0] == "ACG..TT"
+    assert tuple(one(spark, al.indel_aware_span(F.lit(5), F.lit("AC"), F.array(F.lit("A"))))[0]) == (5, 7)
+
+
+def test_base_contigs(spark):
+    v = spark.createDataFrame([("1", 4, 5, "A", "R"), ("1", 4, 4, "", "TT"), ("1", 2, 4, "GT", "")], "chrom string, start bigint, stop bigint, ref string, alt string")
+    s = spark.createDataFrame([("1", "ACGTACGT")], "name string, seq string")
+    got = dict(map(tuple, sequences.base_contigs(v, s, 2).collect()))
+    assert got == {"REMAP-1|2|7|2=1X2=|2|3|G": "GTGCG", "REMAP-1|2|6|2=2I2=|2|4|TT": "GTTTAC", "REMAP-1|0|6|2=2D2=|2|2|GT": "ACAC"}
