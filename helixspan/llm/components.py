@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, drop_dir, stage
 
 DDL = "u bigint, v bigint"
+TASK_EDGES = 100_000
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -67,7 +68,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is the smallest node it can reach."""
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     spark = edges.sparkSession
-    current, state = stage(contracted(pairs.repartition("v")), "components"), None
+    pairs = stage(pairs, "edges")
+    tasks = -(-pairs.count() // TASK_EDGES)
+    if tasks <= 1:  # one task's union-find is then all there is to do
+        done = stage(contracted(pairs.coalesce(1)), "components")
+        return done.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(_tops(done))
+    current, state = stage(contracted(pairs.repartition(tasks, "v")), "components"), None
     for _ in range(rounds):
         nxt = stage(_star(_star(contracted(current), True), False), "components")
         drop_dir(spark, current._staged_at)
@@ -78,4 +84,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         state = tuple(got)
     else:
         raise RuntimeError("components didn't settle")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(_tops(current))
+
+
+def _tops(stars: DataFrame) -> DataFrame:
+    """Each component's smallest node with itself."""
+    return stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

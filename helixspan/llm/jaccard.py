@@ -14,12 +14,15 @@ shingle of them all). Sets link if 100 * |x and y| >= threshold * |x or y|.
 4. Skipping. Within a list a set only meets the block of sets whose size allows a link, and of
    these only such as could still reach the needed overlap from their position on (the pair's
    first common shingle passes, so no link is lost).
-5. Answers from similar sets. Rounds of stars come first: in each list every class of sets that
-   isn't yet linked to the list's pivot is checked against it alone, and a linked set takes over
-   the pivot's component. Only sets of one list that are in different components afterwards are
-   checked pair by pair. Within a check, sets of one partner are visited together.
-
-A pair is always verified by the exact overlap of the whole sets. Components come from
+5. Answers from similar sets. The first rounds only check each set with a few others of its
+   lists, those that most lists propose: neighbours by size, and hubs, the sets with the fewest
+   rare shingles of their own, which near copies have more in common with than with each other; a
+   linked set takes over the other's component, so that copies cost a few checks each. Only sets
+   of one list that are in different components afterwards are checked pair by pair; no pair is
+   checked twice.
+
+Pairs are ruled out by an exact bound on a quarter of their shingles, or else verified by the
+overlap of the whole sets. Components come from
 components.components. The result has one row per document.
 
 Defined cases: null text, or text without words, has the empty set and links with nothing;
@@ -30,7 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, doc_columns, stage
@@ -41,7 +44,12 @@ THRESHOLD = 80
 HEAVY_COUNT = 64
 HEAVY_TOKENS = 1 << 20
 STAR_ROUNDS = 2
+NEIGHBOURS = 6
+HUBS = 2
+PROPOSALS = 3
 BROADCAST_IDS = 1_000_000
+FLUSH_ROWS = 100_000
+PIECE = 64
 
 _U = np.uint64
 _BYTE = np.random.default_rng(20240607).integers(0, 2**64, 256, dtype=_U)
@@ -74,24 +82,42 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    if not text:
-        return np.empty(0, _U)
-    raw = _FOLD[np.frombuffer(text.encode("utf-8"), np.uint8)]
-    gap = np.concatenate([[True], _SPACE[raw], [True]])
-    turn = np.diff(gap.astype(np.int8))
-    starts, ends = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
-    if not len(starts):
-        return np.empty(0, _U)
-    power, inverse = _powers(len(raw))
-    sums = np.concatenate([[_U(0)], np.cumsum(_BYTE[raw] * power[: len(raw)])])
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles. The texts are hashed together."""
+    raw = [t.encode("utf-8") if t else b"" for t in texts]
+    ends_at = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)  # a space after each text
+    flat = _FOLD[np.frombuffer(b" ".join([*raw, b""]), np.uint8)]
+    gap = np.empty(len(flat) + 1, bool)
+    gap[0] = True
+    np.take(_SPACE, flat, out=gap[1:])
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    power, inverse = _powers(len(flat))
+    sums = np.empty(len(flat) + 1, _U)
+    sums[0] = 0
+    np.cumsum(_BYTE[flat] * power[: len(flat)], out=sums[1:])
     word = _mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U) * _MIX[5])
-    k = min(words, len(word))
-    out = np.full(len(word) - k + 1, _U(k))
-    for i in range(k):
-        out = _mixed(out * _MIX[2] + word[i : len(word) - k + 1 + i])
-    return np.unique(out)
+    first = np.concatenate([[0], np.searchsorted(starts, ends_at)])
+    size = np.diff(first)
+    h = np.full(len(word), _U(words))
+    for i in range(words):
+        h[: len(word) - i] = _mixed(h[: len(word) - i] * _MIX[2] + word[i:])
+    out = []
+    for d in range(len(texts)):
+        a, n = int(first[d]), int(size[d])
+        if n >= words:
+            s = np.sort(h[a : a + n - words + 1])
+            keep = np.empty(len(s), bool)
+            keep[0] = True
+            np.not_equal(s[1:], s[:-1], out=keep[1:])
+            out.append(s if keep.all() else s[keep])
+        elif n:
+            x = np.full(1, _U(n))
+            for i in range(n):
+                x = _mixed(x * _MIX[2] + word[a + i : a + i + 1])
+            out.append(x)
+        else:
+            out.append(np.empty(0, _U))
+    return out
 
 
 def needed(x, y, threshold: int = THRESHOLD):
@@ -114,8 +140,8 @@ def _batched(ddl: str, spark, rows_of):
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(at, PIECE)
                 cols = rows_of(piece)
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(cols, target)], schema=target)
 
@@ -126,7 +152,7 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n, mark): set size and print, in the shared folder."""
 
     def rows_of(piece):
-        tokens = [shingle_set(t, words) for t in piece.column(1).to_pylist()]
+        tokens = shingle_sets(piece.column(1).to_pylist(), words)
         return piece.column(0), [len(t) for t in tokens], [print_of(t) if len(t) else None for t in tokens]
 
     ddl = "doc_id bigint, n bigint, mark binary"
@@ -140,10 +166,9 @@ def frequent(docs: DataFrame, words: int, threshold: int) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, PIECE):
                 parts = [np.empty(0, _U)]
-                for t in batch.slice(at, 256).column(1).to_pylist():
-                    s = shingle_set(t, words)
+                for s in shingle_sets(batch.slice(at, PIECE).column(1).to_pylist(), words):
                     parts.append(s[: prefix_length(len(s), threshold) * 3 // 2 + 8])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], schema=target)
 
@@ -165,10 +190,10 @@ def lists(docs: DataFrame, heavy, words: int, threshold: int) -> DataFrame:
         seen: set = set()
         last = heavy.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, PIECE):
                 cols: list[list] = [[], [], [], [], []]
-                for d, t in zip(*(batch.slice(at, 256).column(i).to_pylist() for i in (0, 1))):
-                    s = shingle_set(t, words)
+                piece = batch.slice(at, PIECE)
+                for d, s in zip(piece.column(0).to_pylist(), shingle_sets(piece.column(1).to_pylist(), words)):
                     n = len(s)
                     if not n or d is None:
                         continue
@@ -222,95 +247,128 @@ def lists(docs: DataFrame, heavy, words: int, threshold: int) -> DataFrame:
 def candidates(entries: DataFrame, star: bool, threshold: int) -> DataFrame:
     """Pairs (a, b) to verify from labelled entries (token, n, doc_id, pos, twin, label).
 
-    star: in each list the first set of every class that isn't the pivot's, against the pivot;
-    a set out of the pivot's reach starts a new pivot. Otherwise all pairs of different classes.
+    star: in each list every set with the few before it in order of size, and with the two that
+    have the fewest rare shingles of their own. Otherwise all pairs of different classes.
     """
     spark = entries.sparkSession
-    target = arrow_schema(spark, "a bigint, b bigint")
+    target = arrow_schema(spark, "a bigint, b bigint, votes bigint")
 
-    def pairs_of(n, doc, pos, twin, label):
+    def pairs_of(token, n, doc, pos, twin, label):
+        """Pairs (a, b) of entries k places apart in one list, for each k as long as sizes may link."""
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        rank = np.arange(len(token)) - np.repeat(start, np.diff(np.append(start, len(token))))
         out_a, out_b = [], []
-        size = len(n)
-        reach = np.searchsorted(n, 100 * n // threshold, side="right")  # the block of sizes that may link
-        i = 0
-        covered = np.zeros(size, bool)
-        for i in range(size):
-            if star and covered[i]:
-                continue
-            for a in range(i + 1, int(reach[i]), 65536):
-                b = slice(a, min(int(reach[i]), a + 65536))
-                most = np.minimum(n[i] - pos[i], n[b] - pos[b])
-                ok = (label[b] != label[i]) & (most >= needed(n[i], n[b], threshold)) & ((twin[b] != twin[i]) | (n[b] != n[i]))
-                if star:
-                    covered[b] |= ok | (label[b] == label[i])
-                j = np.flatnonzero(ok) + a
-                if star and len(j):
-                    j = j[np.unique(label[j], return_index=True)[1]]
-                out_a.append(np.full(len(j), doc[i]))
-                out_b.append(doc[j])
-        return out_a, out_b
+
+        def keep(i, j):
+            ok = (label[i] != label[j]) & ((twin[i] != twin[j]) | (n[i] != n[j]))
+            ok &= threshold * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
+            ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i], n[j], threshold)
+            out_a.append(doc[i[ok]])
+            out_b.append(doc[j[ok]])
+
+        if star:  # the sets with the fewest rare shingles of their own are what copies have in common
+            of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(token))))
+            order = np.lexsort((doc, pos, of))
+            for place in range(HUBS):
+                at = start + np.minimum(place, np.diff(np.append(start, len(token))) - 1)
+                keep(order[at][of], np.arange(len(token)))
+        live, k = np.arange(len(token)), 0
+        while len(live) and not (star and k == NEIGHBOURS):
+            k += 1
+            live = live[rank[live] >= k]
+            live = live[threshold * n[live] <= 100 * n[live - k]]  # lists go by size: smaller ones can't link either
+            keep(live - k, live)
+        return np.concatenate([np.empty(0, np.int64), *out_a]), np.concatenate([np.empty(0, np.int64), *out_b])
 
     def run(batches):
         held: list = []
 
         def flush(done):
-            cols = [np.concatenate([x[i] for x in done]) for i in range(6)]
-            start = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for s, e in zip(start, np.append(start[1:], len(cols[0]))):
-                x, y = pairs_of(*(c[s:e] for c in cols[1:]))
-                a += x
-                b += y
-            a, b = np.concatenate(a), np.concatenate(b)
+            a, b = pairs_of(*(np.concatenate([x[i] for x in done]) for i in range(6)))
             lo, hi = np.minimum(a, b), np.maximum(a, b)
             keep = lo != hi
-            both = np.unique(np.stack([lo[keep], hi[keep]], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=target)
+            order = np.lexsort((hi[keep], lo[keep]))
+            lo, hi = lo[keep][order], hi[keep][order]
+            new = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])[: len(lo)])
+            votes = np.diff(np.append(new, len(lo)))
+            return pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new]), pa.array(votes)], schema=target)
 
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             if not len(cols[0]):
                 continue
             cut = int(np.searchsorted(cols[0] == cols[0][-1], True))
-            if cut:
+            if cut and sum(len(h[0]) for h in held) + cut >= FLUSH_ROWS:
                 yield flush([*held, [c[:cut] for c in cols]])
                 held = []
-            held.append([c[cut:] for c in cols])
+                cols = [c[cut:] for c in cols]
+            held.append(cols)
         if held:
             yield flush(held)
 
     ordered = entries.select("token", "n", "doc_id", "pos", "twin", "label").repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    return ordered.mapInArrow(run, "a bigint, b bigint")
+    return ordered.mapInArrow(run, "a bigint, b bigint, votes bigint")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Those of the staged pairs (a, b) whose whole sets link, with their overlap and sizes."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # The texts stay where they are while the ids are few enough to be sent to them.
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """Those of the staged pairs (a, b) whose whole sets link.
+
+    First on a quarter of the shingles: linked sets differ in at most a ninth of their summed
+    sizes, so more differences than that among the shingles of one range of hashes already rule
+    the link out (half a hash is enough for this, since an accidental match only adds overlap).
+    What is left is checked on the whole sets.
+    """
+
+    def quarter(tokens):
+        part = tokens[: np.searchsorted(tokens, _U(1 << 62))]
+        return (len(tokens), np.unique((part >> _U(30)).astype(np.uint32)).tobytes(), len(part))
 
     def rows_of(piece):
-        return piece.column(0), [shingle_set(t, words).tobytes() for t in piece.column(1).to_pylist()]
+        got = [quarter(t) for t in shingle_sets(piece.column(1).to_pylist(), words)]
+        return piece.column(0), [g[0] for g in got], [g[2] for g in got], [g[1] for g in got]
+
+    def maybe(piece):
+        a, b, n, q, x, m, r, y = (piece.column(i).to_pylist() for i in range(8))
+        keep = []
+        for i in range(len(a)):
+            u, v = np.frombuffer(x[i], np.uint32), np.frombuffer(y[i], np.uint32)
+            both = min(_shared(u, v) + q[i] - len(u) + r[i] - len(v), q[i], r[i])  # at most
+            keep.append(q[i] + r[i] - 2 * both <= n[i] + m[i] - 2 * needed(n[i], m[i], threshold))
+        return piece.column(0), piece.column(1), keep
 
-    ddl = "doc_id bigint, tokens binary"
-    full = stage(docs.join(ids, "doc_id", "left_semi").mapInArrow(_batched(ddl, spark, rows_of), ddl), "members")
-    left = full.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    right = full.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    ddl_out = "a bigint, b bigint, overlap bigint, linked boolean"
+    def whole(piece):
+        return piece.column(0), [t.tobytes() for t in shingle_sets(piece.column(1).to_pylist(), words)]
 
     def check(piece):
-        overlap, linked = [], []
+        keep = []
         for x, y in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist()):
-            x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-            both = int((x[at] == y).sum())
-            overlap.append(both)
-            linked.append(100 * both >= threshold * (len(x) + len(y) - both))
-        return piece.column(0), piece.column(1), overlap, linked
+            u, v = np.frombuffer(x, _U), np.frombuffer(y, _U)
+            both = _shared(u, v)
+            keep.append(100 * both >= threshold * (len(u) + len(v) - both))
+        return piece.column(0), piece.column(1), keep
+
+    left = _with_sets(docs, pairs, "doc_id bigint, n bigint, q bigint, tokens binary", rows_of, "a bigint, b bigint, fine boolean", maybe, "quarters")
+    left = stage(left, "likely")
+    return _with_sets(docs, left, "doc_id bigint, tokens binary", whole, "a bigint, b bigint, fine boolean", check, "members")
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    if not len(x) or not len(y):
+        return 0
+    return int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(_batched(ddl_out, spark, check), ddl_out).filter("linked")
+
+def _with_sets(docs, pairs, set_ddl: str, make, out_ddl: str, check, name: str) -> DataFrame:
+    """The pairs for which check holds; it gets the pair and what make says of both documents."""
+    spark = docs.sparkSession
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # The texts stay where they are while the ids are few enough to be sent to them.
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    held = stage(docs.join(ids, "doc_id", "left_semi").mapInArrow(_batched(set_ddl, spark, make), set_ddl), name)
+    own = [c for c in held.columns if c != "doc_id"]
+    side = lambda s: held.select(F.col("doc_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in own])
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{s}_{c}" for s in "ab" for c in own])
+    return joined.mapInArrow(_batched(out_ddl, spark, check), out_ddl).filter("fine").select("a", "b")
 
 
 def release(spark) -> None:
@@ -342,18 +400,26 @@ def similarity_components(docs: DataFrame, words: int = WORDS, threshold: int =
     )
     listed = entries.select("doc_id").distinct()
     home = stage(reps.join(listed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("rep").alias("rep")), "homes")
+    seen = None
     for step in range(STAR_ROUNDS + 1):
         labels = components(links) if step and not links.isEmpty() else None
         label = home.withColumn("label", F.col("rep"))
         if labels is not None:
             label = home.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
-        pairs = candidates(entries.join(label.select("doc_id", "label"), "doc_id"), step < STAR_ROUNDS, threshold)
-        if step < STAR_ROUNDS:  # each set with the pivot that most lists propose
-            votes = pairs.groupBy("a", "b").agg(F.count("*").alias("votes"))
-            pairs = votes.groupBy("b").agg(F.max(F.struct("votes", -F.col("a"))).alias("best")).select((-F.col("best.col2")).alias("a"), "b")
-        pairs = stage(pairs.distinct(), "pairs")
+        moved = stage(label.filter("label <> doc_id").select("doc_id", "label"), "labels")  # the others are their own
+        moved = F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved
+        labelled = entries.join(moved, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        pairs = candidates(labelled, step < STAR_ROUNDS, threshold)
+        pairs = pairs.groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        if step < STAR_ROUNDS:  # each set with those neighbours that most lists propose
+            w = Window.partitionBy("b").orderBy(F.desc("votes"), "a")
+            pairs = pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= PROPOSALS)
+        pairs = stage(pairs.select("a", "b"), "pairs")
         if pairs.isEmpty():
             continue
+        seen = pairs if seen is None else seen.unionByName(pairs)
         found = verified(docs, pairs, words, threshold).select("a", "b")
         ends = home.select("doc_id", "rep")
         found = found.join(ends.select(F.col("doc_id").alias("a"), F.col("rep").alias("u")), "a").join(ends.select(F.col("doc_id").alias("b"), F.col("rep").alias("v")), "b")
