@@ -50,6 +50,7 @@ PROPOSALS = 3
 BROADCAST_IDS = 1_000_000
 FLUSH_ROWS = 100_000
 PIECE = 64
+SMALL_SET = 256
 
 _U = np.uint64
 _BYTE = np.random.default_rng(20240607).integers(0, 2**64, 256, dtype=_U)
@@ -313,27 +314,33 @@ def candidates(entries: DataFrame, star: bool, threshold: int) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: int) -> DataFrame:
     """Those of the staged pairs (a, b) whose whole sets link.
 
-    First on a quarter of the shingles: linked sets differ in at most a ninth of their summed
-    sizes, so more differences than that among the shingles of one range of hashes already rule
-    the link out (half a hash is enough for this, since an accidental match only adds overlap).
-    What is left is checked on the whole sets.
+    First on a quarter of the shingles (all of them for small sets): linked sets differ in at
+    most a ninth of their summed sizes, so more differences than that among the shingles of one
+    range of hashes already rule the link out. Half a hash is enough for this, since an
+    accidental match only adds overlap.
     """
 
-    def quarter(tokens):
-        part = tokens[: np.searchsorted(tokens, _U(1 << 62))]
-        return (len(tokens), np.unique((part >> _U(30)).astype(np.uint32)).tobytes(), len(part))
+    def part(tokens):
+        q = int(np.searchsorted(tokens, _U(1 << 62)))
+        held = tokens if len(tokens) <= SMALL_SET else tokens[:q]
+        return len(tokens), q, np.unique((held >> _U(32)).astype(np.uint32)).tobytes()
 
     def rows_of(piece):
-        got = [quarter(t) for t in shingle_sets(piece.column(1).to_pylist(), words)]
-        return piece.column(0), [g[0] for g in got], [g[2] for g in got], [g[1] for g in got]
+        got = [part(t) for t in shingle_sets(piece.column(1).to_pylist(), words)]
+        return piece.column(0), [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]
 
     def maybe(piece):
         a, b, n, q, x, m, r, y = (piece.column(i).to_pylist() for i in range(8))
         keep = []
         for i in range(len(a)):
             u, v = np.frombuffer(x[i], np.uint32), np.frombuffer(y[i], np.uint32)
-            both = min(_shared(u, v) + q[i] - len(u) + r[i] - len(v), q[i], r[i])  # at most
-            keep.append(q[i] + r[i] - 2 * both <= n[i] + m[i] - 2 * needed(n[i], m[i], threshold))
+            if n[i] <= SMALL_SET and m[i] <= SMALL_SET:
+                in_u, in_v = n[i], m[i]
+            else:  # the range that both have
+                in_u, in_v = q[i], r[i]
+                u, v = (t[: np.searchsorted(t, np.uint32(1 << 30))] for t in (u, v))
+            both = min(_shared(u, v) + in_u - len(u) + in_v - len(v), in_u, in_v)  # at most
+            keep.append(in_u + in_v - 2 * both <= n[i] + m[i] - 2 * needed(n[i], m[i], threshold))
         return piece.column(0), piece.column(1), keep
 
     def whole(piece):
