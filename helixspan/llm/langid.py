@@ -34,7 +34,7 @@ BUCKETS = 1 << 16
 SAMPLE_PER_LANG = 1500
 PENALTY = 6.0
 SCRIPT_SHARE = 0.01
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 UNKNOWN = "und"
 
 # First and last code point of the main blocks of scripts.
