@@ -118,13 +118,18 @@ def _card(key, m):
     return _lay(m[0], body + str(-luhn_sum(body + "0") % 10))
 
 
+_UNDIALLED = [(a, e) for a in _DIGIT for e in _DIGIT if a in "01" or e in "01"]
+
+
 def _phone(key, m):
     d = re.sub(r"\D", "", m[0])
     if not 8 <= len(d) <= 15:
         return None
-    if d[0] == "1" and len(d) == 11:  # country 1: area and exchange don't start with 0 or 1
-        if d[1] in "01" or d[4] in "01":
-            return None
+    if d[0] == "1" and len(d) == 11:  # country 1: area and exchange start with 2 to 9 in numbers that can be dialled
+        if (d[1], d[4]) in _UNDIALLED:  # the others are permuted among themselves
+            lead, *rest = permute(key, b"phone1 undialled", [_UNDIALLED.index((d[1], d[4])), *map(int, d[2:4] + d[5:])], [len(_UNDIALLED), *[10] * 8])
+            (area, exchange), rest = _UNDIALLED[lead], "".join(map(str, rest))
+            return _lay(m[0], d[0] + area + rest[:2] + exchange + rest[2:])
         wide = "23456789"
         alphabets = [wide, _DIGIT, _DIGIT, wide, *[_DIGIT] * 6]
         return _lay(m[0], d[0] + _permute_text(key, b"phone1", d[1:], alphabets))

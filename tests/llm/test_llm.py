@@ -197,6 +197,15 @@ def test_pii(docs, empty):
     assert out.columns == docs.columns and out.count() == docs.count()
 
 
+def test_pii_phones_of_any_area():
+    texts = [f"call +1 ({a:03d}) {e}55-7713 now" for a in range(1000) for e in range(10)]
+    done = [pii.pseudonymise(t) for t in texts]
+    assert all(k == ["phone"] and re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} now", new) for new, k in done)
+    assert len({new for new, _ in done}) == len(texts)
+    for t, (new, _) in zip(texts, done):  # numbers that can be dialled stay such, and the others the others
+        assert (t[9] in "01" or t[14] in "01") == (new[9] in "01" or new[14] in "01")
+
+
 def test_feistel_is_a_bijection():
     for radices in ([10, 10, 10], [2], [7, 3], [26, 10, 8], [1, 5]):
         size = int(np.prod(radices))
