@@ -10,6 +10,10 @@ is a bijection on any domain, with no cycle walking.
 Kinds: email, phone, card, iban, ssn, ip, date, secret (values assigned to password, token,
 secret or key names).
 
+Phones are those with + and a country code, 8 to 15 digits in all; national forms without + are
+left as they are. Where a match of a card, IBAN or phone fails its check, shorter ones that end
+at a border of its groups are tried.
+
 Defined cases: null text stays null, with no hits; repeated rows give repeated results; texts
 without digits and @ are returned as they are.
 """
@@ -215,6 +219,37 @@ KINDS = (
     ("date", re.compile(r"(?<![\d/\-.])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/\-]|\.\d)"), _date),
 )
 _ANY = re.compile(r"[0-9@]")
+# Kinds whose patterns run over spaces, and so may run on into what follows the value.
+_GROUPED = ("iban", "card", "phone")
+_PRINTED = re.compile(r"(?<![\d.])(?:(?:[3-6]|2[2-7])\d{2}\d(?:\d{9,15}|([ -])\d{4}\1\d{4}\1\d{4})|3\d{3}([ -])\d{6}\2\d{4,5})(?!\d)")
+_PHONE1 = re.compile(r"(?<![\w+])\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)")
+_NEXT = re.compile("|".join(p.pattern for k, p, _ in KINDS if k in ("ssn", "ip", "date")))
+
+
+def _tries(kind: str, text: str, m: re.Match, stop: int):
+    """Spans to check for a match of a grouped kind, the likeliest first; none passes stop.
+
+    After the match come its prefixes that end at a group's border. Cards are first looked for in
+    the layouts they are printed in, anywhere in the match, and not in a phone of country 1; phones end before a number of social
+    security, an address or a date that follows them, and those of country 1 have eleven digits.
+    """
+    start, end = m.span()
+    ends = [i for i in range(min(end, stop), start, -1) if text[i - 1].isalnum() and (i == end or not text[i].isalnum())]
+    if kind == "card":
+        phones = [p.span() for p in _PHONE1.finditer(text, max(0, start - 20), end + 20)]
+        at = start
+        while (c := _PRINTED.search(text, at)) and c.start() < end:
+            if c.end() <= stop and not any(s < c.end() and c.start() < e for s, e in phones):
+                yield c.span()
+            at = c.start() + 1
+        ends = [i for i in ends if not any(s < i and start < e for s, e in phones)]
+    elif kind == "phone":
+        if text[start + 1] == "1":
+            ends.sort(key=lambda i: sum(c.isdigit() for c in text[start:i]) != 11)
+        following = next((n.start() for n in _NEXT.finditer(text, start + 1, end + 20) if text[n.start() - 1] == " "), end) if len(ends) > 1 else end
+        ends.sort(key=lambda i: i > following)
+    for i in ends:
+        yield start, i
 
 
 def pseudonymise(text: str | None, key: bytes = DEFAULT_KEY) -> tuple[str | None, list[str]]:
@@ -226,8 +261,24 @@ def pseudonymise(text: str | None, key: bytes = DEFAULT_KEY) -> tuple[str | None
         return text, []
     taken: list[tuple[int, int, str, str]] = []
     for kind, pattern, make in KINDS:
-        for m in pattern.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e, _, _ in taken):
+        at = 0
+        while m := pattern.search(text, at):
+            at = m.end()
+            inside = [e for s, e, *_ in taken if s <= m.start() < e]
+            if inside:
+                at = inside[0]
+                continue
+            stop = min((s for s, *_ in taken if s > m.start()), default=len(text))
+            if kind in _GROUPED:
+                for s, e in _tries(kind, text, m, stop):
+                    one = pattern.fullmatch(text, s, e)
+                    new = one and make(key, one)
+                    if new is not None:
+                        taken.append((s, e, new, kind))
+                        at = e
+                        break
+                continue
+            if stop < m.end():
                 continue
             if kind == "secret" and m["value"] is None:
                 new = m["aws"] + _classed(key, b"aws", m["rest"])
