@@ -5,7 +5,7 @@ normalised, mapped to a mixed-radix number and permuted by a keyed Feistel netwo
 very domain; check digits are recomputed and the value's own punctuation is put back. Equal
 values therefore get equal pseudonyms in every document, and distinct values of one format
 stay distinct. The network alternates modular additions on two halves of the radix list, so it
-is a bijection on any domain, with no cycle walking.
+is a bijection on any domain; only dates walk cycles, past two numbers that are no days.
 
 Kinds: email, phone, card, iban, ssn, ip, date, secret (values assigned to password, token,
 secret or key names).
@@ -176,10 +176,12 @@ def _day(key, year, month, day):
         return None
     if not _DAY0 <= n < _DAY1:
         return None
-    days = _DAY1 - _DAY0  # 73049 = 11 * 29 * 229: two mixed-radix halves cover it exactly
-    hi, lo = divmod(n - _DAY0, 229)
-    hi, lo = permute(key, b"date", [hi, lo], [days // 229, 229])
-    return dt.date.fromordinal(_DAY0 + hi * 229 + lo)
+    n -= _DAY0
+    while True:  # 319 * 229 is two more than the 73049 days: the walk goes on from these two
+        hi, lo = permute(key, b"date", list(divmod(n, 229)), [319, 229])
+        n = hi * 229 + lo
+        if n < _DAY1 - _DAY0:
+            return dt.date.fromordinal(_DAY0 + n)
 
 
 def _date(key, m):

@@ -238,6 +238,11 @@ def test_feistel_is_a_bijection():
         assert [pii.permute(b"k", b"t", m, radices, back=True) for m in moved] == every
 
 
+def test_dates_are_permuted():
+    days = [pii.dt.date.fromordinal(n) for n in range(pii._DAY0, pii._DAY1)]
+    assert sorted(pii._day(pii.DEFAULT_KEY, d.year, d.month, d.day) for d in days) == days
+
+
 LANGS = {"en": "the and with that from have this which would there their about", "fr": "les des est que dans pour avec sont être après leur nous", "ru": "это что как для они был его если уже только когда"}
 
 
