@@ -4,9 +4,12 @@ The standard library's parser streams a page's events into lines, one for each b
 A line has its characters, its tags and the characters inside links; its text-to-tag ratio is
 its characters outside links over its tags. The ratios are smoothed by a Gaussian along the
 page, and two-means clustering of the smoothed ratios gives the threshold over which lines count
-as content. The content region is the smallest element that holds at least REGION_SHARE of the
-content lines' characters, preferring article and main elements; its lines are the text, short
-ones included, without those that stand in navigation, adverts, comments and the like.
+as content; a line of at least PROSE characters, most of them outside links, counts whatever its
+ratio, and shorter lines only count where there are no long ones. The content region is the smallest element that holds all content lines, or the
+smallest article or main element around it; its lines are the text, short ones included, without
+those that stand in navigation, adverts, comments and the like. Where no article or main element
+marks the region, short paragraphs, headings, items and cells around it that aren't links belong to
+the text as well.
 
 Such parts are known by their element, their ARIA role, or a word of their class or id.
 
@@ -25,7 +28,7 @@ from .common import doc_columns, map_rows
 
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 SIGMA = 1.5
-REGION_SHARE = 0.6
+PROSE = 40
 
 # Elements of the HTML standard by their role here.
 BLOCK = frozenset(
@@ -53,6 +56,7 @@ _ENDS = {
     "option": frozenset({"option"}),
 }
 _SCOPE = frozenset("ul ol dl table select article main section div body html".split())
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figcaption caption dt dd li td th".split())
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
@@ -192,23 +196,27 @@ def main_text(html: str | None) -> str:
         return ""
     ratios = smoothed([(len(t) - min(linked, len(t))) / max(1, tags) for t, tags, linked, _, _ in lines])
     least = threshold(ratios)
-    weight: dict[int, int] = {}
-    total = 0
-    for (text, _, linked, path, _), ratio in zip(lines, ratios):
-        if ratio >= least:
-            own = max(1, len(text) - linked)
-            total += own
-            for n in path:
-                weight[n] = weight.get(n, 0) + own
-    best, rank = None, None
-    for n, w in weight.items():
+    shared: list[int] | None = None  # the elements around all content lines, outermost first
+    long = [len(x[0]) >= PROSE and (r >= least or len(x[0]) >= 2 * x[2]) for x, r in zip(lines, ratios)]
+    for (_, _, _, path, _), content in zip(lines, long if any(long) else [r >= least for r in ratios]):
+        if content:
+            shared = list(path) if shared is None else [n for n, m in zip(shared, path) if n == m]
+    best = None
+    for n in shared or ():
         tag = parser.names[n]
-        if w >= REGION_SHARE * total and tag in BLOCK and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6"):
-            r = (tag in ("article", "main"), n)
-            if rank is None or r > rank:
-                best, rank = n, r
-    # Articles side by side in one page: the region is what holds them all.
-    return "\n".join(t for t, _, _, path, _ in lines if best is None or best in path)
+        if tag in ("article", "main") or (
+            tag in BLOCK and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6") and (best is None or parser.names[best] not in ("article", "main"))
+        ):
+            best = n
+    marked = best is not None and parser.names[best] in ("article", "main")
+
+    def belongs(text, linked, path):
+        if best is None or best in path:
+            return True
+        block = next((parser.names[n] for n in reversed(path) if parser.names[n] in BLOCK), None)
+        return not marked and block in _TEXT and len(text) >= 2 * linked
+
+    return "\n".join(t for t, _, linked, path, _ in lines if belongs(t, linked, path))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -133,6 +133,33 @@ def test_html_text(spark):
     assert sorted((r.page_id, r.n_chars) for r in got) == [(1, len(html_text.main_text(PAGE)))] * 2 + [(2, 0)]
 
 
+def html_lines(n, words=12):
+    return [" ".join(f"w{n}x{i}y{k}" for k in range(words)) for i in range(n)]
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<body><nav><a href=x>Menu</a></nav><div><p>{0}</p><ul><li>{1}<li>{2}<li>{3}<li>{4}</ul><p>{5}</p></div></body>", 6),
+    ("<body><div><p>{0}</p><table><tr><td>{1}<td>{2}<tr><td>{3}<td>{4}</table><p>{5}</p></div></body>", 6),
+    ("<body><div><p>{0}</p><pre>{1} {2} {3} {4}</pre><p>{5}</p></div></body>", 3),
+    ("<body><div><p>{0}</p><p>{1}</p><p>{2}</p><p>{3}</p></div><div><p>{4}</p><p>{5}</p></div></body>", 6),
+    ("<body><section><p>{0}</p><p>{1}</p><p>{2}</p><p>{3}</p></section><section><p>{4}</p><p>{5}</p></section></body>", 6),
+    ("<main><article><p>{0}</p><p>{1}</p><p>{2}</p><p>{3}</p></article><article><p>{4}</p><p>{5}</p></article></main>", 6),
+    ("<body><div><p>{long}</p></div><div><p>{0}</p><p>{1}</p><p>{2}</p><p>{3}</p><p>{4}</p><p>{5}</p></div></body>", 7),
+])
+def test_html_region_holds_all_content(page, want):
+    lines, long = html_lines(6), " ".join(html_lines(60))
+    got = html_text.main_text(page.format(*lines, long=long)).split("\n")
+    assert len(got) == want and " ".join(got).split() == ([*long.split()] if "{long}" in page else []) + " ".join(lines).split()
+
+
+def test_html_short_lines_around_the_region():
+    lines = html_lines(6)
+    items = "".join(f"<li>{x}" for x in lines)
+    for page in ("<div><p>intro</p><ul>{}</ul><p>end</p></div>", "<body><ul><li><a href=x>Home</a></ul><h1>intro</h1><div><ul>{}</ul></div><div><p>end</p></div></body>"):
+        assert html_text.main_text(page.format(items)).split("\n") == ["intro", *lines, "end"]
+    assert html_text.main_text(f"<body><article><ul>{items}</ul></article><p>Imprint</p></body>").split("\n") == lines
+
+
 def brute_components(rows):
     sets = {}
     for d, t in rows:
