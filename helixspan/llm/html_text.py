@@ -11,7 +11,11 @@ those that stand in navigation, adverts, comments and the like. Where no article
 marks the region, short paragraphs, headings, items and cells around it that aren't links belong to
 the text as well.
 
-Such parts are known by their element, their ARIA role, or a word of their class or id.
+Such parts are known by their element, their ARIA role, or a name of their class or id all of whose
+words say so (CLASS_WORDS, beside words of PLACE_WORDS): with-sidebar is none. Ids of headings and of
+sections inside article and main only count if they name comments. A part known by role, class, id
+or as a form stays if it holds most of the page's characters outside links, unless an article or
+main with text stands outside it.
 
 Defined cases: null html is the empty page with the empty text; repeated rows give repeated
 results; markup that is never closed ends with the page.
@@ -49,6 +53,14 @@ CLASS_WORDS = frozenset(
     "overlay newsletter subscribe signup login share sharing social related recommended recommendations pagination "
     "pager widget toolbar tags skip copyright legal disclaimer".split()
 )
+# Words that only say where such a part is or what it is made of.
+PLACE_WORDS = frozenset(
+    "a the site page global main primary secondary top bottom left right upper lower header footer post article entry blog "
+    "block box bar area wrap wrapper container inner outer row col list item items link links button buttons text message "
+    "section group panel form media unit slot js id content body title".split()
+)
+COMMENT_NAMES = frozenset("comment comments disqus replies respond".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # A paragraph, list item, cell or the like is ended by the next one of its kind, even if it isn't closed.
 _ENDS = {
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
@@ -60,23 +72,36 @@ _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figcaption caption dt dd l
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
-def unwanted(tag: str, attrs) -> bool:
-    if tag in DROPPED:
-        return True
+def named_unwanted(names: str) -> bool:
+    """Whether one of the names says that the element is an unwanted part."""
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
+        if not CLASS_WORDS.isdisjoint(words) and all(w in CLASS_WORDS or w in PLACE_WORDS for w in words):
+            return True
+    return False
+
+
+def unwanted(tag: str, attrs, inside: bool = False) -> int:
+    """2: dropped in any case, 1: dropped unless it holds most of the page, 0: wanted. inside: in article or main."""
+    if tag in DROPPED and tag != "form":
+        return 2
+    found = int(tag == "form")
     for name, value in attrs:
         if name in ("class", "id"):
-            if value and tag not in ("html", "body", "article", "main") and any(
-                w.lower() in CLASS_WORDS for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))
-            ):
-                return True
+            if not value or tag in ("html", "body", "article", "main"):
+                continue
+            if name == "id" and inside and (tag in _HEADINGS or tag == "section"):
+                found |= value.strip().lower() in COMMENT_NAMES
+            elif named_unwanted(value):
+                found = 1
         elif name == "role":
             if (value or "").lower() in ROLES:
-                return True
+                found = 1
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return 2
         elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return 2
+    return found
 
 
 class Lines(HTMLParser):
@@ -85,30 +110,30 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, tuple, bool]] = []
-        self.open: list[tuple[str, int, bool]] = []  # (tag, number, wanted)
+        self.open: list[tuple[str, int, bool, bool]] = []  # (tag, number, wanted, not dropped in any case)
         self.names: list[str] = []
+        self.doubtful: set[int] = set()  # numbers of the elements that are dropped unless they hold most of the page
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            wanted = self.open[-1][2] if self.open else True
-            self.lines.append((text, self.tags, self.linked, tuple(n for _, n, _ in self.open), wanted))
+            wanted = self.open[-1][3] if self.open else True
+            self.lines.append((text, self.tags, self.linked, tuple(x[1] for x in self.open), wanted))
             self.tags = 0
         self.text, self.linked = [], 0
 
     def _pop_to(self, depth: int) -> None:
         while len(self.open) > depth:
-            tag, _, _ = self.open.pop()
-            self.links -= tag == "a"
+            self.links -= self.open.pop()[0] == "a"
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
             self.text.append(" ")
             return
         block = tag in BLOCK
-        drop = unwanted(tag, attrs)
+        drop = unwanted(tag, attrs, any(x[0] in ("article", "main") for x in self.open))
         if block or drop:
             self.flush()
         self.tags += 1
@@ -129,7 +154,10 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         self.names.append(tag)
-        self.open.append((tag, len(self.names) - 1, not drop and (self.open[-1][2] if self.open else True)))
+        wanted, kept = self.open[-1][2:] if self.open else (True, True)
+        self.open.append((tag, len(self.names) - 1, wanted and not drop, kept and drop < 2))
+        if drop == 1:
+            self.doubtful.add(len(self.names) - 1)
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
@@ -183,6 +211,23 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def without_unwanted(parser: Lines) -> list[tuple]:
+    """The lines outside of unwanted parts."""
+    lines = [x for x in parser.lines if x[4]]
+    if parser.doubtful:
+        own = [len(x[0]) - min(x[2], len(x[0])) for x in lines]
+        held: dict[int, int] = {}
+        for x, k in zip(lines, own):
+            for n in parser.doubtful.intersection(x[3]):
+                held[n] = held.get(n, 0) + k
+        dropped = parser.doubtful - {n for n, k in held.items() if 2 * k > sum(own)}
+        for n in parser.doubtful - dropped:  # most of the page, unless it stands beside the marked content
+            if any(n not in x[3] and dropped.isdisjoint(x[3]) and any(parser.names[m] == "article" or parser.names[m] == "main" for m in x[3]) for x in lines):
+                dropped = dropped | {n}
+        lines = [x for x in lines if dropped.isdisjoint(x[3])]
+    return lines
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the page's content region, joined by line feeds."""
     if not html:
@@ -191,7 +236,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if x[4]]
+    lines = without_unwanted(parser)
     if not lines:
         return ""
     ratios = smoothed([(len(t) - min(linked, len(t))) / max(1, tags) for t, tags, linked, _, _ in lines])

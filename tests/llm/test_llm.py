@@ -160,6 +160,22 @@ def test_html_short_lines_around_the_region():
     assert html_text.main_text(f"<body><article><ul>{items}</ul></article><p>Imprint</p></body>").split("\n") == lines
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<body><div class='layout with-sidebar'><p>{0}<p>{1}</div></body>", 2),
+    ("<body><div class='no-comments'><article><p>{0}<p>{1}</article></div></body>", 2),
+    ("<body><div class='comments'><article><p>{0}<p>{1}</article></div></body>", 2),
+    ("<body><div id='sidebar'><p>{0}<p>{1}</div><p>few words</p></body>", 3),
+    ("<body><form action=x><p>{0}<p>{1}</form></body>", 2),
+    ("<article><p>{0}<h2 id='discussion'>{1}</h2><section id='legal-notice'><h2 id='tags'>{2}</h2><p>{3}</section><div id='related-work'>{4}</div></article>", 5),
+    ("<article><p>{0}<p>{1}</article><div class='site-footer'>x</div><div id='comments'><p>{2}<p>{3}<p>{4}<p>{5}</div>", 2),
+    ("<body><div class='ad'>{2}</div><div class='main-nav'>{3}</div><div class='sidebarLeft'>{4}</div><p>{0}<p>{1}<p>{5}<p>{0}<p>{1}</body>", 5),
+    ("<body><div class='tags' style='display:none'><p>{0}</div></body>", 0),
+])
+def test_html_parts_by_name(page, want):
+    got = html_text.main_text(page.format(*html_lines(6)))
+    assert len(got.split("\n") if got else []) == want
+
+
 def brute_components(rows):
     sets = {}
     for d, t in rows:
