@@ -17,8 +17,14 @@ shared folder; sums by (part, queue) give each part's place in each queue; a joi
 while the sums are few, else a shuffle) brings them to the documents.
 
 Defined cases: null text is the empty text (its document is the end id alone); null source is a
-queue of its own; repeated rows are separate documents; an empty table has no pieces. Beyond
-max_queues sources, sources share queues by hash; no document is dropped.
+queue of its own; repeated rows are separate documents; an empty table has no pieces.
+
+Every source is a queue, however many there are. Beyond max_queues of them the rounds have two
+levels (SharedRounds): sources are dealt to max_queues buckets by hash, rounds over the buckets have
+the sums of their sources' sizes and weights, and rounds inside each bucket have a window as long as
+the bucket's part of a window. Each window so holds each source's share up to rounding; the share of
+a source that runs dry goes to the other sources of its bucket first. The driver and the tasks hold
+one name and total for each source.
 """
 from __future__ import annotations
 
@@ -38,6 +44,8 @@ CAPACITY = 1024
 WINDOW = 64 * CAPACITY
 END_ID = 0
 MAX_QUEUES = 1024
+HELD_NUMBERS = 2_000_000
+HELD_WINDOWS = 4_000_000
 BROADCAST_SUMS = 200_000
 NO_SOURCE = ""
 
@@ -45,7 +53,8 @@ NO_SOURCE = ""
 class Rounds:
     """The served totals of deficit round-robin as a function of the tokens sent in all."""
 
-    def __init__(self, totals: dict[str, int], weights: dict[str, int] | None = None, window: int = WINDOW):
+    def __init__(self, totals: dict[str, int], weights: dict[str, int] | None = None, window: int = WINDOW, held: int = HELD_WINDOWS):
+        self.held = held
         self.names = sorted(q for q, n in totals.items() if n > 0)
         self.place = {q: i for i, q in enumerate(self.names)}
         self.totals = [totals[q] for q in self.names]
@@ -83,7 +92,7 @@ class Rounds:
     def at(self, w: int) -> tuple[list[int], list[int], list[int]]:
         """Of window w, by queue: served before it, served after it, place of its part in the whole stream."""
         if w not in self.known:
-            if len(self.known) > 4096:
+            if len(self.known) > min(4096, self.held // len(self.names)):
                 self.known.clear()
             a, b = self.served(w * self.window), self.served((w + 1) * self.window)
             places, place = [], sum(a)
@@ -127,13 +136,57 @@ class Rounds:
         guess[:] = [w]
 
 
-def encode_queues(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, max_queues: int = MAX_QUEUES) -> DataFrame:
+class SharedRounds:
+    """Rounds over buckets of sources, and inside each bucket rounds over its sources."""
+
+    def __init__(self, totals: dict[str, int], weights: dict[str, int] | None = None, window: int = WINDOW, buckets: int = MAX_QUEUES):
+        self.buckets, self.weights = buckets, weights or {}
+        self.inside: dict[str, dict[str, int]] = {}
+        for q, n in totals.items():
+            self.inside.setdefault(self.bucket(q), {})[q] = n
+        sums = {b: sum(own.values()) for b, own in self.inside.items()}
+        given = {b: sum(int(self.weights.get(q, 0)) for q, n in own.items() if n > 0) for b, own in self.inside.items()} if weights else None
+        self.outer = Rounds(sums, given, window)
+        # A bucket's part of a window while it has its first weight.
+        self.parts = {}
+        for b, i in self.outer.place.items():
+            live = next((x for _, _, x in self.outer.phases if x[i]))
+            self.parts[b] = max(1, window * live[i] // sum(live))
+        self.known: dict[str, Rounds] = {}
+        self.held = 0
+        self.guesses: dict[str, list] = {}
+
+    def bucket(self, queue: str) -> str:
+        return f"q{zlib.crc32(queue.encode()) % self.buckets}"
+
+    def rounds(self, bucket: str) -> Rounds:
+        if bucket not in self.known:
+            own = self.inside[bucket]
+            given = {q: int(self.weights.get(q, 0)) for q in own} if self.weights else None
+            made = Rounds(own, given, self.parts[bucket], HELD_WINDOWS // self.buckets)
+            size = len(made.names) * (1 + len(made.phases))
+            if self.held + size > HELD_NUMBERS:
+                self.known.clear()
+                self.held = 0
+            self.known[bucket] = made
+            self.held += size
+        return self.known[bucket]
+
+    def pieces(self, queue: str, start: int, length: int, guess: list, capacity: int = CAPACITY):
+        """As those of Rounds: places in the bucket's stream, then these in the whole stream."""
+        bucket = self.bucket(queue)
+        inner = self.rounds(bucket)
+        last = self.guesses.setdefault(bucket, [])
+        for off, size, at in inner.pieces(queue, start, length, guess, max(1, inner.end)):
+            for more, n, place in self.outer.pieces(bucket, at, size, last, capacity):
+                yield off + more, n, place
+
+
+def encode_queues(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Rows (part, queue, doc_id, local, n_tokens, ids) in the shared folder; ids are zstd frames of u16."""
     vocabulary = vocabulary or tokenizer_path("byte_bpe_50k.json")
     docs = doc_columns(docs, "doc_id", "source", "text")
-    shared = docs.select("source").distinct().limit(max_queues + 1).count() > max_queues
     queue = F.coalesce("source", F.lit(NO_SOURCE))
-    queue = F.concat(F.lit("q"), F.pmod(F.crc32(queue), F.lit(max_queues)).cast("string")) if shared else queue
     ddl = "part int, queue string, doc_id bigint, local bigint, n_tokens bigint, ids binary"
     target = arrow_schema(docs.sparkSession, ddl)
 
@@ -163,12 +216,12 @@ def pack(
 ) -> DataFrame:
     """Pieces of documents with their places in sequences; with_ids adds each piece's ids (u16 bytes)."""
     spark = docs.sparkSession
-    encoded = encode_queues(docs, vocabulary, end_id, max_queues)
+    encoded = encode_queues(docs, vocabulary, end_id)
     sums = encoded.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n"))
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # max_queues rows
+    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row for each source
     before = F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = sums.select("part", "queue", F.coalesce(before, F.lit(0)).alias("base"))
-    rounds = Rounds(totals, weights, window)
+    rounds = Rounds(totals, weights, window) if len(totals) <= max_queues else SharedRounds(totals, weights, window, max_queues)
     ddl = (
         "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
         "offset bigint, queue string" + (", ids binary" if with_ids else "")

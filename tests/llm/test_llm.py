@@ -118,6 +118,35 @@ def test_packing_keeps_proportions():
     assert tilted.at(0)[1] == [75, 25] and tilted.served(1400) == [1000, 399] and tilted.served(2001) == [1000, 1000]
 
 
+@pytest.mark.parametrize("weights", [None, {f"s{i}": 1 + i % 4 for i in range(40)}])
+def test_packing_keeps_proportions_of_many_sources(weights):
+    totals = {f"s{i}": 20_000 * (1 + i % 4) for i in range(40)}
+    many = packing.SharedRounds(totals, weights, 4000, 7)
+    share = {q: 4000 * n / sum(totals.values()) for q, n in totals.items()}
+    held, filled = {}, np.zeros(sum(totals.values()), int)
+    for q, total in totals.items():
+        guess, sent = [], 0
+        for start in range(0, total, 5000):
+            for off, n, place in many.pieces(q, start, 5000, guess, 1000):
+                assert start + off == sent and place % 1000 + n <= 1000
+                sent += n
+                filled[place : place + n] += 1
+                held[q, place // 4000] = held.get((q, place // 4000), 0) + n
+        assert sent == total
+    assert (filled == 1).all()
+    for q in totals:  # rounding inside a bucket, and where its part of a window begins and ends
+        assert all(abs(held.get((q, w), 0) - share[q]) <= 3 for w in range(len(filled) // 4000))
+
+
+def test_packing_weights_of_many_sources(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 6}", "the of and to " * 50) for i in range(120)], "doc_id bigint, source string, text string")
+    got = packing.pack(docs, weights={"s0": 10}, window=512, capacity=128, max_queues=3)
+    assert {r.queue for r in got.collect()} == {f"s{i}" for i in range(6)}
+    first = {r.queue for r in got.filter("sequence_id < 8").collect()}
+    assert "s0" in first and {packing.zlib.crc32(q.encode()) % 3 for q in first} == {packing.zlib.crc32(b"s0") % 3}
+    assert got.filter("sequence_id < 8 and queue = 's0'").agg(F.sum("length")).first()[0] >= 1000
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body><header>Top</header><nav><ul><li><a href=x>Menu</a></ul></nav>
 <div class="cookie-notice">We use cookies a lot here, please accept them all now.</div><main><article><h1>Head &amp; line</h1><p>First   para
 with <b>bold</b> text &eacute;<br>more.<p>Second para, unclosed &lt;tag&gt;.<ul><li>item one<li>item two</ul><form><input value=x>Send</form></article>
