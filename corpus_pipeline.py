@@ -17,7 +17,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group."""
+    """Keeps the document with the smallest doc_id of each group, as one row.
+
+    Documents without a doc_id go if another one of their group stays; rows of one doc_id are one document.
+    """
     return jaccard.one_of_each(docs)
 
 

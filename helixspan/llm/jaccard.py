@@ -439,8 +439,46 @@ def similarity_components(docs: DataFrame, words: int = WORDS, threshold: int =
     return out.join(final, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
+def with_ids(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame] | None:
+    """docs with ids of their own for rows whose id is null, and these ids; None where no id is null."""
+    bare = docs.filter(F.col(name).isNull())
+    if bare.isEmpty():
+        return None
+    kind = docs.schema[name].dataType
+    place = F.monotonically_increasing_id()
+    high = docs.agg(F.max(name)).first()[0]
+    for salt in range(100):
+        # Beyond all ids, so that documents with ids stand for their groups; else by hash, where no id is met.
+        own = F.lit(-1 if high is None else high) + 1 + place if (high or 0) < 1 << 62 else F.xxhash64(place, F.lit(salt))
+        given = stage(bare.withColumn(name, own.cast("bigint")), "given")  # the ids must not change from scan to scan
+        if given.join(docs.select(F.col(name).cast("bigint").alias(name)), name, "left_semi").isEmpty():
+            break
+    else:
+        raise ValueError("no free ids")
+    all_rows = docs.filter(F.col(name).isNotNull()).withColumn(name, F.col(name).cast("bigint")).unionByName(given)
+    return all_rows, given.select(F.col(name).alias("given"), F.lit(None).cast(kind).alias("none"))
+
+
 def one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """docs without the documents that another one of their component stands for; all columns as they are."""
-    kept = similarity_components(docs, words, threshold).filter("doc_id = component_id").select("doc_id").distinct()
+    """One document of each component, that of the smallest doc_id; all columns as they are.
+
+    A document without a doc_id is a document of its own, which goes if it links with another one
+    that stays: one with a doc_id where there is one. Rows of one doc_id are one document, whatever
+    their texts; the smallest row of them, column by column, stays.
+    """
     name = next(c for c in docs.columns if c.lower() == "doc_id")
-    return docs.join(kept.withColumnRenamed("doc_id", name), name, "left_semi").select(*docs.columns)
+    kind = docs.schema[name].dataType
+    named = with_ids(docs, name)
+    every = docs if named is None else named[0]
+    found = similarity_components(every, words, threshold).filter("doc_id = component_id")
+    kept = stage(found.groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows")), "kept")
+    out = every.join(kept.filter("rows = 1"), name, "left_semi").select(*docs.columns)
+    repeated = kept.filter("rows > 1")
+    if not repeated.isEmpty():
+        rows = every.join(repeated, name, "left_semi")
+        least = rows.groupBy(F.col(name).alias("of")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+        out = out.unionByName(least)
+    if named is not None:
+        given = named[1]
+        out = out.join(given, out[name] == given["given"], "left").withColumn(name, F.when(F.col("given").isNull(), F.col(name)).cast(kind)).select(*docs.columns)
+    return out

@@ -229,6 +229,18 @@ def test_jaccard(spark, unique_docs, docs, empty):
     assert kept.columns == unique_docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for d, (_, c) in got.items() if d == c)
 
 
+@pytest.mark.parametrize("high", [50, 2**63 - 1])
+def test_one_of_each_without_and_with_repeated_ids(spark, high):
+    a, b, c, d = ("".join(f"{x}{k} " for k in range(30)) for x in "abcd")
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "y"), (1, c, "x"), (1, c, "x"), (1, c, None), (high, d, "x"), (None, d + "more", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    kept = jaccard.one_of_each(docs)
+    assert kept.schema == docs.schema
+    got = sorted((r.text.split()[0], r.doc_id) for r in kept.collect())
+    assert [t for t, _ in got] == ["a0", "b0", "c0", "d0"] and [i for _, i in got[:3]] == [None, None, 1]
+    assert high > 50 or got[3][1] == high
+
+
 def test_jaccard_chains_and_families(spark):
     rng = np.random.default_rng(3)
     passage = [f"p{i}" for i in range(60)]
