@@ -17,14 +17,21 @@ sections inside article and main only count if they name comments. A part known
 or as a form stays if it holds most of the page's characters outside links, unless an article or
 main with text stands outside it.
 
+An element inside a line never ends the line: dropped ones (a button, a picture) leave the rest of
+their line together, and so do inline elements with such names of class or id; formulas stay.
+
 Defined cases: null html is the empty page with the empty text; repeated rows give repeated
-results; markup that is never closed ends with the page.
+results; an empty table has no rows; markup that is never closed ends with the page; very long and
+deeply nested pages take time in proportion to their length, since what is asked of the elements
+around a line is summed along the tree once.
 """
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -43,7 +50,7 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
     "head title script style noscript template nav header footer aside form button select textarea input dialog menu "
-    "iframe object svg math canvas audio video map datalist label fieldset".split()
+    "iframe object svg canvas audio video map datalist label fieldset annotation annotation-xml".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 CLASS_WORDS = frozenset(
@@ -104,87 +111,137 @@ def unwanted(tag: str, attrs, inside: bool = False) -> int:
     return found
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # characters inside links
+    node: int  # the innermost element
+    parts: tuple | None  # (text, linked, innermost element) of its parts, if some are in inline elements with unwanted names
+
+
 class Lines(HTMLParser):
-    """Collects lines (text, tags, link characters, path, wanted) from the parser's events."""
+    """Collects lines and the tree of elements from the parser's events; what is dropped in any case isn't collected."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple, bool]] = []
-        self.open: list[tuple[str, int, bool, bool]] = []  # (tag, number, wanted, not dropped in any case)
+        self.lines: list[Line] = []
+        # By element: its tag, the element around it (-1: none), the innermost block from it on outwards.
         self.names: list[str] = []
-        self.doubtful: set[int] = set()  # numbers of the elements that are dropped unless they hold most of the page
-        self.text: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.parent: list[int] = []
+        self.block: list[int] = []
+        self.doubtful: set[int] = set()  # elements that are dropped unless they hold most of the page
+        self.inline: list[int] = []  # open inline ones among them
+        self.open: list[tuple[int, bool, bool, int]] = []  # (element, not dropped, in article or main, place of the block around it in this list)
+        self.count: Counter = Counter()  # open elements by tag
+        self.text: list[tuple[str, int, int]] = []
+        self.tags = 0
 
     def flush(self) -> None:
-        text = " ".join("".join(self.text).split())
+        node = self.open[-1][0] if self.open else -1
+        text = " ".join("".join([x[0] for x in self.text]).split())
         if text:
-            wanted = self.open[-1][3] if self.open else True
-            self.lines.append((text, self.tags, self.linked, tuple(x[1] for x in self.open), wanted))
+            split = any(x[2] >= 0 for x in self.text)
+            self.lines.append(Line(text, self.tags, sum(x[1] for x in self.text), node, tuple(self.text) if split else None))
             self.tags = 0
-        self.text, self.linked = [], 0
+        self.text = []
 
     def _pop_to(self, depth: int) -> None:
         while len(self.open) > depth:
-            self.links -= self.open.pop()[0] == "a"
+            n = self.open.pop()[0]
+            self.count[self.names[n]] -= 1
+            if self.inline and self.inline[-1] == n:
+                self.inline.pop()
+
+    def _blocks(self):
+        """Places in `open` of the open blocks, innermost first."""
+        i = len(self.open) - 1
+        if i >= 0 and self.names[self.open[i][0]] not in BLOCK:
+            i = self.open[i][3]
+        while i >= 0:
+            yield i
+            i = self.open[i][3]
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", 0, -1))
             return
         block = tag in BLOCK
-        drop = unwanted(tag, attrs, any(x[0] in ("article", "main") for x in self.open))
-        if block or drop:
+        kept, marked = self.open[-1][1:3] if self.open else (True, False)
+        drop = unwanted(tag, attrs, marked)
+        if block:
             self.flush()
-        self.tags += 1
+        self.tags += kept
         if block and tag in _ENDS:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] in _SCOPE:
+            for i in self._blocks():
+                name = self.names[self.open[i][0]]
+                if name in _SCOPE:
                     break
-                if self.open[i][0] in _ENDS[tag]:
+                if name in _ENDS[tag]:
                     self._pop_to(i)
                     break
         elif block:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == "p":
-                    self._pop_to(i)
-                    break
-                if self.open[i][0] in BLOCK:
-                    break
+            i = next(self._blocks(), -1)
+            if i >= 0 and self.names[self.open[i][0]] == "p":
+                self._pop_to(i)
         if tag in VOID:
             return
+        n = len(self.names)
+        around = next(self._blocks(), -1)
         self.names.append(tag)
-        wanted, kept = self.open[-1][2:] if self.open else (True, True)
-        self.open.append((tag, len(self.names) - 1, wanted and not drop, kept and drop < 2))
+        self.parent.append(self.open[-1][0] if self.open else -1)
+        self.block.append(n if block else self.open[around][0] if around >= 0 else -1)
+        kept, marked = self.open[-1][1:3] if self.open else (True, False)
+        self.open.append((n, kept and drop < 2, marked or tag in ("article", "main"), around))
+        self.count[tag] += 1
         if drop == 1:
-            self.doubtful.add(len(self.names) - 1)
-        self.links += tag == "a"
+            self.doubtful.add(n)
+            if not block:
+                self.inline.append(n)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open and self.open[-1][0] == tag and tag in ("svg", "iframe"):
+        if tag not in VOID and self.open and self.names[self.open[-1][0]] == tag and tag in ("svg", "iframe"):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", 0, -1))
             return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if tag in BLOCK or not self.open[i][2]:
-                    self.flush()
-                self.tags += 1
-                self._pop_to(i)
-                return
-            if self.open[i][0] in BLOCK and tag not in BLOCK:
-                return  # an inline end tag doesn't close the block it stands in
+        if self.count[tag]:
+            for i in range(len(self.open) - 1, -1, -1):
+                n, kept = self.open[i][:2]
+                if self.names[n] == tag:
+                    if tag in BLOCK:
+                        self.flush()
+                    self.tags += kept
+                    self._pop_to(i)
+                    return
+                if self.names[n] in BLOCK and tag not in BLOCK:
+                    return  # an inline end tag doesn't close the block it stands in
         if tag == "p":
             self.flush()
 
     def handle_data(self, data):
-        self.text.append(data)
-        if self.links:
-            self.linked += len(data)
+        if not self.open or self.open[-1][1]:
+            self.text.append((data, len(data) if self.count["a"] else 0, self.inline[-1] if self.inline else -1))
+
+    def sums(self, amounts) -> list[int]:
+        """For each element the sum over (element, amount) in it and in all that it holds."""
+        total = [0] * len(self.names)
+        for n, k in amounts:
+            if n >= 0:
+                total[n] += k
+        for n in range(len(total) - 1, 0, -1):  # what an element holds comes after it
+            if self.parent[n] >= 0:
+                total[self.parent[n]] += total[n]
+        return total
+
+    def inside(self, roots) -> list[bool]:
+        """For each element whether it is one of the roots or inside of one."""
+        out: list[bool] = []
+        for n, up in enumerate(self.parent):
+            out.append(n in roots or (up >= 0 and out[up]))
+        return out
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -211,21 +268,43 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def without_unwanted(parser: Lines) -> list[tuple]:
+def own_chars(line: Line) -> int:
+    return len(line.text) - min(line.linked, len(line.text))
+
+
+def without_unwanted(parser: Lines) -> list[Line]:
     """The lines outside of unwanted parts."""
-    lines = [x for x in parser.lines if x[4]]
-    if parser.doubtful:
-        own = [len(x[0]) - min(x[2], len(x[0])) for x in lines]
-        held: dict[int, int] = {}
-        for x, k in zip(lines, own):
-            for n in parser.doubtful.intersection(x[3]):
-                held[n] = held.get(n, 0) + k
-        dropped = parser.doubtful - {n for n, k in held.items() if 2 * k > sum(own)}
-        for n in parser.doubtful - dropped:  # most of the page, unless it stands beside the marked content
-            if any(n not in x[3] and dropped.isdisjoint(x[3]) and any(parser.names[m] == "article" or parser.names[m] == "main" for m in x[3]) for x in lines):
-                dropped = dropped | {n}
-        lines = [x for x in lines if dropped.isdisjoint(x[3])]
-    return lines
+    lines = parser.lines
+    if not parser.doubtful:
+        return lines
+    amounts = []
+    for x in lines:
+        if x.parts is None:
+            amounts.append((x.node, own_chars(x)))
+        else:
+            amounts += [(x.node if n < 0 else n, len(" ".join(t.split())) - min(k, len(t))) for t, k, n in x.parts]
+    whole, held = sum(k for _, k in amounts), parser.sums(amounts)
+    dropped = {n for n in parser.doubtful if 2 * held[n] <= whole}
+    gone = parser.inside(dropped)
+    marks = {n for n, name in enumerate(parser.names) if name in ("article", "main")}
+    marked = parser.inside(marks)
+    amounts = [(x.node, 1) for x in lines if x.node >= 0 and marked[x.node] and not gone[x.node]]
+    held = parser.sums(amounts)
+    # Those that hold most of the page stay, unless they stand beside the marked content.
+    dropped |= {n for n in parser.doubtful - dropped if len(amounts) > held[n]}
+    gone = parser.inside(dropped)
+    out = []
+    for x in lines:
+        if x.node >= 0 and gone[x.node]:
+            continue
+        if x.parts is not None:
+            kept = [p for p in x.parts if p[2] < 0 or not gone[p[2]]]
+            text = " ".join("".join([p[0] for p in kept]).split())
+            if not text:
+                continue
+            x = x._replace(text=text, linked=sum(p[1] for p in kept))
+        out.append(x)
+    return out
 
 
 def main_text(html: str | None) -> str:
@@ -239,29 +318,33 @@ def main_text(html: str | None) -> str:
     lines = without_unwanted(parser)
     if not lines:
         return ""
-    ratios = smoothed([(len(t) - min(linked, len(t))) / max(1, tags) for t, tags, linked, _, _ in lines])
+    names = parser.names
+    ratios = smoothed([own_chars(x) / max(1, x.tags) for x in lines])
     least = threshold(ratios)
-    shared: list[int] | None = None  # the elements around all content lines, outermost first
-    long = [len(x[0]) >= PROSE and (r >= least or len(x[0]) >= 2 * x[2]) for x, r in zip(lines, ratios)]
-    for (_, _, _, path, _), content in zip(lines, long if any(long) else [r >= least for r in ratios]):
-        if content:
-            shared = list(path) if shared is None else [n for n, m in zip(shared, path) if n == m]
-    best = None
-    for n in shared or ():
-        tag = parser.names[n]
-        if tag in ("article", "main") or (
-            tag in BLOCK and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6") and (best is None or parser.names[best] not in ("article", "main"))
-        ):
+    content = [len(x.text) >= PROSE and (r >= least or len(x.text) >= 2 * x.linked) for x, r in zip(lines, ratios)]
+    content = content if any(content) else [r >= least for r in ratios]
+    held = parser.sums([(x.node, 1) for x, c in zip(lines, content) if c])
+    # The smallest element around all content lines, then the smallest fitting one from there outwards.
+    every = sum(content)
+    n = max((n for n, k in enumerate(held) if k == every), default=-1)
+    best = -1
+    while n >= 0:
+        if names[n] in ("article", "main"):
+            best = n
+            break
+        if best < 0 and names[n] in BLOCK and names[n] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6"):
             best = n
-    marked = best is not None and parser.names[best] in ("article", "main")
+        n = parser.parent[n]
+    region = parser.inside({best})
+    marked = best >= 0 and names[best] in ("article", "main")
 
-    def belongs(text, linked, path):
-        if best is None or best in path:
+    def belongs(x: Line) -> bool:
+        if best < 0 or (x.node >= 0 and region[x.node]):
             return True
-        block = next((parser.names[n] for n in reversed(path) if parser.names[n] in BLOCK), None)
-        return not marked and block in _TEXT and len(text) >= 2 * linked
+        block = parser.block[x.node] if x.node >= 0 else -1
+        return not marked and block >= 0 and names[block] in _TEXT and len(x.text) >= 2 * x.linked
 
-    return "\n".join(t for t, _, linked, path, _ in lines if belongs(t, linked, path))
+    return "\n".join(x.text for x in lines if belongs(x))
 
 
 def extract(pages: DataFrame) -> DataFrame:
