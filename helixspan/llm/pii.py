@@ -5,35 +5,51 @@ normalised, mapped to a mixed-radix number and permuted by a keyed Feistel netwo
 very domain; check digits are recomputed and the value's own punctuation is put back. Equal
 values therefore get equal pseudonyms in every document, and distinct values of one format
 stay distinct. The network alternates modular additions on two halves of the radix list, so it
-is a bijection on any domain; only dates walk cycles, past two numbers that are no days.
+is a bijection on any domain; only dates walk cycles, past numbers that are no days of their form
+(dd/mm/yyyy and mm/dd/yyyy share their looks: a text that both could mean is day first, and a
+day over 12 that comes second stays over 12).
 
-Kinds: email, phone, card, iban, ssn, ip, date, secret (values assigned to password, token,
-secret or key names).
+Kinds: email, phone, card, iban, ssn, ip (of both versions), date, secret (values assigned to
+password, token, secret or key names; without a digit only after `password=` and the like).
 
-Phones are those with + and a country code, 8 to 15 digits in all; national forms without + are
-left as they are. Where a match of a card, IBAN or phone fails its check, shorter ones that end
-at a border of its groups are tried.
+Phones are those with + and a country code, 8 to 15 digits in all, and the forms (ddd) ddd-dddd
+and ddd-ddd-dddd of country 1, which get the pseudonym of the same number with +1; other national
+forms are left as they are. Where a match of a card, IBAN or phone fails its check, shorter ones
+that end at a border of its groups are tried.
 
-Defined cases: null text stays null, with no hits; repeated rows give repeated results; texts
-without digits and @ are returned as they are.
+The key is an argument without a default: who has it can invert the pseudonyms. session_key()
+reads it from the session, with a published one for trials.
+
+Defined cases: null text stays null, with no hits; the empty text and texts without digits, @ and
+= are returned as they are; very long texts take time in proportion to their length; repeated
+rows give repeated results; an empty table has no rows; columns of other names, or names that
+differ only by case, stay as they are.
 """
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, map_rows
+from .common import by_place, column_place, doc_columns, map_rows
 
-DEFAULT_KEY = b"pseudonym-key-1"
+KEY_SETTING = "spark.helixspan.pseudonym.key"
+TRIAL_KEY = b"published-trial-key"
 ROUNDS = 8
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _HEX = "0123456789abcdef"
 
 
+def session_key(spark) -> bytes:
+    """The key in the setting spark.helixspan.pseudonym.key; TRIAL_KEY, which protects nothing, where that is unset."""
+    return spark.conf.get(KEY_SETTING, TRIAL_KEY.decode()).encode()
+
+
 # --- Feistel permutation over mixed radices ---------------------------------------------------
 
 
@@ -50,7 +66,7 @@ def permute(key: bytes, tweak: bytes, digits: list[int], radices: list[int], bac
         side = int(i >= half)
         sizes[side] *= r
         values[side] = values[side] * r + d
-    tweak = tweak + b"|%d|%d" % tuple(sizes) if max(sizes).bit_length() < 512 else tweak
+    tweak = tweak + b"|%x|%x" % tuple(sizes)
     for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
         side = i % 2
         step = _round(key, tweak, i, values[1 - side])
@@ -109,7 +125,7 @@ def _lay(template: str, chars: str) -> str:
 
 
 def _email(key, m):
-    local, _, domain = m[0].partition("@")
+    local, _, domain = m["mail"].partition("@")
     name, _, tld = domain.rpartition(".")
     return f"{_classed(key, b'email', local.lower())}@{_classed(key, b'domain', name.lower())}.{tld.lower()}"
 
@@ -125,6 +141,18 @@ def _card(key, m):
 _UNDIALLED = [(a, e) for a in _DIGIT for e in _DIGIT if a in "01" or e in "01"]
 
 
+# Country codes of two digits; 1 and 7 have one, the others three.
+_CODES2 = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+
+
+def _national(key, m):
+    """A number of country 1 without its code."""
+    new = _phone(key, _PHONE1.fullmatch("+1 " + m[0]))
+    return new[3:]
+
+
 def _phone(key, m):
     d = re.sub(r"\D", "", m[0])
     if not 8 <= len(d) <= 15:
@@ -137,7 +165,7 @@ def _phone(key, m):
         wide = "23456789"
         alphabets = [wide, _DIGIT, _DIGIT, wide, *[_DIGIT] * 6]
         return _lay(m[0], d[0] + _permute_text(key, b"phone1", d[1:], alphabets))
-    keep = 2  # the country code's digits
+    keep = 1 if d[0] in "17" else 2 if d[:2] in _CODES2 else 3  # the country code's digits
     return _lay(m[0], d[:keep] + _permute_text(key, b"phone" + d[:keep].encode(), d[keep:], [_DIGIT] * (len(d) - keep)))
 
 
@@ -166,6 +194,17 @@ def _ip(key, m):
     return ".".join(map(str, permute(key, b"ip", [int(p) for p in parts], [256] * 4)))
 
 
+def _ip6(key, m):
+    try:
+        whole = ipaddress.IPv6Address(m[0])
+    except ValueError:
+        return None
+    if not re.search(r"[0-9]", m[0]) or int(whole) < 1 << 32:  # a::b is code, :: and ::1 are no one's
+        return None
+    groups = permute(key, b"ip6", [int(x, 16) for x in whole.exploded.split(":")], [1 << 16] * 8)
+    return ":".join(f"{g:x}" for g in groups)
+
+
 _DAY0, _DAY1 = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal()
 
 
@@ -191,8 +230,10 @@ def _date(key, m):
         d = _day(key, int(a), int(b), int(c))
         return d and f"{d.year:04d}{sep}{d.month:02d}{sep}{d.day:02d}"
     first, second = (int(a), int(b))
-    if second > 12:  # month first
+    if second > 12:  # month first, and so is the pseudonym: the walk goes on from other days
         d = _day(key, int(c), first, second)
+        while d and d.day <= 12:
+            d = _day(key, d.year, d.month, d.day)
         return d and f"{d.month:02d}{sep}{d.day:02d}{sep}{d.year:04d}"
     d = _day(key, int(c), second, first)
     return d and f"{d.day:02d}{sep}{d.month:02d}{sep}{d.year:04d}"
@@ -200,7 +241,7 @@ def _date(key, m):
 
 def _secret(key, m):
     value = m["value"]
-    if not re.search(r"[0-9]", value):
+    if not re.search(r"[0-9]", value) and not re.match(r"(?i)(?:password|passwd|pwd)=", m[0]):
         return None
     if re.fullmatch(r"[0-9a-f]+", value):
         new = _permute_text(key, b"hex%d" % len(value), value, [_HEX] * len(value))
@@ -212,20 +253,22 @@ def _secret(key, m):
 
 KINDS = (
     ("secret", re.compile(r"""(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|bearer)["']?\s*[=:]\s*["']?(?P<value>[A-Za-z0-9+/_\-.]{6,}[A-Za-z0-9+/_\-=])|\b(?P<aws>AKIA)(?P<rest>[0-9A-Z]{16})\b"""), _secret),
-    ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"), _email),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+\-])[._%+\-]*+(?P<mail>[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,})"), _email),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
     ("card", re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])"), _card),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)"), _phone),
+    ("phone", re.compile(r"(?<![\w+\-.(])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\w\-]|\.\d)"), _national),
     ("ssn", re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"), _ssn),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), _ip),
+    ("ip", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}(?![\w:]|\.\d)"), _ip6),
     ("date", re.compile(r"(?<![\d/\-.])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/\-]|\.\d)"), _date),
 )
-_ANY = re.compile(r"[0-9@]")
+_ANY = re.compile(r"[0-9@=]|::")
 # Kinds whose patterns run over spaces, and so may run on into what follows the value.
 _GROUPED = ("iban", "card", "phone")
 _PRINTED = re.compile(r"(?<![\d.])(?:(?:[3-6]|2[2-7])\d{2}\d(?:\d{9,15}|([ -])\d{4}\1\d{4}\1\d{4})|3\d{3}([ -])\d{6}\2\d{4,5})(?!\d)")
 _PHONE1 = re.compile(r"(?<![\w+])\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)")
-_NEXT = re.compile("|".join(p.pattern for k, p, _ in KINDS if k in ("ssn", "ip", "date")))
+_NEXT = re.compile("|".join(p.pattern for _, p, make in KINDS if make in (_ssn, _ip, _date)))
 
 
 def _tries(kind: str, text: str, m: re.Match, stop: int):
@@ -254,43 +297,46 @@ def _tries(kind: str, text: str, m: re.Match, stop: int):
         yield start, i
 
 
-def pseudonymise(text: str | None, key: bytes = DEFAULT_KEY) -> tuple[str | None, list[str]]:
+def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[str]]:
     """The text with each validated value replaced, and the kind of every replaced value in order.
 
     Kinds go in the order of KINDS; a span that one kind has taken isn't looked at again.
     """
     if not text or not _ANY.search(text):
         return text, []
-    taken: list[tuple[int, int, str, str]] = []
+    taken: list[tuple[int, int, str, str]] = []  # in order of place
     for kind, pattern, make in KINDS:
-        at = 0
+        at, before, own = 0, [s for s, *_ in taken], []
         while m := pattern.search(text, at):
             at = m.end()
-            inside = [e for s, e, *_ in taken if s <= m.start() < e]
-            if inside:
-                at = inside[0]
+            name = "mail" if kind == "email" else 0
+            start, end = m.span(name)
+            last = bisect_right(before, start) - 1
+            if last >= 0 and taken[last][1] > start:
+                at = taken[last][1]
                 continue
-            stop = min((s for s, *_ in taken if s > m.start()), default=len(text))
-            if kind in _GROUPED:
+            stop = before[last + 1] if last + 1 < len(before) else len(text)
+            if kind in _GROUPED and make is not _national:
                 for s, e in _tries(kind, text, m, stop):
                     one = pattern.fullmatch(text, s, e)
                     new = one and make(key, one)
                     if new is not None:
-                        taken.append((s, e, new, kind))
+                        own.append((s, e, new, kind))
                         at = e
                         break
                 continue
-            if stop < m.end():
+            if stop < end:
                 continue
             if kind == "secret" and m["value"] is None:
                 new = m["aws"] + _classed(key, b"aws", m["rest"])
             else:
                 new = make(key, m)
             if new is not None:
-                taken.append((m.start(), m.end(), new, kind))
+                own.append((start, end, new, kind))
+        if own:
+            taken = sorted(taken + own)
     if not taken:
         return text, []
-    taken.sort()
     out, at = [], 0
     for s, e, new, _ in taken:
         out += [text[at:s], new]
@@ -302,7 +348,7 @@ def pseudonymise(text: str | None, key: bytes = DEFAULT_KEY) -> tuple[str | None
 SCHEMA = "doc_id bigint, text string, n_values bigint, kinds string"
 
 
-def pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     """Per document: the text with pseudonyms, how many values were replaced, their distinct kinds."""
 
     def run(c):
@@ -317,14 +363,15 @@ def pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     return map_rows(doc_columns(docs, "doc_id", "text"), run, SCHEMA)
 
 
-def pseudonymise_column(docs: DataFrame, key: bytes = DEFAULT_KEY, column: str = "text") -> DataFrame:
-    """docs with its text column replaced, all other columns as they are."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+def pseudonymise_column(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:
+    """docs with its text column replaced and n_chars, where there is one, counted anew; all other columns as they are."""
+    own, at = by_place(docs), f"c{column_place(docs, column)}"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
 
     def run(c):
-        return {**c, column: [pseudonymise(t, key)[0] for t in c[column].to_pylist()]}
+        return {**c, at: [pseudonymise(t, key)[0] for t in c[at].to_pylist()]}
 
-    out = map_rows(docs, run, schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(column).cast(docs.schema["n_chars"].dataType))
-    return out
+    out = map_rows(own, run, schema)
+    if (n := column_place(docs, "n_chars")) is not None:
+        out = out.withColumn(f"c{n}", F.length(at).cast(own.schema[f"c{n}"].dataType))
+    return out.toDF(*docs.columns)
