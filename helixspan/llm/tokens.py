@@ -5,6 +5,9 @@ here (ASCII white space for word vocabularies; a space after a non-space charact
 byte-level ones). So the ids of a text are those of its pieces in order, and a piece that has
 been seen is not encoded again. All pieces, however rare or long, are encoded by the tokenizers
 library; the cache only spares repetitions.
+
+A text that may hold one of the vocabulary's special tokens (`<|endoftext|>` and the like) is
+one piece: the library finds these tokens before it splits a text, and gives them their own ids.
 """
 from __future__ import annotations
 
@@ -83,14 +86,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.cut = word_pieces if words else spaced_pieces
         self.words, self.end = words, end
+        # What every special token's string holds, so that a search for it finds all texts with one.
+        self.special = os.path.commonprefix([t.content for t in self.library.get_added_tokens_decoder().values()])
         self.marks = np.zeros(65536, bool)
         for piece, i in self.library.get_vocab().items():
             self.marks[i] = piece.endswith("</w>") if words else piece.startswith("Ġ")
         self.reset()
 
+    def cut(self, text: str) -> list:
+        if self.special and self.special in text:
+            return [text.encode("utf-8") if self.words else text]
+        return word_pieces(text) if self.words else spaced_pieces(text)
+
     def reset(self) -> None:
         self.rows = _Rows()
         self.rows[None] = 0
