@@ -13,6 +13,9 @@ runs of one language are the spans. The text's language is that with most letter
 ties to the smaller name; the score is its share of the letters of all words, times its mean
 posterior over those words.
 
+A word is a run of letters (of Unicode's categories L) with the combining marks that follow them;
+numerals, superscripts and the like are no letters.
+
 Defined cases: null text, or text without letters, is `und` with score 0. With no labelled rows
 at all, every text is `und`. lang, source and doc_id are never inputs of a prediction. Repeated
 rows give repeated results.
@@ -22,13 +25,14 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, doc_columns, map_rows
+from .common import arrow_schema, by_place, column_place, doc_columns, map_rows
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANG = 1500
@@ -56,11 +60,22 @@ def script_of(ch: str) -> str:
 
 
 # Runs of letters; scripts that are written without spaces go by letter runs too.
-_WORD = re.compile(r"[^\W\d_]+")
+_ASCII = re.compile(r"[A-Za-z]+")
+
+
+@cache
+def _letters():
+    import regex
+
+    return regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+
+def word_pattern(text: str):
+    return _ASCII if text.isascii() else _letters()
 
 
 def words_in(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return word_pattern(text).findall(text.lower())
 
 
 def gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +202,7 @@ class Model:
 
     def spans(self, text: str, penalty: float = PENALTY) -> list[tuple[int, int, str]]:
         """(first character, end, language) of each run of words with one language."""
-        found = list(_WORD.finditer(text))
+        found = list(word_pattern(text).finditer(text))
         if not found or not self.langs:
             return []
         (path,) = self.label(self.lookup([[m[0].lower() for m in found]]), penalty)
@@ -282,15 +297,19 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.05, penalty: float = PENALTY) -> DataFrame:
-    """The rows of docs whose text has a language with at least the given score; all columns as they are."""
+    """The rows of docs whose text has a language with at least the given score; all columns as they are.
+
+    Null texts, texts without letters and, where nothing was learnt, all texts go; repeated rows
+    stay or go together; columns may differ from `text` only by case; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, own = column_place(docs, "text"), by_place(docs)
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             for i in range(0, batch.num_rows, 512):
                 piece = batch.slice(i, 512)
                 done = shared.value.predict(piece.column(at).to_pylist(), penalty)
                 yield piece.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in done], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
