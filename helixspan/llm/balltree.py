@@ -85,9 +85,8 @@ def find(tree: dict[str, np.ndarray], queries: np.ndarray, query_ids: np.ndarray
 
 def scaled(rows: DataFrame, scale: int = 64) -> DataFrame:
     """Each component as floor(scale * x), x as double."""
-    have = {c.lower(): c for c in rows.columns}
-    vec = F.transform(rows[f"`{have['embedding']}`"].cast("array<double>"), lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).otherwise(F.floor(x * scale).cast("double")))
-    return rows.select(rows[f"`{have['vec_id']}`"].alias("vec_id"), vec.alias("embedding"))
+    vec = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).otherwise(F.floor(x * scale).cast("double")))
+    return vectors.vector_columns(rows).select("vec_id", vec.alias("embedding"))
 
 
 def top_k(rows: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:

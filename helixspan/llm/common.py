@@ -8,12 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZER_DIR = "/opt/tokenizers"
 
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """Place of a vocabulary file: in the given folder, or else in the package of public tokenizers. The files are never copied."""
+    if folder is not None:
+        return os.path.join(folder, name)
+    import public_tokenizers
 
-def tokenizer_path(name: str, folder: str = TOKENIZER_DIR) -> str:
-    """Place of a vocabulary file; the folder is a parameter, the files are never copied."""
-    return os.path.join(folder, name)
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which every executor can see.
 
-    Where that setting is unset (tests, local mode), a folder of the warehouse serves.
-    The folder goes when the driver's JVM ends.
+    Where that setting is unset, a folder of the warehouse serves in local mode (tests); a cluster
+    must name a shared folder, since its executors don't see the driver's own. The folder goes
+    when the driver's JVM ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     jvm = spark.sparkContext._jvm
@@ -86,13 +92,22 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def column_place(df: DataFrame, name: str) -> int | None:
+    """Place of the column of this name: spelled the same, or else the first one that differs only by case."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return next((i for i, c in enumerate(df.columns) if c.lower() == name.lower()), None)
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ..., which never clash; toDF(*df.columns) gives the names back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns alone; a missing one is null. Extra columns, whatever their names, fall away."""
-    have = {c.lower(): c for c in docs.columns}
     kind = {"text": "string", "html": "string", "lang": "string", "source": "string", "url": "string"}
-    return docs.select(
-        *[
-            docs[f"`{have[n]}`"].alias(n) if n in have else F.lit(None).cast(kind.get(n, "bigint")).alias(n)
-            for n in names
-        ]
+    place, own = {n: column_place(docs, n) for n in names}, by_place(docs)
+    return own.select(
+        *[F.lit(None).cast(kind.get(n, "bigint")).alias(n) if i is None else F.col(f"c{i}").alias(n) for n, i in place.items()]
     )

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, stage
+from .common import arrow_schema, by_place, column_place, stage
 
 
 def to_bytes(**arrays) -> bytes:
@@ -36,11 +36,15 @@ def from_bytes(raw: bytes) -> dict[str, np.ndarray]:
         return {k: f[k] for k in f.files}
 
 
+def vector_columns(rows: DataFrame) -> DataFrame:
+    own = by_place(rows)
+    return own.select(*[F.col(f"c{column_place(rows, n)}").alias(n) for n in ("vec_id", "embedding")])
+
+
 def usable(rows: DataFrame, drop_zero: bool) -> DataFrame:
-    have = {c.lower(): c for c in rows.columns}
     vec = F.col("embedding")
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    out = rows.select(rows[f"`{have['vec_id']}`"].cast("bigint").alias("vec_id"), rows[f"`{have['embedding']}`"].alias("embedding"))
+    out = vector_columns(rows).select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
     out = out.filter(F.col("vec_id").isNotNull() & vec.isNotNull() & (F.size(vec) > 0) & F.coalesce(fine, F.lit(False)))
     return out.filter(F.exists(vec, lambda x: x != 0)) if drop_zero else out
 
