@@ -5,25 +5,32 @@ shingle of them all). Sets link if 100 * |x and y| >= threshold * |x or y|.
 
 1. Sets. One scan gives each document's set size and a 128-bit print of the set; equal prints
    are one class, whose smallest doc_id stands for it.
-2. Order. Shingles of the documents' leading parts are counted exactly; the most frequent
-   (bounded number) go last in the order of shingles, the rest are ordered by hash. Any order
+2. Order. Shingles of the documents' leading parts are counted exactly, and those of documents
+   whose leading parts are mostly shared are counted to their end; the most frequent (bounded
+   number) go last in the order of shingles, by count, the rest are ordered by hash. Any order
    gives the same links; this one keeps index lists short.
 3. Lists. Two linked sets share a shingle among the first n - ceil(t n) + 1 of each. Each task
    emits these with position and size, once for each distinct set it meets; shingle lists that
-   only one set stands in are dropped, the others go to the shared folder, sorted by size.
-4. Skipping. Within a list a set only meets the block of sets whose size allows a link, and of
-   these only such as could still reach the needed overlap from their position on (the pair's
-   first common shingle passes, so no link is lost).
-5. Answers from similar sets. The first rounds only check each set with a few others of its
+   only one set stands in are dropped, the others go to the shared folder. A list of more than
+   LIST_ROWS sets is dealt to slots by a hash of the set, so that no task holds a whole long list.
+4. Answers from similar sets. The first rounds only check each set with a few others of its
    lists, those that most lists propose: neighbours by size, and hubs, the sets with the fewest
-   rare shingles of their own, which near copies have more in common with than with each other; a
-   linked set takes over the other's component, so that copies cost a few checks each. Only sets
-   of one list that are in different components afterwards are checked pair by pair; no pair is
-   checked twice.
+   rare shingles of their own, which near copies have more in common with than with each other. A
+   set that links takes its answer over from the other: they are in one component, and what links
+   with one needs no check against the other's component. Copies so cost a few checks each.
+5. Skipping. The last round looks for what is left: links between different components. A list
+   of one component is skipped whole. In the others only sets outside the list's largest
+   component look for partners. A list falls into blocks of one size, each in order of position;
+   a block whose size can't link is skipped, and of the others only the sets are read whose
+   position still leaves room for the needed overlap (the pair's first common shingle passes, so
+   no link is lost). Of a list in slots, the sets outside its largest component visit all slots.
+   No pair is checked twice.
 
 Pairs are ruled out by an exact bound on a quarter of their shingles, or else verified by the
-overlap of the whole sets. Components come from
-components.components. The result has one row per document.
+overlap of the whole sets. Shingles are compared by their 64-bit hashes: results are exact but
+for accidental equality of two hashes within a pair of documents, whose chance is about
+n m / 2^64 for sets of n and m shingles. Components come from components.components. The result
+has one row per document.
 
 Defined cases: null text, or text without words, has the empty set and links with nothing;
 repeated rows of one doc_id are one node with several sets and give repeated rows; an empty
@@ -36,17 +43,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, doc_columns, stage
+from .common import arrow_schema, by_place, column_place, doc_columns, stage
 from .components import components
 
 WORDS = 5
 THRESHOLD = 80
-HEAVY_COUNT = 64
+HEAVY_COUNT = 4
 HEAVY_TOKENS = 1 << 20
 STAR_ROUNDS = 2
-NEIGHBOURS = 6
+NEIGHBOURS = 2
 HUBS = 2
 PROPOSALS = 3
+LIST_ROWS = 8192
+PAIRS_AT_ONCE = 500_000
 BROADCAST_IDS = 1_000_000
 FLUSH_ROWS = 100_000
 PIECE = 64
@@ -160,22 +169,67 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return stage(docs.mapInArrow(_batched(ddl, docs.sparkSession, rows_of), ddl), "sets")
 
 
-def frequent(docs: DataFrame, words: int, threshold: int) -> np.ndarray:
-    """Hashes of frequent shingles, sorted; at most HEAVY_TOKENS, which bounds the broadcast."""
-    spark = docs.sparkSession
-    target = arrow_schema(spark, "token bigint")
+def _leading(n: int, threshold: int) -> int:
+    return prefix_length(n, threshold) * 3 // 2 + 8
+
+
+def _order(tokens: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The tokens in the order of shingles: rare ones by hash, then frequent ones by count."""
+    known, counts = heavy
+    if not len(known) or not len(tokens):
+        return tokens
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    late = known[at] == tokens
+    if not late.any():
+        return tokens
+    last = tokens[late]
+    return np.concatenate([tokens[~late], last[np.lexsort((last, counts[at[late]]))]])
+
+
+def _counted(docs: DataFrame, words: int, threshold: int, heavy=None) -> DataFrame:
+    """(token, c): counts of the shingles of leading parts, or, if heavy is given, of the rest of those documents with many frequent ones."""
+    target = arrow_schema(docs.sparkSession, "token bigint")
 
     def run(batches):
+        known = None if heavy is None else heavy.value[0]
         for batch in batches:
             for at in range(0, batch.num_rows, PIECE):
                 parts = [np.empty(0, _U)]
                 for s in shingle_sets(batch.slice(at, PIECE).column(1).to_pylist(), words):
-                    parts.append(s[: prefix_length(len(s), threshold) * 3 // 2 + 8])
+                    k = _leading(len(s), threshold)
+                    if known is None:
+                        parts.append(s[:k])
+                    elif len(known) and 4 * _shared(known, s[:k]) > min(k, len(s)):
+                        parts.append(s[k:])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], schema=target)
 
-    counts = docs.mapInArrow(run, "token bigint").groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") >= HEAVY_COUNT)
-    top = counts.orderBy(F.desc("c"), "token").limit(HEAVY_TOKENS).select("token").toPandas()["token"]
-    return np.sort(top.to_numpy(np.int64).view(_U))
+    return docs.mapInArrow(run, "token bigint").groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") >= HEAVY_COUNT)
+
+
+def _most(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens, at most HEAVY_TOKENS, and their counts, sorted by token."""
+    top = counts.orderBy(F.desc("c"), "token").limit(HEAVY_TOKENS).select("token", F.least("c", F.lit(2**31 - 1)).cast("int").alias("c")).toArrow()
+    token, count = (top.column(i).to_numpy() for i in range(2))
+    order = np.argsort(token.view(_U))
+    return token.view(_U)[order], count[order]
+
+
+def frequent(docs: DataFrame, words: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent shingles, sorted, and their counts; at most HEAVY_TOKENS, which bounds the broadcast."""
+    first = _most(_counted(docs, words, threshold))
+    if not len(first[0]):
+        return first
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+    more = _most(_counted(docs, words, threshold, shared))
+    token, count = (np.concatenate([x, y]) for x, y in zip(first, more))
+    order = np.lexsort((-count, token))
+    token, count = token[order], count[order]
+    once = np.concatenate([[True], token[1:] != token[:-1]])
+    token, count = token[once], count[once]
+    if len(token) > HEAVY_TOKENS:
+        kept = np.sort(np.lexsort((token, -count))[:HEAVY_TOKENS])
+        token, count = token[kept], count[kept]
+    return token, count
 
 
 def lists(docs: DataFrame, heavy, words: int, threshold: int) -> DataFrame:
@@ -203,11 +257,7 @@ def lists(docs: DataFrame, heavy, words: int, threshold: int) -> DataFrame:
                         continue
                     seen.add(mark)
                     p = prefix_length(n, threshold)
-                    if len(last):
-                        at_last = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                        late = last[at_last] == s
-                        s = np.concatenate([s[~late], s[late]]) if late.any() else s
-                    cols[0].append(s[:p])
+                    cols[0].append(_order(s, last)[:p])
                     cols[1].append(np.full(p, d))
                     cols[2].append(np.full(p, n))
                     cols[3].append(np.arange(p))
@@ -245,69 +295,174 @@ def lists(docs: DataFrame, heavy, words: int, threshold: int) -> DataFrame:
     return stage(entries.mapInArrow(shared, ddl), "lists")
 
 
+ENTRY = ("token", "slot", "n", "doc_id", "pos", "twin", "label")
+
+
+def in_slots(labelled: DataFrame, long: DataFrame | None, list_rows: int, visits: bool) -> DataFrame:
+    """Entries with slot, guest and top; long: (token, slots) of the long lists, or None.
+
+    visits: of long lists, entries that aren't of the list's largest component (top) also go to
+    all other slots, as guests. For other lists top is null.
+    """
+    top = F.lit(None).cast("bigint")
+    plain = labelled.withColumns({"slot": F.lit(0), "guest": F.lit(False), "top": top})
+    if long is None:
+        return plain
+    held = F.broadcast(long) if long.count() <= BROADCAST_IDS else long
+    dealt = labelled.join(held, "token").withColumn("slot", F.pmod(F.xxhash64("doc_id", "token"), F.col("slots")).cast("int"))
+    rest = labelled.join(held, "token", "left_anti").withColumns({"slot": F.lit(0), "guest": F.lit(False), "top": top})
+    names = rest.columns
+    if not visits:
+        return rest.unionByName(dealt.withColumns({"guest": F.lit(False), "top": top}).select(names))
+    tops = dealt.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("top"))
+    tops = stage(tops, "tops")
+    dealt = dealt.join(F.broadcast(tops) if tops.count() <= BROADCAST_IDS else tops, "token").withColumn("guest", F.lit(False))
+    guests = dealt.filter("label <> top").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).filter("at <> slot")
+    guests = guests.withColumn("slot", F.col("at").cast("int")).withColumn("guest", F.lit(True))
+    return rest.unionByName(dealt.select(names)).unionByName(guests.select(names))
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... (count[i] numbers), for all i."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def few_pairs(entries: dict[str, np.ndarray], threshold: int):
+    """(asks, whom) of some pairs of every list: with the sets before and behind in order of size, and with the hubs."""
+    n, doc, pos, twin, label = (entries[k] for k in ("n", "doc_id", "pos", "twin", "label"))
+    start = _starts(entries["token"], entries["slot"])
+    size = np.diff(np.append(start, len(n)))
+    of, every = np.repeat(np.arange(len(start)), size), np.arange(len(n))
+    rank = every - start[of]
+    asks, whom = [], []
+
+    def keep(i, j):
+        ok = (label[i] != label[j]) & ((twin[i] != twin[j]) | (n[i] != n[j])) & (doc[i] != doc[j])
+        ok &= threshold * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
+        ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i], n[j], threshold)
+        asks.append(doc[i[ok]])
+        whom.append(doc[j[ok]])
+
+    order = np.lexsort((doc, pos, of))
+    for place in range(HUBS):
+        keep(every, order[start + np.minimum(place, size - 1)][of])
+    for k in range(1, NEIGHBOURS + 1):
+        live = every[rank >= k]
+        keep(live, live - k)
+        keep(live - k, live)
+    yield np.concatenate(asks), np.concatenate(whom)
+
+
+def all_pairs(entries: dict[str, np.ndarray], threshold: int):
+    """(a, b) of every pair of a list that may link and isn't of one component, skipping blocks by size and position."""
+    token, slot, n, doc, pos, twin, label, guest, top, long = (entries[k] for k in (*ENTRY, "guest", "top", "long"))
+    start = _starts(token, slot)
+    of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(token))))
+    # The largest component of each list.
+    order = np.lexsort((label, of))
+    at = _starts(of[order], label[order])
+    count = np.diff(np.append(at, len(order)))
+    best = np.lexsort((count, of[order][at]))
+    best = best[np.append(np.flatnonzero(np.diff(of[order][at][best])), len(best) - 1)]
+    largest = np.where(long, top, label[order][at[best]][of])
+    asks = label != largest
+    mixed = np.zeros(len(start), bool)
+    mixed[of[asks]] = True
+    live = np.flatnonzero(mixed[of])
+    if not len(live):
+        return
+    # Own entries in blocks of one list and size, by position.
+    own = live[~guest[live]]
+    own = own[np.lexsort((doc[own], pos[own], n[own], of[own]))]
+    if not len(own):
+        return
+    block = _starts(of[own], n[own])
+    blocks = np.diff(np.append(block, len(own)))
+    number = np.repeat(np.arange(len(block)), blocks)
+    wide = int(pos.max()) + 2
+    key = number * wide + pos[own]
+    list_of = of[own][block]
+    place = np.full(len(token), len(token))
+    place[own] = np.arange(len(own))
+
+    who = np.flatnonzero(asks)
+    lo, hi = np.searchsorted(list_of, of[who], "left"), np.searchsorted(list_of, of[who], "right")
+    done = 0
+    steps = np.cumsum(hi - lo)
+    while done < len(who):
+        upto = max(done + 1, int(np.searchsorted(steps, (steps[done - 1] if done else 0) + PAIRS_AT_ONCE, "right")))
+        i = np.repeat(who[done:upto], (hi - lo)[done:upto])
+        b = _runs(lo[done:upto], (hi - lo)[done:upto])
+        done = upto
+        size = n[own][block][b]
+        least = needed(n[i], size, threshold)
+        fits = (threshold * np.maximum(n[i], size) <= 100 * np.minimum(n[i], size)) & (n[i] - pos[i] >= least)
+        i, b, room = i[fits], b[fits], (size - least)[fits]
+        upper = np.searchsorted(key, b * wide + np.minimum(room, wide - 1), "right")
+        count = np.maximum(upper - block[b], 0)
+        sums = np.cumsum(count)
+        first = 0
+        while first < len(i):
+            last = max(first + 1, int(np.searchsorted(sums, (sums[first - 1] if first else 0) + PAIRS_AT_ONCE, "right")))
+            x = np.repeat(i[first:last], count[first:last])
+            y = own[_runs(block[b[first:last]], count[first:last])]
+            first = last
+            ok = (label[x] != label[y]) & ((twin[x] != twin[y]) | (n[x] != n[y])) & (doc[x] != doc[y])
+            ok &= guest[x] | ~asks[y] | (place[x] < place[y])  # both ask: once
+            if ok.any():
+                yield doc[x[ok]], doc[y[ok]]
+
+
 def candidates(entries: DataFrame, star: bool, threshold: int) -> DataFrame:
-    """Pairs (a, b) to verify from labelled entries (token, n, doc_id, pos, twin, label).
+    """Pairs (a, b, votes) to verify from entries that in_slots() gives.
 
-    star: in each list every set with the few before it in order of size, and with the two that
-    have the fewest rare shingles of their own. Otherwise all pairs of different classes.
+    star: few_pairs(), directed; otherwise all_pairs(), a < b.
     """
     spark = entries.sparkSession
     target = arrow_schema(spark, "a bigint, b bigint, votes bigint")
-
-    def pairs_of(token, n, doc, pos, twin, label):
-        """Pairs (a, b) of entries k places apart in one list, for each k as long as sizes may link."""
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        rank = np.arange(len(token)) - np.repeat(start, np.diff(np.append(start, len(token))))
-        out_a, out_b = [], []
-
-        def keep(i, j):
-            ok = (label[i] != label[j]) & ((twin[i] != twin[j]) | (n[i] != n[j]))
-            ok &= threshold * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
-            ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i], n[j], threshold)
-            out_a.append(doc[i[ok]])
-            out_b.append(doc[j[ok]])
-
-        if star:  # the sets with the fewest rare shingles of their own are what copies have in common
-            of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(token))))
-            order = np.lexsort((doc, pos, of))
-            for place in range(HUBS):
-                at = start + np.minimum(place, np.diff(np.append(start, len(token))) - 1)
-                keep(order[at][of], np.arange(len(token)))
-        live, k = np.arange(len(token)), 0
-        while len(live) and not (star and k == NEIGHBOURS):
-            k += 1
-            live = live[rank[live] >= k]
-            live = live[threshold * n[live] <= 100 * n[live - k]]  # lists go by size: smaller ones can't link either
-            keep(live - k, live)
-        return np.concatenate([np.empty(0, np.int64), *out_a]), np.concatenate([np.empty(0, np.int64), *out_b])
+    names = (*ENTRY, "guest", "top", "long")
 
     def run(batches):
-        held: list = []
+        def counted(a, b):
+            if not star:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = _starts(a, b)
+            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.diff(np.append(new, len(a))))], schema=target)
 
         def flush(done):
-            a, b = pairs_of(*(np.concatenate([x[i] for x in done]) for i in range(6)))
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            keep = lo != hi
-            order = np.lexsort((hi[keep], lo[keep]))
-            lo, hi = lo[keep][order], hi[keep][order]
-            new = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])[: len(lo)])
-            votes = np.diff(np.append(new, len(lo)))
-            return pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new]), pa.array(votes)], schema=target)
+            cols = {k: np.concatenate([x[i] for x in done]) for i, k in enumerate(names)}
+            for a, b in (few_pairs if star else all_pairs)(cols, threshold):
+                if len(a):
+                    yield counted(a, b)
 
+        held: list = []
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
             if not len(cols[0]):
                 continue
-            cut = int(np.searchsorted(cols[0] == cols[0][-1], True))
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            cut = int(np.searchsorted(last, True))
             if cut and sum(len(h[0]) for h in held) + cut >= FLUSH_ROWS:
-                yield flush([*held, [c[:cut] for c in cols]])
+                yield from flush([*held, [c[:cut] for c in cols]])
                 held = []
                 cols = [c[cut:] for c in cols]
             held.append(cols)
         if held:
-            yield flush(held)
+            yield from flush(held)
 
-    ordered = entries.select("token", "n", "doc_id", "pos", "twin", "label").repartition("token").sortWithinPartitions("token", "n", "doc_id")
+    entries = entries.withColumn("long", F.col("top").isNotNull()).withColumn("top", F.coalesce("top", "label"))
+    ordered = entries.select(*names).repartition("token", "slot").sortWithinPartitions("token", "slot", "n", "doc_id")
     return ordered.mapInArrow(run, "a bigint, b bigint, votes bigint")
 
 
@@ -386,17 +541,17 @@ def release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def similarity_components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+def similarity_components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, list_rows: int = LIST_ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     spark = docs.sparkSession
     docs = doc_columns(docs, "doc_id", "text")
     own = sets(docs, words)
-    # The smallest doc_id of each set, and of each doc_id that repeats with other texts.
+    # The smallest doc_id of each set, and of each doc_id that repeats with other texts. The table of
+    # copies is written, so that the join's hot prints can be split.
     classes = own.filter("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = classes.filter("copies > 1").select("mark", "rep")
-    reps = stage(
-        own.join(copies, "mark", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "reps"
-    )
+    copies = stage(classes.filter("copies > 1").select("mark", "rep"), "copies")
+    full = own.filter("mark is not null").join(copies, "mark", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    reps = stage(full.unionByName(own.filter("mark is null").select("doc_id", "n", F.col("doc_id").alias("rep"))), "reps")
     heavy = spark.sparkContext.broadcast(frequent(docs, words, threshold))
     entries = lists(docs, heavy, words, threshold)
     release(spark)
@@ -405,6 +560,8 @@ def similarity_components(docs: DataFrame, words: int = WORDS, threshold: int =
     links = stage(
         reps.join(again.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).filter("u <> v").distinct(), "links"
     )
+    long = stage(entries.groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > list_rows).select("token", F.ceil(F.col("rows") / list_rows).cast("int").alias("slots")), "long")
+    long = None if long.isEmpty() else long
     listed = entries.select("doc_id").distinct()
     home = stage(reps.join(listed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("rep").alias("rep")), "homes")
     seen = None
@@ -416,13 +573,16 @@ def similarity_components(docs: DataFrame, words: int = WORDS, threshold: int =
         moved = stage(label.filter("label <> doc_id").select("doc_id", "label"), "labels")  # the others are their own
         moved = F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved
         labelled = entries.join(moved, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        pairs = candidates(labelled, step < STAR_ROUNDS, threshold)
-        pairs = pairs.groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+        star = step < STAR_ROUNDS
+        pairs = candidates(in_slots(labelled, long, list_rows, not star), star, threshold)
+        if star:  # each set with those that most lists propose
+            w = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
+            pairs = pairs.groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+            pairs = pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= PROPOSALS)
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs.select("a", "b").distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        if step < STAR_ROUNDS:  # each set with those neighbours that most lists propose
-            w = Window.partitionBy("b").orderBy(F.desc("votes"), "a")
-            pairs = pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= PROPOSALS)
         pairs = stage(pairs.select("a", "b"), "pairs")
         if pairs.isEmpty():
             continue
@@ -466,11 +626,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     that stays: one with a doc_id where there is one. Rows of one doc_id are one document, whatever
     their texts; the smallest row of them, column by column, stays.
     """
-    name = next(c for c in docs.columns if c.lower() == "doc_id")
+    given_names, texts = docs.columns, f"c{column_place(docs, 'text')}"
+    name, docs = f"c{column_place(docs, 'doc_id')}", by_place(docs)
     kind = docs.schema[name].dataType
     named = with_ids(docs, name)
     every = docs if named is None else named[0]
-    found = similarity_components(every, words, threshold).filter("doc_id = component_id")
+    found = similarity_components(every.select(F.col(name).alias("doc_id"), F.col(texts).alias("text")), words, threshold).filter("doc_id = component_id")
     kept = stage(found.groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows")), "kept")
     out = every.join(kept.filter("rows = 1"), name, "left_semi").select(*docs.columns)
     repeated = kept.filter("rows > 1")
@@ -481,4 +642,4 @@ def one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     if named is not None:
         given = named[1]
         out = out.join(given, out[name] == given["given"], "left").withColumn(name, F.when(F.col("given").isNull(), F.col(name)).cast(kind)).select(*docs.columns)
-    return out
+    return out.toDF(*given_names)

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with odd rows."""
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -15,13 +16,14 @@ from helixspan.llm.components import components  # noqa: E402
 
 WORDS = "the of and to in that it was for on are with his they at be this from have or by one had not but what all were when we there can".split()
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, DOC string, `Text2` string"
+KEY = b"published-trial-key"
 
 
 def texts():
     rng = np.random.default_rng(5)
     base = [" ".join(rng.choice(WORDS, 40)) for _ in range(6)]
     near = [b + " extra" for b in base[:3]]
-    odd = [None, "", "   ", "\n", "one", "One two", "a  b\n c  d \n\ne\t f", "x" * 5000, "é à ü ß ñ 漢字 かな", " ".join(rng.choice(WORDS, 6000)), "!!! ... ---", "A\x00B"]
+    odd = [None, "", "   ", "\n", "one", "One two", "a  b\n c  d \n\ne\t f", "x" * 5000, "é à ü ß ñ 漢字 かな", "hello <|endoftext|> world", "a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|>c", "²½ Ⅷ", " ".join(rng.choice(WORDS, 6000)), "!!! ... ---", "A\x00B"]
     return [*base, *near, base[0], base[0].upper(), *odd]
 
 
@@ -45,7 +47,6 @@ def reference_ids(name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return lambda x: [*t.encode(x or "", add_special_tokens=False).ids, end]
 
 
@@ -205,6 +206,68 @@ def test_html_parts_by_name(page, want):
     assert len(got.split("\n") if got else []) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<p>Formula <math><mi>x</mi></math> of it", "Formula x of it"), ("<p>see <svg><text>no</text></svg>this <button>Go</button>and that", "see this and that"),
+    ("<p>Text <span class='share'>Share</span> goes on", "Text goes on"), ("<p>one<video>no video</video> two", "one two"),
+    ("<div class='article-comments-free'><p>" + "whole article " * 20 + "</div>", ("whole article " * 20).strip()),
+])
+def test_html_parts_inside_a_line(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<div>a b c", "<b>x", "<b>", "<ul><li>x", "<center>", "<p>x</div>", "<span class=ad>x", "<div class=ad>x", "<article>x", "&", "<", "x"])
+def test_html_of_very_long_pages(page):
+    import time
+
+    began = time.process_time()
+    text = html_text.main_text(page * 100_000)
+    assert time.process_time() - began < 30 and text.count("x") <= 100_000
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_html_of_made_up_pages(seed):
+    """Pages made of an article's known blocks and of other parts around it."""
+    rng = np.random.default_rng(seed)
+    words = lambda a, b: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(rng.integers(a, b)))
+    blocks, inner = [], []
+    for _ in range(rng.integers(4, 12)):
+        text = words(10, 40)
+        a, b = text.split(" ", 1)
+        kind = rng.integers(0, 7)
+        if kind == 0:
+            head = words(2, 6)
+            inner.append(f"<h2 id='{head.split()[0]}'>{head}</h2>\n<p>{text}</p>")
+            blocks += [head, text]
+        elif kind == 1:
+            inner.append(f"<p><b>{a}</b> <a href='/x'>{b}</a>" if len(b) < 40 else f"<p>{a}\n  {b}")
+            blocks.append(text)
+        elif kind == 2:
+            items = [words(3, 12) for _ in range(3)]
+            inner.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
+            blocks += items
+        elif kind == 3:
+            inner.append(f"<blockquote><p>{a} &amp; {b} &#233;&nbsp;!</p></blockquote>")
+            blocks.append(f"{a} & {b} é !")
+        elif kind == 4:
+            cells = [words(2, 6) for _ in range(4)]
+            inner.append("<table><tr><td>{}</td><td>{}</td></tr><tr><td>{}<td>{}</table>".format(*cells))
+            blocks += cells
+        elif kind == 5:
+            inner.append(f"<p>{a}<script>var x = '<p>{words(5, 9)}</p>';</script> {b}<style>p {{}}</style></p>")
+            blocks.append(text)
+        else:
+            inner.append(f"<div class='ad'><p>{words(10, 30)}</p></div><aside>{words(5, 20)}</aside><p>{text}</p>")
+            blocks.append(text)
+    links = lambda n: "".join(f"<li><a href='/{i}'>{words(1, 4)}</a></li>" for i in range(n))
+    other = [f"<nav><ul>{links(8)}</ul></nav>", f"<header><h1>{words(2, 4)}</h1></header>", f"<div class='cookie-notice'><p>{words(8, 20)}</p></div>", f"<div id='sidebar'><ul>{links(5)}</ul></div>"]
+    after = [f"<section class='comments'>{''.join(f'<p>{words(8, 30)}</p>' for _ in range(3))}</section>", f"<form><label>{words(2, 5)}</label><input></form>", f"<footer><p>{words(5, 15)}</p></footer>", f"<div class='related'><ul>{links(4)}</ul></div>"]
+    rng.shuffle(other)
+    rng.shuffle(after)
+    tag = ["article", "main", "article"][seed % 3]
+    page = f"<!doctype html><html><head><title>{words(2, 5)}</title></head><body>{''.join(other)}<{tag}>{''.join(inner)}</{tag}>{''.join(after)}</body></html>"
+    assert html_text.main_text(page).split("\n") == blocks
+
+
 def brute_components(rows):
     sets = {}
     for d, t in rows:
@@ -254,8 +317,55 @@ def test_jaccard_chains_and_families(spark):
             rows.append((i, " ".join(w)))
             i += 1
     rows += [(i + k, " ".join(passage + [f"u{k}"] * (k % 7))) for k in range(80)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_components(df).collect()} == brute_components(rows)
+    df, want = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), brute_components(rows)
+    for list_rows in (jaccard.LIST_ROWS, 6):  # 6: most lists are dealt to slots
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_components(df, list_rows=list_rows).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_jaccard_pairs_of_lists(seed, monkeypatch):
+    """all_pairs() against every pair of a list, in one slot and in several with guests."""
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 7)
+    rows = sorted((int(t), int(n), int(d), int(rng.integers(0, max(1, n // 3))), d * 7, int(rng.integers(0, 4)))
+                  for t in range(6) for d in rng.choice(100, 12, replace=False) for n in [rng.integers(8, 14)])
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[2] < y[2] and x[5] != y[5] and 80 * max(x[1], y[1]) <= 100 * min(x[1], y[1]):
+                if min(x[1] - x[3], y[1] - y[3]) >= -(-80 * (x[1] + y[1]) // 180):
+                    want.add((x[2], y[2]))
+    token, n, doc, pos, twin, label = (np.array(c) for c in zip(*rows))
+    plain = {"token": token, "slot": token * 0, "n": n, "doc_id": doc, "pos": pos, "twin": twin, "label": label}
+    no = np.zeros(len(rows), bool)
+    got = [(min(a, b), max(a, b)) for x, y in jaccard.all_pairs(plain | {"guest": no, "top": label, "long": no}, 80) for a, b in zip(x.tolist(), y.tolist())]
+    assert set(got) == want
+    top = np.array([np.bincount(label[token == t]).argmax() for t in token])
+    got = set()
+    for slot in range(3):
+        own = doc % 3 == slot
+        here = own | (label != top)
+        part = {k: v[here] for k, v in (plain | {"guest": ~own, "top": top, "long": ~no}).items()}
+        got |= {(min(a, b), max(a, b)) for x, y in jaccard.all_pairs(part, 80) for a, b in zip(x.tolist(), y.tolist())}
+    assert got == want
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    """Columns that differ from those in use by case alone, and one with a name that operators make themselves."""
+    return docs.toDF("doc_id", "text", "lang", "source", "n_chars", "Doc_ID", "TEXT").withColumn("part", F.lit(1)).withColumn("mark", F.lit(2))
+
+
+def test_names_that_clash(docs, clashing, tmp_path):
+    same = lambda x, y: sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+    assert same(packing.pack(clashing), packing.pack(docs)) and same(bpe.encode_and_decode(clashing), bpe.encode_and_decode(docs))
+    assert same(licenses.scan(clashing), licenses.scan(docs)) and same(pii.pseudonyms(clashing, KEY), pii.pseudonyms(docs, KEY))
+    assert same(wavelet.encode_and_read(clashing), wavelet.encode_and_read(docs))
+    assert same(jaccard.similarity_components(clashing), jaccard.similarity_components(docs))
+    model = langid.train(clashing)
+    assert same(langid.predict(clashing, model), langid.predict(docs, model))
+    for out in (langid.keep_known(clashing, model), pii.pseudonymise_column(clashing, KEY), jaccard.one_of_each(clashing)):
+        assert out.columns == clashing.columns and out.count() > 0
 
 
 def test_components(spark):
@@ -266,24 +376,24 @@ def test_components(spark):
 
 def test_pii(docs, empty):
     text = "mail Bob.Lee@mail.example.com, +1 (226) 555-1404, card 4111 1111 1111 1111, ip 37.191.91.202, ssn 123-45-6789, on 2024-02-29 password=25a0bc4376e17c8019 iban DE89370400440532013000."
-    new, kinds = pii.pseudonymise(text)
+    new, kinds = pii.pseudonymise(text, KEY)
     assert sorted(kinds) == sorted(["email", "phone", "card", "ip", "ssn", "date", "secret", "iban"])
     for part in ("Bob.Lee", "555-1404", "4111 1111 1111 1111", "37.191.91.202", "123-45-6789", "2024-02-29", "25a0bc4376e17c8019", "DE89370400440532013000"):
         assert part not in new
     card = re.search(r"\d{4} \d{4} \d{4} \d{4}", new)[0].replace(" ", "")
     assert pii.luhn_sum(card) == 0
-    assert pii.pseudonymise(text)[0] == new and pii.pseudonymise(text, b"other")[0] != new
-    assert pii.pseudonymise("4111-1111-1111-1111")[0].replace("-", "") == card  # one value, one pseudonym
+    assert pii.pseudonymise(text, KEY)[0] == new and pii.pseudonymise(text, b"other")[0] != new
+    assert pii.pseudonymise("4111-1111-1111-1111", KEY)[0].replace("-", "") == card  # one value, one pseudonym
     for clean in ("version 1.2.3", "4111111111111112", "999.1.1.1", "2023-02-30", "room 101 at noon", "a@b", None, ""):
-        assert pii.pseudonymise(clean) == (clean, [])
-    assert pii.pseudonyms(docs).count() == docs.count() and pii.pseudonyms(empty).count() == 0
-    out = pii.pseudonymise_column(docs)
+        assert pii.pseudonymise(clean, KEY) == (clean, [])
+    assert pii.pseudonyms(docs, KEY).count() == docs.count() and pii.pseudonyms(empty, KEY).count() == 0
+    out = pii.pseudonymise_column(docs, KEY)
     assert out.columns == docs.columns and out.count() == docs.count()
 
 
 def test_pii_phones_of_any_area():
     texts = [f"call +1 ({a:03d}) {e}55-7713 now" for a in range(1000) for e in range(10)]
-    done = [pii.pseudonymise(t) for t in texts]
+    done = [pii.pseudonymise(t, KEY) for t in texts]
     assert all(k == ["phone"] and re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} now", new) for new, k in done)
     assert len({new for new, _ in done}) == len(texts)
     for t, (new, _) in zip(texts, done):  # numbers that can be dialled stay such, and the others the others
@@ -304,15 +414,51 @@ def test_pii_phones_of_any_area():
     ("BE68 5390 0754 7034 12/27", {"iban": "BE68 5390 0754 7034"}),
 ])
 def test_pii_values_followed_by_digits(text, values):
-    new, kinds = pii.pseudonymise(text)
+    new, kinds = pii.pseudonymise(text, KEY)
     assert sorted(kinds) == sorted(values)
     want = text
     for value in values.values():
-        want = want.replace(value, pii.pseudonymise(value)[0])  # what stands around a value doesn't matter
+        want = want.replace(value, pii.pseudonymise(value, KEY)[0])  # what stands around a value doesn't matter
         assert value not in new
     assert new == want
 
 
+@pytest.mark.parametrize("text,kinds", [
+    ("call 555-123-4567 or (226) 555-1404.", ["phone", "phone"]), ("password=hunterhunter now", ["secret"]), ("password: hunterhunter", []),
+    ("at 2001:db8::8a2e:370:7334 and 2001:0db8:0:0:0:8a2e:0370:7334", ["ip", "ip"]), ("12:34:56 and a::b and ::1 fe80::1", ["ip"]),
+    ("..bob@mail.org, x@y@real.com.", ["email", "email"]), ("+353 87 123 4567", ["phone"]), ("order 1555-123-45678", []),
+])
+def test_pii_more_forms(text, kinds):
+    new, found = pii.pseudonymise(text, KEY)
+    assert found == kinds and (new != text) == bool(kinds)
+
+
+def test_pii_equal_values_stay_linked():
+    out = lambda t: pii.pseudonymise(t, KEY)[0]
+    assert out("+1 (226) 555-1404")[3:] == out("(226) 555-1404") and re.sub(r"\D", "", out("226-555-1404")) == re.sub(r"\D", "", out("(226) 555-1404"))
+    assert len(set(out("2001:db8::8a2e:370:7334 2001:0db8:0:0:0:8a2e:0370:7334").split())) == 1
+    assert out("+353 87 123 4567").startswith("+353 ")
+
+
+def test_pii_dates_of_one_look_stay_apart():
+    seen = {}
+    for n in range(pii._DAY0, pii._DAY1, 3):
+        d = pii.dt.date.fromordinal(n)
+        for text in {f"{d.day:02d}/{d.month:02d}/{d.year}", f"{d.month:02d}/{d.day:02d}/{d.year}"}:
+            new = pii.pseudonymise(text, KEY)[0]
+            assert seen.setdefault(new, text) == text
+
+
+def test_pii_of_very_long_texts():
+    import time
+
+    for text in ("a" * 1_000_000, "a.b" * 300_000, "x@" * 400_000, "1" * 1_000_000, "on 2024-02-29 " * 60_000, "ab:" * 300_000, "+1 " * 300_000, "password " * 100_000):
+        began = time.process_time()
+        new, kinds = pii.pseudonymise(text, KEY)
+        assert len(new) == len(text) and time.process_time() - began < 20
+        assert len(kinds) == text.count("2024")
+
+
 def test_feistel_is_a_bijection():
     for radices in ([10, 10, 10], [2], [7, 3], [26, 10, 8], [1, 5]):
         size = int(np.prod(radices))
@@ -324,7 +470,7 @@ def test_feistel_is_a_bijection():
 
 def test_dates_are_permuted():
     days = [pii.dt.date.fromordinal(n) for n in range(pii._DAY0, pii._DAY1)]
-    assert sorted(pii._day(pii.DEFAULT_KEY, d.year, d.month, d.day) for d in days) == days
+    assert sorted(pii._day(KEY, d.year, d.month, d.day) for d in days) == days
 
 
 LANGS = {"en": "the and with that from have this which would there their about", "fr": "les des est que dans pour avec sont être après leur nous", "ru": "это что как для они был его если уже только когда"}
@@ -343,7 +489,7 @@ def test_language(spark, docs, empty):
     odd = {r.doc_id: r for r in langid.predict(docs, model).collect()}
     assert langid.predict(docs, model).count() == docs.count() and langid.predict(empty, model).count() == 0
     for d in docs.collect():
-        if not re.search(r"[^\W\d_]", d.text or ""):
+        if not any(unicodedata.category(c)[0] == "L" for c in d.text or ""):
             assert (odd[d.doc_id].lang_pred, odd[d.doc_id].score) == ("und", 0.0)
         assert 0 <= odd[d.doc_id].score <= 1
     kept = langid.keep_known(docs, model)
@@ -407,10 +553,11 @@ def test_hnsw(vectors, spark):
 
 
 def test_bpe(docs, empty):
+    import public_tokenizers
     import tiktoken
 
     ranks = bpe.load_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
-    ref = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     digest = lambda b: hashlib.sha256(b).hexdigest()
     small = docs.filter("doc_id <> 60")
     for common in (1000, 5):
@@ -450,7 +597,7 @@ def test_pipeline(spark, tmp_path, unique_docs):
     left = {d for d, (_, c) in brute_components(rows).items() if d == c}
     assert {p.doc_id for p in pieces} == left
     ids = reference_ids("byte_bpe_50k.json", 0)
-    assert sum(p.length for p in pieces) == sum(len(ids(pii.pseudonymise(t)[0])) for d, t in rows if d in left)
+    assert sum(p.length for p in pieces) == sum(len(ids(pii.pseudonymise(t, KEY)[0])) for d, t in rows if d in left)
     docs = kept
     for _, step in corpus_pipeline.STAGES[:-1]:
         docs = step(spark, docs, str(tmp_path))
