@@ -2,20 +2,25 @@
 
 A shard's ids are stored as bit-planes, highest bit first; each plane is ordered by a stable
 partition on the planes before it. With the planes go cumulative counts of ones, so that
-access, rank (count of a token before a place), select (place of a token's k-th occurrence)
-and listing of occurrences need only the planes. A document is a span of its shard.
+access, rank (count of a token before a place), select (place of a token's k-th occurrence,
+by binary search in the counts) and listing of occurrences need only the planes; and the planes
+are compressed in blocks, of which a query unpacks those it touches. A document is a span of its
+shard.
 
 write() deals the documents into ranges of doc_id, sorts each range and streams it into
-shards; it writes rows (part, shard, base, n_tokens, n_docs, image), each image being one
-self-contained file of the format below, through Spark's committer into a shared folder.
+shards. Each shard is one file, through Spark's committer into a shared folder: a row (part,
+shard, base, n_tokens, n_docs, image) whose image is self-contained, of the format below.
 read() opens the images and gives the ids back by document.
 
-Image: b"WVM1", then little-endian: u8 bits, u32 n_docs, u64 n_tokens, doc_ids i64[n_docs]
+Image: b"WVM2", then little-endian: u8 bits, u32 n_docs, u64 n_tokens, doc_ids i64[n_docs]
 (the null id is the smallest i64), lengths u64[n_docs], zeros u64[bits], then for each plane
-u32 length and a zstd frame of the packed bits and the counts of ones before every 512th bit.
+the counts of ones before every 512th bit as u32 length and a zstd frame, and its packed bits in
+blocks of BLOCK_BYTES, as u32 length[blocks] and a zstd frame for each.
 
 Defined cases: null text is the empty text; a document with a null id comes first; rows that
-share a doc_id stay separate documents, in order of their text; an empty table has no shards.
+share a doc_id stay separate documents, in order of their text; very long texts make one long
+shard; an empty table has no shards; columns of other names, or names that differ only by case,
+fall away.
 """
 from __future__ import annotations
 
@@ -32,18 +37,56 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, doc_columns, tokenizer_path, work_dir
 from .tokens import encoder
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 BITS = 16
 STEP = 512
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 22
+BLOCK_BYTES = 1 << 14
 END_ID = 1
 NULL_ID = -(1 << 63)
 
 
+class Plane:
+    """The bytes of a plane in compressed blocks, each unpacked when it is first asked for."""
+
+    def __init__(self, frames: list[bytes], size: int):
+        self.frames, self.size = frames, size
+        self.blocks: dict[int, np.ndarray] = {}
+
+    def block(self, i: int) -> np.ndarray:
+        if i not in self.blocks:
+            self.blocks[i] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.frames[i]), np.uint8)
+        return self.blocks[i]
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        at = np.asarray(at, np.int64)
+        out, number = np.empty(at.shape, np.uint8), at // BLOCK_BYTES
+        for i in np.unique(number).tolist():
+            own = number == i
+            out[own] = self.block(i)[at[own] - i * BLOCK_BYTES]
+        return out
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.uint8), *(self.block(i) for i in range(len(self.frames)))])
+
+
+class Packed:
+    """A plane that isn't compressed."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.size = data, len(data)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.data[at]
+
+    def whole(self) -> np.ndarray:
+        return self.data
+
+
 class WaveletMatrix:
     """Planes of packed bits with counts of ones; ids below 2 ** bits."""
 
-    def __init__(self, planes: list[np.ndarray], ones: list[np.ndarray], zeros: np.ndarray, n: int):
+    def __init__(self, planes: list, ones: list[np.ndarray], zeros: np.ndarray, n: int):
         self.planes, self.ones, self.zeros, self.n = planes, ones, zeros, n
         self.bits = len(planes)
 
@@ -54,7 +97,7 @@ class WaveletMatrix:
         for k in range(bits):
             bit = (cur & cur.dtype.type(1 << (bits - 1 - k))) != 0
             packed = np.packbits(bit, bitorder="little")
-            planes.append(packed)
+            planes.append(Packed(packed))
             ones.append(_step_counts(packed))
             left = cur[~bit]
             zeros[k] = len(left)
@@ -115,13 +158,24 @@ class WaveletMatrix:
             raise IndexError("fewer occurrences")
         at = lo + nth
         for k in reversed(range(self.bits)):
-            bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little")
-            if (token >> (self.bits - 1 - k)) & 1:
-                at = np.flatnonzero(bit)[at - int(self.zeros[k])]
-            else:
-                at = np.flatnonzero(bit == 0)[at]
+            one = (token >> (self.bits - 1 - k)) & 1
+            at = self._place(k, at - int(self.zeros[k]) if one else at, one)
         return at
 
+    def _place(self, k: int, nth: np.ndarray, one: int) -> np.ndarray:
+        """Places of ones (or zeros) number nth of plane k: the block by the counts, then the bit in it."""
+        counts = self.ones[k].astype(np.int64)
+        counts = counts if one else np.arange(len(counts)) * STEP - counts
+        out = np.empty(len(nth), np.int64)
+        for a in range(0, len(nth), 4096):
+            own = nth[a : a + 4096]
+            block = np.searchsorted(counts, own, "right") - 1
+            at = block[:, None] * (STEP // 8) + np.arange(STEP // 8)
+            bits = np.unpackbits(self.planes[k][np.minimum(at, self.planes[k].size - 1)], axis=1, bitorder="little") == one
+            left = np.cumsum(bits, axis=1) == (own - counts[block] + 1)[:, None]
+            out[a : a + 4096] = block * STEP + left.argmax(1)
+        return out
+
     def occurrences(self, token: int) -> np.ndarray:
         return self.select(token, np.arange(self.count(token)))
 
@@ -129,7 +183,7 @@ class WaveletMatrix:
         """Every id in order, by undoing the partitions from the lowest plane up."""
         cur = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k in reversed(range(self.bits)):
-            bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+            bit = np.unpackbits(self.planes[k].whole(), count=self.n, bitorder="little").view(bool)
             z = int(self.zeros[k])
             up = np.empty_like(cur)
             up[~bit] = cur[:z]
@@ -157,8 +211,9 @@ def to_image(doc_ids: list, lengths, ids: np.ndarray, bits: int = BITS) -> bytes
         np.asarray(lengths).astype("<u8").tobytes(), w.zeros.astype("<u8").tobytes(),
     ]
     for plane, ones in zip(w.planes, w.ones):
-        frame = pack(plane.tobytes() + ones.tobytes())
-        out += [struct.pack("<I", len(frame)), frame]
+        counts, data = pack(ones.tobytes()), plane.whole()
+        frames = [pack(data[i : i + BLOCK_BYTES].tobytes()) for i in range(0, len(data), BLOCK_BYTES)]
+        out += [struct.pack("<I", len(counts)), counts, np.array([len(f) for f in frames], "<u4").tobytes(), *frames]
     return b"".join(out)
 
 
@@ -174,12 +229,15 @@ def from_image(image: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     zeros = np.frombuffer(image, "<u8", bits, at)
     at += 8 * bits
     planes, ones, unpack, size = [], [], zstandard.ZstdDecompressor(), -(-n // 8)
+    blocks = -(-size // BLOCK_BYTES)
     for _ in range(bits):
         (length,) = struct.unpack_from("<I", image, at)
-        raw = unpack.decompress(image[at + 4 : at + 4 + length])
-        planes.append(np.frombuffer(raw, np.uint8, size))
-        ones.append(np.frombuffer(raw, "<u4", -1, size))
+        ones.append(np.frombuffer(unpack.decompress(image[at + 4 : at + 4 + length]), "<u4"))
         at += 4 + length
+        ends = at + 4 * blocks + np.cumsum(np.frombuffer(image, "<u4", blocks, at).astype(np.int64))
+        starts = np.concatenate([[at + 4 * blocks], ends])
+        planes.append(Plane([image[a:b] for a, b in zip(starts[:-1].tolist(), ends.tolist())], size))
+        at = int(starts[-1])
     return [None if d == NULL_ID else d for d in doc_ids.tolist()], lengths, WaveletMatrix(planes, ones, zeros, n)
 
 
@@ -222,7 +280,7 @@ def write(
             yield flush()
 
     ordered = doc_columns(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, ddl).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(run, ddl).write.options(compression="none", maxRecordsPerFile=1).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
