@@ -21,10 +21,9 @@ def plain(a: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(a), F.length(b), F.lit(1)))
-    differs = F.transform(places, lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1)))
-    return F.coalesce(F.nullif(F.array_position(differs, F.lit(True)), F.lit(0)) - 1, F.length(a).cast("bigint"))
+    """Length of the common prefix: the longest beginning of a that b repeats behind a mark no allele holds."""
+    both = F.concat(a, F.lit("\x00"), b)
+    return F.length(F.regexp_extract(both, r"(?s)^([^\x00]*)[^\x00]*+\x00\1", 1)).cast("bigint")
 
 
 def common_suffix(a: Column, b: Column) -> Column:

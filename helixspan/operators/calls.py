@@ -41,6 +41,11 @@ def site_filter_name(fraction: float) -> str:
     return "sf" + "%.2g" % (fraction * 100)
 
 
+def site_filter_text(fraction: float) -> str:
+    """What the header says of the site filter."""
+    return f"More than {fraction * 100:g}% of the evaluated samples fail a filter"
+
+
 def site_filter(calls: DataFrame, keys: list[str], fraction: float = 1.0) -> DataFrame:
     """Per site with any evaluated sample: the filter's name if failed / evaluated > fraction, else PASS."""
     n = site_counters(calls, keys).filter("n_evaluated > 0")
@@ -49,10 +54,8 @@ def site_filter(calls: DataFrame, keys: list[str], fraction: float = 1.0) -> Dat
 
 
 def add_filter(filters: Column, name: Column) -> Column:
-    """The filters with one more; PASS goes once there is another."""
-    both = F.array_sort(F.array_union(filters, F.array(name)))
-    rest = F.array_remove(both, "PASS")
-    return F.when(F.size(rest) > 0, rest).otherwise(both)
+    """The filters with one more, sorted; a PASS that was there before goes."""
+    return F.array_sort(F.array_union(F.array_remove(filters, "PASS"), F.array(name)))
 
 
 def valid_filter_name(name: str) -> str:

@@ -1,7 +1,8 @@
 """Operators over sequences: runs, token counts, reference checks, contigs, left alignment.
 
-A sequences table is (name, seq). Lookups join it by name; Spark broadcasts it while it is small.
-For long sequences, chunked() cuts it into overlapping pieces keyed by (name, chunk).
+A sequences table is (name, seq), of ASCII letters. chunked() cuts it into pieces keyed by (name,
+chunk); alignment, runs, token counts, reference checks and contigs meet these pieces, never a
+whole sequence.
 """
 from __future__ import annotations
 
@@ -12,21 +13,38 @@ from pyspark.sql import functions as F
 
 from ..functions import alleles as al
 
+PIECE = 1 << 14
 
-def homopolymers(seqs: DataFrame, least: int = 5, ignored: str = "", names: list[str] | None = None) -> DataFrame:
+
+def homopolymers(seqs: DataFrame, least: int = 5, ignored: str = "", names: list[str] | None = None, size: int = PIECE) -> DataFrame:
     """Maximal runs of one character, (name, start, stop, base), half-open from 0.
 
-    ignored: characters to leave out; with a leading `-`, the only ones to keep.
+    ignored: characters to leave out; with a leading `-`, the only ones to keep. Runs inside a piece
+    of the sequence come from one expression over the piece; those at its borders, two for a piece
+    at most, are put together along the sequence.
     """
     if names is not None:
         seqs = seqs.filter(F.col("name").isin(names))
-    runs = F.regexp_extract_all("seq", F.lit(r"(?s)((.)\2*)"), 1)
-    rows = seqs.filter(F.length("seq") > 0).select("name", F.posexplode(runs).alias("i", "run"))
-    w = Window.partitionBy("name").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("stop", F.sum(F.length("run")).over(w).cast("bigint"))
-    out = rows.filter(F.length("run") >= least).select(
-        "name", (F.col("stop") - F.length("run")).alias("start"), "stop", F.substring("run", 1, 1).alias("base")
+    p = chunked(seqs, size, 0)
+    shape = F.lit(rf"(?s)(.*?)((.)\3{{{max(least, 1) - 1},}})")
+    gaps, runs = F.regexp_extract_all("bases", shape, 1), F.regexp_extract_all("bases", shape, 2)
+    end = F.col("offset") + F.length("bases")
+    found = p.select("name", "offset", end.alias("end"), F.posexplode(F.arrays_zip(gaps.alias("gap"), runs.alias("run"))).alias("i", "r"))
+    upto = Window.partitionBy("name", "offset").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.length("r.run").cast("bigint")
+    found = found.withColumn("stop", F.col("offset") + F.sum(F.length("r.gap") + n).over(upto)).withColumn("start", F.col("stop") - n)
+    inner = found.filter((F.col("start") > F.col("offset")) & (F.col("stop") < F.col("end"))).select("name", "start", "stop", F.substring("r.run", 1, 1).alias("base"))
+    head, tail = F.regexp_extract("bases", r"(?s)^((.)\2*)", 1), F.reverse(F.regexp_extract(F.reverse("bases"), r"(?s)^((.)\2*)", 1))
+    sides = F.array(
+        F.struct(F.col("offset").alias("start"), (F.col("offset") + F.length(head)).alias("stop"), F.substring(head, 1, 1).alias("base")),
+        F.struct((end - F.length(tail)).alias("start"), end.alias("stop"), F.substring(tail, 1, 1).alias("base")),
     )
+    sides = p.select("name", F.explode(F.array_distinct(sides)).alias("r")).select("name", "r.*")
+    w = Window.partitionBy("name").orderBy("start")
+    joins = (F.lag("stop").over(w) == F.col("start")) & (F.lag("base").over(w) == F.col("base"))
+    sides = sides.withColumn("_new", F.when(joins, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sides = sides.groupBy("name", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("base").alias("base"))
+    out = inner.unionByName(sides.filter(F.col("stop") - F.col("start") >= least).select("name", "start", "stop", "base"))
     if ignored.startswith("-"):
         out = out.filter(F.col("base").isin(list(ignored[1:])))
     elif ignored:
@@ -63,29 +81,53 @@ def token_counts(regions: DataFrame, seqs: DataFrame, tokens=DEFAULT_TOKENS, wit
     specs = check_tokens(list(tokens))
     words = sorted((w for _, ws in specs for w in ws), key=lambda w: -len(w))
     pad = len(words[0]) - 1
-    r = regions.join(seqs.withColumnRenamed("name", "chrom"), "chrom")
-    lo = F.greatest(F.lit(0), F.col("start") - pad)
-    window = F.upper(F.substr("seq", (lo + 1).cast("int"), (F.col("stop") + pad - lo).cast("int")))
-    r = r.withColumns({"_lo": lo, "_w": window, "stop": F.least(F.col("stop"), F.length("seq").cast("bigint"))})
-    pieces = F.regexp_extract_all("_w", F.lit("(?s)(" + "|".join(words) + "|.)"), 1)
-    acc = F.aggregate(
-        pieces,
-        F.struct(F.col("_lo").cast("bigint").alias("at"), *[F.lit(0).cast("bigint").alias(f"c{i}") for i in range(len(specs))]),
-        lambda s, x: F.struct(
-            (s.at + F.length(x)).alias("at"),
-            *[
-                (s[f"c{i}"] + F.when(x.isin(ws), F.greatest(F.lit(0), F.least(s.at + F.length(x), F.col("stop")) - F.greatest(s.at, F.col("start")))).otherwise(0)).alias(f"c{i}")
-                for i, (_, ws) in enumerate(specs)
-            ],
-        ),
-    )
-    out = r.withColumn("_acc", acc)
+    lo = F.greatest(F.lit(0), F.col("start") - pad).cast("bigint")
+    wide = regions.groupBy("chrom", "start", "stop").agg(F.count("*").alias("_copies")).withColumns({"_lo": lo, "_hi": (F.col("stop") + pad).cast("bigint")})
+    r = bases_between(wide, seqs, "_lo", "_hi").withColumn("_w", F.upper("_text"))
+    r = r.withColumn("stop", F.least(F.col("stop"), F.col("_length")))
+    if pad == 0:  # single letters don't take bases from each other
+        counts = {f"c{i}": F.length("_w") - F.length(F.translate("_w", "".join(ws), "")) for i, (_, ws) in enumerate(specs)}
+        out = r.withColumn("_acc", F.struct(*[c.cast("bigint").alias(k) for k, c in counts.items()]))
+    else:
+        pieces = F.regexp_extract_all("_w", F.lit("(?s)(" + "|".join(words) + "|.)"), 1)
+        acc = F.aggregate(
+            pieces,
+            F.struct(F.col("_lo").alias("at"), *[F.lit(0).cast("bigint").alias(f"c{i}") for i in range(len(specs))]),
+            lambda s, x: F.struct(
+                (s.at + F.length(x)).alias("at"),
+                *[
+                    (s[f"c{i}"] + F.when(x.isin(ws), F.greatest(F.lit(0), F.least(s.at + F.length(x), F.col("stop")) - F.greatest(s.at, F.col("start")))).otherwise(0)).alias(f"c{i}")
+                    for i, (_, ws) in enumerate(specs)
+                ],
+            ),
+        )
+        out = r.withColumn("_acc", acc)
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
     cols = ["chrom", "start", "stop", *[F.col(f"_acc.c{i}").alias(spec) for i, (spec, _) in enumerate(specs)]]
     if with_bases:
-        cols.append(F.substr("seq", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("bases"))
+        cols.append(F.substr("_text", (F.col("start") - F.col("_lo") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("bases"))
     return out.select(*cols)
 
 
+def bases_between(regions: DataFrame, seqs: DataFrame, lo: str, hi: str, size: int = PIECE) -> DataFrame:
+    """regions (chrom, ...; distinct rows) with _text, the bases from lo up to hi, and _length, the sequence's length.
+
+    A region meets the pieces it covers alone, by (name, piece), and takes its own bases from each;
+    regions on unknown sequences are left out.
+    """
+    lengths = seqs.select(F.col("name").alias("chrom"), F.length("seq").cast("bigint").alias("_length"))
+    r = regions.join(lengths, "chrom")
+    last = F.greatest(F.least(F.col(hi), F.col("_length")) - 1, F.col(lo))
+    met = r.withColumn("chunk", F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(last / size))))
+    p = chunked(seqs, size, 0).withColumnRenamed("name", "chrom")
+    met = met.join(p, ["chrom", "chunk"], "left")
+    a = F.greatest(F.col(lo) - F.col("offset"), F.lit(0))
+    part = F.substr("bases", (a + 1).cast("int"), F.greatest(F.least(F.col(hi) - F.col("offset"), F.lit(size)) - a, F.lit(0)).cast("int"))
+    keys = [c for c in r.columns]
+    g = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", part.alias("part")))).alias("_parts"))
+    return g.withColumn("_text", F.array_join(F.transform("_parts", lambda x: x.part), "")).drop("_parts")
+
+
 def bases_at(seq: Column, start: Column, stop: Column) -> Column:
     return F.substr(seq, (start + 1).cast("int"), (stop - start).cast("int"))
 
@@ -105,18 +147,19 @@ def reference_mismatches(variants: DataFrame, seqs: DataFrame, ignore_case: bool
     return r.filter(F.col("error").isNotNull() | (F.col("found") != F.upper("ref"))).drop("seq")
 
 
-def left_shift(pos: Column, ref: Column, alt: Column, left: Column) -> Column:
-    """Leftmost form of a trimmed pure indel; left: the bases before pos, as many as are at hand.
+def repeated_left(ref: Column, alt: Column, left: Column) -> Column:
+    """How many of the bases before a trimmed pure indel repeat it, read backwards; 0 for other variants."""
+    x = F.when(F.length(ref) > 0, ref).otherwise(alt)
+    n = F.length(x)
+    cyclic = F.substr(F.repeat(F.reverse(x), (F.length(left) / F.greatest(n, F.lit(1)) + 1).cast("int")), F.lit(1), F.length(left))
+    return F.when(al.pure_indel(ref, alt) & (F.length(left) > 0), al.common_prefix(F.reverse(left), cyclic)).otherwise(0).cast("bigint")
 
-    struct(pos, ref, alt, shift). Other variants stay. If shift reaches the length of left,
-    more bases could shift it further: call again with a longer left.
-    """
+
+def moved_left(pos: Column, ref: Column, alt: Column, shift: Column) -> Column:
+    """struct(pos, ref, alt, shift) of a trimmed variant moved to the left over repeats of itself."""
     indel = al.pure_indel(ref, alt)
     x = F.when(F.length(ref) > 0, ref).otherwise(alt)
     n = F.length(x)
-    cyclic = F.substr(F.repeat(F.reverse(x), (F.length(left) / F.greatest(n, F.lit(1)) + 1).cast("int")), F.lit(1), F.length(left))
-    same = F.when(F.length(left) > 0, al.common_prefix(F.reverse(left), cyclic)).otherwise(0)
-    shift = F.when(indel, same).otherwise(0).cast("bigint")
     turn = F.when(indel, F.pmod(shift, n)).otherwise(0).cast("int")
     moved = F.concat(F.substr(x, n - turn + 1, turn), F.substr(x, F.lit(1), n - turn))
     return F.struct(
@@ -127,28 +170,42 @@ def left_shift(pos: Column, ref: Column, alt: Column, left: Column) -> Column:
     )
 
 
-def left_aligned(variants: DataFrame, seqs: DataFrame, windows=(64, 4096)) -> DataFrame:
+def left_shift(pos: Column, ref: Column, alt: Column, left: Column) -> Column:
+    """Leftmost form of a trimmed pure indel; left: the bases before pos, as many as are at hand.
+
+    struct(pos, ref, alt, shift). Other variants stay. If shift reaches the length of left,
+    more bases could shift it further: call again with a longer left.
+    """
+    return moved_left(pos, ref, alt, repeated_left(ref, alt, left))
+
+
+def left_aligned(variants: DataFrame, seqs: DataFrame, windows=(64, 4096), size: int = PIECE) -> DataFrame:
     """Trimmed variants (chrom, pos, ref, alt, ...) in leftmost form, with the shift.
 
-    Windows of bases are tried in order; only rows that fill theirs go on to the next, and
-    finally to the whole sequence. Rows on unknown sequences stay as they are.
+    A variant meets the piece of its sequence that holds its position, with the bases before the
+    piece that the widest window needs; a wider one is only read where the variant repeats all of
+    the one before. Where it repeats all of the widest one too, the whole sequence is joined. Rows on
+    unknown sequences stay as they are.
     """
-    rows = variants.join(seqs.withColumnRenamed("name", "chrom"), "chrom", "left")
+    wide = windows[-1]
     keep = [c for c in variants.columns if c not in ("pos", "ref", "alt")]
+    p = chunked(seqs, size, 0, wide).withColumnRenamed("name", "chrom").select("chrom", "chunk", F.col("offset").alias("_offset"), F.col("bases").alias("_bases"))
+    r = variants.withColumn("chunk", F.floor((F.col("pos") - 1) / size)).join(p, ["chrom", "chunk"], "left").drop("chunk")
+    before = F.col("pos") - 1 - F.col("_offset")
 
-    def shifted(width: int | None):
-        n = F.col("pos") - 1 if width is None else F.least(F.col("pos") - 1, F.lit(width))
-        left = F.substr("seq", (F.col("pos") - n).cast("int"), n.cast("int"))
-        return F.coalesce(left, F.lit(""))
+    def left(width: int):
+        n = F.least(before, F.lit(width)).cast("int")
+        return F.coalesce(F.substr("_bases", (before - n + 1).cast("int"), n), F.lit(""))
 
-    def result(width):
-        return left_shift(F.col("pos"), F.col("ref"), F.col("alt"), shifted(width))
-
-    out = result(None)
-    for width in reversed(windows):
-        full = result(width)
-        out = F.when((full["shift"] >= width), out).otherwise(full)
-    return rows.withColumn("_s", out).select(*keep, "_s.pos", "_s.ref", "_s.alt", "_s.shift")
+    r = r.withColumn("_shift", repeated_left(F.col("ref"), F.col("alt"), left(windows[0])))
+    for last, width in zip(windows, windows[1:]):
+        r = r.withColumn("_shift", F.when(F.col("_shift") < last, F.col("_shift")).otherwise(repeated_left(F.col("ref"), F.col("alt"), left(width))))
+    r = r.drop("_bases", "_offset")
+    done = r.filter(F.col("_shift") < wide)
+    rest = r.filter(F.col("_shift") >= wide).join(seqs.select(F.col("name").alias("chrom"), F.col("seq").alias("_seq")), "chrom")
+    rest = rest.withColumn("_shift", repeated_left(F.col("ref"), F.col("alt"), F.substr("_seq", F.lit(1), (F.col("pos") - 1).cast("int")))).select(*done.columns)
+    out = done.unionByName(rest)
+    return out.withColumn("_s", moved_left(F.col("pos"), F.col("ref"), F.col("alt"), F.col("_shift"))).select(*keep, "_s.pos", "_s.ref", "_s.alt", "_s.shift")
 
 
 def variant_contigs(variants: DataFrame, seqs: DataFrame, flank: int = 99, least_qual: float = 0) -> DataFrame:
@@ -213,12 +270,20 @@ def transcripts(regions: DataFrame, seqs: DataFrame, pad: int = 0, wrap: int = 6
     )
 
 
-def chunked(seqs: DataFrame, size: int = 1 << 20, overlap: int = 1 << 10) -> DataFrame:
-    """(name, chunk, offset, bases): sequences in pieces for joins by (name, start div size)."""
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / size))).alias("chunk")
-    return seqs.filter(F.length("seq") > 0).select("name", "seq", at).select(
-        "name", "chunk", (F.col("chunk") * size).alias("offset"), F.substr("seq", (F.col("chunk") * size + 1).cast("int"), F.lit(size + overlap)).alias("bases")
+def chunked(seqs: DataFrame, size: int = PIECE, overlap: int = 1 << 10, before: int = 0) -> DataFrame:
+    """(name, chunk, offset, bases): sequences in pieces for joins by (name, start div size).
+
+    A piece goes on for overlap bases into the next one, and begins up to before bases ahead of its
+    own place; offset is where its bases begin. Cut as bytes, which needs no walk along the text.
+    """
+    raw = F.col("seq").cast("binary")
+    lo = lambda c: F.greatest(c * size - before, F.lit(0))
+    piece = lambda c: F.struct(
+        c.alias("chunk"), lo(c).cast("bigint").alias("offset"),
+        F.substring(raw, (lo(c) + 1).cast("int"), (c * size - lo(c) + size + overlap).cast("int")).cast("string").alias("bases"),
     )
+    pieces = F.transform(F.sequence(F.lit(0).cast("bigint"), F.floor((F.length("seq") - 1) / size)), piece)
+    return seqs.filter(F.length("seq") > 0).select("name", F.explode(pieces).alias("p")).select("name", "p.*")
 
 
 def base_contigs(variants: DataFrame, seqs: DataFrame, flank: int = 99) -> DataFrame:

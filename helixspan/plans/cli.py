@@ -93,8 +93,15 @@ def main(argv: list[str] | None = None) -> None:
             header, rows = _read_vcf(spark, o.input)
             sinks.write_vcf(rows, header, o.output)
         else:
-            rows = text.read_bed(spark, o.input).withColumn("alleles", F.try_element_at("extra", F.lit(1)))
-            sinks.write_bed(commands.sort([rows], o.unique), o.output)
+            # Tables keyed by a position are sorted as such; files of both kinds may stand together.
+            frames = []
+            for path in o.input:
+                if text.kind_of(spark, path) == "positions":
+                    rows = text.read_positions(spark, path).withColumn("alleles", F.lit(None).cast("string"))
+                else:
+                    rows = text.read_bed(spark, path).withColumn("alleles", F.try_element_at("extra", F.lit(1)))
+                frames.append(rows.select("chrom", "start", "stop", "alleles", "line"))
+            sinks.write_bed(commands.sort(frames, o.unique), o.output)
     elif c == "wig2bed":
         sinks.write_bed(commands.wig_to_bed(text.read_wiggle(spark, o.wiggle), o.strip_chr, o.nonzero), o.output, ["value"])
     elif c == "vcf2raw":
@@ -123,6 +130,7 @@ def _variants(spark, o) -> None:
         rows = commands.vcf_filter(rows, o.min_depth)
     elif c == "vcf-site-filter":
         rows = commands.vcf_site_filter(rows, o.fraction)
+        header.filters[commands.calls.site_filter_name(o.fraction)] = commands.calls.site_filter_text(o.fraction)
     elif c == "vcf-remove-filtered-gt":
         rows = commands.vcf_remove_filtered_gt(rows, o.whitelist)
     elif c == "vcf-merge":

@@ -67,8 +67,10 @@ class Intersect:
 def intersect(a: DataFrame, b: DataFrame, o: Intersect = Intersect()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines of hits, rows of a without a partner, rows of b without one).
 
-    Unless both sides are asked for by output_both or full, equal rows of a count once; B rows
-    without a partner are those that match no row of a under the whole predicate.
+    Unless both sides are asked for by output_both or full, rows of a with the same place and alleles
+    give one line, whatever the format shows: that of the first pair, by the column `ord` of a and of
+    b where they have one, else by the partner's place and the rows' text. B rows without a partner
+    are those that match no row of a under the whole predicate.
     """
     keys = ("start", "stop")
     if o.exact_allele or o.iub_match or o.dbsnp_match:
@@ -91,9 +93,10 @@ def intersect(a: DataFrame, b: DataFrame, o: Intersect = Intersect()) -> tuple[D
             pairs = pairs.withColumn(f"{side}_extra", F.array().cast("array<string>"))
     hits = pairs
     if not (o.output_both or o.full):
-        same = ["chrom", "a_start", "a_stop", *(c for c in ("a_ref", "a_alt") if c in pairs.columns)]
-        if o.first_only or "B" not in o.output() and "I" not in o.output():
-            hits = pairs.dropDuplicates(same)
+        alleles = F.struct("a_ref", "a_alt") if "a_ref" in pairs.columns else text.alleles_of(F.col("a_extra"))
+        order = [c for c in ("a_ord", "a_line", "b_start", "b_stop", "b_ord", "b_line", "a_extra", "b_extra") if c in pairs.columns]
+        first = F.min_by(F.struct(*[c for c in pairs.columns if c not in ("chrom", "a_start", "a_stop")]), F.struct(*order))
+        hits = pairs.groupBy("chrom", "a_start", "a_stop", alleles.alias("_alleles")).agg(first.alias("_row")).select("chrom", "a_start", "a_stop", "_row.*")
     a_keys = tuple(k for k in keys if k in a.columns)
     return hits.select(projection.line(o.output()).alias("line")), overlap.anti(a, pairs, "a", a_keys), overlap.anti(b, pairs, "b", a_keys)
 
@@ -179,13 +182,12 @@ def vcf_filter(rows: DataFrame, min_depth: int = 0) -> DataFrame:
 
 
 def vcf_site_filter(rows: DataFrame, fraction: float = 1.0) -> DataFrame:
-    """Adds the site filter or PASS; records without evaluated samples are dropped."""
+    """Adds the site filter, or PASS (also where no sample has a filter text); records without an FT field are dropped."""
     fts = F.filter(F.transform(F.map_values("samples"), lambda v: F.try_element_at(v, F.lit("FT"))), lambda x: x.isNotNull() & ~x.isin("", "."))
     failed = F.size(F.filter(fts, lambda x: x != "PASS"))
-    bad = failed / F.size(fts) > fraction
-    name = F.when(bad, calls.site_filter_name(fraction)).otherwise("PASS")
-    out = rows.withColumn("_fts", fts).filter(F.size("_fts") > 0).drop("_fts")
-    return out.withColumn("filters", F.array_union("filters", F.array(name)))
+    bad = (F.size(fts) > 0) & (failed > fraction * F.size(fts))
+    name = F.when(bad, calls.valid_filter_name(calls.site_filter_name(fraction))).otherwise("PASS")
+    return rows.filter(F.array_contains("format", "FT")).withColumn("filters", calls.add_filter(F.col("filters"), name))
 
 
 def vcf_remove_filtered_gt(rows: DataFrame, allowed: list[str] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ Spark reads them. Lines that are blank or begin with # are skipped where the for
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.alleles import plain
@@ -29,12 +29,19 @@ def read_bed(spark: SparkSession, path, max_extra: int = -1) -> DataFrame:
     )
 
 
+def alleles_of(extra: Column) -> Column:
+    """struct(ref, alt) of a row's extra columns; missing alleles are empty."""
+    both = F.split(F.coalesce(F.try_element_at(extra, F.lit(1)), F.lit("*/*")), "/")
+    one = lambda i: plain(F.coalesce(F.try_element_at(both, F.lit(i)), F.lit("*")))
+    return F.struct(one(1).alias("ref"), one(2).alias("alt"))
+
+
 def as_variants(bed: DataFrame) -> DataFrame:
     """Adds ref, alt, quality and depth from the extra columns; missing alleles are empty, missing numbers 0."""
-    alleles = F.split(F.coalesce(F.try_element_at("extra", F.lit(1)), F.lit("*/*")), "/")
+    alleles = alleles_of(F.col("extra"))
     number = lambda i, t: F.coalesce(F.try_element_at("extra", F.lit(i)).try_cast(t), F.lit(0).cast(t))
     return bed.withColumns({
-        "ref": plain(F.coalesce(F.try_element_at(alleles, F.lit(1)), F.lit("*"))), "alt": plain(F.coalesce(F.try_element_at(alleles, F.lit(2)), F.lit("*"))),
+        "ref": alleles["ref"], "alt": alleles["alt"],
         "alleles": F.try_element_at("extra", F.lit(1)), "quality": number(2, "double"), "depth": number(3, "int"),
     })
 
