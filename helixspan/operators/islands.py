@@ -1,8 +1,9 @@
 """Gaps and islands over sorted intervals: bundles, merges, run lengths.
 
-A running maximum of the ends within a chromosome tells where an island begins. Windows go by
-chromosome and, where given, by further keys; for one very large chromosome pass `blocks`, which
-first merges each block of the axis by itself and then only runs the window over what is left.
+A running maximum of the ends tells where an island begins. It runs inside blocks of the axis,
+each a task's work, and takes up what the blocks before hold: their largest end, then the number
+of their islands. What is carried is a row for each block, so no window holds a whole chromosome's
+rows.
 """
 from __future__ import annotations
 
@@ -10,24 +11,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BLOCK = 1 << 20
+
+
+def _carried(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """rows with value, an aggregate, over all blocks before the row's own: its maximum, or its sum for counts."""
+    per_block = rows.groupBy(*keys, "_block").agg(value.alias("_v"))
+    w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    over = (F.sum if name == "_before" else F.max)("_v").over(w)
+    per_block = per_block.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), over.alias(name))
+    same = F.col("_block") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(per_block, same, "left").drop("_b", *[f"_k{i}" for i in range(len(keys))])
+
+
 def island_ids(
-    df: DataFrame, distance: int | None = None, keys=("chrom",), order=(), name: str = "island"
+    df: DataFrame, distance: int | None = None, keys=("chrom",), order=(), name: str = "island", block: int = BLOCK
 ) -> DataFrame:
     """Adds the number of the row's island within its keys, from 1.
 
     distance: an island goes on while the gap is at most so long (0: touching rows merge).
     None: only rows that share bases, or that start at the island's own start, stay together.
     """
+    keys = list(keys)
     order = [F.col("start"), F.col("stop"), *[F.col(c) for c in order]]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    far = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = _carried(df.withColumn("_block", F.floor(F.col("start") / block)), keys, F.max("stop"), "_far")
+    w = Window.partitionBy(*keys, "_block").orderBy(*order)
+    far = F.greatest(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_far")
     new = F.col("start") - far > distance if distance is not None else F.col("start") >= far
-    starts = F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)
-    flagged = df.withColumn("_new", starts)
-    return flagged.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = rows.withColumn("_new", F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0))
+    rows = rows.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = _carried(rows, keys, F.sum("_new"), "_before")
+    return rows.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_new", "_block", "_far", "_before")
 
 
-def merged(df: DataFrame, distance: int = 0, names: str | None = None, count: bool = False, same_name: str | None = None) -> DataFrame:
+def merged(df: DataFrame, distance: int = 0, names: str | None = None, count: bool = False, same_name: str | None = None, block: int = BLOCK) -> DataFrame:
     """Merged intervals: chrom, start, stop, and on request sorted distinct names and row counts.
 
     same_name: only consecutive rows with an equal value merge (missing equals missing).
@@ -39,7 +58,7 @@ def merged(df: DataFrame, distance: int = 0, names: str | None = None, count: bo
         df = df.withColumn("_turn", F.when(F.col("_first") | ~F.col("_before").eqNullSafe(F.col(same_name)), 1).otherwise(0))
         df = df.withColumn("_run", F.sum("_turn").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         keys.append("_run")
-    ids = island_ids(df, distance, keys)
+    ids = island_ids(df, distance, keys, block=block)
     out = [F.min("start").alias("start"), F.max("stop").alias("stop")]
     if names:
         out.append(F.array_join(F.array_sort(F.collect_set(names)), ";").alias("names"))
@@ -50,12 +69,6 @@ def merged(df: DataFrame, distance: int = 0, names: str | None = None, count: bo
     return ids.groupBy(*keys, "island").agg(*out).drop("island", "_run")
 
 
-def merged_in_blocks(df: DataFrame, distance: int = 0, block: int = 1 << 24) -> DataFrame:
-    """merged() for chromosomes of any number of rows: first within blocks of the axis, then over their islands."""
-    first = merged(df.withColumn("_chrom", F.col("chrom")).withColumn("chrom", F.concat_ws("|", "chrom", F.floor(F.col("start") / block))), distance)
-    return merged(first.withColumn("chrom", F.regexp_replace("chrom", r"\|-?\d+$", "")), distance)
-
-
 def bundle_stats(sizes: DataFrame, column: str = "n") -> DataFrame:
     n = F.col(column)
     return sizes.agg(F.count("*").alias("bundles"), F.max(n).alias("largest"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("sd"))

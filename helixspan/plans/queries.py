@@ -217,7 +217,7 @@ def merge_same_name(spark, sf_dir):
 
 @query(f"WITH a AS ({v.SQL_A})" + _isles("start_ - far > 0") + "SELECT chrom, min(start_) AS start_, max(stop_) AS stop_ FROM i GROUP BY chrom, isle")
 def merge_in_blocks(spark, sf_dir):
-    return _ends(islands.merged_in_blocks(v.interval_a(spark, sf_dir).select("chrom", "start", "stop"), 0, 1 << 14))
+    return _ends(islands.merged(v.interval_a(spark, sf_dir).select("chrom", "start", "stop"), 0, block=1 << 14))
 
 
 @query(f"WITH a AS ({v.SQL_A})" + _isles("start_ >= far") + """, n AS (SELECT count(*) AS n FROM i GROUP BY chrom, isle)

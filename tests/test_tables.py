@@ -42,6 +42,83 @@ def test_islands(spark):
     assert [r["count"] for r in ids.collect()] == [1, 2, 1, 3]
 
 
+@pytest.mark.parametrize("distance", [None, 0, 7])
+@pytest.mark.parametrize("block", [8, 100, 1 << 20])
+def test_islands_over_blocks(spark, distance, block):
+    import random
+
+    rng = random.Random(block)
+    rows = sorted({(c, s, s + rng.choice([0, 1, 4, 20, 300])) for c in ("x", "y", None) for s in (rng.randrange(0, 2000) for _ in range(120))}, key=lambda r: (r[0] or "", r[1], r[2]))
+    want, far, n = {}, {}, {}
+    for c, s, e in rows:
+        if c not in far or (s - far[c] > distance if distance is not None else s >= far[c]):
+            n[c] = n.get(c, 0) + 1
+        far[c] = max(far.get(c, e), e)
+        want[c, s, e] = n[c]
+    got = islands.island_ids(frame(spark, rows).repartition(3), distance, block=block)
+    assert {(r.chrom, r.start, r.stop): r.island for r in got.collect()} == want
+
+
+def test_sequences_in_pieces(spark):
+    import random
+    import re
+
+    from helixspan.operators import sequences
+
+    rng = random.Random(1)
+    seqs = [(f"s{i}", "".join(rng.choice("ACGT") * rng.choice([1, 1, 2, 3, 30]) for _ in range(n))) for i, n in enumerate((1, 7, 60))] + [("e", "")]
+    df = spark.createDataFrame(seqs, "name string, seq string")
+    for least in (1, 3):
+        want = sorted((n, m.start(), m.end(), m[1]) for n, s in seqs for m in re.finditer(r"(.)\1*", s) if len(m[0]) >= least)
+        for size in (1, 4, 16, 1 << 14):
+            assert sorted(map(tuple, sequences.homopolymers(df, least, size=size).collect())) == want
+    regions = spark.createDataFrame([("s2", a, b) for a in (0, 3, 50) for b in (a + 1, a + 20, a + 9999)] * 2 + [("no", 0, 5)], "chrom string, start bigint, stop bigint")
+    text_of = dict(seqs)
+    for size in (4, 1 << 14):
+        found = sequences.bases_between(regions.distinct(), df, "start", "stop", size).collect()
+        assert len(found) == 9 and all(r["_text"] == text_of[r.chrom][r.start : r.stop] for r in found)
+    assert sequences.token_counts(regions, df).count() == 18
+    repeats = spark.createDataFrame([("r", "TT" + "CG" * 300)], "name string, seq string")
+    v = spark.createDataFrame([("r", 603, "", "CG"), ("r", 401, "CG", ""), ("u", 5, "A", "")], "chrom string, pos bigint, ref string, alt string")
+    for size, windows in ((8, (4, 16)), (64, (16, 64)), (1 << 14, (64, 4096))):
+        got = sorted(map(tuple, sequences.left_aligned(v, repeats, windows, size).collect()))
+        assert got == [("r", 3, "", "CG", 600), ("r", 3, "CG", "", 398), ("u", 5, "A", "", 0)]
+
+
+INTERSECT_A = "1\t0\t10\tA/C\n1\t0\t10\tA/G\n1\t0\t10\ta/c\tx\n2\t5\t6\tA/T\n"
+
+
+def test_intersect_counts_rows_of_one_place_and_alleles_once(spark, tmp_path):
+    (tmp_path / "a.bed").write_text(INTERSECT_A)
+    (tmp_path / "b.bed").write_text("1\t2\t4\tn1\n1\t3\t9\tn2\n")
+    a, b = (text.read_bed(spark, str(tmp_path / f"{x}.bed")) for x in "ab")
+    lines = lambda o: sorted(r.line for r in commands.intersect(a, b, o)[0].collect())
+    assert len(lines(commands.Intersect())) == 2 and len(lines(commands.Intersect(format="I A"))) == 2
+    assert len(lines(commands.Intersect(format="A B"))) == 2 and len(lines(commands.Intersect(output_both=True))) == 6
+    assert all("2\t4" in x for x in lines(commands.Intersect(format="I")))
+    assert [r.chrom for r in commands.intersect(a, b)[1].collect()] == ["2"]
+
+
+def test_site_filter_command(spark, tmp_path):
+    from helixspan.plans import cli
+
+    head = "##fileformat=VCFv4.1\n##FORMAT=<ID=GT,Number=1,Type=String,Description=\"g\">\n##FORMAT=<ID=FT,Number=1,Type=String,Description=\"f\">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\tc\n"
+    rows = [(100, ".", "GT:FT", ("0/1:.", ".", "0/1")), (200, "PASS", "GT:FT", ("0/1:x", "0/1:y", "0/1:PASS")), (300, "q10", "GT:FT", ("0/1:x", "0/1:PASS", "0/1:PASS")), (400, ".", "GT", ("0/1", "0/1", "0/1")), (500, "q10", "GT:FT", ("0/1:x", "0/1:x", "."))]
+    (tmp_path / "i.vcf").write_text(head + "".join(f"1\t{p}\t.\tA\tT\t67\t{f}\t.\t{k}\t" + "\t".join(s) + "\n" for p, f, k, s in rows))
+    cli.main(["vcf-site-filter", "-i", str(tmp_path / "i.vcf"), "-f", "0.5", "-o", str(tmp_path / "o")])
+    out = [r.value for r in spark.read.text(str(tmp_path / "o")).collect()]
+    assert any(x.startswith("##FILTER=<ID=sf50,") for x in out)
+    assert [tuple(x.split("\t")[i] for i in (1, 6)) for x in out if x[0] != "#"] == [("100", "PASS"), ("200", "sf50"), ("300", "PASS;q10"), ("500", "q10;sf50")]
+
+
+def test_sort_of_positions(spark, tmp_path):
+    from helixspan.plans import cli
+
+    (tmp_path / "p.txt").write_text("chr10\t5\tx\nchr2\t7\ty\nchr2\t6\tz\n")
+    cli.main(["sort", "-i", str(tmp_path / "p.txt"), "-o", str(tmp_path / "o")])
+    assert [r.value for r in spark.read.text(str(tmp_path / "o")).collect()] == ["chr2\t6\tz", "chr2\t7\ty", "chr10\t5\tx"]
+
+
 def test_text_formats(spark, tmp_path):
     bed = tmp_path / "a.bed"
     bed.write_text("# c\nchr1\t1\t2\ta/0\t50\t-\n\nchr2\t5\t5\t0/acg\t7\t9\n")
