@@ -654,9 +654,11 @@ def match_dense_table(spark, sf_dir):
     return compare.dense_table(compare.mask_counts(_compared(spark, sf_dir)), 3, ["s"])
 
 
-@query(None)
+@query("""WITH x AS (SELECT p_partkey AS id, p_partkey % 5 + 1 AS d, p_partkey % 30 + 1 AS k FROM part)
+ SELECT id || chr(9) || '0' || chr(9) || 'ref' || chr(9) || '1' || chr(9) || '60' || chr(9) || CASE WHEN k <= 11 THEN '20M' ELSE (31 - k) || 'M' || d || 'D' || (k - 11) || 'M' END || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || '*' || chr(9) || '*'
+  || chr(9) || 'ZR:Z:REMAP-ref|1|90-30M' || d || 'D30M,' || k AS line FROM x""")
 def cigar_merge(spark, sf_dir):
-    """Remapped alignment lines; plain Python on tagged lines only (tests hold it against brute force)."""
+    """Alignment lines whose tags place them on a contig with a deletion: the reads of 20 bases that cross it get it in their CIGAR."""
     lines = v.table(spark, sf_dir, "part").select(F.concat_ws(
         "\t", F.col("p_partkey").cast("string"), F.lit("0"), F.lit("ref"), F.lit("1"), F.lit("60"), F.lit("20M"), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"),
         F.format_string("ZR:Z:REMAP-ref|1|90-30M%dD30M,%d", F.col("p_partkey") % 5 + 1, F.col("p_partkey") % 30 + 1),
@@ -664,17 +666,135 @@ def cigar_merge(spark, sf_dir):
     return lines.select(cigar.remapped_lines(F.col("line")).alias("line"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_EDITS}, o AS (SELECT *, pos - 1 AS start_, pos - 1 + length(ref) AS stop_ FROM t),
+ f AS (SELECT *, max(stop_) OVER (PARTITION BY chrom ORDER BY start_, stop_, source, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM o),
+ i AS (SELECT *, sum(CASE WHEN far IS NULL OR start_ >= far THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start_, stop_, source, ord ROWS UNBOUNDED PRECEDING) AS isle FROM f),
+ c AS (SELECT *, min(ord) OVER (PARTITION BY chrom, isle, tp, length(tr)) AS component FROM i),
+ k AS (SELECT *, row_number() OVER (PARTITION BY component, source ORDER BY pos, ord) AS place FROM c)
+ SELECT chrom, first(pos ORDER BY pos, source, ord) AS pos, string_agg(ord, ',' ORDER BY pos, source, ord) AS merged, CAST(count(*) AS INT) AS n_samples, '' AS filters FROM k WHERE place = 1 GROUP BY chrom, component
+ UNION ALL SELECT chrom, pos, CAST(ord AS VARCHAR), 1, 'REJECTED' FROM k WHERE place > 1""")
 def record_merge(spark, sf_dir):
-    """Records of three sources merged by component (tests hold it against small tables)."""
+    """Records of three sources merged by component; those that a source repeats in a component are rejected."""
     e = F.array().cast("array<string>")
     r = _records(spark, sf_dir).withColumns({
         "ids": e, "qual": F.lit(None).cast("double"), "filters": e, "info": F.create_map(F.lit("N"), F.array(F.col("ord").cast("string"))),
         "format": F.array(F.lit("GT")), "samples": F.create_map(F.concat(F.lit("s"), F.col("source").cast("string")), F.create_map(F.lit("GT"), F.lit("0/1"))),
     })
-    return merging.merge_records(r, merging.Strategy(mergers={"N": "uniq-concat"}))
+    out = merging.merge_records(r, merging.Strategy(mergers={"N": "uniq-concat"}, reject_filter="REJECTED"))
+    return out.select("chrom", "pos", F.array_join(F.element_at("info", "N"), ",").alias("merged"), F.size("samples").alias("n_samples"), F.array_join("filters", ";").alias("filters"))
 
 
-@query(None)
+@query("SELECT true AS fits, CAST(100 AS BIGINT) AS n")
 def random_intervals(spark, sf_dir):
-    return text.random_intervals(spark, 100, 7)
+    """What holds for all random rows: their chromosomes, widths and alleles fit each other."""
+    ref, alt = F.substring_index("alleles", "/", 1), F.substring_index("alleles", "/", -1)
+    bases = lambda a: F.when(a == "*", 0).otherwise(F.length(a))
+    fits = F.col("chrom").cast("int").between(1, 21) & (F.col("start") >= 0) & (F.col("stop") - F.col("start") == bases(ref)) & (ref != alt)
+    return text.random_intervals(spark, 100, 7).groupBy(fits.alias("fits")).agg(F.count("*").alias("n"))
+
+
+# --- functions and operators beside those above --------------------------------------------------------
+
+_PREFIX = "coalesce(list_position(list_transform(range(1, greatest(length({0}), length({1}), 1) + 1), lambda i: substr({0}, i, 1) <> substr({1}, i, 1)), true) - 1, length({0}))"
+
+
+@query(f"SELECT id, least({_PREFIX.format('ref', 'alt')}, {_PREFIX.format('ref', 'other')}) AS n FROM (SELECT *, ref || 'T' AS other FROM ({v.SQL_RAW}))")
+def prefix_of_all(spark, sf_dir):
+    return v.raw_alleles(spark, sf_dir).select("id", al.common_prefix_of_all(F.array("ref", "alt", F.concat("ref", F.lit("T")))).alias("n"))
+
+
+@query(f"""WITH x AS (SELECT *, {_PREFIX.format('ref', 'alt')} AS p FROM ({v.SQL_RAW})), y AS (SELECT id, pos, pos - 1 + p AS s,
+ CASE WHEN length(alt) > length(ref) THEN pos - 1 + p + 1 WHEN length(alt) < length(ref) THEN pos - 1 + p + length(ref) ELSE pos - 1 + length(ref) END AS e, length(alt) > length(ref) AS longer FROM x)
+ SELECT id, least(pos, CASE WHEN longer THEN s + 1 ELSE s END) AS start_, greatest(pos, e) AS stop_ FROM y""")
+def indel_span(spark, sf_dir):
+    span = al.indel_aware_span(F.col("pos"), F.col("ref"), F.array("alt"))
+    return v.raw_alleles(spark, sf_dir).select("id", span["start"].alias("start_"), span["stop"].alias("stop_"))
+
+
+@query(_C + "SELECT ord, NOT (gt IN ('0/0', '0/1', '1/1', '1|0', '0/.', '1/2')) AS apart FROM c")
+def gt_disjoint(spark, sf_dir):
+    return v.calls(spark, sf_dir).select("ord", g.disjoint(F.col("gt"), F.lit("0/1")).alias("apart"))
+
+
+@query(_C + f"SELECT ord, {_FILTERED} AS filtered, NOT {_FILTERED} AS unfiltered, true AS either FROM c")
+def filter_modes(spark, sf_dir):
+    ft = F.col("ft")
+    return v.calls(spark, sf_dir).select("ord", *[calls.filter_mode(ft, m).alias(n) for m, n in (("filtered", "filtered"), ("unfiltered", "unfiltered"), ("both", "either"))])
+
+
+@query(_C + "SELECT ord, array_to_string(list_sort(list_distinct(list_filter([ft, 'q10'], lambda x: x <> 'PASS') || ['sf50'])), ';') AS filters FROM c")
+def filter_added(spark, sf_dir):
+    return v.calls(spark, sf_dir).select("ord", F.array_join(calls.add_filter(F.array("ft", F.lit("q10")), F.lit("sf50")), ";").alias("filters"))
+
+
+@query(f"SELECT orderkey, line, start_ % 7 = 0 AS exact, {_TOUCH.replace('a.', '').replace('b.start_', 'b0').replace('b.stop_', 'b1')} AS near FROM (SELECT *, start_ + start_ % 7 AS b0, stop_ + start_ % 7 AS b1 FROM ({v.SQL_A0}))")
+def mergeable_regions(spark, sf_dir):
+    a = v.interval_a0(spark, sf_dir)
+    by = F.col("start") % 7
+    ends = [F.col("start"), F.col("stop"), F.col("start") + by, F.col("stop") + by]
+    return a.select("orderkey", "line", rg.mergeable(*ends, exact=True).alias("exact"), rg.mergeable(*ends).alias("near"))
+
+
+@query(f"SELECT name, start_, stop_, base FROM (SELECT name, unnest(regexp_extract_all(seq, '(A+|C+|G+|T+)', 1)) AS run, generate_subscripts(regexp_extract_all(seq, '(A+|C+|G+|T+)', 1), 1) AS i, seq FROM ({v.SQL_SEQS})) r, "
+       "LATERAL (SELECT CAST(coalesce(length(array_to_string(list_slice(regexp_extract_all(seq, '(A+|C+|G+|T+)', 1), 1, i - 1), '')), 0) AS BIGINT) AS start_) s, LATERAL (SELECT start_ + length(run) AS stop_, substr(run, 1, 1) AS base) t "
+       "WHERE length(run) >= 4 AND base IN ('A', 'T')")
+def homopolymers_of_some_bases(spark, sf_dir):
+    return _ends(sequences.homopolymers(v.sequences(spark, sf_dir), 4, "-AT"))
+
+
+@query(f"""WITH s AS ({v.SQL_SEQS}), v AS (SELECT name, seq, CAST(len(seq) // 2 AS BIGINT) AS mid FROM s WHERE len(seq) >= 40)
+ SELECT 'REMAP-' || name || '|' || (mid - 5) || '|' || (mid + 6) || '|5=1X5=|5|6|' || b AS name, substr(seq, mid - 4, 5) || b || substr(seq, mid + 2, 5) AS seq
+ FROM v, (SELECT unnest(['A', 'G']) AS b) WHERE b <> substr(seq, mid + 1, 1)""")
+def contigs_by_base(spark, sf_dir):
+    s = v.sequences(spark, sf_dir).filter("length(seq) >= 40")
+    rows = s.selectExpr("name AS chrom", "CAST(length(seq) DIV 2 AS BIGINT) AS start", "CAST(length(seq) DIV 2 + 1 AS BIGINT) AS stop", "substr(seq, CAST(length(seq) DIV 2 + 1 AS INT), 1) AS ref", "'R' AS alt")
+    return sequences.base_contigs(rows, s, 5)
+
+
+@query(f"WITH i AS ({v.SQL_INFOS}) SELECT grp, any_value(same) AS same, 'p,q' AS bag, true AS gone, CAST(count(*) AS BIGINT) AS n FROM i GROUP BY grp")
+def merged_by_named_ways(spark, sf_dir):
+    rows = v.infos(spark, sf_dir).withColumn("bag", F.array_sort("bag"))
+    out = info.merged_fields(rows, ["grp"], {"same": "enforce-equal", "bag": "enforce-equal-unordered", "v": "ignore"}, ["ord", "ord2", "ord3"])
+    counts = rows.groupBy("grp").agg(F.count("*").alias("n"))
+    return out.join(counts, "grp").select("grp", F.array_join("same", ",").alias("same"), F.array_join("bag", ",").alias("bag"), F.col("v").isNull().alias("gone"), "n")
+
+
+@query(_AB.replace(v.SQL_A, v.SQL_A.replace("CAST(l_quantity AS BIGINT)", "(CASE WHEN l_orderkey % 97 = 0 THEN 5000 ELSE 1 END) * CAST(l_quantity AS BIGINT)")) + f"SELECT a.chrom, a.start_ AS a_start, a.stop_ AS a_stop, b.start_ AS b_start, b.stop_ AS b_stop FROM a JOIN b ON a.chrom = b.chrom AND {_OVERLAP}")
+def overlap_long(spark, sf_dir):
+    """Some intervals of a are so long that the join uses coarser tiers."""
+    a, b = (f(spark, sf_dir) for f in (v.interval_a, v.interval_b))
+    long = F.when(F.col("orderkey") % 97 == 0, 5000).otherwise(1) * (F.col("stop") - F.col("start"))
+    return overlap.overlap_join(a.withColumn("stop", F.col("start") + long).select("chrom", "start", "stop"), b.select("chrom", "start", "stop"), tiers=2)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def first_of_each_key(spark, sf_dir):
+    return streams.latest_per_key(v.table(spark, sf_dir, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query(_AB + f"SELECT a.chrom, a.start_ AS a_start, a.stop_ AS a_stop, b.start_ AS b_start, b.stop_ AS b_stop FROM a JOIN b ON a.chrom = b.chrom AND {_OVERLAP}")
+def overlap_of_a_stream(spark, sf_dir):
+    a, b = (f(spark, sf_dir).select("chrom", "start", "stop") for f in (v.interval_a, v.interval_b))
+    return streams.overlapping(a, b)
+
+
+@query(f"WITH a AS ({v.SQL_PA}) SELECT orderkey, line, place FROM (SELECT orderkey, line, row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INT), start_, stop_, orderkey, line) AS place FROM a) WHERE place <= 25")
+def first_rows(spark, sf_dir):
+    """The limit over the whole order: the first 25 loci of all."""
+    from pyspark.sql import Window
+
+    order = [natural_key(F.col("chrom")), F.col("start"), F.col("stop"), F.col("orderkey"), F.col("line")]
+    rows = v.point_a(spark, sf_dir).orderBy(*order).limit(25)
+    return rows.select("orderkey", "line", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("place"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS before, event_type FROM events) WHERE event_id < before")
+def out_of_order(spark, sf_dir):
+    e = v.table(spark, sf_dir, "events").select(F.col("event_type").alias("chrom"), F.col("event_id").alias("start"), "user_id")
+    return islands.unsorted_rows(e, ["user_id", "start"]).select("user_id", F.col("start").alias("event_id"))
+
+
+from . import text_queries as _texts  # noqa: E402  (they use the same tables)
+
+QUERIES.update(_texts.QUERIES)
+ORACLES.update(_texts.ORACLES)
