@@ -139,12 +139,13 @@ def reference_mismatches(variants: DataFrame, seqs: DataFrame, ignore_case: bool
     soft-masked bases unless ignore_case. An unknown sequence or a region beyond its end is an
     error text, not a mismatch.
     """
-    r = variants.join(seqs.withColumnRenamed("name", "chrom"), "chrom", "left")
-    found = bases_at(F.col("seq"), F.col("start"), F.col("stop"))
-    found = F.upper(found) if ignore_case else found
-    error = F.when(F.col("seq").isNull(), F.lit("unknown sequence")).when(F.col("stop") > F.length("seq"), F.lit("out of range"))
+    keys = ["chrom", "start", "stop"]
+    there = bases_between(variants.select(*keys).distinct(), seqs, "start", "stop")
+    r = variants.join(there, keys, "left")
+    found = F.upper("_text") if ignore_case else F.col("_text")
+    error = F.when(F.col("_length").isNull(), F.lit("unknown sequence")).when(F.col("stop") > F.col("_length"), F.lit("out of range"))
     r = r.withColumns({"found": found, "error": error})
-    return r.filter(F.col("error").isNotNull() | (F.col("found") != F.upper("ref"))).drop("seq")
+    return r.filter(F.col("error").isNotNull() | (F.col("found") != F.upper("ref"))).drop("_text", "_length")
 
 
 def repeated_left(ref: Column, alt: Column, left: Column) -> Column:

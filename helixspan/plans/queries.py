@@ -277,16 +277,17 @@ def homopolymer_runs(spark, sf_dir):
     return _ends(sequences.homopolymers(v.sequences(spark, sf_dir), 3))
 
 
-_REGIONS = "SELECT name AS chrom, CAST(20 * k AS BIGINT) AS start_, CAST(20 * k + 15 AS BIGINT) AS stop_, seq FROM s, range(0, 3) t(k)"
+_REGIONS = "SELECT name AS chrom, CAST(1000 * k AS BIGINT) AS start_, CAST(1000 * k + 1000 AS BIGINT) AS stop_, seq FROM (SELECT *, unnest(range(0, (len(seq) + 999) // 1000)) AS k FROM s)"
 
 
 def _regions(spark, sf_dir):
-    return v.sequences(spark, sf_dir).select(F.col("name").alias("chrom"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k")).selectExpr(
-        "chrom", "CAST(20 * k AS BIGINT) AS start", "CAST(20 * k + 15 AS BIGINT) AS stop"
+    """The whole of every sequence, in regions of 1000 bases."""
+    return v.sequences(spark, sf_dir).filter("seq <> ''").selectExpr("name AS chrom", "explode(sequence(0, (length(seq) - 1) DIV 1000)) AS k").selectExpr(
+        "chrom", "CAST(1000 * k AS BIGINT) AS start", "CAST(1000 * k + 1000 AS BIGINT) AS stop"
     )
 
 
-@query(f"WITH s AS ({v.SQL_SEQS}), r AS ({_REGIONS})" + """, x AS (SELECT chrom, start_, least(stop_, len(seq)) AS stop_, substr(seq, start_ + 1, 15) AS w FROM r)
+@query(f"WITH s AS ({v.SQL_SEQS}), r AS ({_REGIONS})" + """, x AS (SELECT chrom, start_, least(stop_, len(seq)) AS stop_, substr(seq, start_ + 1, 1000) AS w FROM r)
  SELECT chrom, start_, stop_, len(w) - len(regexp_replace(w, '[AT]', '', 'g')) AS at_bases, len(w) - len(regexp_replace(w, '[CG]', '', 'g')) AS cg_bases FROM x""")
 def token_base_counts(spark, sf_dir):
     out = sequences.token_counts(_regions(spark, sf_dir), v.sequences(spark, sf_dir), ("a/t", "c/g"))
@@ -308,9 +309,14 @@ def _ref_alleles(spark, sf_dir):
     return v.sequences(spark, sf_dir).selectExpr("name AS chrom", "5L AS start", "6L AS stop", "substr('ACGT', CAST(length(seq) % 4 + 1 AS INT), 1) AS ref")
 
 
-@query(f"WITH s AS ({v.SQL_SEQS}), r AS ({_VARIANTS}) SELECT chrom, start_, stop_, ref, substr(seq, 6, 1) AS found, CASE WHEN len(seq) < 6 THEN 'out of range' END AS error FROM r WHERE len(seq) < 6 OR substr(seq, 6, 1) <> ref")
+@query(f"""WITH s AS ({v.SQL_SEQS}), r AS (SELECT *, CAST(5 + 20 * k AS BIGINT) AS start_, substr('ACGT', CAST((len(seq) + k) % 4 + 1 AS INT), 1) AS ref FROM (SELECT *, unnest(range(0, len(seq) // 20 + 1)) AS k FROM s WHERE seq <> ''))
+ SELECT name AS chrom, start_, start_ + 1 AS stop_, ref, substr(seq, start_ + 1, 1) AS found, CASE WHEN len(seq) < start_ + 1 THEN 'out of range' END AS error FROM r WHERE len(seq) < start_ + 1 OR substr(seq, start_ + 1, 1) <> ref""")
 def char_mismatch(spark, sf_dir):
-    return _ends(sequences.reference_mismatches(_ref_alleles(spark, sf_dir), v.sequences(spark, sf_dir)))
+    """Every twentieth base of every sequence, and a place behind the end of some."""
+    s = v.sequences(spark, sf_dir)
+    places = s.filter("seq <> ''").selectExpr("name AS chrom", "length(seq) AS n", "explode(sequence(0, length(seq) DIV 20)) AS k")
+    rows = places.selectExpr("chrom", "CAST(5 + 20 * k AS BIGINT) AS start", "CAST(6 + 20 * k AS BIGINT) AS stop", "substr('ACGT', CAST((n + k) % 4 + 1 AS INT), 1) AS ref")
+    return _ends(sequences.reference_mismatches(rows, s))
 
 
 @query(f"""WITH s AS ({v.SQL_SEQS}), r AS (SELECT *, CASE ref WHEN 'A' THEN 'CC' WHEN 'C' THEN 'G' ELSE 'A' END AS alt FROM ({_VARIANTS}) WHERE len(seq) >= 30),
