@@ -75,11 +75,12 @@ def _layer(points: np.ndarray, width: int) -> np.ndarray:
 
 
 def build(ids: np.ndarray, points: np.ndarray, width: int = WIDTH) -> dict[str, np.ndarray]:
+    exact = {"exact": points} if points.dtype == np.float64 else {}
     points = points.astype(np.float32)
     level = levels(ids, width)
     if len(level):
         level[level.argmax()] = max(1, level.max())
-    out = dict(ids=ids, points=points, graph0=_layer(points, 2 * width))
+    out = dict(ids=ids, points=points, graph0=_layer(points, 2 * width), **exact)
     for l in range(1, int(level.max(initial=0)) + 1):
         own = np.flatnonzero(level >= l)
         links = _layer(points[own], width)
@@ -148,7 +149,7 @@ def find(index: dict[str, np.ndarray], queries: np.ndarray, query_ids: np.ndarra
     for a in range(0, len(queries), 256):
         q = queries[a : a + 256]
         rows, _ = beam(index, q.astype(np.float32), ef)
-        vec = index["points"][np.maximum(rows, 0)].astype(float)
+        vec = index["exact" if "exact" in index else "points"][np.maximum(rows, 0)].astype(float)
         score = np.where(rows >= 0, (vec * q[:, None, :]).sum(2), -np.inf)
         at = np.arange(a, a + len(q))
         best.add(at, score, index["ids"][np.maximum(rows, 0)], query_ids[at])

@@ -7,17 +7,19 @@ of a queue. Because a queue is served in order and without gaps, what queue q ha
 tokens in all is a closed formula, S_q(t): so each document finds its windows from its own place
 in its queue alone, and no task has to run the rounds one after another. When a queue runs dry,
 its share goes to the others in proportion to their weights (a new phase of the formula).
+quantum() and deficit() show a round's terms; tests hold the formula against rounds run one by one.
 
 Windows follow each other without gaps and are cut every `capacity` tokens, so only the very
-last sequence has padding. Weights default to the queues' sizes, which keeps the corpus' own
-proportions in every window.
+last sequence has padding. The targets are given as weights, or are the queues' sizes raised to
+`temperature`: 1 keeps the corpus' own proportions in every window, less raises small sources.
 
 Plan: one scan encodes the texts and writes (part, queue, place in the part's queue, ids) to the
 shared folder; sums by (part, queue) give each part's place in each queue; a join (a broadcast
 while the sums are few, else a shuffle) brings them to the documents.
 
 Defined cases: null text is the empty text (its document is the end id alone); null source is a
-queue of its own; repeated rows are separate documents; an empty table has no pieces.
+queue of its own; very long texts are cut into pieces; repeated rows are separate documents; an
+empty table has no pieces; columns of other names, or names that differ only by case, fall away.
 
 Every source is a queue, however many there are. Beyond max_queues of them the rounds have two
 levels (SharedRounds): sources are dealt to max_queues buckets by hash, rounds over the buckets have
@@ -29,6 +31,7 @@ one name and total for each source.
 from __future__ import annotations
 
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -80,14 +83,26 @@ class Rounds:
         all_w = sum(live)
         return [min(n, s + (t - t0) * w // all_w) for n, s, w in zip(self.totals, served, live)]
 
+    def quantum(self, w: int, q: int) -> Fraction:
+        """Tokens that queue q is due in window w, as long as no queue runs dry in it."""
+        _, _, live = self.phases[self._phase(w * self.window)]
+        return Fraction(self.window * live[q], sum(live))
+
+    def deficit(self, w: int, q: int) -> Fraction:
+        """What queue q carries from window w to the next one: less than a token."""
+        t = (w + 1) * self.window
+        t0, served, live = self.phases[self._phase(t)]
+        return served[q] + Fraction((t - t0) * live[q], sum(live)) - self.served(t)[q]
+
     def served(self, t: int) -> list[int]:
-        if not self.phases:
-            return []
+        return self._served(self._phase(t), t) if self.phases else []
+
+    def _phase(self, t: int) -> int:
         lo, hi = 0, len(self.phases) - 1
         while lo < hi:
             mid = (lo + hi + 1) // 2
             lo, hi = (mid, hi) if self.phases[mid][0] <= t else (lo, mid - 1)
-        return self._served(lo, t)
+        return lo
 
     def at(self, w: int) -> tuple[list[int], list[int], list[int]]:
         """Of window w, by queue: served before it, served after it, place of its part in the whole stream."""
@@ -212,13 +227,15 @@ def encode_queues(docs: DataFrame, vocabulary: str | None = None, end_id: int =
 
 def pack(
     docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, window: int = WINDOW,
-    weights: dict[str, int] | None = None, max_queues: int = MAX_QUEUES, with_ids: bool = False,
+    weights: dict[str, int] | None = None, max_queues: int = MAX_QUEUES, with_ids: bool = False, temperature: float = 1.0,
 ) -> DataFrame:
     """Pieces of documents with their places in sequences; with_ids adds each piece's ids (u16 bytes)."""
     spark = docs.sparkSession
     encoded = encode_queues(docs, vocabulary, end_id)
     sums = encoded.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n"))
     totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row for each source
+    if weights is None and temperature != 1:
+        weights = {q: max(1, round(1000 * n**temperature)) for q, n in totals.items()}
     before = F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = sums.select("part", "queue", F.coalesce(before, F.lit(0)).alias("base"))
     rounds = Rounds(totals, weights, window) if len(totals) <= max_queues else SharedRounds(totals, weights, window, max_queues)
