@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Runs actions with Arrow batches of at most so many rows, where rows hold whole texts or sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def released(run):
+    """run for mapInArrow, which at its end gives the memory back that Arrow holds: Python workers live on into other tasks."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def map_rows(df: DataFrame, fn, schema: str, piece_rows: int = 512) -> DataFrame:
     """mapInArrow with fn(columns: dict[str, list]) -> dict[str, list | pa.Array], in small pieces.
 
@@ -72,7 +95,7 @@ def map_rows(df: DataFrame, fn, schema: str, piece_rows: int = 512) -> DataFrame
                 out = fn({n: piece.column(i) for i, n in enumerate(names)})
                 yield as_batch(out, target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def as_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:

@@ -33,8 +33,9 @@ n m / 2^64 for sets of n and m shingles. Components come from components.compone
 has one row per document.
 
 Defined cases: null text, or text without words, has the empty set and links with nothing;
-repeated rows of one doc_id are one node with several sets and give repeated rows; an empty
-table has no rows.
+repeated rows of one doc_id are one node with several sets and give repeated rows; of very long
+texts all shingles count; an empty table has no rows; columns of other names, or names that differ
+only by case, fall away.
 """
 from __future__ import annotations
 
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, by_place, column_place, doc_columns, stage
+from .common import arrow_schema, batch_rows, by_place, column_place, doc_columns, released, stage
 from .components import components
 
 WORDS = 5
@@ -55,6 +56,7 @@ NEIGHBOURS = 2
 HUBS = 2
 PROPOSALS = 3
 LIST_ROWS = 8192
+BATCH_ROWS = 2048
 PAIRS_AT_ONCE = 500_000
 BROADCAST_IDS = 1_000_000
 FLUSH_ROWS = 100_000
@@ -155,7 +157,7 @@ def _batched(ddl: str, spark, rows_of):
                 cols = rows_of(piece)
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(cols, target)], schema=target)
 
-    return run
+    return released(run)
 
 
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -203,7 +205,7 @@ def _counted(docs: DataFrame, words: int, threshold: int, heavy=None) -> DataFra
                         parts.append(s[k:])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], schema=target)
 
-    return docs.mapInArrow(run, "token bigint").groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") >= HEAVY_COUNT)
+    return docs.mapInArrow(released(run), "token bigint").groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") >= HEAVY_COUNT)
 
 
 def _most(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -291,8 +293,8 @@ def lists(docs: DataFrame, heavy, words: int, threshold: int) -> DataFrame:
         for b in table.filter(pa.array(keep)).to_batches():
             yield b
 
-    entries = docs.mapInArrow(emit, ddl).repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    return stage(entries.mapInArrow(shared, ddl), "lists")
+    entries = docs.mapInArrow(released(emit), ddl).repartition("token").sortWithinPartitions("token", "n", "doc_id")
+    return stage(entries.mapInArrow(released(shared), ddl), "lists")
 
 
 ENTRY = ("token", "slot", "n", "doc_id", "pos", "twin", "label")
@@ -463,7 +465,7 @@ def candidates(entries: DataFrame, star: bool, threshold: int) -> DataFrame:
 
     entries = entries.withColumn("long", F.col("top").isNotNull()).withColumn("top", F.coalesce("top", "label"))
     ordered = entries.select(*names).repartition("token", "slot").sortWithinPartitions("token", "slot", "n", "doc_id")
-    return ordered.mapInArrow(run, "a bigint, b bigint, votes bigint")
+    return ordered.mapInArrow(released(run), "a bigint, b bigint, votes bigint")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: int) -> DataFrame:
@@ -543,6 +545,11 @@ def release(spark) -> None:
 
 def similarity_components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, list_rows: int = LIST_ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        return _components(docs, words, threshold, list_rows)
+
+
+def _components(docs: DataFrame, words: int, threshold: int, list_rows: int) -> DataFrame:
     spark = docs.sparkSession
     docs = doc_columns(docs, "doc_id", "text")
     own = sets(docs, words)
@@ -631,12 +638,15 @@ def one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     kind = docs.schema[name].dataType
     named = with_ids(docs, name)
     every = docs if named is None else named[0]
-    found = similarity_components(every.select(F.col(name).alias("doc_id"), F.col(texts).alias("text")), words, threshold).filter("doc_id = component_id")
-    kept = stage(found.groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows")), "kept")
-    out = every.join(kept.filter("rows = 1"), name, "left_semi").select(*docs.columns)
-    repeated = kept.filter("rows > 1")
+    found = similarity_components(every.select(F.col(name).alias("doc_id"), F.col(texts).alias("text")), words, threshold)
+    # Those that go, and those of more than one row: the few ids that the texts need to meet.
+    kept = F.min(F.col("doc_id") == F.col("component_id"))
+    odd = stage(found.groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows"), kept.alias("kept")).filter("rows > 1 or not kept"), "odd")
+    few = odd.count() <= BROADCAST_IDS
+    out = every.join(F.broadcast(odd.select(name)) if few else odd.select(name), name, "left_anti").select(*docs.columns)
+    repeated = odd.filter("kept").select(name)
     if not repeated.isEmpty():
-        rows = every.join(repeated, name, "left_semi")
+        rows = every.join(F.broadcast(repeated) if few else repeated, name, "left_semi")
         least = rows.groupBy(F.col(name).alias("of")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
         out = out.unionByName(least)
     if named is not None:

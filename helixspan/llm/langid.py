@@ -17,7 +17,8 @@ A word is a run of letters (of Unicode's categories L) with the combining marks
 numerals, superscripts and the like are no letters.
 
 Defined cases: null text, or text without letters, is `und` with score 0. With no labelled rows
-at all, every text is `und`. lang, source and doc_id are never inputs of a prediction. Repeated
+at all, every text is `und`; an empty table has no rows. Very long texts take time and memory in
+proportion to their words. Columns of other names, or names that differ only by case, fall away. lang, source and doc_id are never inputs of a prediction. Repeated
 rows give repeated results.
 """
 from __future__ import annotations
@@ -32,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, by_place, column_place, doc_columns, map_rows
+from .common import arrow_schema, by_place, column_place, doc_columns, map_rows, released
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANG = 1500
 PENALTY = 6.0
 SCRIPT_SHARE = 0.01
 CACHE_WORDS = 120_000
+PIECE = 512
 UNKNOWN = "und"
 
 # First and last code point of the main blocks of scripts.
@@ -293,7 +295,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
         done = shared.value.predict(c["text"].to_pylist(), penalty)
         return {"doc_id": c["doc_id"], "lang_pred": [a for a, _ in done], "score": [b for _, b in done]}
 
-    return map_rows(doc_columns(docs, "doc_id", "text"), run, SCHEMA)
+    return map_rows(doc_columns(docs, "doc_id", "text"), run, SCHEMA, PIECE)
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.05, penalty: float = PENALTY) -> DataFrame:
@@ -307,9 +309,9 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.05, penalty: floa
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                piece = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(i, PIECE)
                 done = shared.value.predict(piece.column(at).to_pylist(), penalty)
                 yield piece.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in done], pa.bool_()))
 
-    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
+    return own.mapInArrow(released(run), own.schema).toDF(*docs.columns)

@@ -9,7 +9,9 @@ into postfix by the shunting-yard algorithm (with binds tighter than and, and ti
 or) and evaluated.
 
 Defined cases: null text is the empty text, with no words and no labels; repeated rows give
-repeated results; an expression that doesn't parse gives the label spdx-invalid and no others.
+repeated results; very long texts take time in proportion to their length; an empty table has no
+rows; columns of other names, or names that differ only by case, fall away; an expression that
+doesn't parse gives the label spdx-invalid and no others.
 """
 from __future__ import annotations
 
