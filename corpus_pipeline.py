@@ -1,7 +1,8 @@
 """A training corpus from documents: language, near duplicates, private data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet and
-reads again for the next one. All but the last return the columns of documents.
+reads again for the next one. All but the last return the columns of documents, whatever further
+ones these have. Every stage works on whole texts, however long, and keeps an empty table empty.
 """
 from __future__ import annotations
 
@@ -12,7 +13,10 @@ from helixspan.llm.common import stage, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (null, no letters, or hardly any likelihood)."""
+    """Drops documents without a language (null, no letters, or hardly any likelihood).
+
+    Null ids, languages and sources don't matter; repeated rows stay or go together.
+    """
     return langid.keep_known(docs, langid.train(docs))
 
 
@@ -25,12 +29,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces private values by format-preserving pseudonyms."""
+    """Replaces private values by format-preserving pseudonyms; every row stays, null texts stay null, n_chars follows the text."""
     return pii.pseudonymise_column(docs, pii.session_key(spark))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' ids into training sequences."""
+    """Packs the documents' ids into training sequences; null texts are empty, null sources a queue, repeated rows separate documents."""
     return packing.pack(docs)
 
 
