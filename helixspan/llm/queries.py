@@ -13,7 +13,7 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), temperature=0.7)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def spaced_pieces(text: str) -> list:
     return out
 
 
-class _Rows(dict):
+class Rows(dict):
     """Row number by piece; new pieces get the next number and are noted."""
 
     def __init__(self):
@@ -56,8 +56,13 @@ class _Rows(dict):
         i = self[piece] = len(self)
         return i
 
+    def noted(self) -> list:
+        """The new pieces since the last call."""
+        new, self.todo = self.todo, []
+        return new
 
-class _Grown:
+
+class Grown:
     """A numpy array that grows at its end."""
 
     def __init__(self, dtype):
@@ -100,9 +105,9 @@ class Encoder:
         return word_pieces(text) if self.words else spaced_pieces(text)
 
     def reset(self) -> None:
-        self.rows = _Rows()
+        self.rows = Rows()
         self.rows[None] = 0
-        self.first, self.size, self.flat = _Grown(np.int64), _Grown(np.int32), _Grown(np.uint16)
+        self.first, self.size, self.flat = Grown(np.int64), Grown(np.int32), Grown(np.uint16)
         self.room = CACHE_BYTES
         self._put(np.array([0]), np.array([1]), np.array([self.end]))
 

@@ -56,7 +56,7 @@ def crc(ids):
 
 def test_wavelet_matrix_answers():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 7, 511, 512, 513, 3000):
+    for n in (0, 1, 7, 511, 512, 513, 3000, 300_000):
         ids = rng.integers(0, 50, n).astype(np.uint16) * 999
         names, lengths, w = wavelet.from_image(wavelet.to_image([None, 5], [n, 0], ids))
         assert names == [None, 5] and lengths.tolist() == [n, 0] and (w.all() == ids).all()
@@ -65,6 +65,9 @@ def test_wavelet_matrix_answers():
             token = int(ids[n // 2])
             assert w.count(token) == (ids == token).sum() and w.occurrences(token).tolist() == np.flatnonzero(ids == token).tolist()
             assert w.rank(token, n // 2) == (ids[: n // 2] == token).sum()
+            assert (w.access(np.array([0, n - 1, n // 3])) == ids[[0, n - 1, n // 3]]).all()
+            _, _, fresh = wavelet.from_image(wavelet.to_image([None, 5], [n, 0], ids))
+            assert fresh.access(0)[0] == ids[0] and sum(len(p.blocks) for p in fresh.planes) <= 2 * fresh.bits  # only what it touches
             with pytest.raises(IndexError):
                 w.select(token, w.count(token))
 
@@ -110,6 +113,33 @@ def test_packing(unique_docs, docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 1}, {"a": 1, "b": 1, "c": 7}, None])
+def test_packing_is_deficit_round_robin(weights):
+    """The closed formula against rounds that are run one by one, until the first queue runs dry."""
+    totals = {"a": 40_000, "b": 31_000, "c": 9_000}
+    r = packing.Rounds(totals, weights, window=997)
+    w = weights or totals
+    carried, sent = dict.fromkeys(w, packing.Fraction(0)), dict.fromkeys(w, 0)
+    for k in range(10_000):
+        due = {q: carried[q] + packing.Fraction(997 * w[q], sum(w.values())) for q in w}
+        if any(sent[q] + due[q] >= totals[q] for q in w):
+            break
+        before = [sent[q] for q in r.names]
+        for q in w:
+            sent[q] += int(due[q])
+            carried[q] = due[q] - int(due[q])
+        assert r.at(k)[:2] == (before, [sent[q] for q in r.names])
+        assert all(r.deficit(k, r.place[q]) == carried[q] < 1 and r.quantum(k, r.place[q]) == packing.Fraction(997 * w[q], sum(w.values())) for q in w)
+    assert k > 5
+
+
+def test_packing_temperature(spark):
+    docs = spark.createDataFrame([(i, "big" if i < 160 else "small", "the of and to " * 50) for i in range(170)], "doc_id bigint, source string, text string")
+    first = packing.pack(docs, window=512, capacity=128, temperature=0.5).filter("sequence_id < 4").groupBy("queue").agg(F.sum("length").alias("n"))
+    got = {r.queue: r.n for r in first.collect()}
+    assert abs(got["big"] / got["small"] - 4) < 0.3
+
+
 def test_packing_keeps_proportions():
     r = packing.Rounds({"a": 60_000, "b": 30_000, "c": 10_000}, window=1000)
     for w in range(100):
@@ -548,6 +578,10 @@ def test_hnsw(vectors, spark):
     assert np.mean(hits) >= 0.9
     for q, v in got.items():
         assert [s for _, _, s in sorted(v)] == sorted((s for _, _, s in v), reverse=True)
+    double = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("embedding", F.transform("embedding", lambda x: x + 1e-12))
+    exact = {r.vec_id: r.embedding for r in double.collect()}
+    for r in hnsw.top_k(double.filter("vec_id < 60"), k=5).collect():
+        assert abs(r.score - float(np.array(exact[r.query_id]) @ np.array(exact[r.vec_id]))) < 1e-14
     none = spark.createDataFrame([], vectors.schema)
     assert hnsw.top_k(none).count() == 0 and balltree.top_k(balltree.scaled(none)).count() == 0
 
@@ -559,15 +593,29 @@ def test_bpe(docs, empty):
     ranks = bpe.load_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
     ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     digest = lambda b: hashlib.sha256(b).hexdigest()
-    small = docs.filter("doc_id <> 60")
-    for common in (1000, 5):
-        for r in bpe.encode_and_decode(small, common=common, with_ids=True).join(small.select("doc_id", "text").distinct(), "doc_id").collect():
+    rng = np.random.default_rng(8)
+    long = [(1000, "".join(rng.choice(list("abcdeinrst"), 1_000_000))), (1001, "".join(rng.choice(list("abcdeinrsté"), 800))), (1002, "x" * 3000), (1003, " " * 5000 + "a"), (1004, "漢字" * 400)]
+    docs = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(long, "doc_id bigint, text string")).cache()
+    for common in (1000, 5, 0):
+        found = bpe.encode_and_decode(docs, common=common, with_ids=True).join(docs.distinct(), "doc_id").collect()
+        assert len(found) == docs.count()
+        for r in found:
             ids = ref.encode_ordinary(r.text or "")
             assert r.ids == ",".join(map(str, ids)) and r.n_tokens == len(ids)
             assert r.ids_sha256 == digest(r.ids.encode()) and r.decoded_sha256 == digest((r.text or "").encode())
     assert bpe.encode_and_decode(empty).count() == 0
 
 
+def test_bpe_heap_merges_as_the_fold(spark):
+    ranks = bpe.load_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdeinrsté 1."), int(n))) for n in rng.integers(1, 60, 200)]
+    got = spark.createDataFrame([(words,)], "words array<string>").select(bpe.encode_words(F.col("words"), ranks).alias("ids"))
+    rows = got.withColumn("bytes", bpe.decode_ids(F.col("ids"), ranks)).first()
+    for w, ids, raw in zip(words, rows.ids, rows.bytes):
+        assert ids == bpe.heap_merge(ranks, w.encode()) and bytes(raw) == w.encode()
+
+
 def test_licenses(docs, empty):
     scan = lambda t: licenses.scan_text(licenses.build_automaton(licenses.BASE_PHRASES, licenses.NOTICE_PHRASES), t)
     n, places, first, last, base, labels, _, score = scan("All rights\nreserved. (CC-BY) cc by cc by, GNU General-Public  License v3")
