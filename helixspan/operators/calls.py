@@ -108,8 +108,8 @@ def reheadered(samples: Column, names: list[str]) -> Column:
 
 
 def mirrored(calls: DataFrame, source: int, tag: str) -> DataFrame:
-    """The calls, with those of one source once more under their name with a tag."""
-    own = calls.filter(F.col("source") == source).withColumn("sample", F.concat_ws("-", "sample", F.lit(tag)))
+    """The calls, with those of one source once more under their name and a suffix."""
+    own = calls.filter(F.col("source") == source).withColumn("sample", F.concat("sample", F.lit(tag)))
     return calls.unionByName(own)
 
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -40,17 +41,23 @@ def _parser() -> argparse.ArgumentParser:
     add("vcf-filter", (("-i", "--input"), need), (("-d", "--min-depth"), dict(type=int, default=0)))
     add("vcf-site-filter", (("-i", "--input"), need), (("-f", "--fraction"), dict(type=float, default=1.0)))
     add("vcf-remove-filtered-gt", (("-i", "--input"), need), (("-w", "--whitelist"), dict(nargs="*", default=[])))
-    add("vcf-merge", (("-i", "--input"), many), (("-M", "--strategy"), {}), (("-s", "--merge-samples"), flag), (("-c", "--clear-filters"), flag), (("-e", "--exact-pos"), flag), (("-P", "--priority"), dict(default="order")), (("-R", "--consensus"), dict(type=float)), (("--allow-same-file",), flag), (("--reject-filter-name",), dict(default="MERGE_REJECT")))
-    add("vcf-compare", (("-i", "--input"), many), (("-I", "--include-ref"), flag), (("-F", "--filter-mode"), dict(nargs="*", default=[])))
+    add("vcf-merge", (("-i", "--input"), dict(nargs="*", default=[])), (("-M", "--strategy"), {}), (("-s", "--merge-samples"), flag), (("-c", "--clear-filters"), flag), (("-e", "--exact-pos"), flag), (("-P", "--priority"), dict(default="order")), (("-R", "--consensus"), {}), (("-D", "--duplicate-samples"), dict(action="append", default=[])), (("-N", "--normalize-indels"), {}), (("--print-stats",), flag), (("--allow-same-file",), flag), (("--reject-filter-name",), dict(default="MERGE_REJECT")))
+    add("vcf-compare", (("-i", "--input"), many), (("-I", "--include-ref"), flag), (("-F", "--filter-mode"), dict(nargs="*", default=[])), (("-n", "--name"), dict(nargs="*", default=[])), (("-s", "--sample-name"), dict(nargs="*", default=[])), (("-d", "--result-dir"), {}), (("-r", "--sample-rename-file"), {}), (("-R", "--rename-sample"), dict(action="append", default=[])), (("-e", "--exact-format"), dict(default="EXSEC")), (("-p", "--partial-format"), dict(default="PXSEC")))
+    add("make-contigs", (("-b", "--bed"), need), (("-f", "--fasta"), need), (("-p", "--pad"), dict(type=int, default=0)))
     add("vcf-report", (("-i", "--input"), need), (("-I", "--info"), dict(nargs="*", default=[])))
     return p
 
 
-def _read_vcf(spark, paths):
+def _read_vcf(spark, paths, suffixes=None, names=None):
+    """suffixes: by path, under which its samples appear once more; names: new names of samples."""
     header, rows = None, None
     for i, path in enumerate(paths):
         h = vcf.read_header(spark, path)
+        if names:
+            h = h.rename(names)
         r = vcf.read_rows(spark, path, h, i).withColumn("ord", F.col("ord") * len(paths) + i)
+        if suffix := (suffixes or {}).get(path):
+            h, r = h.mirror(suffix), commands.mirrored(r, suffix)
         header, rows = (h, r) if header is None else (header.merge(h), rows.unionByName(r))
     return header, rows
 
@@ -102,6 +109,12 @@ def main(argv: list[str] | None = None) -> None:
                     rows = text.read_bed(spark, path).withColumn("alleles", F.try_element_at("extra", F.lit(1)))
                 frames.append(rows.select("chrom", "start", "stop", "alleles", "line"))
             sinks.write_bed(commands.sort(frames, o.unique), o.output)
+    elif c == "make-contigs":
+        rows = text.read_bed(spark, o.bed)
+        regions = rows.select(F.try_element_at("extra", F.lit(1)).alias("transcript"), "chrom", "start", "stop")
+        contigs = commands.make_contigs(regions, text.read_fasta(spark, o.fasta), o.pad)
+        heading = F.concat_ws("|", F.concat(F.lit(">REMAP-"), "chrom"), F.col("start").cast("string"), F.col("stop").cast("string"), "cigar", "transcript")
+        contigs.select(F.concat_ws("\n", heading, "contig").alias("value")).write.mode("overwrite").text(o.output)
     elif c == "wig2bed":
         sinks.write_bed(commands.wig_to_bed(text.read_wiggle(spark, o.wiggle), o.strip_chr, o.nonzero), o.output, ["value"])
     elif c == "vcf2raw":
@@ -111,10 +124,43 @@ def main(argv: list[str] | None = None) -> None:
         _variants(spark, o)
 
 
+_PRIORITIES = {"o": "order", "u": "unfiltered", "f": "filtered"}
+
+
+def _consensus(option: str | None) -> tuple[float | None, str, str]:
+    """RATIO,FILTER,DESCRIPTION; a ratio alone has the default filter."""
+    if not option:
+        return None, "CNS", ""
+    ratio, _, rest = option.partition(",")
+    name, _, about = rest.partition(",")
+    if not 0 <= float(ratio) <= 1 or (rest and not (name and about)):
+        raise ValueError(f"-R takes RATIO,FILTER,DESCRIPTION with a ratio from 0 to 1, not {option!r}")
+    return float(ratio), commands.calls.valid_filter_name(name or "CNS"), about or "Sample consensus filter"
+
+
 def _variants(spark, o) -> None:
     c = o.command
     paths = [o.vcf] if c == "vcf-annotate-homopolymers" else o.input if isinstance(o.input, list) else [o.input]
-    header, rows = _read_vcf(spark, paths)
+    suffixes, names = {}, {}
+    if c == "vcf-merge":
+        for item in o.duplicate_samples:
+            path, sep, suffix = item.rpartition("=")
+            if not sep:
+                raise ValueError(f"-D takes FILE=SUFFIX, not {item!r}")
+            suffixes[path] = suffix
+        paths = [*paths, *(p for p in suffixes if p not in paths)]
+        if not paths:
+            raise ValueError("no input files")
+    elif c == "vcf-compare":
+        names = text.read_pairs(o.sample_rename_file) if o.sample_rename_file else {}
+        for item in o.rename_sample:
+            old, sep, new = item.partition("=")
+            if not old or not new:
+                raise ValueError(f"-R takes OLD=NEW, not {item!r}")
+            names[old] = new
+        if len(paths) < 2:
+            raise ValueError("at least two input files are needed")
+    header, rows = _read_vcf(spark, paths, suffixes, names)
     if c == "vcf-normalize-indels":
         rows = commands.vcf_normalize_indels(rows, text.read_fasta(spark, o.fasta))
     elif c == "vcf-annotate":
@@ -136,14 +182,40 @@ def _variants(spark, o) -> None:
     elif c == "vcf-merge":
         lines = [f"{k}={v}" for k, v in text.read_pairs(o.strategy).items()] if o.strategy else []
         fields = {k: merging.Field(f.number, f.type) for k, f in header.info.items()}
+        ratio, cns, about = _consensus(o.consensus)
         s = merging.Strategy.parse(
-            lines, fields=fields, merge_samples=o.merge_samples, clear_filters=o.clear_filters, exact_position=o.exact_pos, priority=o.priority,
-            consensus=o.consensus, allow_same_source=o.allow_same_file, reject_filter=o.reject_filter_name, declared=header.sources,
+            lines, fields=fields, merge_samples=o.merge_samples, clear_filters=o.clear_filters, exact_position=o.exact_pos, priority=_PRIORITIES.get(o.priority, o.priority),
+            consensus=ratio, consensus_filter=cns, allow_same_source=o.allow_same_file, reject_filter=o.reject_filter_name, declared=header.sources,
         )
+        header.filters[o.reject_filter_name] = "Rejected by the merge: its file has another record of this locus"
+        if ratio:
+            header.filters[cns] = about
+            header.format.setdefault("FT", vcf.FieldType("FT", "1", "String", "Sample filter status"))
+        if o.print_stats:
+            for r in commands.merge_stats(rows).collect():
+                print(*r, sep="\t", file=sys.stderr)
         rows = commands.vcf_merge(rows, s)
+        if o.normalize_indels:
+            rows = commands.vcf_normalize_indels(rows, text.read_fasta(spark, o.normalize_indels))
     elif c == "vcf-compare":
         modes = dict(enumerate(o.filter_mode))
-        table, _ = commands.vcf_compare(rows, len(paths), header.samples, modes, o.include_ref)
+        if o.name and len(o.name) != len(paths):
+            raise ValueError("as many names as input files are needed")
+        if missing := [s for s in o.sample_name if s not in header.samples]:
+            raise ValueError(f"no input file has {', '.join(missing)}")
+        samples = o.sample_name or [s for s, n in header.sources.items() if n == len(paths)]
+        if not samples:
+            raise ValueError("the input files have no sample in common")
+        labels = o.name or paths
+        table, vectors = commands.vcf_compare(rows, len(paths), samples, modes, o.include_ref)
+        bit = lambda i: F.call_function("shiftright", F.col("mask"), F.lit(i)).bitwiseAND(F.lit(1).cast("bigint")) == 1
+        table = table.withColumn("names", F.array_join(F.array_compact(F.array(*[F.when(bit(i), F.lit(n)) for i, n in enumerate(labels)])), ","))
+        if o.result_dir:
+            for key, about in ((o.exact_format, "Exact match indicator"), (o.partial_format, "Partial match indicator")):
+                header.format[key] = vcf.FieldType(key, str(len(paths)), "Integer", about)
+            marked = commands.with_match_fields(rows, vectors, o.exact_format, o.partial_format)
+            for i, name in enumerate(labels):
+                sinks.write_vcf(marked.filter(F.col("source") == i), header, f"{o.result_dir}/{i}-{name.rsplit('/', 1)[-1]}")
         return sinks.write_report(table, o.output)
     elif c == "vcf-report":
         site, sample = commands.vcf_report(rows, o.info)

@@ -171,6 +171,17 @@ def vcf_compare(rows: DataFrame, n_files: int, samples: list[str], modes: dict[i
     return compare.dense_table(compare.mask_counts(c), n_files, samples), compare.match_vectors(c, n_files)
 
 
+def with_match_fields(rows: DataFrame, vectors: DataFrame, exact: str = "EXSEC", partial: str = "PXSEC") -> DataFrame:
+    """Records whose compared samples have the match vectors as two more fields."""
+    entry = F.struct("sample", F.struct(F.array_join("exact", ",").alias("e"), F.array_join("partial", ",").alias("p")))
+    found = vectors.groupBy("source", F.col("record").alias("ord")).agg(F.map_from_entries(F.collect_list(entry)).alias("_found"))
+    out = rows.join(found, ["source", "ord"], "left")
+    own = lambda k: F.try_element_at("_found", k)
+    more = F.transform_values("samples", lambda k, c: F.when(own(k).isNull(), c).otherwise(F.map_concat(c, F.create_map(F.lit(exact), own(k)["e"], F.lit(partial), own(k)["p"]))))
+    form = F.when(F.col("_found").isNull(), F.col("format")).otherwise(F.concat("format", F.array(F.lit(exact), F.lit(partial))))
+    return out.withColumns({"samples": F.when(F.col("_found").isNull(), F.col("samples")).otherwise(more), "format": form}).select(*rows.columns)
+
+
 def _with_samples(rows: DataFrame, keep) -> DataFrame:
     return rows.withColumn("samples", F.map_filter("samples", keep))
 
@@ -202,6 +213,20 @@ def vcf_merge(rows: DataFrame, strategy: merging.Strategy = merging.Strategy())
     return merging.merge_records(rows, strategy)
 
 
+def mirrored(rows: DataFrame, suffix: str) -> DataFrame:
+    """Records with every sample once more under its name and a suffix."""
+    again = F.transform_keys("samples", lambda k, v: F.concat(k, F.lit(suffix)))
+    return rows.withColumn("samples", F.map_concat("samples", again))
+
+
+def merge_stats(rows: DataFrame) -> DataFrame:
+    """Sizes of the groups of overlapping records, and of those that edit one region."""
+    c = merging.with_components(rows)
+    kinds = (("overlapping", ["chrom", "island"]), ("one region", ["component"]))
+    parts = [islands.bundle_stats(c.groupBy(*keys).agg(F.count("*").alias("n"))).select(F.lit(kind).alias("kind"), "*") for kind, keys in kinds]
+    return parts[0].unionByName(parts[1])
+
+
 def vcf_normalize_indels(rows: DataFrame, seqs: DataFrame) -> DataFrame:
     """Left-aligned records, padded again where an allele would be empty; others as they are."""
     key = rows.withColumn("a_id", F.struct("source", "ord"))

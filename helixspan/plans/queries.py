@@ -566,7 +566,7 @@ def array_reheader(spark, sf_dir):
 
 @query(_C + "SELECT sample, count(*) AS n FROM (SELECT sample FROM c UNION ALL SELECT sample || '-dup' FROM c WHERE source = 1) GROUP BY sample")
 def sample_mirror(spark, sf_dir):
-    return calls.mirrored(v.calls(spark, sf_dir), 1, "dup").groupBy("sample").agg(F.count("*").alias("n"))
+    return calls.mirrored(v.calls(spark, sf_dir), 1, "-dup").groupBy("sample").agg(F.count("*").alias("n"))
 
 
 @query(_C + "SELECT CASE sample WHEN 's1' THEN 'one' WHEN 's2' THEN 'two' ELSE sample END AS sample, count(*) AS n FROM c GROUP BY 1")

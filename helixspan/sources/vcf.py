@@ -117,9 +117,10 @@ class Header:
         return out
 
     def mirror(self, tag: str) -> "Header":
-        """Every sample once more under its name with a tag."""
-        names = [f"{s}-{tag}" for s in self.samples]
-        return Header(self.meta, self.info, self.format, self.filters, self.sample_tags, [*self.samples, *names], {**self.sources, **dict.fromkeys(names, 1)})
+        """Every sample once more under its name and a suffix, with its tag line if it has one."""
+        names = [f"{s}{tag}" for s in self.samples]
+        tags = {f"{s}{tag}": re.sub(r"\bID=[^,>]*", lambda m: f"ID={s}{tag}", v, count=1) for s, v in self.sample_tags.items() if s in self.samples}
+        return Header(self.meta, self.info, self.format, self.filters, {**self.sample_tags, **tags}, [*self.samples, *names], {**self.sources, **dict.fromkeys(names, 1)})
 
     def rename(self, names: dict[str, str]) -> "Header":
         new = [names.get(s, s) for s in self.samples]

@@ -106,7 +106,7 @@ def test_headers():
         h.merge(other)
     m = h.merge(vcf.Header(samples=["t", "u"], sources={"t": 1, "u": 1}))
     assert m.samples == ["s", "t", "u"] and m.sources == {"s": 1, "t": 2, "u": 1}
-    assert h.mirror("x").samples == ["s", "t", "s-x", "t-x"] and h.rename({"s": "a"}).samples == ["a", "t"]
+    assert h.mirror("-x").samples == ["s", "t", "s-x", "t-x"] and h.rename({"s": "a"}).samples == ["a", "t"]
     with pytest.raises(ValueError):
         h.rename({"s": "t"})
     with pytest.raises(ValueError):

@@ -216,3 +216,50 @@ def test_cli(spark, tmp_path):
     (tmp_path / "a.bed").write_text("1\t0\t5\tx\n1\t4\t9\ty\n")
     cli.main(["bed-merge", "-i", str(tmp_path / "a.bed"), "-n", "-c", "-o", str(tmp_path / "out")])
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["1\t0\t9\tX;Y\t2"]
+
+
+def write_vcf(path, samples, rows):
+    head = '##fileformat=VCFv4.1\n##FORMAT=<ID=GT,Number=1,Type=String,Description="g">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t' + "\t".join(samples)
+    path.write_text("\n".join([head, *(f"1\t{p}\t.\t{r}\t{a}\t.\t.\t.\tGT\t" + "\t".join(c) for p, r, a, c in rows)]) + "\n")
+    return str(path)
+
+
+def test_merge_and_compare_commands(spark, tmp_path, capsys):
+    from helixspan.plans import cli
+
+    a = write_vcf(tmp_path / "a.vcf", ["s", "t"], [(10, "A", "C", ("0/1", "1/1")), (20, "G", "T", ("0/1", "."))])
+    b = write_vcf(tmp_path / "b.vcf", ["s", "u"], [(10, "A", "C", ("0/1", "0/0")), (30, "C", "T", ("1/1", "0/1"))])
+    lines = lambda p: [r.value for r in spark.read.text(str(p)).collect()]
+    out = str(tmp_path / "m")
+    cli.main(["vcf-merge", "-i", b, "-D", f"{a}=-again", "-s", "-R", "0.9,CNS,agreement", "-P", "u", "--print-stats", "-o", out])
+    got = lines(out)
+    assert [x for x in got if x.startswith("##FILTER=<ID=CNS")] and [x for x in got if x.startswith("##FORMAT=<ID=FT")] and any("MERGE_REJECT" in x for x in got)
+    head = next(x for x in got if x.startswith("#CHROM")).split("\t")[9:]
+    assert sorted(head) == ["s", "s-again", "t", "t-again", "u"]
+    rows = {x.split("\t")[1]: dict(zip(head, x.split("\t")[9:])) for x in got if x[0] != "#"}
+    assert rows["10"]["s-again"].startswith("0/1") and rows["10"]["t-again"].startswith("1/1") and rows["30"]["u"].startswith("0/1")
+    assert "one region" in capsys.readouterr().err
+    with pytest.raises(ValueError):
+        cli.main(["vcf-merge", "-i", a, b, "-R", "2,CNS,x", "-o", out])
+    with pytest.raises(ValueError):
+        cli.main(["vcf-merge", "-i", a, b, "-R", "0.5,CNS", "-o", out])
+    res, rep = str(tmp_path / "d"), str(tmp_path / "r")
+    cli.main(["vcf-compare", "-i", a, b, "-R", "t=v", "-n", "one", "two", "-d", res, "-e", "EX", "-o", rep])
+    table = spark.read.option("sep", "\t").option("header", True).csv(rep).collect()
+    assert "s" in table[0].asDict() and "v" not in table[0].asDict()
+    counts = {(r.names, r.kind): int(r.s) for r in table}
+    assert counts["one,two", "exact_match"] == 1 and counts["one", "exact_match"] == 1 and counts["two", "exact_match"] == 1
+    row = next(x for x in lines(f"{res}/0-one") if x.startswith("1\t10"))
+    assert row.split("\t")[8] == "GT:EX:PXSEC" and row.split("\t")[9].startswith("0/1:1,1")
+    with pytest.raises(ValueError):
+        cli.main(["vcf-compare", "-i", a, b, "-s", "nobody", "-o", rep])
+
+
+def test_make_contigs_command(spark, tmp_path):
+    from helixspan.plans import cli
+
+    (tmp_path / "a.fa").write_text(">c\nACGTACGTACGTACGTACGT\n")
+    (tmp_path / "a.bed").write_text("c\t2\t5\tt1\nc\t8\t12\tt1\n")
+    cli.main(["make-contigs", "-b", str(tmp_path / "a.bed"), "-f", str(tmp_path / "a.fa"), "-o", str(tmp_path / "o")])
+    got = [r.value for r in spark.read.text(str(tmp_path / "o")).collect()]
+    assert got[0].startswith(">REMAP-c|2|12|3M3N4M|") and got[1] == "GTAACGT"
