@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 
 def natural_key(name: Column) -> Column:
-    """Digit runs padded to 20 places, so that text order is natural order: 1 < 2 < 10 < MT < X.
+    """Digit runs padded to 20 places, so that text order is natural order: 1 < 2 < 10 < MT < X. Of longer runs the last 20 count.
 
     Names that differ only in leading zeros tie; add the name itself as a later sort key.
     """
-    runs = F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"), 1)
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(x)), "")
+    padded = F.regexp_replace(name, "([0-9]+)", "0" * 20 + "$1")
+    return F.regexp_replace(padded, "[0-9]*([0-9]{20})(?![0-9])", "$1")
 
 
 def locus_order(chrom="chrom", start="start", stop="stop") -> list[Column]:

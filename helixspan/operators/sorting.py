@@ -14,7 +14,9 @@ def sorted_union(frames: list[DataFrame], ordinal: str | None = None, unique: bo
     rows = union_all(frames)
     if unique:
         rows = distinct_loci(rows, allele, [ordinal] if ordinal else [])
-    return rows.orderBy(*locus_order(), *([F.col(ordinal)] if ordinal else []))
+    key, *rest = locus_order()
+    rows = rows.withColumn("_key", key)  # once for each row: sampling, dealing out and sorting then read it
+    return rows.orderBy("_key", *rest, *([F.col(ordinal)] if ordinal else [])).drop("_key")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
