@@ -183,6 +183,8 @@ def _variants(spark, o) -> None:
         lines = [f"{k}={v}" for k, v in text.read_pairs(o.strategy).items()] if o.strategy else []
         fields = {k: merging.Field(f.number, f.type) for k, f in header.info.items()}
         ratio, cns, about = _consensus(o.consensus)
+        if unknown := [r.key for r in vcf.undeclared(rows, header).limit(5).collect()]:
+            raise ValueError(f"fields that no header declares: {', '.join(sorted(unknown))}")
         s = merging.Strategy.parse(
             lines, fields=fields, merge_samples=o.merge_samples, clear_filters=o.clear_filters, exact_position=o.exact_pos, priority=_PRIORITIES.get(o.priority, o.priority),
             consensus=ratio, consensus_filter=cns, allow_same_source=o.allow_same_file, reject_filter=o.reject_filter_name, declared=header.sources,

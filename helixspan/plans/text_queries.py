@@ -155,6 +155,17 @@ def vcf_undeclared_fields(spark, sf_dir):
     return vcf.undeclared(_records(spark, sf_dir), vcf.Header())
 
 
+@query(f"SELECT pos, CAST(dp AS BIGINT) AS \"DP\", true AS \"DB\" FROM ({_RECORDS})")
+def vcf_typed_info(spark, sf_dir):
+    return vcf.typed_info(_records(spark, sf_dir), _header(), ["DP", "DB"]).select("pos", "DP", "DB")
+
+
+@query(f"SELECT chrom, pos, 'DP' AS key, CASE WHEN qual % 7 = 0 THEN 'many' ELSE '1,2' END AS value FROM ({_RECORDS}) WHERE qual % 7 IN (0, 1)")
+def vcf_ill_typed_info(spark, sf_dir):
+    dp = F.when(F.col("qual") % 7 == 0, F.array(F.lit("many"))).when(F.col("qual") % 7 == 1, F.array(F.lit("1"), F.lit("2"))).otherwise(F.array(F.lit("1")))
+    return vcf.ill_typed(_records(spark, sf_dir).withColumn("info", F.create_map(F.lit("DP"), dp)), _header())
+
+
 @query(f"SELECT chrom, CAST(qual AS BIGINT) AS dp, gt FROM ({_RECORDS})")
 def vcf_calls_in_long_form(spark, sf_dir):
     rows = _records(spark, sf_dir).withColumn("samples", F.transform_values("samples", lambda k, c: F.map_concat(c, F.create_map(F.lit("DP"), F.get(F.element_at("info", "DP"), F.lit(0))))))

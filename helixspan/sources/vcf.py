@@ -188,6 +188,41 @@ def undeclared(rows: DataFrame, header: Header) -> DataFrame:
     return found.filter(~F.col("key").isin(known)) if known else found
 
 
+# Types of INFO and FORMAT fields and what they are here.
+TYPES = {"Integer": "bigint", "Float": "double", "Flag": "boolean", "Character": "string", "String": "string"}
+
+
+def typed(values: Column, kind: str) -> Column:
+    """A field's values (array of texts) in its declared type; what doesn't fit is missing. A flag that is there is true."""
+    if kind == "Flag":
+        return F.when(values.isNotNull(), F.array(F.lit(True)))
+    return F.transform(values, lambda x: x.try_cast(TYPES.get(kind, "string")))
+
+
+def typed_info(rows: DataFrame, header: Header, names: list[str]) -> DataFrame:
+    """rows with a column for each named INFO field, in its declared type: one value, or an array where several are declared."""
+    out = {}
+    for name in names:
+        f = header.info[name]
+        values = typed(F.try_element_at("info", F.lit(name)), f.type)
+        out[name] = F.coalesce(F.get(values, F.lit(0)), F.lit(False)) if f.type == "Flag" else F.get(values, F.lit(0)) if f.number == "1" else values
+    return rows.withColumns(out)
+
+
+def ill_typed(rows: DataFrame, header: Header) -> DataFrame:
+    """(chrom, pos, key, value): INFO values that don't have their field's declared type or number (a validator)."""
+    if not header.info:
+        return rows.select("chrom", "pos", F.lit("").alias("key"), F.lit("").alias("value")).filter("false")
+    table = lambda of: F.create_map(*[F.lit(x) for k, f in header.info.items() for x in (k, of(f))])
+    v = rows.select("chrom", "pos", F.size("alts").alias("n"), F.explode("info").alias("key", "values"))
+    v = v.withColumns({"type": table(lambda f: f.type)[F.col("key")], "number": table(lambda f: f.number)[F.col("key")]})
+    fits = lambda kind: F.forall("values", lambda x: x.isNull() | x.try_cast(kind).isNotNull())
+    right = F.when(F.col("type") == "Integer", fits("bigint")).when(F.col("type") == "Float", fits("double")).otherwise(True)
+    size, number = F.size("values"), F.col("number")
+    many = F.when(F.col("type") == "Flag", size == 0).when(number.rlike("^[0-9]+$"), size == number.try_cast("int")).when(number == "A", size == F.col("n")).when(number == "R", size == F.col("n") + 1).otherwise(True)
+    return v.filter(~(right & many)).select("chrom", "pos", "key", F.array_join("values", ",", ".").alias("value"))
+
+
 def to_calls(rows: DataFrame) -> DataFrame:
     """Long form (source, ord, chrom, pos, sample, gt, ft, dp, fields)."""
     out = rows.select("source", "ord", "chrom", "pos", F.explode("samples").alias("sample", "fields"))
