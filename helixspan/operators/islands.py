@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 20
 
 
-def _carried(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """rows with value, an aggregate, over all blocks before the row's own: its maximum, or its sum for counts."""
+def _carried(rows: DataFrame, keys: list[str], value: Column, name: str, how) -> DataFrame:
+    """rows with value, an aggregate of each block, put together by `how` over all blocks before the row's own."""
     per_block = rows.groupBy(*keys, "_block").agg(value.alias("_v"))
     w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    over = (F.sum if name == "_before" else F.max)("_v").over(w)
+    over = how("_v").over(w)
     per_block = per_block.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), over.alias(name))
     same = F.col("_block") == F.col("_b")
     for i, k in enumerate(keys):
@@ -36,13 +36,13 @@ def island_ids(
     """
     keys = list(keys)
     order = [F.col("start"), F.col("stop"), *[F.col(c) for c in order]]
-    rows = _carried(df.withColumn("_block", F.floor(F.col("start") / block)), keys, F.max("stop"), "_far")
+    rows = _carried(df.withColumn("_block", F.floor(F.col("start") / block)), keys, F.max("stop"), "_far", F.max)
     w = Window.partitionBy(*keys, "_block").orderBy(*order)
     far = F.greatest(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_far")
     new = F.col("start") - far > distance if distance is not None else F.col("start") >= far
     rows = rows.withColumn("_new", F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0))
     rows = rows.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = _carried(rows, keys, F.sum("_new"), "_before")
+    rows = _carried(rows, keys, F.sum("_new"), "_before", F.sum)
     return rows.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_new", "_block", "_far", "_before")
 
 
@@ -53,10 +53,14 @@ def merged(df: DataFrame, distance: int = 0, names: str | None = None, count: bo
     """
     keys = ["chrom"]
     if same_name:
-        order = Window.partitionBy("chrom").orderBy("start", "stop", F.col(same_name).asc_nulls_first())
-        df = df.withColumn("_before", F.lag(same_name).over(order)).withColumn("_first", F.row_number().over(order) == 1)
-        df = df.withColumn("_turn", F.when(F.col("_first") | ~F.col("_before").eqNullSafe(F.col(same_name)), 1).otherwise(0))
+        own, place = F.struct(F.col(same_name).alias("v")), F.struct("start", "stop", same_name)
+        df = _carried(df.withColumn("_block", F.floor(F.col("start") / block)), keys, F.max_by(own, place), "_last", F.last)
+        order = Window.partitionBy("chrom", "_block").orderBy("start", "stop", F.col(same_name).asc_nulls_first())
+        before = F.coalesce(F.lag(own).over(order), "_last")
+        df = df.withColumn("_turn", F.when(before.isNull() | ~before["v"].eqNullSafe(F.col(same_name)), 1).otherwise(0))
         df = df.withColumn("_run", F.sum("_turn").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        df = _carried(df, keys, F.sum("_turn"), "_before", F.sum)
+        df = df.withColumn("_run", F.col("_run") + F.coalesce("_before", F.lit(0))).drop("_before", "_turn", "_last", "_block")
         keys.append("_run")
     ids = island_ids(df, distance, keys, block=block)
     out = [F.min("start").alias("start"), F.max("stop").alias("stop")]

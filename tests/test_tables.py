@@ -59,6 +59,23 @@ def test_islands_over_blocks(spark, distance, block):
     assert {(r.chrom, r.start, r.stop): r.island for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("block", [5, 64, 1 << 20])
+def test_merging_of_equal_names_over_blocks(spark, block):
+    import random
+
+    rng = random.Random(7)
+    rows = sorted(((c, s, s + rng.choice([1, 5, 40]), rng.choice("pq")) for c in "xy" for s in (rng.randrange(0, 600) for _ in range(90))))
+    want = []
+    for c, s, e, n in rows:
+        if want and want[-1][0] == c and want[-1][3] == n and s - want[-1][2] <= 3:
+            want[-1][2] = max(want[-1][2], e)
+        else:
+            want.append([c, s, e, n])
+    df = spark.createDataFrame(rows, "chrom string, start bigint, stop bigint, name string").repartition(3)
+    got = islands.merged(df, 3, same_name="name", block=block).select("chrom", "start", "stop", "name")
+    assert sorted(map(list, got.collect())) == sorted(want)
+
+
 def test_sequences_in_pieces(spark):
     import random
     import re
