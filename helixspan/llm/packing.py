@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, doc_columns, stage, tokenizer_path
-from .tokens import encoder
+from .tokens import encoder, lots
 
 CAPACITY = 1024
 WINDOW = 64 * CAPACITY
@@ -209,8 +209,8 @@ def encode_queues(docs: DataFrame, vocabulary: str | None = None, end_id: int =
         part, sent = TaskContext.get().partitionId(), {}
         enc, pack = encoder(vocabulary, False, end_id), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at, rows in lots(batch.column(2)):
+                piece = batch.slice(at, rows)
                 queues = piece.column(1).to_pylist()
                 ids, sizes = enc.encode(piece.column(2).to_pylist())
                 ends = np.cumsum(sizes).tolist()

@@ -16,6 +16,8 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE_BYTES = 160 << 20
 LOT = 128
@@ -44,6 +46,17 @@ def spaced_pieces(text: str) -> list:
     return out
 
 
+def lots(texts: pa.Array, rows: int = 512, room: int = 1 << 22):
+    """(first, number) of the texts to encode at once: so many rows at most, and so many bytes, but one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + room, "right"))
+        end = min(at + rows, max(at + 1, most))
+        yield at, end - at
+        at = end
+
+
 class Rows(dict):
     """Row number by piece; new pieces get the next number and are noted."""
 

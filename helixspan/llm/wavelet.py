@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, doc_columns, tokenizer_path, work_dir
-from .tokens import encoder
+from .tokens import encoder, lots
 
 MAGIC = b"WVM2"
 BITS = 16
@@ -267,8 +267,8 @@ def write(
 
         enc = encoder(vocabulary, True, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                piece = batch.slice(at, 64)
+            for at, rows in lots(batch.column(1)):
+                piece = batch.slice(at, rows)
                 got, lengths = enc.encode(piece.column(1).to_pylist())
                 ids.append(got)
                 names += piece.column(0).to_pylist()
