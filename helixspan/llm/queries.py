@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, bpe, divergence, fim, hnsw, html_text, jaccard, langid, licenses, packing, pii, wavelet
+from . import balltree, bpe, divergence, fim, hnsw, html_text, jaccard, langid, licenses, maxent, packing, pii, wavelet
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +74,7 @@ QUERIES = {
     for f in (
         op1_wavelet_tokens, op2_mixture_packing, op3_html_text, op4_ngram_jaccard, op5_pii_pseudonyms, op6_language_id,
         op7_ball_tree_top_k, op8_byte_bpe, op9_hnsw, op10_license_scan, op11_source_divergence,
-        op12_fill_in_middle, pipeline,
+        op12_fill_in_middle, op13_maxent_scores, pipeline,
     )
 }
 
