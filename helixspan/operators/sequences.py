@@ -1,8 +1,9 @@
 """Operators over sequences: runs, token counts, reference checks, contigs, left alignment.
 
-A sequences table is (name, seq), of ASCII letters. chunked() cuts it into pieces keyed by (name,
-chunk); alignment, runs, token counts, reference checks and contigs meet these pieces, never a
-whole sequence.
+A sequences table is (name, seq), of ASCII letters, or already (name, chunk, offset, bases, length)
+in pieces of PIECE bases, as sources.fasta.pieces reads them, so that no row ever holds a record.
+chunked() cuts the former into pieces keyed by (name, chunk); alignment, runs, token counts,
+reference checks and contigs meet these pieces, never a whole sequence.
 """
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ def homopolymers(seqs: DataFrame, least: int = 5, ignored: str = "", names: list
     """
     if names is not None:
         seqs = seqs.filter(F.col("name").isin(names))
-    p = chunked(seqs, size, 0)
+    p = pieces_of(seqs, size)
     shape = F.lit(rf"(?s)(.*?)((.)\3{{{max(least, 1) - 1},}})")
     gaps, runs = F.regexp_extract_all("bases", shape, 1), F.regexp_extract_all("bases", shape, 2)
     end = F.col("offset") + F.length("bases")
@@ -115,11 +116,10 @@ def bases_between(regions: DataFrame, seqs: DataFrame, lo: str, hi: str, size: i
     A region meets the pieces it covers alone, by (name, piece), and takes its own bases from each;
     regions on unknown sequences are left out.
     """
-    lengths = seqs.select(F.col("name").alias("chrom"), F.length("seq").cast("bigint").alias("_length"))
-    r = regions.join(lengths, "chrom")
+    r = regions.join(lengths_of(seqs).withColumnsRenamed({"name": "chrom", "length": "_length"}), "chrom")
     last = F.greatest(F.least(F.col(hi), F.col("_length")) - 1, F.col(lo))
     met = r.withColumn("chunk", F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(last / size))))
-    p = chunked(seqs, size, 0).withColumnRenamed("name", "chrom")
+    p = pieces_of(seqs, size).withColumnRenamed("name", "chrom")
     met = met.join(p, ["chrom", "chunk"], "left")
     a = F.greatest(F.col(lo) - F.col("offset"), F.lit(0))
     part = F.substr("bases", (a + 1).cast("int"), F.greatest(F.least(F.col(hi) - F.col("offset"), F.lit(size)) - a, F.lit(0)).cast("int"))
@@ -128,8 +128,15 @@ def bases_between(regions: DataFrame, seqs: DataFrame, lo: str, hi: str, size: i
     return g.withColumn("_text", F.array_join(F.transform("_parts", lambda x: x.part), "")).drop("_parts")
 
 
-def bases_at(seq: Column, start: Column, stop: Column) -> Column:
-    return F.substr(seq, (start + 1).cast("int"), (stop - start).cast("int"))
+def with_bases(rows: DataFrame, seqs: DataFrame, lo: str, hi: str) -> DataFrame:
+    """rows (chrom, ...), repeated ones too, with _text and _length of bases_between; each distinct region is put together once."""
+    keys = list(dict.fromkeys(["chrom", lo, hi]))
+    return rows.join(bases_between(rows.select(*keys).distinct(), seqs, lo, hi), keys)
+
+
+def part_of(lo: Column, start: Column, stop: Column) -> Column:
+    """Bases [start, stop) out of _text, which begins at lo."""
+    return F.substr("_text", (start - lo + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))
 
 
 def reference_mismatches(variants: DataFrame, seqs: DataFrame, ignore_case: bool = False) -> DataFrame:
@@ -180,32 +187,29 @@ def left_shift(pos: Column, ref: Column, alt: Column, left: Column) -> Column:
     return moved_left(pos, ref, alt, repeated_left(ref, alt, left))
 
 
-def left_aligned(variants: DataFrame, seqs: DataFrame, windows=(64, 4096), size: int = PIECE) -> DataFrame:
+def left_aligned(variants: DataFrame, seqs: DataFrame, windows=(64, 4096, 1 << 17), size: int = PIECE) -> DataFrame:
     """Trimmed variants (chrom, pos, ref, alt, ...) in leftmost form, with the shift.
 
-    A variant meets the piece of its sequence that holds its position, with the bases before the
-    piece that the widest window needs; a wider one is only read where the variant repeats all of
-    the one before. Where it repeats all of the widest one too, the whole sequence is joined. Rows on
-    unknown sequences stay as they are.
+    Every variant meets the piece of its sequence that holds its position, with as many bases before
+    the piece as the first window has. Only where it repeats all of a window, the bases of the next
+    one are put together from their pieces, and at last those before its position. Rows on unknown
+    sequences stay as they are.
     """
-    wide = windows[-1]
+    first = windows[0]
     keep = [c for c in variants.columns if c not in ("pos", "ref", "alt")]
-    p = chunked(seqs, size, 0, wide).withColumnRenamed("name", "chrom").select("chrom", "chunk", F.col("offset").alias("_offset"), F.col("bases").alias("_bases"))
+    p = pieces_of(seqs, size, first).select(F.col("name").alias("chrom"), "chunk", F.col("offset").alias("_offset"), F.col("bases").alias("_bases"))
     r = variants.withColumn("chunk", F.floor((F.col("pos") - 1) / size)).join(p, ["chrom", "chunk"], "left").drop("chunk")
     before = F.col("pos") - 1 - F.col("_offset")
-
-    def left(width: int):
-        n = F.least(before, F.lit(width)).cast("int")
-        return F.coalesce(F.substr("_bases", (before - n + 1).cast("int"), n), F.lit(""))
-
-    r = r.withColumn("_shift", repeated_left(F.col("ref"), F.col("alt"), left(windows[0])))
-    for last, width in zip(windows, windows[1:]):
-        r = r.withColumn("_shift", F.when(F.col("_shift") < last, F.col("_shift")).otherwise(repeated_left(F.col("ref"), F.col("alt"), left(width))))
-    r = r.drop("_bases", "_offset")
-    done = r.filter(F.col("_shift") < wide)
-    rest = r.filter(F.col("_shift") >= wide).join(seqs.select(F.col("name").alias("chrom"), F.col("seq").alias("_seq")), "chrom")
-    rest = rest.withColumn("_shift", repeated_left(F.col("ref"), F.col("alt"), F.substr("_seq", F.lit(1), (F.col("pos") - 1).cast("int")))).select(*done.columns)
-    out = done.unionByName(rest)
+    n = F.least(before, F.lit(first)).cast("int")
+    left = F.coalesce(F.substr("_bases", (before - n + 1).cast("int"), n), F.lit(""))
+    r = r.withColumn("_shift", repeated_left(F.col("ref"), F.col("alt"), left)).drop("_bases", "_offset")
+    out, rest = r.filter(F.col("_shift") < first), r.filter(F.col("_shift") >= first)
+    for width in (*windows[1:], None):
+        lo = F.lit(0).cast("bigint") if width is None else F.greatest(F.col("pos") - 1 - width, F.lit(0))
+        met = with_bases(rest.withColumns({"_lo": lo, "_hi": F.col("pos") - 1}), seqs, "_lo", "_hi")
+        met = met.withColumn("_shift", repeated_left(F.col("ref"), F.col("alt"), F.col("_text"))).select(*r.columns)
+        out = out.unionByName(met if width is None else met.filter(F.col("_shift") < width))
+        rest = met if width is None else met.filter(F.col("_shift") >= width)
     return out.withColumn("_s", moved_left(F.col("pos"), F.col("ref"), F.col("alt"), F.col("_shift"))).select(*keep, "_s.pos", "_s.ref", "_s.alt", "_s.shift")
 
 
@@ -217,19 +221,16 @@ def variant_contigs(variants: DataFrame, seqs: DataFrame, flank: int = 99, least
     v = variants.filter(F.col("id").isNotNull() & (F.col("id") != "."))
     if "qual" in variants.columns and least_qual > 0:
         v = v.filter(F.col("qual") >= least_qual)
-    v = v.select("*", F.posexplode("alts").alias("alt_index", "alt_text")).join(seqs.withColumnRenamed("name", "chrom"), "chrom")
+    v = v.select("*", F.posexplode("alts").alias("alt_index", "alt_text"))
     raw = al.trimmed(F.col("pos"), F.upper("ref"), F.upper("alt_text"))
     v = v.withColumn("_r", raw).withColumns({"p": F.col("_r.pos"), "r": F.col("_r.ref"), "a": F.col("_r.alt")})
     pre = F.when(F.col("p") <= flank, F.col("p") - 1).otherwise(flank)
-    start = F.greatest(F.lit(1), F.col("p") - pre)
-    stop = F.least(F.col("p") + F.length("r") - 1 + flank, F.length("seq").cast("bigint"))
-    after = F.col("p") + F.length("r")
-    post = F.greatest(stop - after + 1, F.lit(0))
-    v = v.withColumns({"pre": pre, "c_start": start, "c_stop": stop, "post": post})
-    seq = F.concat(
-        F.substr("seq", F.col("c_start").cast("int"), F.col("pre").cast("int")), "a",
-        F.substr("seq", (F.col("p") + F.length("r")).cast("int"), F.col("post").cast("int")),
-    )
+    v = v.withColumns({"pre": pre, "_lo": F.greatest(F.lit(1), F.col("p") - pre) - 1, "_hi": F.col("p") + F.length("r") - 1 + flank})
+    v = with_bases(v, seqs, "_lo", "_hi")
+    stop = F.least(F.col("_hi"), F.col("_length"))
+    after = F.col("p") - 1 + F.length("r")
+    v = v.withColumns({"c_start": F.col("_lo") + 1, "c_stop": stop, "post": F.greatest(stop - after, F.lit(0))})
+    seq = F.concat(part_of(F.col("_lo"), F.col("_lo"), F.col("p") - 1), "a", part_of(F.col("_lo"), after, after + F.col("post")))
     both = F.least(F.length("r"), F.length("a"))
     extra = F.length("r") - F.length("a")
     first = F.col("pre") + both
@@ -252,14 +253,14 @@ def transcripts(regions: DataFrame, seqs: DataFrame, pad: int = 0, wrap: int = 6
 
     pad widens the first region to the left and the last one to the right, within the sequence.
     """
-    r = regions.join(seqs.withColumnRenamed("name", "chrom"), "chrom")
     w = Window.partitionBy("transcript").orderBy("start", "stop")
-    r = r.withColumns({"_prev": F.lag("stop").over(w), "_next": F.lead("start").over(w)})
+    r = regions.withColumns({"_prev": F.lag("stop").over(w), "_next": F.lead("start").over(w)})
     lo = F.when(F.col("_prev").isNull(), F.greatest(F.lit(0), F.col("start") - pad)).otherwise(F.col("start"))
-    hi = F.when(F.col("_next").isNull(), F.least(F.col("stop") + pad, F.length("seq").cast("bigint"))).otherwise(F.col("stop"))
-    r = r.withColumns({"_lo": lo, "_hi": hi})
+    hi = F.when(F.col("_next").isNull(), F.col("stop") + pad).otherwise(F.col("stop"))
+    r = with_bases(r.withColumns({"_lo": lo, "_hi": hi}), seqs, "_lo", "_hi")
+    r = r.withColumn("_hi", F.when(F.col("_next").isNull(), F.least("_hi", "_length")).otherwise(F.col("_hi")))
     part = F.struct(
-        F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), bases_at(F.col("seq"), F.col("_lo"), F.col("_hi")).alias("bases"),
+        F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_text").alias("bases"),
         F.concat(_op(F.col("_lo") - F.col("_prev"), "N"), _op(F.col("_hi") - F.col("_lo"), "M")).alias("op"),
     )
     g = r.groupBy("transcript", "chrom").agg(F.array_sort(F.collect_list(part)).alias("parts"))
@@ -287,20 +288,44 @@ def chunked(seqs: DataFrame, size: int = PIECE, overlap: int = 1 << 10, before:
     return seqs.filter(F.length("seq") > 0).select("name", F.explode(pieces).alias("p")).select("name", "p.*")
 
 
+def pieces_of(seqs: DataFrame, size: int = PIECE, before: int = 0) -> DataFrame:
+    """(name, chunk, offset, bases) of a sequences table in either form, each piece with the bases before it that are asked for."""
+    if "seq" in seqs.columns:
+        return chunked(seqs, size, 0, before)
+    if size != PIECE:
+        raise ValueError(f"pieces that are read as such have {PIECE} bases")
+    p = seqs.select("name", "chunk", "offset", "bases")
+    if before <= 0:
+        return p
+    if before > size:
+        raise ValueError("a piece can begin within the piece before it, not further ahead")
+    ends = p.select("name", (F.col("chunk") + 1).alias("chunk"), F.substr("bases", F.lit(size - before + 1), F.lit(before)).alias("_end"))
+    head = F.coalesce("_end", F.lit(""))
+    return p.join(ends, ["name", "chunk"], "left").select("name", "chunk", (F.col("offset") - F.length(head)).alias("offset"), F.concat(head, "bases").alias("bases"))
+
+
+def lengths_of(seqs: DataFrame) -> DataFrame:
+    """(name, length) of a sequences table in either form."""
+    if "seq" in seqs.columns:
+        return seqs.select("name", F.length("seq").cast("bigint").alias("length"))
+    return seqs.groupBy("name").agg(F.max(F.col("offset") + F.length("bases")).cast("bigint").alias("length"))
+
+
 def base_contigs(variants: DataFrame, seqs: DataFrame, flank: int = 99) -> DataFrame:
     """Contigs of interval variants (chrom, start, stop, ref, alt), one for each base an IUPAC code stands for.
 
     (name, seq); the name carries place, CIGAR with = and X, the variant's span in the contig,
     and its bases.
     """
-    v = variants.join(seqs.withColumnRenamed("name", "chrom"), "chrom")
-    lo, hi = F.greatest(F.col("start") - flank, F.lit(0)), F.col("stop") + flank
-    fits = hi <= F.length("seq")
+    v = variants.withColumns({"_lo": F.greatest(F.col("start") - flank, F.lit(0)), "_end": F.col("stop") + flank})
+    v = with_bases(v, seqs, "_lo", "_end")
+    lo, hi = F.col("_lo"), F.col("_end")
+    fits = hi <= F.col("_length")
     snp, gone = (F.length("ref") == 1) & (F.length("alt") == 1), F.length("alt") == 0
     options = F.when(snp, F.filter(al.bases_of(F.col("alt")), lambda b: b != F.upper("ref"))).when(gone, F.array("ref")).otherwise(F.array("alt"))
     v = v.withColumns({
-        "_lo": lo, "_hi": F.when(fits, hi).otherwise(F.col("stop")), "_pre": bases_at(F.col("seq"), lo, F.col("start")),
-        "_post": F.when(fits, bases_at(F.col("seq"), F.col("stop"), hi)).otherwise(""), "_gone": gone, "_snp": snp, "_bases": F.explode(options),
+        "_hi": F.when(fits, hi).otherwise(F.col("stop")), "_pre": part_of(lo, lo, F.col("start")),
+        "_post": F.when(fits, part_of(lo, F.col("stop"), hi)).otherwise(""), "_gone": gone, "_snp": snp, "_bases": F.explode(options),
     })
     size = F.length("_bases")
     change = F.when(F.col("_snp"), "1X").when(F.col("_gone"), _op(size, "D")).otherwise(_op(size, "I"))

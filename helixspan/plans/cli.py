@@ -7,8 +7,9 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import merging
-from ..sources import sinks, text, vcf
+from ..operators import merging, sequences
+from ..sources import fasta, sinks, text, vcf
+from ..sources.staging import scratch
 from . import commands
 
 
@@ -48,6 +49,15 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _sequences(spark, path):
+    """Pieces of an indexed file; compressed files have no ranges to read and come record by record."""
+    if path.endswith((".gz", ".bz2", ".zst")):
+        return text.read_fasta(spark, path)
+    to = scratch(spark, "fasta-index")
+    fasta.write_index(spark, path, to)
+    return fasta.pieces(spark, to, sequences.PIECE).drop("length")
+
+
 def _read_vcf(spark, paths, suffixes=None, names=None):
     """suffixes: by path, under which its samples appear once more; names: new names of samples."""
     header, rows = None, None
@@ -71,15 +81,15 @@ def main(argv: list[str] | None = None) -> None:
         merged = commands.bed_merge(rows, o.distance, o.names, o.count, o.unique_names)
         sinks.write_bed(merged, o.output, [x for x in merged.columns if x in ("names", "name", "n")])
     elif c == "check-ref":
-        bad, _ = commands.check_ref(text.as_variants(text.read_bed(spark, o.bed)), text.read_fasta(spark, o.fasta), o.ignore_case)
+        bad, _ = commands.check_ref(text.as_variants(text.read_bed(spark, o.bed)), _sequences(spark, o.fasta), o.ignore_case)
         sinks.write_bed(bad.select("chrom", "start", "stop", "ref", "found", "error"), o.output, ["ref", "found", "error"])
     elif c == "create-contigs":
         rows = vcf.read_rows(spark, o.variants).withColumn("id", F.try_element_at("ids", F.lit(1)))
-        contigs, places = commands.create_contigs(rows, text.read_fasta(spark, o.fasta), o.flank, o.quality)
+        contigs, places = commands.create_contigs(rows, _sequences(spark, o.fasta), o.flank, o.quality)
         sinks.write_fasta(contigs, o.output)
         sinks.write_report(places, o.output + ".remap")
     elif c == "find-homopolymers":
-        runs = commands.find_homopolymers(text.read_fasta(spark, o.fasta), o.min_length, o.ignore, o.sequence)
+        runs = commands.find_homopolymers(_sequences(spark, o.fasta), o.min_length, o.ignore, o.sequence)
         sinks.write_bed(runs.withColumnRenamed("name", "chrom"), o.output, ["base"])
     elif c == "generate":
         sinks.write_bed(commands.generate(spark, o.number, o.seed), o.output, ["alleles"])
@@ -92,7 +102,7 @@ def main(argv: list[str] | None = None) -> None:
                 sinks.write_bed(rows, path)
     elif c == "ref-stats":
         tokens = o.token or commands.sequences.DEFAULT_TOKENS
-        sinks.write_report(commands.ref_stats(text.read_bed(spark, o.bed).select("chrom", "start", "stop"), text.read_fasta(spark, o.fasta), tokens, o.bases), o.output)
+        sinks.write_report(commands.ref_stats(text.read_bed(spark, o.bed).select("chrom", "start", "stop"), _sequences(spark, o.fasta), tokens, o.bases), o.output)
     elif c == "remap-cigar":
         commands.remap_cigar(text.read_sam(spark, o.input)).write.mode("overwrite").text(o.output)
     elif c == "sort":
@@ -112,13 +122,13 @@ def main(argv: list[str] | None = None) -> None:
     elif c == "make-contigs":
         rows = text.read_bed(spark, o.bed)
         regions = rows.select(F.try_element_at("extra", F.lit(1)).alias("transcript"), "chrom", "start", "stop")
-        contigs = commands.make_contigs(regions, text.read_fasta(spark, o.fasta), o.pad)
+        contigs = commands.make_contigs(regions, _sequences(spark, o.fasta), o.pad)
         heading = F.concat_ws("|", F.concat(F.lit(">REMAP-"), "chrom"), F.col("start").cast("string"), F.col("stop").cast("string"), "cigar", "transcript")
         contigs.select(F.concat_ws("\n", heading, "contig").alias("value")).write.mode("overwrite").text(o.output)
     elif c == "wig2bed":
         sinks.write_bed(commands.wig_to_bed(text.read_wiggle(spark, o.wiggle), o.strip_chr, o.nonzero), o.output, ["value"])
     elif c == "vcf2raw":
-        raw = commands.vcf_to_raw(vcf.read_rows(spark, o.vcf), text.read_fasta(spark, o.fasta))
+        raw = commands.vcf_to_raw(vcf.read_rows(spark, o.vcf), _sequences(spark, o.fasta))
         sinks.write_report(raw, o.output)
     else:
         _variants(spark, o)
@@ -162,7 +172,7 @@ def _variants(spark, o) -> None:
             raise ValueError("at least two input files are needed")
     header, rows = _read_vcf(spark, paths, suffixes, names)
     if c == "vcf-normalize-indels":
-        rows = commands.vcf_normalize_indels(rows, text.read_fasta(spark, o.fasta))
+        rows = commands.vcf_normalize_indels(rows, _sequences(spark, o.fasta))
     elif c == "vcf-annotate":
         notes_header, notes = _read_vcf(spark, [o.annotation])
         numbers = {k: f.number for k, f in notes_header.info.items()}
@@ -198,7 +208,7 @@ def _variants(spark, o) -> None:
                 print(*r, sep="\t", file=sys.stderr)
         rows = commands.vcf_merge(rows, s)
         if o.normalize_indels:
-            rows = commands.vcf_normalize_indels(rows, text.read_fasta(spark, o.normalize_indels))
+            rows = commands.vcf_normalize_indels(rows, _sequences(spark, o.normalize_indels))
     elif c == "vcf-compare":
         modes = dict(enumerate(o.filter_mode))
         if o.name and len(o.name) != len(paths):

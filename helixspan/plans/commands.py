@@ -236,13 +236,15 @@ def vcf_normalize_indels(rows: DataFrame, seqs: DataFrame) -> DataFrame:
         F.max("shift").alias("moved"), F.min("pos").alias("lo"), F.max(F.col("pos") + F.length("ref")).alias("hi"),
         F.array_sort(F.collect_list(F.struct("alt_index", "pos", "ref", "alt"))).alias("v"),
     )
-    r = key.join(g_, "a_id", "left").join(seqs.withColumnRenamed("name", "chrom").select("chrom", "seq"), "chrom", "left")
-    shifted = F.coalesce((F.col("moved") > 0) & F.col("seq").isNotNull(), F.lit(False))
     bare = F.exists("v", lambda x: (x.pos == F.col("lo")) & ((x.ref == "") | (x.alt == "")) & (x.pos + F.length(x.ref) >= F.col("hi")))
     left = F.when(bare & (F.col("lo") > 1), 1).otherwise(0)
     right = F.when(bare & (F.col("lo") == 1), 1).otherwise(0)
-    r = r.withColumns({"_lo": F.col("lo") - left, "_hi": F.col("hi") + right})
-    bases = lambda a, b: F.substr("seq", a.cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    # Only records that move need bases, those of their own span.
+    moved = key.select("a_id", "chrom").join(g_.filter("moved > 0"), "a_id").withColumns({"_lo": F.col("lo") - left - 1, "_hi": F.col("hi") + right - 1})
+    there = sequences.with_bases(moved, seqs, "_lo", "_hi").select("a_id", "v", (F.col("_lo") + 1).alias("_lo"), (F.col("_hi") + 1).alias("_hi"), "_text")
+    r = key.join(there, "a_id", "left")
+    shifted = F.col("_text").isNotNull()
+    bases = lambda a, b: F.substr("_text", (a - F.col("_lo") + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     alts = F.transform("v", lambda x: F.concat(bases(F.col("_lo"), x.pos), x.alt, bases(x.pos + F.length(x.ref), F.col("_hi"))))
     return r.withColumns({
         "pos": F.when(shifted, F.col("_lo")).otherwise(F.col("pos")), "ref": F.when(shifted, bases(F.col("_lo"), F.col("_hi"))).otherwise(F.col("ref")),

@@ -1,14 +1,13 @@
 """Driver queries that write tables as text of each format and read them back, with the SQL of what must come out."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.natkey import natural_key
-from ..operators import signal
-from ..sources import sinks, text, vcf
+from ..operators import sequences, signal
+from ..sources import fasta, sinks, text, vcf
+from ..sources.staging import scratch
 from . import commands
 from . import views as v
 
@@ -25,15 +24,6 @@ def query(sql: str):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or in the warehouse where that is unset. It goes with the driver."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_text"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 def _bed(spark, sf_dir) -> DataFrame:
     a = v.point_b(spark, sf_dir).withColumn("alleles", F.concat_ws("/", "ref", "alt"))
     return a.select("chrom", "start", "stop", "alleles", "orderkey")
@@ -91,6 +81,40 @@ def fasta_written_and_read(spark, sf_dir):
     return rows.select("name", "seq").join(text.fasta_index(rows), "name")
 
 
+def _indexed(spark, sf_dir) -> str:
+    """A folder with the index of the sequences, which are written as files of wrapped lines."""
+    path, to = scratch(spark, "fasta"), scratch(spark, "fasta-index")
+    sinks.write_fasta(v.sequences(spark, sf_dir).filter("seq <> ''"), path)
+    fasta.write_index(spark, path, to)
+    return to
+
+
+@query(f"SELECT name, len(seq) // 4 AS start_, len(seq) // 4 + len(seq) // 3 + 5 AS stop_, substr(seq, len(seq) // 4 + 1, len(seq) // 3 + 5) AS bases FROM ({v.SQL_SEQS}) WHERE seq <> ''")
+def fasta_ranges(spark, sf_dir):
+    """A range of each record, read by its bytes."""
+    rows = spark.read.parquet(_indexed(spark, sf_dir))
+    n = F.col("length")
+    lo = F.floor(n / 4)
+    asked = rows.select("name", lo.alias("start"), (lo + F.floor(n / 3) + 5).alias("stop"))
+    return fasta.fetch(asked, rows).withColumnsRenamed({"start": "start_", "stop": "stop_"})
+
+
+@query(f"""SELECT name, CAST(i AS BIGINT) AS start_, CAST(least(i + 128, len(seq)) AS BIGINT) AS stop_, substr(seq, CAST(i AS INT) + 1, 128) AS bases
+ FROM ({v.SQL_SEQS}), range(0, 1000000, 128) t(i) WHERE i < len(seq) AND i >= 200 AND least(i + 128, len(seq)) <= 1500""")
+def fasta_pieces_by_place(spark, sf_dir):
+    """Pieces chosen by start and stop; the source takes both filters and reads no others."""
+    rows = fasta.read_ranges(spark, _indexed(spark, sf_dir), 128).filter("start >= 200 AND stop <= 1500")
+    return rows.withColumnsRenamed({"start": "start_", "stop": "stop_"})
+
+
+@query(f"SELECT name, CAST(len(seq) AS BIGINT) AS length, len(seq) - len(replace(seq, 'A', '')) - len(replace(seq, 'T', '')) + len(seq) AS at FROM ({v.SQL_SEQS}) WHERE seq <> ''")
+def token_counts_of_an_indexed_file(spark, sf_dir):
+    """Bases of whole records counted over the pieces of an indexed file, of which none is ever one row."""
+    pieces = fasta.pieces(spark, _indexed(spark, sf_dir), sequences.PIECE).drop("length")
+    whole = sequences.lengths_of(pieces).select(F.col("name").alias("chrom"), F.lit(0).cast("bigint").alias("start"), F.col("length").alias("stop"))
+    return sequences.token_counts(whole, pieces, ["a/t"]).select(F.col("chrom").alias("name"), F.col("stop").alias("length"), F.col("a/t").alias("at"))
+
+
 @query("SELECT 'chr' || p_partkey AS chrom, CAST(10 + i AS BIGINT) AS start_, CAST(11 + i AS BIGINT) AS stop_, CAST(p_size AS DOUBLE) + i AS value FROM part, range(0, 3) t(i)")
 def wiggle_written_and_read(spark, sf_dir):
     path = scratch(spark, "wiggle")
