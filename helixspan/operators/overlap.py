@@ -19,9 +19,8 @@ TIERS = 5
 
 
 def _tiers_in_use(frames, width: int) -> int:
-    longest = max(
-        (df.agg(F.max(F.col("stop") - F.col("start"))).first()[0] or 0) for df in frames
-    )
+    sizes = [df.agg(F.max(F.col("stop") - F.col("start")).alias("n")) for df in frames]
+    longest = sizes[0].unionByName(sizes[1]).agg(F.max("n")).first()[0] or 0
     tiers = 1
     while tiers < TIERS and longest > width * FAN**tiers:
         tiers += 1
@@ -112,10 +111,3 @@ def semi(df: DataFrame, pairs: DataFrame, side: str, keys=("start", "stop")) ->
 
 def anti(df: DataFrame, pairs: DataFrame, side: str, keys=("start", "stop")) -> DataFrame:
     return df.join(hits(pairs, side, keys), ["chrom", *keys], "left_anti")
-
-
-def symmetric_difference(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of either side without a partner, with their side."""
-    cols = ["chrom", "start", "stop"]
-    left = anti(a, pairs, "a").select(*cols, F.lit("a").alias("side"))
-    return left.unionByName(anti(b, pairs, "b").select(*cols, F.lit("b").alias("side")))

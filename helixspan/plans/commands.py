@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alleles as al
 from ..functions import genotype as g
-from ..operators import annotate, calls, cigar, compare, islands, merging, overlap, report, sequences, signal, sorting
+from ..operators import annotate, calls, cigar, compare, islands, merging, overlap, reach, report, sequences, signal, sorting
 from ..sources import text
 from . import projection
 
@@ -98,7 +98,10 @@ def intersect(a: DataFrame, b: DataFrame, o: Intersect = Intersect()) -> tuple[D
         first = F.min_by(F.struct(*[c for c in pairs.columns if c not in ("chrom", "a_start", "a_stop")]), F.struct(*order))
         hits = pairs.groupBy("chrom", "a_start", "a_stop", alleles.alias("_alleles")).agg(first.alias("_row")).select("chrom", "a_start", "a_stop", "_row.*")
     a_keys = tuple(k for k in keys if k in a.columns)
-    return hits.select(projection.line(o.output()).alias("line")), overlap.anti(a, pairs, "a", a_keys), overlap.anti(b, pairs, "b", a_keys)
+    lines = hits.select(projection.line(o.output()).alias("line"))
+    if keys == ("start", "stop") and not o.exact_pos:  # the predicate is the place alone
+        return lines, reach.anti(a, b, o.adjacent_insertions), reach.anti(b, a, o.adjacent_insertions)
+    return lines, overlap.anti(a, pairs, "a", a_keys), overlap.anti(b, pairs, "b", a_keys)
 
 
 def ref_stats(regions: DataFrame, seqs: DataFrame, tokens=sequences.DEFAULT_TOKENS, bases: bool = False) -> DataFrame:

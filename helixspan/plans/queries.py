@@ -8,7 +8,7 @@ from ..functions import alleles as al
 from ..functions import genotype as g
 from ..functions import regions as rg
 from ..functions.natkey import natural_key
-from ..operators import annotate, calls, cigar, compare, info, islands, merging, overlap, report, sequences, signal, sorting
+from ..operators import annotate, calls, cigar, compare, info, islands, merging, overlap, reach, report, sequences, signal, sorting, sweep
 from ..sources import text
 from ..streaming import intervals as streams
 from . import projection
@@ -105,39 +105,63 @@ def revcomp_match(spark, sf_dir):
     return _ends(out.drop("a_ref", "a_alt", "b_ref", "b_alt"))
 
 
-def _a_and_pairs(spark, sf_dir):
-    a, b = (f(spark, sf_dir).select("chrom", "start", "stop", "orderkey") for f in (v.interval_a, v.interval_b))
-    return a, b, overlap.overlap_join(a, b, tiers=1)
+def _a_and_b(spark, sf_dir):
+    return tuple(f(spark, sf_dir).select("chrom", "start", "stop", "orderkey") for f in (v.interval_a, v.interval_b))
 
 
 @query(_AB + f"SELECT a.chrom, a.start_, a.stop_, a.orderkey FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND {_OVERLAP})")
 def overlap_semi(spark, sf_dir):
-    a, _, pairs = _a_and_pairs(spark, sf_dir)
-    return _ends(overlap.semi(a, pairs, "a"))
+    return _ends(reach.semi(*_a_and_b(spark, sf_dir)))
 
 
 @query(_AB + f"SELECT a.chrom, a.start_, a.stop_, a.orderkey FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND {_OVERLAP})")
 def overlap_anti_a(spark, sf_dir):
-    a, _, pairs = _a_and_pairs(spark, sf_dir)
-    return _ends(overlap.anti(a, pairs, "a"))
+    return _ends(reach.anti(*_a_and_b(spark, sf_dir)))
 
 
 @query(_AB + f"SELECT b.chrom, b.start_, b.stop_, b.orderkey FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.chrom = b.chrom AND {_OVERLAP})")
 def overlap_anti_b(spark, sf_dir):
-    _, b, pairs = _a_and_pairs(spark, sf_dir)
-    return _ends(overlap.anti(b, pairs, "b"))
+    a, b = _a_and_b(spark, sf_dir)
+    return _ends(reach.anti(b, a))
 
 
 @query(_AB + f"""SELECT a.chrom, a.start_, a.stop_, 'a' AS side FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND {_OVERLAP})
   UNION ALL SELECT b.chrom, b.start_, b.stop_, 'b' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.chrom = b.chrom AND {_OVERLAP})""")
 def symmetric_difference(spark, sf_dir):
-    return _ends(overlap.symmetric_difference(*_a_and_pairs(spark, sf_dir)))
+    return _ends(reach.symmetric_difference(*_a_and_b(spark, sf_dir)))
+
+
+_A0, _AT = "(l_orderkey * 53) % 3000", "CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) END"
+
+
+@query(f"""WITH a AS (SELECT 'chr' || (l_suppkey % 3 + 1) AS chrom, {_A0} AS start_, {_A0} + {_AT} AS stop_, l_orderkey AS orderkey, l_linenumber AS line FROM lineitem),
+ b AS (SELECT 'chr' || (s_suppkey % 3 + 1) AS chrom, s_suppkey * 37 % 3000 AS start_, s_suppkey * 37 % 3000 + s_nationkey AS stop_ FROM supplier)
+ SELECT a.*, CAST((SELECT count(*) FROM b WHERE a.chrom = b.chrom AND {_OVERLAP}) AS BIGINT) AS n FROM a""")
+def overlap_partner_counts(spark, sf_dir):
+    return _ends(reach.partner_counts(*_deep(spark, sf_dir)))
+
+
+def _deep(spark, sf_dir):
+    """Many rows on few places: empty ones among them, and far more than a bin's width can part."""
+    a = v.table(spark, sf_dir, "lineitem").selectExpr("concat('chr', CAST(l_suppkey % 3 + 1 AS STRING)) AS chrom", f"{_A0} AS start", f"{_A0} + {_AT} AS stop", "l_orderkey AS orderkey", "l_linenumber AS line")
+    b = v.table(spark, sf_dir, "supplier").selectExpr("concat('chr', CAST(s_suppkey % 3 + 1 AS STRING)) AS chrom", "CAST(s_suppkey AS BIGINT) * 37 % 3000 AS start", "CAST(s_suppkey AS BIGINT) * 37 % 3000 + s_nationkey AS stop")
+    return a, b
+
+
+@query(f"""WITH a AS (SELECT 'chr' || (l_suppkey % 3 + 1) AS chrom, {_A0} AS start_, {_A0} + {_AT} AS stop_, l_orderkey AS orderkey, l_linenumber AS line FROM lineitem),
+ b AS (SELECT 'chr' || (s_suppkey % 3 + 1) AS chrom, s_suppkey * 37 % 3000 AS start_, s_suppkey * 37 % 3000 + s_nationkey AS stop_ FROM supplier)
+ SELECT a.chrom, b.start_ AS b_start, CAST(count(*) AS BIGINT) AS n, CAST(sum(a.orderkey * 10 + a.line) AS BIGINT) AS keys, CAST(sum(least(a.stop_, b.stop_) - greatest(a.start_, b.start_)) AS BIGINT) AS shared
+ FROM a JOIN b ON a.chrom = b.chrom AND {_OVERLAP} GROUP BY ALL""")
+def sweep_join_of_deep_rows(spark, sf_dir):
+    pairs = overlap.with_intersection(sweep.sweep_join(*_deep(spark, sf_dir), room=1024))
+    return pairs.groupBy("chrom", "b_start").agg(
+        F.count("*").alias("n"), F.sum(F.col("a_orderkey") * 10 + F.col("a_line")).alias("keys"), F.sum(F.col("i_stop") - F.col("i_start")).alias("shared"))
 
 
 @query(_AB + f"""SELECT a.chrom, a.start_, a.stop_, CAST(sum(greatest(0, least(a.stop_, b.stop_) - greatest(a.start_, b.start_))) AS BIGINT) AS covered,
   CAST(count_if(a.start_ <= b.start_ AND b.stop_ <= a.stop_) AS BIGINT) AS n_contained FROM a JOIN b ON a.chrom = b.chrom AND {_OVERLAP} GROUP BY ALL""")
 def region_overlap(spark, sf_dir):
-    _, _, pairs = _a_and_pairs(spark, sf_dir)
+    pairs = overlap.overlap_join(*_a_and_b(spark, sf_dir), tiers=1)
     ends = [F.col(c) for c in ("a_start", "a_stop", "b_start", "b_stop")]
     return pairs.groupBy("chrom", F.col("a_start").alias("start_"), F.col("a_stop").alias("stop_")).agg(
         F.sum(rg.overlap_length(*ends)).alias("covered"), F.count_if(rg.contains(*ends)).alias("n_contained")
