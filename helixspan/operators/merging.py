@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alleles as al
-from . import islands
+from . import contraction, islands
 
 RECORD = (
     "source int, ord bigint, chrom string, pos bigint, ids array<string>, ref string, alts array<string>, qual double, "
@@ -42,14 +42,22 @@ def regions_of(records: DataFrame) -> DataFrame:
     return records.select("source", "ord", "chrom", "island", F.explode(regions).alias("r")).select("source", "ord", "chrom", "island", "r.*")
 
 
-def with_components(records: DataFrame) -> DataFrame:
+#: Regions of an island whose components one row may hold; those of larger islands are found by contraction.
+SMALL_ISLAND = 4096
+
+
+def with_components(records: DataFrame, small: int = SMALL_ISLAND) -> DataFrame:
     """Adds `component`: the smallest ordinal of the records that hang together in the island.
 
-    ordinals must be unique over all sources. Union-find sees one island's regions at a time;
-    records alone in their island never leave the JVM.
+    ordinals must be unique over all sources. Records alone in their island never leave the JVM; union-find
+    sees the regions of one island of bounded size at a time. An island of more regions is never gathered: its
+    records are linked to the least one of each region that they edit, and these links are contracted.
     """
     rows = with_islands(records)
-    regions = regions_of(rows).groupBy("chrom", "island").agg(F.collect_list(F.struct("ord", "start", "stop")).alias("regions"), F.count_distinct("ord").alias("n"))
+    regions = contraction.staged(regions_of(rows), "regions")
+    sizes = regions.groupBy("chrom", "island").agg(F.count("*").alias("n"), F.min("ord").alias("least"), F.max("ord").alias("most"))
+    held = regions.join(sizes.filter((F.col("n") <= small) & (F.col("least") < F.col("most"))).select("chrom", "island"), ["chrom", "island"])
+    groups = held.groupBy("chrom", "island").agg(F.collect_list(F.struct("ord", "start", "stop")).alias("regions"))
     ddl = "ord bigint, component bigint"
     target = _arrow(ddl, records.sparkSession)
 
@@ -59,7 +67,13 @@ def with_components(records: DataFrame) -> DataFrame:
             cols = zip(*found) if found else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target)], schema=target)
 
-    found = regions.filter("n > 1").select("regions").mapInArrow(run, ddl)
+    found = groups.select("regions").mapInArrow(run, ddl)
+    large = sizes.filter(F.col("n") > small).select("chrom", "island")
+    if not large.isEmpty():
+        place = ["chrom", "island", "start", "stop"]
+        inside = regions.join(large, ["chrom", "island"])
+        links = inside.join(inside.groupBy(*place).agg(F.min("ord").alias("first")), place).select(F.col("ord").alias("a"), F.col("first").alias("b"))
+        found = found.unionByName(contraction.components(links).withColumnRenamed("node", "ord"))
     return rows.join(found, "ord", "left").withColumn("component", F.coalesce("component", "ord"))
 
 
@@ -219,7 +233,8 @@ def _alleles(gt: str | None) -> set:
 
 
 def renumber(gt: str, numbers: list[int]) -> str:
-    return re.sub(r"\d+", lambda m: str(([0, *numbers] + [None] * 99)[int(m[0])] if int(m[0]) <= len(numbers) else "."), gt)
+    """Allele numbers by their place in the merged record; one that the record doesn't have is missing."""
+    return re.sub(r"\d+", lambda m: "0" if int(m[0]) == 0 else str(numbers[int(m[0]) - 1]) if int(m[0]) <= len(numbers) else ".", gt)
 
 
 def _padded(values, spec: Field, n_alts: int):

@@ -169,9 +169,11 @@ def comparison_calls(rows: DataFrame, modes: dict[int, str] | None = None, inclu
 
 
 def vcf_compare(rows: DataFrame, n_files: int, samples: list[str], modes: dict[int, str] | None = None, include_ref: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(dense counts by mask and kind, match vectors by record and sample)."""
+    """(counts by mask and kind, match vectors by record and sample); beyond MAX_DENSE files only masks that occur are listed."""
     c = comparison_calls(rows, modes, include_ref).filter(F.col("sample").isin(samples))
-    return compare.dense_table(compare.mask_counts(c), n_files, samples), compare.match_vectors(c, n_files)
+    counts = compare.mask_counts(c, compare.words_for(n_files))
+    table = compare.dense_table if n_files <= compare.MAX_DENSE else compare.sparse_table
+    return table(counts, n_files, samples), compare.match_vectors(c, n_files)
 
 
 def with_match_fields(rows: DataFrame, vectors: DataFrame, exact: str = "EXSEC", partial: str = "PXSEC") -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions import alleles as al
 from ..functions import genotype as g
 from ..functions import regions as rg
 from ..functions.natkey import natural_key
-from ..operators import annotate, calls, cigar, compare, info, islands, merging, overlap, reach, report, sequences, signal, sorting, sweep
+from ..operators import annotate, calls, cigar, compare, contraction, info, islands, merging, overlap, reach, report, sequences, signal, sorting, sweep
 from ..sources import text
 from ..streaming import intervals as streams
 from . import projection
@@ -637,6 +637,18 @@ def components(spark, sf_dir):
     return merging.with_components(_records(spark, sf_dir)).select("ord", "component")
 
 
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT l_orderkey AS ord, l_orderkey // 400 * 1000 + l_partkey % 211 AS place FROM lineitem WHERE l_linenumber <= 2),
+ l AS (SELECT ord, min(ord) OVER (PARTITION BY place) AS first FROM n), g AS (SELECT ord AS a, first AS b FROM l UNION SELECT first, ord FROM l),
+ c(node, reach) AS (SELECT a, a FROM g UNION SELECT g.b, c.reach FROM c JOIN g ON g.a = c.node AND c.reach < g.b)
+ SELECT node AS ord, min(reach) AS component FROM c GROUP BY node""")
+def components_by_contraction(spark, sf_dir):
+    """Orders that hang together over the places of their first lines."""
+    e = v.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").selectExpr("l_orderkey AS ord", "l_orderkey DIV 400 * 1000 + l_partkey % 211 AS place").distinct()
+    links = e.join(e.groupBy("place").agg(F.min("ord").alias("first")), "place")
+    found = contraction.components(links.select(F.col("ord").alias("a"), F.col("first").alias("b")))
+    return e.select("ord").distinct().join(found.withColumnRenamed("node", "ord"), "ord", "left").select("ord", F.coalesce("component", "ord").alias("component"))
+
+
 @query(f"""WITH {_EDITS}, m AS (SELECT a.ord AS a_id, b.ord AS b_id FROM t a JOIN t b ON a.chrom = b.chrom AND a.tp = b.tp AND a.tr = b.tr AND a.ta = b.ta WHERE a.source = 0 AND b.source = 1)
  SELECT a_id, min(b_id) AS b_id FROM m GROUP BY a_id""")
 def annotate_best_match(spark, sf_dir):
@@ -684,6 +696,31 @@ def match_dense_table(spark, sf_dir):
     return compare.dense_table(compare.mask_counts(_compared(spark, sf_dir)), 3, ["s"])
 
 
+_FILES = 150
+_MANY = f"""WITH c AS ({v.SQL_CALLS}), r AS (SELECT site, ord % {_FILES} AS f, gt FROM c WHERE gt NOT IN ('.', '0/0', './.', '0/.')),
+ u AS (SELECT DISTINCT site, f, CASE gt WHEN '0/1' THEN '1' WHEN '1|0' THEN '1' WHEN '1/1' THEN '1' ELSE '12' END AS a FROM r),
+ w AS (SELECT site, unnest(CASE a WHEN '1' THEN ['1'] ELSE ['1', '2'] END) AS allele, f FROM u),
+ p AS (SELECT site, allele, list_sort(list(DISTINCT f)) AS fs FROM w GROUP BY ALL), k AS (SELECT fs, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY fs) """
+
+
+def _many_files(spark, sf_dir):
+    """The partial matches' counts of the calls, dealt out to so many files."""
+    c = _compared(spark, sf_dir).filter("NOT has_null").withColumn("source", (F.col("record") % _FILES).cast("int"))
+    return compare.mask_counts(c, compare.words_for(_FILES)).filter("kind = 'partial_match'")
+
+
+@query(_MANY + f"SELECT array_to_string(list_transform(range({_FILES}), lambda i: CASE WHEN list_contains(fs, {_FILES} - 1 - i) THEN '1' ELSE '0' END), '') AS files, n AS s FROM k")
+def match_masks_of_many_files(spark, sf_dir):
+    return compare.sparse_table(_many_files(spark, sf_dir), _FILES, ["s"]).select("files", "s")
+
+
+@query(_MANY + "SELECT list_sum(list_transform(a.fs, lambda i: (i + 1) * (i + 1))) AS files, a.n, CAST(sum(b.n) AS BIGINT) AS n_at_least FROM k a JOIN k b ON list_has_all(b.fs, a.fs) GROUP BY a.fs, a.n")
+def match_counts_of_at_least_these_files(spark, sf_dir):
+    """Masks shown as the sum of the squares of their files' numbers."""
+    squares = F.aggregate(F.transform(compare.flags(F.col("mask"), _FILES), lambda x, i: x * (i + 1) * (i + 1)), F.lit(0), lambda a, x: a + x)
+    return compare.at_least(_many_files(spark, sf_dir), _FILES).select(squares.cast("bigint").alias("files"), "n", "n_at_least")
+
+
 @query("""WITH x AS (SELECT p_partkey AS id, p_partkey % 5 + 1 AS d, p_partkey % 30 + 1 AS k FROM part)
  SELECT id || chr(9) || '0' || chr(9) || 'ref' || chr(9) || '1' || chr(9) || '60' || chr(9) || CASE WHEN k <= 11 THEN '20M' ELSE (31 - k) || 'M' || d || 'D' || (k - 11) || 'M' END || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || '*' || chr(9) || '*'
   || chr(9) || 'ZR:Z:REMAP-ref|1|90-30M' || d || 'D30M,' || k AS line FROM x""")

@@ -4,9 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.natkey import natural_key
 from ..operators import sequences, signal
-from ..sources import fasta, sinks, text, vcf
+from ..sources import fasta, lines, sinks, text, vcf
 from ..sources.staging import scratch
 from . import commands
 from . import views as v
@@ -50,20 +49,27 @@ def bed_in_many_compressed_files(spark, sf_dir):
     return _read(text.read_bed(spark, path))
 
 
-@query("SELECT p_brand || '_' || (p_partkey % 50) AS chrom, CAST(p_partkey AS BIGINT) AS start_, true AS ordered FROM part")
-def bed_file_in_natural_order(spark, sf_dir):
-    """The lines of the one file that the sink writes, each compared with the line before it."""
+def _placed(rows: DataFrame, *folder: str) -> DataFrame:
+    """rows (file, line, ...) with `place`, the line's number in its folder: its file's parts one after another by name."""
     from pyspark.sql import Window
 
+    parts = rows.groupBy(*folder, "file").agg(F.max("line").alias("_n"))
+    w = (Window.partitionBy(*folder) if folder else Window.partitionBy(F.lit(0))).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(parts.select("file", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")), "file").withColumn("place", F.col("line") + F.col("_before"))
+
+
+_BRANDS = "SELECT p_brand || '_' || (p_partkey % 50) AS chrom, CAST(p_partkey AS BIGINT) AS start_ FROM part"
+_BY_PLACE = "regexp_extract(chrom, '^[^0-9]*', 0), CAST(regexp_extract(chrom, '([0-9]+)_', 1) AS INT), CAST(regexp_extract(chrom, '_([0-9]+)', 1) AS INT), start_"
+
+
+@query(f"SELECT chrom, start_, row_number() OVER (ORDER BY {_BY_PLACE}) AS place FROM ({_BRANDS})")
+def bed_file_in_natural_order(spark, sf_dir):
+    """Each line's place in the parts that the sink writes, one after another."""
     rows = v.table(spark, sf_dir, "part").selectExpr("concat(p_brand, '_', CAST(p_partkey % 50 AS STRING)) AS chrom", "CAST(p_partkey AS BIGINT) AS start", "CAST(p_partkey + 1 AS BIGINT) AS stop")
     path = scratch(spark, "ordered")
     sinks.write_bed(rows, path)
-    f = F.split("line", "\t")
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("place", "line")).filter("line <> ''")
-    lines = lines.select("place", F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("bigint").alias("start_"))
-    key = F.struct(natural_key(F.col("chrom")).alias("k"), F.col("start_").alias("s"))
-    before = F.lag(key).over(Window.orderBy("place"))  # one file is one task's by its nature
-    return lines.withColumn("ordered", F.coalesce(before <= key, F.lit(True))).drop("place")
+    f = F.split("value", "\t")
+    return _placed(lines.numbered(spark, path)).select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("bigint").alias("start_"), "place")
 
 
 @query("SELECT 'chr' || (o_custkey % 22 + 1) AS chrom, o_orderkey % 500 AS start_, o_orderkey % 500 AS stop_, 'chr' || (o_custkey % 22 + 1) || chr(9) || (o_orderkey % 500) || chr(9) || o_orderkey AS line FROM orders")
@@ -159,11 +165,64 @@ def vcf_written_and_read(spark, sf_dir):
     )
 
 
-@query(f"SELECT chrom || chr(9) || pos || chr(9) || id || chr(9) || ref || chr(9) || alts || chr(9) || CAST(CAST(qual AS INT) AS VARCHAR) || chr(9) || CASE filters WHEN '' THEN '.' ELSE filters END || chr(9) || 'DB;DP=' || dp || chr(9) || 'GT' || chr(9) || gt || chr(9) || '.' AS line, CAST(pos % 3 AS INT) AS source FROM ({_RECORDS})")
+_HEADER_LINES = (
+    "['##fileformat=VCFv4.1', '##INFO=<ID=DP,Number=1,Type=Integer,Description=\"depth\">', '##INFO=<ID=DB,Number=0,Type=Flag,Description=\"known\">', "
+    "'##FORMAT=<ID=GT,Number=1,Type=String,Description=\"call\">', '##FILTER=<ID=q10,Description=\"low\">', "
+    "array_to_string(['#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', 's1', 's2'], chr(9))]"
+)
+
+
+@query(f"""WITH r AS (SELECT chrom || chr(9) || pos || chr(9) || id || chr(9) || ref || chr(9) || alts || chr(9) || CAST(CAST(qual AS INT) AS VARCHAR) || chr(9) || CASE filters WHEN '' THEN '.' ELSE filters END
+  || chr(9) || 'DB;DP=' || dp || chr(9) || 'GT' || chr(9) || gt || chr(9) || '.' AS line, CAST(pos % 3 AS INT) AS source,
+  6 + row_number() OVER (PARTITION BY pos % 3 ORDER BY CAST(substr(chrom, 4) AS INT), pos) AS place FROM ({_RECORDS}))
+ SELECT line, source, place FROM r UNION ALL
+ SELECT h.line, s.source, h.place FROM (SELECT DISTINCT source FROM r) s, (SELECT unnest({_HEADER_LINES}) AS line, CAST(unnest(range(1, 7)) AS BIGINT) AS place) h""")
 def vcf_files_by_source(spark, sf_dir):
+    """All lines of each source's folder, header among them, with their places in the folder's parts one after another."""
     path = scratch(spark, "by-source")
     sinks.write_by_source(_records(spark, sf_dir).withColumn("source", (F.col("pos") % 3).cast("int")), _header(), path)
-    return spark.read.text(path).filter("value not like '#%'").select(F.col("value").alias("line"), F.col("source").cast("int").alias("source"))
+    rows = lines.numbered(spark, path + "/*").withColumn("source", F.regexp_extract("file", "source=([0-9]+)", 1).cast("int"))
+    return _placed(rows, "source").select(F.col("value").alias("line"), "source", "place")
+
+
+_LISTED = "SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS line, o_custkey % 22 + 1 AS c, o_orderkey % 500 AS s FROM orders"
+_BAD = """CASE WHEN k % 97 = 1 THEN '# a comment' WHEN k % 97 = 2 THEN '' WHEN k % 97 = 3 THEN chr(9) || s || chr(9) || s WHEN k % 97 = 4 THEN 'chr' || c
+ WHEN k % 97 = 5 THEN 'chr' || c || chr(9) || 'x' || s || chr(9) || s WHEN k % 97 = 6 THEN 'chr' || c || chr(9) || s || chr(9) || '1e3' WHEN k % 97 = 7 THEN 'chr' || c || chr(9) || (s + 1) || chr(9) || s
+ ELSE 'chr' || c || chr(9) || s || chr(9) || (s + 1) END"""
+
+
+@query(f"""WITH l AS (SELECT k, line, {_BAD} AS value FROM ({_LISTED}))
+ SELECT line, value, CASE k % 97 WHEN 3 THEN 'no chromosome' WHEN 4 THEN 'no start position' WHEN 5 THEN 'no start position' WHEN 6 THEN 'no stop position' ELSE 'stop before start' END AS reason
+ FROM l WHERE k % 97 BETWEEN 3 AND 7""")
+def bad_lines_located(spark, sf_dir):
+    """Malformed lines of a file of many splits, each with its number in the file."""
+    return lines.checked_bed(spark, _listed(spark, sf_dir))[1].select("line", "value", "reason")
+
+
+def _listed(spark, sf_dir) -> str:
+    rows = v.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "CAST(o_custkey % 22 + 1 AS STRING) AS c", "o_orderkey % 500 AS s")
+    path = scratch(spark, "listed")
+    rows.selectExpr("k", f"{_BAD.replace('chr(9)', 'char(9)')} AS value").coalesce(1).sortWithinPartitions("k").select("value").write.text(path)  # one file, which is read in splits
+    return path
+
+
+@query(f"""WITH l AS (SELECT *, lag(c) OVER (ORDER BY line) AS c0, lag(s) OVER (ORDER BY line) AS s0 FROM ({_LISTED}) WHERE k % 97 NOT BETWEEN 1 AND 7)
+ SELECT line, 'chr' || c || chr(9) || s || chr(9) || (s + 1) AS value FROM l WHERE c < c0 OR (c = c0 AND s + 1 <= s0)""")
+def lines_out_of_order(spark, sf_dir):
+    """Lines that lie before the good one before them, over the splits' borders too."""
+    return lines.checked_bed(spark, _listed(spark, sf_dir), in_order=True)[1].filter(F.col("reason") == "not in order").select("line", "value")
+
+
+@query("""WITH w AS (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey) - 1 AS i, CAST(p_size % 4 AS DOUBLE) AS v FROM part),
+ t AS (SELECT *, CASE WHEN lag(v) OVER (ORDER BY i) = v THEN 0 ELSE 1 END AS turn FROM w), r AS (SELECT *, sum(turn) OVER (ORDER BY i) AS run FROM t)
+ SELECT CAST(min(i) * 5 + 99 AS BIGINT) AS start_, CAST(max(i) * 5 + 104 AS BIGINT) AS stop_, v AS value FROM r GROUP BY run, v""")
+def wiggle_of_one_long_block(spark, sf_dir):
+    """One block of one file, longer than a split: the header and the runs go on from split to split."""
+    path = scratch(spark, "long-wiggle")
+    head = spark.createDataFrame([(-1, "fixedStep chrom=chr1 start=100 step=5 span=5")], "k bigint, value string")
+    body = v.table(spark, sf_dir, "part").selectExpr("CAST(p_partkey AS BIGINT) AS k", "CAST(p_size % 4 AS STRING) AS value")
+    head.unionByName(body).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)  # one file, which is read in splits
+    return signal.track_intervals(text.read_wiggle(spark, path)).select(F.col("start").alias("start_"), F.col("stop").alias("stop_"), "value")
 
 
 @query("SELECT unnest(['##fileformat=VCFv4.1', '##INFO=<ID=DP,Number=1,Type=Integer,Description=\"depth\">', '##INFO=<ID=DB,Number=0,Type=Flag,Description=\"known\">', "

@@ -5,10 +5,11 @@ Spark reads them. Lines that are blank or begin with # are skipped where the for
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alleles import plain
+from . import lines
 
 
 def _lines(spark: SparkSession, path, comments: bool = True) -> DataFrame:
@@ -67,22 +68,24 @@ def fasta_index(seqs: DataFrame) -> DataFrame:
 
 
 def read_wiggle(spark: SparkSession, path) -> DataFrame:
-    """Points (block, ord, chrom, start, step, span, value) of fixedStep tracks; variableStep is an error."""
-    text = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
-    rows = text.select("file", F.posexplode(F.split("value", "\n")).alias("ord", "line")).filter(F.trim("line") != "")
-    kind = F.regexp_extract("line", "^(track|fixedStep|variableStep|browser|#)", 1)
-    head = F.when(kind == "fixedStep", F.col("line")).when(kind == "variableStep", F.raise_error(F.lit("variableStep tracks aren't supported")))
-    w = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({
-        "kind": kind, "head": F.last(head, ignorenulls=True).over(w),
-        "number": F.sum(F.when(kind != "", 1).otherwise(0)).over(w),
-    }).filter(F.col("kind") == "")
-    get = lambda k, d: F.coalesce(F.nullif(F.regexp_extract("head", rf"\b{k}=(\S+)", 1), F.lit("")), F.lit(d))
-    return rows.select(
-        F.concat_ws("#", "file", F.col("number").cast("string")).alias("block"), "ord", get("chrom", "").alias("chrom"),
+    """Points (file, split, block, ord, chrom, start, step, span, value, at) of fixedStep tracks; variableStep is an error.
+
+    at is the point's own place from 0. Files are read in splits: the header in force and the number of values
+    since it are carried from one split to the next.
+    """
+    rows = lines.numbered(spark, path)
+    mark = F.regexp_extract("value", "^(track|fixedStep|variableStep|browser|#)", 1)
+    rows = rows.filter(F.trim("value") != "").withColumn("_mark", F.when(mark == "variableStep", F.raise_error(F.lit("variableStep tracks aren't supported")).cast("string")).otherwise(mark))
+    rows = lines.running(rows, {"_number": (F.col("_mark") != "").cast("bigint"), "_values": (F.col("_mark") == "").cast("bigint")})
+    head = F.when(F.col("_mark") == "fixedStep", F.struct(F.col("value").alias("text"), F.col("_values").alias("before")))
+    rows = lines.latest(rows, "_head", head).filter(F.col("_mark") == "")
+    get = lambda k, d: F.coalesce(F.nullif(F.regexp_extract("_head.text", rf"\b{k}=(\S+)", 1), F.lit("")), F.lit(d))
+    out = rows.select(
+        "file", "split", F.concat_ws("#", "file", F.col("_number").cast("string")).alias("block"), F.col("line").alias("ord"), get("chrom", "").alias("chrom"),
         get("start", "1").cast("bigint").alias("start"), get("step", "1").cast("bigint").alias("step"),
-        get("span", "1").cast("bigint").alias("span"), F.trim("line").cast("double").alias("value"),
+        get("span", "1").cast("bigint").alias("span"), F.trim("value").cast("double").alias("value"), (F.col("_values") - F.col("_head.before") - 1).alias("_n"),
     )
+    return out.withColumn("at", F.col("start") - 1 + F.col("_n") * F.col("step")).drop("_n")
 
 
 def read_sam(spark: SparkSession, path) -> DataFrame:
