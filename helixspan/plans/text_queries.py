@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import sequences, signal
 from ..sources import fasta, lines, sinks, text, vcf
 from ..sources.staging import scratch
+from ..streaming import join as stream_join
 from . import commands
 from . import views as v
 
@@ -284,6 +285,23 @@ def kinds_of_files(spark, sf_dir):
     return spark.createDataFrame(found, "made string, found string")
 
 
+# --- streams -----------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH a AS ({v.SQL_A}), b AS ({v.SQL_B}) SELECT 'pair' AS kind, a.chrom, a.orderkey AS a_id, a.start_ AS a_start, a.stop_ AS a_stop, b.orderkey AS b_id, b.start_ AS b_start, b.stop_ AS b_stop
+ FROM a JOIN b ON a.chrom = b.chrom AND a.start_ < b.stop_ AND b.start_ < a.stop_""")
+def overlap_of_two_streams(spark, sf_dir):
+    """Both tables as streams of files in the order of their places, joined batch by batch with state that goes with the watermark."""
+    rank, streams = F.expr("CAST(substr(chrom, 4) AS BIGINT)"), []
+    for name, rows in (("a", v.interval_a(spark, sf_dir)), ("b", v.interval_b(spark, sf_dir))):
+        rows = rows.select("chrom", "start", "stop", F.col("orderkey").alias("id"))
+        path = scratch(spark, f"stream-{name}")
+        for low, high in ((1, 5), (6, 11), (12, 17), (18, 22)):  # the source brings files in the order in which they were written
+            rows.filter(rank.between(low, high)).repartitionByRange(2, rank, "start").write.mode("append").parquet(path)
+        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path))
+    return stream_join.run_through(stream_join.interval_join(*streams, rank, width=1 << 18), scratch(spark, "stream-out"), scratch(spark, "stream-state"))
+
+
 # --- command functions on rows in the form of their files ------------------------------------------------
 
 
