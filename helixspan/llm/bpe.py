@@ -14,12 +14,13 @@ Only distinct words are folded:
    once and sent to all tasks, as Arrow columns in order of the words' hashes.
 2. Each task numbers the pieces of its texts (a word or two each) and the words in them. A block of
    documents goes on as the numbers of its pieces, with what is new in it: pieces as numbers of
-   words, and the words that are not among the frequent ones, on which the fold runs in the same
-   stage. Numbers begin anew after HELD_PIECES of them, which bounds what a task holds.
+   words, and the words that are not among the frequent ones, on which the fold and the decoding run in
+   the same stage. Numbers begin anew after HELD_PIECES of them, which bounds what a task holds.
 3. The documents' ids and decoded bytes are put together by number.
 So no text and no occurrence is shuffled, and each word's ids come from the fold. Since a fold
 copies its items at each merge, words of more than LONG_WORD bytes, which have no place in prose,
-are merged by a heap in the task instead, by the same rule.
+are merged by a heap in the task instead, by the same rule. Their ids are decoded as all others, through
+the literal table of pieces.
 
 Python finds the words (Spark's own regular expressions know another edition of Unicode) and
 concatenates their results.
@@ -52,7 +53,7 @@ HELD_PIECES = 600_000
 BUCKETS = 8192
 NO_RANK = 1 << 30
 ROW_CHARS = 1 << 20
-LONG_WORD = 1024
+LONG_WORD = 1024  # bytes
 FREQUENT, FOLDED, LONG = 0, 1, 2
 CHUNK = 256
 PIECE_ROWS = 256
@@ -249,6 +250,10 @@ def matcher():
     return regex.compile(public_tokenizers.PATTERN).findall
 
 
+def is_long(word: str) -> bool:
+    return len(word) > LONG_WORD // 4 and len(word.encode()) > LONG_WORD
+
+
 class Common:
     """Words in order of their hashes."""
 
@@ -289,7 +294,7 @@ def common_words(docs: DataFrame, ranks: dict[bytes, int], common: int) -> tuple
             words: Counter = Counter()
             for piece, n in held.items():
                 for w in find(piece):
-                    if len(w) <= LONG_WORD // 4:
+                    if not is_long(w):
                         words[w] += n
             held.clear()
             flat = list(words.items())
@@ -347,7 +352,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, common: in
     del words, results
     gathered = (
         "anew boolean, doc_ids array<bigint>, sizes binary, numbers binary, kinds binary, places binary, piece_sizes binary, "
-        "piece_words binary, long array<string>, words array<string>"
+        "piece_words binary, long_ids array<array<int>>, words array<string>"
     )
     target_a = arrow_schema(spark, gathered)
 
@@ -370,9 +375,9 @@ def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, common: in
             new = words.noted()
             places = known.places(new)
             kinds = np.where(places >= 0, FREQUENT, FOLDED).astype(np.uint8)
-            kinds[np.fromiter(map(len, new), np.int64, len(new)) > LONG_WORD // 4] = LONG
+            kinds[np.fromiter(map(is_long, new), bool, len(new))] = LONG
             of = lambda kind: [new[i] for i in np.flatnonzero(kinds == kind).tolist()]
-            cols = [anew, ids, counts, numbers, kinds, places[kinds == FREQUENT], piece_sizes, piece_words, of(LONG), of(FOLDED)]
+            cols = [anew, ids, counts, numbers, kinds, places[kinds == FREQUENT], piece_sizes, piece_words, [heap_merge(held_ranks.value, w.encode()) for w in of(LONG)], of(FOLDED)]
             as_bytes = lambda v, f: v if f.type != pa.binary() else v.tobytes() if isinstance(v, np.ndarray) and v.dtype.itemsize < 8 else np.asarray(v, "<i4").tobytes()
             return pa.RecordBatch.from_arrays([pa.array([as_bytes(v, f)], f.type) for v, f in zip(cols, target_a)], schema=target_a)
 
@@ -395,12 +400,11 @@ def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, common: in
         held = None
         for batch in batches:
             for i in range(batch.num_rows):
-                anew, ids, sizes, numbers, kinds, places, piece_sizes, piece_words, long, csv, raw = (batch.column(c)[i].as_py() for c in range(11))
+                anew, ids, sizes, numbers, kinds, places, piece_sizes, piece_words, long_ids, csv, raw, long = (batch.column(c)[i].as_py() for c in range(12))
                 if anew or held is None:
                     held = Held()
                 at = pa.array(np.frombuffer(places, "<i4"))
-                long = [w.encode() for w in long]
-                long_csv = [",".join(map(str, heap_merge(held_ranks.value, w))) for w in long]
+                long_csv = [",".join(map(str, x)) for x in long_ids]
                 held.add_words(np.frombuffer(kinds, np.uint8), (known_csv.take(at).to_pylist(), csv, long_csv), (known_pieces.take(at).to_pylist(), raw, long))
                 held.add_pieces(np.frombuffer(piece_sizes, "<i4"), np.frombuffer(piece_words, "<i4"))
                 n_tokens, all_ids, plain = held.texts(np.frombuffer(numbers, "<i4"), np.frombuffer(sizes, "<i4"))
@@ -408,5 +412,5 @@ def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, common: in
                 cols += [[bytes(x).decode() for x in all_ids]] if with_ids else []
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, target_b)], schema=target_b)
 
-    rows = fold_columns(docs.mapInArrow(gather, gathered), ranks).drop("words")
+    rows = fold_columns(docs.mapInArrow(gather, gathered), ranks).withColumn("long_pieces", decode_ids(F.col("long_ids"), ranks)).drop("words")
     return rows.mapInArrow(released(assemble), ddl)
