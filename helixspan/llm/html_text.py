@@ -5,15 +5,20 @@ A line has its characters, its tags and the characters inside links; its text-to
 its characters outside links over its tags. The ratios are smoothed by a Gaussian along the
 page, and two-means clustering of the smoothed ratios gives the threshold over which lines count
 as content; a line of at least PROSE characters, most of them outside links, counts whatever its
-ratio, and shorter lines only count where there are no long ones. The content region is the smallest element that holds all content lines, or the
-smallest article or main element around it; its lines are the text, short ones included, without
-those that stand in navigation, adverts, comments and the like. Where no article or main element
-marks the region, short paragraphs, headings, items and cells around it that aren't links belong to
-the text as well.
+ratio, and shorter lines only count where there are no long ones.
+
+Where article or main elements hold at least MARKED of the content lines' characters outside links, or of all
+lines', they are the region: of the outermost articles the one with most text and its siblings, and around them in main
+the headings and paragraphs that stand in the elements which hold them; main alone if it has no such article.
+What stands beside them doesn't count, whatever its names. Elsewhere the content region is the smallest element that holds
+all content lines, and short paragraphs, headings, items and cells around it that aren't links belong to
+the text as well. The region's lines are the text, short ones included, without
+those that stand in navigation, adverts, comments and the like.
 
 Such parts are known by their element, their ARIA role, or a name of their class or id all of whose
-words say so (CLASS_WORDS, beside words of PLACE_WORDS): with-sidebar is none. Ids of headings and of
-sections inside article and main only count if they name comments. A part known by role, class, id
+words say so (CLASS_WORDS, beside words of PLACE_WORDS): with-sidebar is none. Inside article and main only
+INSIDE_WORDS count, and a header belongs to the article. Ids of headings and of
+sections there only count if they name comments. A part known by role, class, id
 or as a form stays if it holds most of the page's characters outside links, unless an article or
 main with text stands outside it.
 
@@ -21,7 +26,7 @@ An element inside a line never ends the line: dropped ones (a button, a picture)
 their line together, and so do inline elements with such names of class or id; formulas stay.
 
 Defined cases: null html is the empty page with the empty text; repeated rows give repeated
-results; an empty table has no rows; markup that is never closed ends with the page; very long and
+results; an empty table has no rows; columns of other names, or names that differ only by case, fall away; markup that is never closed ends with the page; very long and
 deeply nested pages take time in proportion to their length, since what is asked of the elements
 around a line is summed along the tree once.
 """
@@ -40,6 +45,8 @@ from .common import doc_columns, map_rows
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 SIGMA = 1.5
 PROSE = 40
+#: Share of the content's characters outside links from which article and main elements are the region.
+MARKED = 1 / 3
 
 # Elements of the HTML standard by their role here.
 BLOCK = frozenset(
@@ -66,6 +73,12 @@ PLACE_WORDS = frozenset(
     "block box bar area wrap wrapper container inner outer row col list item items link links button buttons text message "
     "section group panel form media unit slot js id content body title".split()
 )
+#: Words that name a part which isn't the article's own, though it stands inside of it.
+INSIDE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments disqus replies "
+    "respond share sharing social related recommended recommendations newsletter subscribe signup cookie cookies consent gdpr nav navbar "
+    "navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar popup modal overlay".split()
+)
 COMMENT_NAMES = frozenset("comment comments disqus replies respond".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # A paragraph, list item, cell or the like is ended by the next one of its kind, even if it isn't closed.
@@ -79,18 +92,18 @@ _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figcaption caption dt dd l
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
-def named_unwanted(names: str) -> bool:
+def named_unwanted(names: str, telling: frozenset = CLASS_WORDS) -> bool:
     """Whether one of the names says that the element is an unwanted part."""
     for name in names.split():
         words = [w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
-        if not CLASS_WORDS.isdisjoint(words) and all(w in CLASS_WORDS or w in PLACE_WORDS for w in words):
+        if not telling.isdisjoint(words) and all(w in CLASS_WORDS or w in PLACE_WORDS for w in words):
             return True
     return False
 
 
 def unwanted(tag: str, attrs, inside: bool = False) -> int:
     """2: dropped in any case, 1: dropped unless it holds most of the page, 0: wanted. inside: in article or main."""
-    if tag in DROPPED and tag != "form":
+    if tag in DROPPED and tag != "form" and not (inside and tag == "header"):
         return 2
     found = int(tag == "form")
     for name, value in attrs:
@@ -99,7 +112,7 @@ def unwanted(tag: str, attrs, inside: bool = False) -> int:
                 continue
             if name == "id" and inside and (tag in _HEADINGS or tag == "section"):
                 found |= value.strip().lower() in COMMENT_NAMES
-            elif named_unwanted(value):
+            elif named_unwanted(value, INSIDE_WORDS if inside else CLASS_WORDS):
                 found = 1
         elif name == "role":
             if (value or "").lower() in ROLES:
@@ -307,6 +320,39 @@ def without_unwanted(parser: Lines) -> list[Line]:
     return out
 
 
+def marked_region(parser: Lines, lines: list[Line], weights: list[int]):
+    """Whether a line belongs to the page's article and main elements, as a function; None if these don't hold enough of the weights."""
+    names, parent = parser.names, parser.parent
+    held = parser.sums([(x.node, w) for x, w in zip(lines, weights)])
+    whole = sum(weights)
+    up: list[tuple[int, int]] = []  # the outermost main and article around an element or at it
+    for n, name in enumerate(names):
+        m, a = up[parent[n]] if parent[n] >= 0 else (-1, -1)
+        up.append((n if m < 0 and name == "main" else m, n if a < 0 and name == "article" else a))
+    enough = lambda n: held[n] > 0 and held[n] >= MARKED * whole
+    main = max((n for n, name in enumerate(names) if name == "main" and up[n][0] == n and enough(n)), key=held.__getitem__, default=-1)
+    articles = [n for n, name in enumerate(names) if name == "article" and up[n][1] == n and (main < 0 or up[n][0] == main)]
+    first = max(articles, key=held.__getitem__, default=-1)
+    together = [n for n in articles if parent[n] == parent[first]]
+    if first < 0 or sum(held[n] for n in together) < MARKED * (held[main] if main >= 0 else whole) or held[first] == 0:
+        if main < 0:
+            return None
+        region = parser.inside({main})
+        return lambda x: x.node >= 0 and region[x.node]
+    region, around, n = parser.inside(set(together)), set(), parent[first]
+    while main >= 0 and n >= 0 and up[n][0] == main:
+        around.add(n)
+        n = parent[n]
+
+    def belongs(x: Line) -> bool:
+        if x.node < 0 or region[x.node]:
+            return x.node >= 0
+        block = parser.block[x.node]
+        return block >= 0 and parent[block] in around and (names[block] in _HEADINGS or names[block] == "p") and len(x.text) >= 2 * x.linked
+
+    return belongs
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the page's content region, joined by line feeds."""
     if not html:
@@ -323,6 +369,10 @@ def main_text(html: str | None) -> str:
     least = threshold(ratios)
     content = [len(x.text) >= PROSE and (r >= least or len(x.text) >= 2 * x.linked) for x, r in zip(lines, ratios)]
     content = content if any(content) else [r >= least for r in ratios]
+    chars = [own_chars(x) for x in lines]
+    for weights in ([k * c for k, c in zip(chars, content)], chars):
+        if own := marked_region(parser, lines, weights):
+            return "\n".join(x.text for x in lines if own(x))
     held = parser.sums([(x.node, 1) for x, c in zip(lines, content) if c])
     # The smallest element around all content lines, then the smallest fitting one from there outwards.
     every = sum(content)

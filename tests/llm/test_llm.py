@@ -236,6 +236,38 @@ def test_html_parts_by_name(page, want):
     assert len(got.split("\n") if got else []) == want
 
 
+NOTICE = "We use cookies and similar tools to give you the best visit that we can"
+
+
+@pytest.mark.parametrize("page", [
+    "<article><p>{0}</p><p>{1}</p></article><div class='cc-window'>{n}</div><ul><li><a>menu one</a></li></ul>",
+    "<div id='onetrust'><p>{n}</p></div><article><p>{0}</p><p>{1}</p></article>",
+    "<article><p>{0}</p><p>{1}</p></article><div class='site-info'>{n}</div>",
+    "<article><p>{0}</p><p>{1}</p></article><div class='user-feedback'><article><p>{n}</p></article><article><p>{n} too</p></article></div>",
+    "<div class='q7'><p>{n} {n}</p></div><main><p>{0}</p><p>{1}</p></main>",
+    "<main><article><p>{0}</p><p>{1}</p></article><div class='zz9'>{n}</div><ul><li>menu</li></ul></main>",
+    "<body><div><div><article><p>{0}</p><p>{1}</p></article></div><div class='k1'><p>{n}</p></div></div></body>",
+    "<article><p>{0}</p><div class='share-buttons'>{n}</div><div class='ad'>{n}</div><section class='comments'><p>{n}</p></section><p>{1}</p></article>",
+])
+def test_html_marked_article_without_what_stands_beside_it(page):
+    lines = html_lines(2)
+    assert html_text.main_text(page.format(*lines, n=NOTICE)).split("\n") == lines
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<article><header><h1>Title</h1></header><p>{0}</p><p>{1}</p></article>", ["Title", 0, 1]),
+    ("<main><h1>Title</h1><article><p>{0}</p><p>{1}</p></article></main>", ["Title", 0, 1]),
+    ("<main><p>{0}</p><section class='discussion'><p>{1}</p></section></main>", [0, 1]),
+    ("<article><div class='legal'><p>{0}</p></div><div class='article-header'><p>{1}</p></div></article>", [0, 1]),
+    ("<header><h1>Site</h1></header><article><div class='notice'><p>{0}</p></div><p>{1}</p></article>", [0, 1]),
+    ("<main><article><p>{0}</p></article><article><p>{1}</p></article></main><div class='x'><p>{0}</p></div>", [0, 1]),
+    ("<article><p>short</p><p>{0}</p><div class='banner-image'><p>{1}</p></div></article>", ["short", 0, 1]),
+])
+def test_html_marked_article_whole(page, want):
+    lines = html_lines(2)
+    assert html_text.main_text(page.format(*lines)).split("\n") == [lines[x] if isinstance(x, int) else x for x in want]
+
+
 @pytest.mark.parametrize("page,want", [
     ("<p>Formula <math><mi>x</mi></math> of it", "Formula x of it"), ("<p>see <svg><text>no</text></svg>this <button>Go</button>and that", "see this and that"),
     ("<p>Text <span class='share'>Share</span> goes on", "Text goes on"), ("<p>one<video>no video</video> two", "one two"),
@@ -294,6 +326,14 @@ def test_html_of_made_up_pages(seed):
     rng.shuffle(other)
     rng.shuffle(after)
     tag = ["article", "main", "article"][seed % 3]
+    strange = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 7))
+    if seed % 2:  # parts with names that nothing is known of, and a head inside the article
+        other.append(f"<div class='{strange()}'><p>{words(8, 25)}</p></div>")
+        after.append(f"<div id='{strange()}'><p>{words(8, 25)}</p><ul>{links(3)}</ul></div>")
+        inner.insert(0, f"<header><h1>{blocks[0]}</h1><p>{blocks[-1]}</p></header>")
+        blocks = [blocks[0], blocks[-1], *blocks]
+        inner.append(f"<section class='{strange()}'><p>{blocks[0]}</p></section>")
+        blocks.append(blocks[0])
     page = f"<!doctype html><html><head><title>{words(2, 5)}</title></head><body>{''.join(other)}<{tag}>{''.join(inner)}</{tag}>{''.join(after)}</body></html>"
     assert html_text.main_text(page).split("\n") == blocks
 
@@ -606,6 +646,23 @@ def test_bpe(docs, empty):
     assert bpe.encode_and_decode(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [200, 1000, 1024, 1025, 3000])
+def test_bpe_decodes_the_ids_it_gives(spark, monkeypatch, size):
+    """Ids that are wrong on purpose give other bytes, for words of any length."""
+    word = "abcdeinr" * (size // 8) + "ab"[: size % 8]
+    docs = spark.createDataFrame([(1, word + " tail")], "doc_id bigint, text string")
+    right = bpe.encode_and_decode(docs, common=0, with_ids=True).first()
+    assert right.decoded_sha256 == hashlib.sha256((word + " tail").encode()).hexdigest()
+    ranks = bpe.load_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    first = next(p for p, r in ranks.items() if r == int(right.ids.split(",")[0]))
+    other = dict(ranks)
+    other[b"zz"], other[first] = ranks[first], ranks[b"zz"]
+    literal = bpe.piece_literal
+    monkeypatch.setattr(bpe, "piece_literal", lambda _: literal(other))
+    wrong = bpe.encode_and_decode(docs, common=0, with_ids=True).first()
+    assert wrong.ids == right.ids and wrong.decoded_sha256 != right.decoded_sha256
+
+
 def test_bpe_heap_merges_as_the_fold(spark):
     ranks = bpe.load_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
     rng = np.random.default_rng(9)
