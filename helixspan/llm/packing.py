@@ -6,8 +6,10 @@ of tokens can't express is carried on, across windows and across the partitions
 of a queue. Because a queue is served in order and without gaps, what queue q has sent after t
 tokens in all is a closed formula, S_q(t): so each document finds its windows from its own place
 in its queue alone, and no task has to run the rounds one after another. When a queue runs dry,
-its share goes to the others in proportion to their weights (a new phase of the formula).
-quantum() and deficit() show a round's terms; tests hold the formula against rounds run one by one.
+its share goes to the others in proportion to their weights: queues run dry in the order of tokens
+by weight, so with k of them dry, S_q(t) = floor(w_q * (t - N_k) / W_k), where N_k is what the dry ones
+had and W_k the weight of the others, both prefix sums in that order. It is one rule for any number of
+sources. quantum() and deficit() show a round's terms; tests hold the formula against rounds run one by one.
 
 Windows follow each other without gaps and are cut every `capacity` tokens, so only the very
 last sequence has padding. The targets are given as weights, or are the queues' sizes raised to
@@ -21,12 +23,8 @@ Defined cases: null text is the empty text (its document is the end id alone); n
 queue of its own; very long texts are cut into pieces; repeated rows are separate documents; an
 empty table has no pieces; columns of other names, or names that differ only by case, fall away.
 
-Every source is a queue, however many there are. Beyond max_queues of them the rounds have two
-levels (SharedRounds): sources are dealt to max_queues buckets by hash, rounds over the buckets have
-the sums of their sources' sizes and weights, and rounds inside each bucket have a window as long as
-the bucket's part of a window. Each window so holds each source's share up to rounding; the share of
-a source that runs dry goes to the other sources of its bucket first. The driver and the tasks hold
-one name and total for each source.
+Every source is a queue, however many there are. The driver and the tasks hold one name, total and
+weight for each source, and a task a window's totals for some windows, as arrays.
 """
 from __future__ import annotations
 
@@ -46,85 +44,127 @@ from .tokens import encoder, lots
 CAPACITY = 1024
 WINDOW = 64 * CAPACITY
 END_ID = 0
-MAX_QUEUES = 1024
-HELD_NUMBERS = 2_000_000
-HELD_WINDOWS = 4_000_000
+HELD_NUMBERS = 8_000_000
 BROADCAST_SUMS = 200_000
 NO_SOURCE = ""
 
 
+class Stage:
+    """Queues that are served together from token `begin` of the stream on, each by its weight."""
+
+    def __init__(self, places: np.ndarray, totals: np.ndarray, weights: np.ndarray, begin: int):
+        self.places, self.begin = places, begin
+        # In the order in which they run dry: by totals over weights, compared as fractions.
+        order = np.array(sorted(range(len(places)), key=lambda i: Fraction(int(totals[i]), int(weights[i]))), np.int64)
+        self.totals, self.weights = totals, weights
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+        self.dry = [0, *np.cumsum(totals[order]).tolist()]  # what the first k queues have
+        self.alive = [*(np.cumsum(weights[order][::-1])[::-1]).tolist(), 0]  # weights of the others
+        self.order = order.tolist()
+        self.end = begin + self.dry[-1]
+
+    def phase(self, t: int) -> int:
+        """How many queues have run dry when t tokens of the stage are sent."""
+        lo, hi = 0, len(self.order)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            i = self.order[mid]
+            # Queue i is dry at t if (t - dry) / alive >= total / weight, with mid queues dry before it.
+            if (t - self.dry[mid]) * int(self.weights[i]) >= self.alive[mid] * int(self.totals[i]):
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo
+
+    def served(self, t: int) -> np.ndarray:
+        """What each queue has sent after t tokens of the stream."""
+        t = min(max(t - self.begin, 0), self.dry[-1])
+        k = self.phase(t)
+        if k == len(self.order):
+            return self.totals
+        p, over = t - self.dry[k], self.alive[k]
+        # floor(w * p / over): a floating estimate is off by one at most, which the remainder shows (modulo 2^64).
+        x = np.minimum(np.floor(self.weights * (p / over)), self.totals).astype(np.int64)
+        left = (self.weights.astype(np.uint64) * np.uint64(p) - x.astype(np.uint64) * np.uint64(over)).astype(np.int64)
+        x += (left >= over).astype(np.int64) - (left < 0)
+        return np.where(self.rank < k, self.totals, np.minimum(x, self.totals))
+
+    def one(self, i: int, t: int) -> int:
+        """The same for one queue."""
+        t = min(max(t - self.begin, 0), self.dry[-1])
+        k = self.phase(t)
+        if k > self.rank[i]:
+            return int(self.totals[i])
+        return min(int(self.totals[i]), int(self.weights[i]) * (t - self.dry[k]) // self.alive[k])
+
+
 class Rounds:
-    """The served totals of deficit round-robin as a function of the tokens sent in all."""
+    """The served totals of deficit round-robin as a function of the tokens sent in all.
+
+    Queues with a weight are served first, then those of weight 0, each alike. Weights are scaled
+    down together if they are beyond 31 bits, to 1 at least.
+    """
 
-    def __init__(self, totals: dict[str, int], weights: dict[str, int] | None = None, window: int = WINDOW, held: int = HELD_WINDOWS):
-        self.held = held
+    def __init__(self, totals: dict[str, int], weights: dict[str, int] | None = None, window: int = WINDOW):
         self.names = sorted(q for q, n in totals.items() if n > 0)
         self.place = {q: i for i, q in enumerate(self.names)}
-        self.totals = [totals[q] for q in self.names]
+        self.totals = np.array([totals[q] for q in self.names], np.int64)
         self.window = window
-        self.end = sum(self.totals)
-        weights = weights or {}
-        given = [int(weights.get(q, 0)) for q in self.names] if weights else list(self.totals)
-        # phases: (t0, served at t0, weights of the queues that still have tokens)
-        self.phases, t, served = [], 0, [0] * len(self.names)
-        while t < self.end:
-            live = [w if s < n else 0 for w, s, n in zip(given, served, self.totals)]
-            if not sum(live):  # only queues of weight 0 are left
-                live = [int(s < n) for s, n in zip(served, self.totals)]
-            self.phases.append((t, served, live))
-            all_w = sum(live)
-            step = min(-(-(n - s) * all_w // w) for n, s, w in zip(self.totals, served, live) if w)
-            served = self._served(len(self.phases) - 1, t + step)
-            t += step
-        self.known: dict[int, tuple[list[int], list[int], list[int]]] = {}
-
-    def _served(self, phase: int, t: int) -> list[int]:
-        t0, served, live = self.phases[phase]
-        all_w = sum(live)
-        return [min(n, s + (t - t0) * w // all_w) for n, s, w in zip(self.totals, served, live)]
+        self.end = int(self.totals.sum())
+        given = [int((weights or {}).get(q, 0)) for q in self.names] if weights else self.totals.tolist()
+        scale = max(1, -(-max(given, default=0) >> 31))
+        self.weights = np.array([max(1, w // scale) if w > 0 else 0 for w in given], np.int64)
+        self.stages: list[Stage] = []
+        begin = 0
+        for chosen, own in ((self.weights > 0, self.weights), (self.weights == 0, np.ones(len(given), np.int64))):
+            at = np.flatnonzero(chosen)
+            if len(at):
+                self.stages.append(Stage(at, self.totals[at], own[at], begin))
+                begin = self.stages[-1].end
+        self.stage_of = {int(q): (s, i) for s in self.stages for i, q in enumerate(s.places)}
+        self.known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def served(self, t: int) -> np.ndarray:
+        out = np.zeros(len(self.names), np.int64)
+        for s in self.stages:
+            if t > s.begin:
+                out[s.places] = s.served(t)
+        return out
+
+    def served_of(self, q: int, t: int) -> int:
+        s, i = self.stage_of[q]
+        return s.one(i, t)
 
     def quantum(self, w: int, q: int) -> Fraction:
         """Tokens that queue q is due in window w, as long as no queue runs dry in it."""
-        _, _, live = self.phases[self._phase(w * self.window)]
-        return Fraction(self.window * live[q], sum(live))
+        s, i = self.stage_of[q]
+        return Fraction(self.window * int(s.weights[i]), s.alive[s.phase(w * self.window - s.begin)])
 
     def deficit(self, w: int, q: int) -> Fraction:
         """What queue q carries from window w to the next one: less than a token."""
-        t = (w + 1) * self.window
-        t0, served, live = self.phases[self._phase(t)]
-        return served[q] + Fraction((t - t0) * live[q], sum(live)) - self.served(t)[q]
+        s, i = self.stage_of[q]
+        t = (w + 1) * self.window - s.begin
+        k = s.phase(t)
+        return Fraction(int(s.weights[i]) * (t - s.dry[k]), s.alive[k]) - self.served_of(q, (w + 1) * self.window)
 
-    def served(self, t: int) -> list[int]:
-        return self._served(self._phase(t), t) if self.phases else []
-
-    def _phase(self, t: int) -> int:
-        lo, hi = 0, len(self.phases) - 1
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if self.phases[mid][0] <= t else (lo, mid - 1)
-        return lo
-
-    def at(self, w: int) -> tuple[list[int], list[int], list[int]]:
+    def at(self, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of window w, by queue: served before it, served after it, place of its part in the whole stream."""
         if w not in self.known:
-            if len(self.known) > min(4096, self.held // len(self.names)):
+            if len(self.known) > max(2, HELD_NUMBERS // max(1, 3 * len(self.names))):
                 self.known.clear()
             a, b = self.served(w * self.window), self.served((w + 1) * self.window)
-            places, place = [], sum(a)
-            for x, y in zip(a, b):
-                places.append(place)
-                place += y - x
-            self.known[w] = a, b, places
+            self.known[w] = a, b, int(a.sum()) + np.cumsum(b - a) - (b - a)
         return self.known[w]
 
     def first_window(self, q: int, x: int) -> int:
         """The window that sends token x of queue q."""
         lo, hi = 0, 1
-        while self.served(hi * self.window)[q] <= x:
+        while self.served_of(q, hi * self.window) <= x:
             lo, hi = hi, 2 * hi
         while lo < hi:
             mid = (lo + hi) // 2
-            if self.served((mid + 1) * self.window)[q] > x:
+            if self.served_of(q, (mid + 1) * self.window) > x:
                 hi = mid
             else:
                 lo = mid + 1
@@ -142,8 +182,8 @@ class Rounds:
             if b[q] <= x:
                 w += 1
                 continue
-            take = min(end, b[q]) - x
-            place = places[q] + x - a[q]
+            take = min(end, int(b[q])) - x
+            place = int(places[q]) + x - int(a[q])
             while take:
                 n = min(take, capacity - place % capacity)
                 yield x - start, n, place
@@ -151,52 +191,6 @@ class Rounds:
         guess[:] = [w]
 
 
-class SharedRounds:
-    """Rounds over buckets of sources, and inside each bucket rounds over its sources."""
-
-    def __init__(self, totals: dict[str, int], weights: dict[str, int] | None = None, window: int = WINDOW, buckets: int = MAX_QUEUES):
-        self.buckets, self.weights = buckets, weights or {}
-        self.inside: dict[str, dict[str, int]] = {}
-        for q, n in totals.items():
-            self.inside.setdefault(self.bucket(q), {})[q] = n
-        sums = {b: sum(own.values()) for b, own in self.inside.items()}
-        given = {b: sum(int(self.weights.get(q, 0)) for q, n in own.items() if n > 0) for b, own in self.inside.items()} if weights else None
-        self.outer = Rounds(sums, given, window)
-        # A bucket's part of a window while it has its first weight.
-        self.parts = {}
-        for b, i in self.outer.place.items():
-            live = next((x for _, _, x in self.outer.phases if x[i]))
-            self.parts[b] = max(1, window * live[i] // sum(live))
-        self.known: dict[str, Rounds] = {}
-        self.held = 0
-        self.guesses: dict[str, list] = {}
-
-    def bucket(self, queue: str) -> str:
-        return f"q{zlib.crc32(queue.encode()) % self.buckets}"
-
-    def rounds(self, bucket: str) -> Rounds:
-        if bucket not in self.known:
-            own = self.inside[bucket]
-            given = {q: int(self.weights.get(q, 0)) for q in own} if self.weights else None
-            made = Rounds(own, given, self.parts[bucket], HELD_WINDOWS // self.buckets)
-            size = len(made.names) * (1 + len(made.phases))
-            if self.held + size > HELD_NUMBERS:
-                self.known.clear()
-                self.held = 0
-            self.known[bucket] = made
-            self.held += size
-        return self.known[bucket]
-
-    def pieces(self, queue: str, start: int, length: int, guess: list, capacity: int = CAPACITY):
-        """As those of Rounds: places in the bucket's stream, then these in the whole stream."""
-        bucket = self.bucket(queue)
-        inner = self.rounds(bucket)
-        last = self.guesses.setdefault(bucket, [])
-        for off, size, at in inner.pieces(queue, start, length, guess, max(1, inner.end)):
-            for more, n, place in self.outer.pieces(bucket, at, size, last, capacity):
-                yield off + more, n, place
-
-
 def encode_queues(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Rows (part, queue, doc_id, local, n_tokens, ids) in the shared folder; ids are zstd frames of u16."""
     vocabulary = vocabulary or tokenizer_path("byte_bpe_50k.json")
@@ -227,7 +221,7 @@ def encode_queues(docs: DataFrame, vocabulary: str | None = None, end_id: int =
 
 def pack(
     docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, window: int = WINDOW,
-    weights: dict[str, int] | None = None, max_queues: int = MAX_QUEUES, with_ids: bool = False, temperature: float = 1.0,
+    weights: dict[str, int] | None = None, with_ids: bool = False, temperature: float = 1.0,
 ) -> DataFrame:
     """Pieces of documents with their places in sequences; with_ids adds each piece's ids (u16 bytes)."""
     spark = docs.sparkSession
@@ -238,7 +232,7 @@ def pack(
         weights = {q: max(1, round(1000 * n**temperature)) for q, n in totals.items()}
     before = F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = sums.select("part", "queue", F.coalesce(before, F.lit(0)).alias("base"))
-    rounds = Rounds(totals, weights, window) if len(totals) <= max_queues else SharedRounds(totals, weights, window, max_queues)
+    rounds = Rounds(totals, weights, window)
     ddl = (
         "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
         "offset bigint, queue string" + (", ids binary" if with_ids else "")
