@@ -34,8 +34,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' ids into training sequences; null texts are empty, null sources a queue, repeated rows separate documents."""
-    return packing.pack(docs)
+    """Packs the documents' ids into training sequences, sources by their sizes to the power 0.7; null texts are empty, null sources a queue, repeated rows separate documents."""
+    return packing.pack(docs, temperature=0.7)
 
 
 STAGES = [
