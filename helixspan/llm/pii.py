@@ -31,6 +31,7 @@ import datetime as dt
 import hashlib
 import ipaddress
 import re
+import secrets
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame
@@ -39,15 +40,21 @@ from pyspark.sql import functions as F
 from .common import by_place, column_place, doc_columns, map_rows
 
 KEY_SETTING = "spark.helixspan.pseudonym.key"
-TRIAL_KEY = b"published-trial-key"
 ROUNDS = 8
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _HEX = "0123456789abcdef"
 
 
+_DRAWN: dict[str, bytes] = {}
+
+
 def session_key(spark) -> bytes:
-    """The key in the setting spark.helixspan.pseudonym.key; TRIAL_KEY, which protects nothing, where that is unset."""
-    return spark.conf.get(KEY_SETTING, TRIAL_KEY.decode()).encode()
+    """The key in the setting spark.helixspan.pseudonym.key; where that is unset, one drawn for the session and kept nowhere.
+
+    With a drawn key equal values stay linked inside the session, but not with those of another one.
+    """
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 # --- Feistel permutation over mixed radices ---------------------------------------------------
@@ -201,8 +208,27 @@ def _ip6(key, m):
         return None
     if not re.search(r"[0-9]", m[0]) or int(whole) < 1 << 32:  # a::b is code, :: and ::1 are no one's
         return None
-    groups = permute(key, b"ip6", [int(x, 16) for x in whole.exploded.split(":")], [1 << 16] * 8)
-    return ":".join(f"{g:x}" for g in groups)
+    # Groups of zeros stay, so that :: stands where it stood; the others are permuted together among numbers that aren't zero.
+    groups = [int(x, 16) for x in whole.exploded.split(":")]
+    at = [i for i, g in enumerate(groups) if g]
+    for i, g in zip(at, permute(key, b"ip6|" + bytes(at), [groups[i] - 1 for i in at], [0xFFFF] * len(at))):
+        groups[i] = g + 1
+    head, gap, tail = m[0].partition("::")
+    written = lambda part: part.split(":") if part else []
+    size = sum(2 if "." in x else 1 for x in written(tail))
+    out = []
+    for part, g in ((head, groups), (tail, groups[8 - size :] if gap else [])):
+        texts, i = [], 0
+        for x in written(part):
+            if "." in x:
+                texts.append(str(ipaddress.IPv4Address(g[i] << 16 | g[i + 1])))
+                i += 2
+            else:
+                y = f"{g[i]:0{len(x)}x}" if x[0] == "0" and len(x) == 4 else f"{g[i]:x}"
+                texts.append(y.upper() if m[0] != m[0].lower() else y)
+                i += 1
+        out.append(":".join(texts))
+    return gap.join(out)
 
 
 _DAY0, _DAY1 = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal()
