@@ -12,7 +12,8 @@ shingle of them all). Sets link if 100 * |x and y| >= threshold * |x or y|.
 3. Lists. Two linked sets share a shingle among the first n - ceil(t n) + 1 of each. Each task
    emits these with position and size, once for each distinct set it meets; shingle lists that
    only one set stands in are dropped, the others go to the shared folder. A list of more than
-   LIST_ROWS sets is dealt to slots by a hash of the set, so that no task holds a whole long list.
+   LIST_ROWS sets is dealt to slots by a hash of the set, so that no task holds a whole long list;
+   those of the frequent shingles already when the entries are gathered.
 4. Answers from similar sets. The first rounds only check each set with a few others of its
    lists, those that most lists propose: neighbours by size, and hubs, the sets with the fewest
    rare shingles of their own, which near copies have more in common with than with each other. A
@@ -209,8 +210,22 @@ def _counted(docs: DataFrame, words: int, threshold: int, heavy=None) -> DataFra
 
 
 def _most(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens, at most HEAVY_TOKENS, and their counts, sorted by token."""
-    top = counts.orderBy(F.desc("c"), "token").limit(HEAVY_TOKENS).select("token", F.least("c", F.lit(2**31 - 1)).cast("int").alias("c")).toArrow()
+    """The most frequent tokens, at most HEAVY_TOKENS, and their counts, sorted by token.
+
+    They are those of at least the least count (in steps of 1/16 of its power of two) for which there aren't more,
+    found from a histogram of the counts.
+    """
+    counts = stage(counts, "counts")
+    step = F.floor(F.log2("c") * 16).cast("int")
+    left, least = HEAVY_TOKENS, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("tokens")).collect(), key=lambda r: -r["step"]):  # some hundred rows
+        left -= r["tokens"]
+        if left < 0:
+            break
+        least = r["step"]
+    if least is None:
+        return np.empty(0, _U), np.empty(0, np.int32)
+    top = counts.filter(step >= least).select("token", F.least("c", F.lit(2**31 - 1)).cast("int").alias("c")).toArrow()
     token, count = (top.column(i).to_numpy() for i in range(2))
     order = np.argsort(token.view(_U))
     return token.view(_U)[order], count[order]
@@ -234,21 +249,26 @@ def frequent(docs: DataFrame, words: int, threshold: int) -> tuple[np.ndarray, n
     return token, count
 
 
-def lists(docs: DataFrame, heavy, words: int, threshold: int) -> DataFrame:
+def lists(docs: DataFrame, heavy, words: int, threshold: int, list_rows: int = LIST_ROWS) -> DataFrame:
     """Index entries (token, doc_id, n, pos, twin) of lists that hold more than one set, in the shared folder.
 
-    twin is a 64-bit print of the set: entries with the same n and twin are one set.
+    twin is a 64-bit print of the set: entries with the same n and twin are one set. Lists of tokens that are known
+    to stand in more than list_rows leading parts are dealt to parts by the set's print from the start, and stay
+    whatever they hold; of the others a task sees one list after another and holds no more of it than the
+    entries of its first set.
     """
     spark = docs.sparkSession
-    ddl = "token bigint, doc_id bigint, n int, pos int, twin bigint"
+    ddl = "token bigint, doc_id bigint, n int, pos int, twin bigint, part int"
     target = arrow_schema(spark, ddl)
 
     def emit(batches):
         seen: set = set()
         last = heavy.value
+        hot = last[1] > list_rows
+        tokens, parts = last[0][hot], (last[1][hot] // list_rows + 1).astype(np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, PIECE):
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[], [], [], [], [], []]
                 piece = batch.slice(at, PIECE)
                 for d, s in zip(piece.column(0).to_pylist(), shingle_sets(piece.column(1).to_pylist(), words)):
                     n = len(s)
@@ -259,11 +279,14 @@ def lists(docs: DataFrame, heavy, words: int, threshold: int) -> DataFrame:
                         continue
                     seen.add(mark)
                     p = prefix_length(n, threshold)
-                    cols[0].append(_order(s, last)[:p])
-                    cols[1].append(np.full(p, d))
-                    cols[2].append(np.full(p, n))
-                    cols[3].append(np.arange(p))
-                    cols[4].append(np.full(p, int.from_bytes(mark[:8], "little", signed=True)))
+                    own = _order(s, last)[:p]
+                    twin = int.from_bytes(mark[:8], "little", signed=True)
+                    part = np.zeros(p, np.int64)
+                    if len(tokens):
+                        i = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+                        part = np.where(tokens[i] == own, 1 + twin % parts[i], 0)
+                    for c, x in zip(cols, (own, np.full(p, d), np.full(p, n), np.arange(p), np.full(p, twin), part)):
+                        c.append(x)
                 if cols[0]:
                     flat = [np.concatenate(c) for c in cols]
                     flat[0] = flat[0].view(np.int64)
@@ -271,30 +294,39 @@ def lists(docs: DataFrame, heavy, words: int, threshold: int) -> DataFrame:
 
     def shared(batches):
         """Drops lists of a single set; a list may go on in the next batch."""
-        held = None
+        held: list = []  # entries of the last list so far, as long as they are of one set
+        last = first = None  # its token; its first set, or None once another one has come
         for batch in batches:
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            token = table["token"].to_numpy()
-            cut = int(np.searchsorted(token == token[-1], True)) if len(token) else 0
-            if cut:
-                yield from several(table.slice(0, cut))
-            rest = table.slice(cut).combine_chunks().to_batches()
-            held = rest[0] if rest else None
-        if held is not None:
-            yield from several(pa.Table.from_batches([held]))
-
-    def several(table):
-        token, twin = table["token"].to_numpy(), table["twin"].to_numpy()
-        first = np.concatenate([[True], token[1:] != token[:-1]])
-        start = np.flatnonzero(first)
-        other = (twin != twin[start][np.cumsum(first) - 1]).astype(np.int64)
-        many = np.add.reduceat(other, start) > 0
-        keep = np.repeat(many, np.diff(np.append(start, len(token))))
-        for b in table.filter(pa.array(keep)).to_batches():
-            yield b
-
-    entries = docs.mapInArrow(released(emit), ddl).repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    return stage(entries.mapInArrow(released(shared), ddl), "lists")
+            if not batch.num_rows:
+                continue
+            token, twin, part = (batch.column(i).to_numpy() for i in (0, 4, 5))
+            new = np.concatenate([[True], token[1:] != token[:-1]])
+            start = np.flatnonzero(new)
+            other = (twin != twin[start][np.cumsum(new) - 1]) | (part > 0)
+            many = np.add.reduceat(other.astype(np.int64), start) > 0
+            goes_on = token[0] == last
+            if goes_on:
+                if first is None:
+                    many[0] = True
+                elif many[0] or twin[0] != first:
+                    yield from held
+                    many[0] = True
+                elif len(start) == 1:
+                    held.append(batch)
+                    continue
+                else:
+                    many[0] = False
+            keep = np.repeat(many, np.diff(np.append(start, len(token))))
+            tail = int(start[-1])
+            alone = not many[-1]
+            out = batch.filter(pa.array(keep))
+            if out.num_rows:
+                yield out
+            last, first = token[-1], twin[tail] if alone else None
+            held = [batch.slice(tail)] if alone else []
+
+    entries = docs.mapInArrow(released(emit), ddl).repartition("token", "part").sortWithinPartitions("token", "part", "n", "doc_id")
+    return stage(entries.mapInArrow(released(shared), ddl).drop("part"), "lists")
 
 
 ENTRY = ("token", "slot", "n", "doc_id", "pos", "twin", "label")
@@ -560,7 +592,7 @@ def _components(docs: DataFrame, words: int, threshold: int, list_rows: int) ->
     full = own.filter("mark is not null").join(copies, "mark", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     reps = stage(full.unionByName(own.filter("mark is null").select("doc_id", "n", F.col("doc_id").alias("rep"))), "reps")
     heavy = spark.sparkContext.broadcast(frequent(docs, words, threshold))
-    entries = lists(docs, heavy, words, threshold)
+    entries = lists(docs, heavy, words, threshold, list_rows)
     release(spark)
     # Repeated doc_ids are one node: their sets' classes hang together.
     again = reps.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")

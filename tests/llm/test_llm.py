@@ -434,6 +434,43 @@ def test_jaccard_chains_and_families(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_components(df, list_rows=list_rows).collect()} == want
 
 
+def test_jaccard_lists_of_frequent_shingles_are_gathered_in_parts(spark, monkeypatch):
+    """One passage in many texts: its lists stand in several tasks, and no entry is lost or doubled."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    n = 3000
+    df = spark.createDataFrame([(i, f"{passage} own{i} {' '.join(f'x{i}y{k}' for k in range(4))}") for i in range(n)], "doc_id bigint, text string").repartition(6)
+    heavy = spark.sparkContext.broadcast(jaccard.frequent(df, 5, 80))
+    whole = jaccard.lists(df, heavy, 5, 80, 10**9)
+    rows = lambda t: sorted(map(tuple, t.select("token", "doc_id", "n", "pos", "twin").collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parted = jaccard.lists(df, heavy, 5, 80, 100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert rows(parted) == rows(whole)
+    sizes = whole.groupBy("token").count().filter(f"count = {n}")
+    files = parted.withColumn("file", F.input_file_name()).join(sizes, "token", "left_semi").groupBy("token").agg(F.count_distinct("file").alias("files"))
+    assert sizes.count() > 0 and files.agg(F.min("files")).first()[0] > 1
+    assert {r.component_id for r in jaccard.similarity_components(df, list_rows=100).collect()} == {0}
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 1000])
+def test_jaccard_lists_over_batches(spark, rows):
+    """Lists of one set go and the others stay, wherever a batch begins."""
+    texts = [f"a{i % 40} b{i % 40} c d e f{i % 3} g h" for i in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    heavy = spark.sparkContext.broadcast((np.empty(0, np.uint64), np.empty(0, np.int32)))
+    with jaccard.batch_rows(spark, rows):
+        found = jaccard.lists(df, heavy, 5, 80)
+    sets = {}
+    for r in found.collect():
+        sets.setdefault(r.token, set()).add(r.twin)
+    assert sets and all(len(x) > 1 for x in sets.values())
+    with jaccard.batch_rows(spark, 10_000):
+        want = jaccard.lists(df, heavy, 5, 80)
+    assert sorted(map(tuple, found.select("token", "n", "pos", "twin").distinct().collect())) == sorted(map(tuple, want.select("token", "n", "pos", "twin").distinct().collect()))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_jaccard_pairs_of_lists(seed, monkeypatch):
     """all_pairs() against every pair of a list, in one slot and in several with guests."""
