@@ -96,7 +96,8 @@ def remapped_lines(lines: Column) -> Column:
     def remap(s):
         return s.map(lambda x: x if x is None else remap_line(x))
 
-    return F.when(F.contains(lines, F.lit("\tZR:Z:REMAP")), remap(lines)).otherwise(lines)
+    tagged = F.contains(lines, F.lit("\tZR:Z:REMAP"))
+    return F.when(tagged, remap(F.when(tagged, lines))).otherwise(lines)  # other lines aren't sent to Python
 
 
 def remap_line(line: str) -> str:

@@ -751,13 +751,13 @@ def record_merge(spark, sf_dir):
     return out.select("chrom", "pos", F.array_join(F.element_at("info", "N"), ",").alias("merged"), F.size("samples").alias("n_samples"), F.array_join("filters", ";").alias("filters"))
 
 
-@query("SELECT true AS fits, CAST(100 AS BIGINT) AS n")
+@query("SELECT true AS fits, CAST(count(*) AS BIGINT) AS n FROM orders")
 def random_intervals(spark, sf_dir):
-    """What holds for all random rows: their chromosomes, widths and alleles fit each other."""
+    """What holds for as many random rows as a table has: their chromosomes, widths and alleles fit each other."""
     ref, alt = F.substring_index("alleles", "/", 1), F.substring_index("alleles", "/", -1)
     bases = lambda a: F.when(a == "*", 0).otherwise(F.length(a))
     fits = F.col("chrom").cast("int").between(1, 21) & (F.col("start") >= 0) & (F.col("stop") - F.col("start") == bases(ref)) & (ref != alt)
-    return text.random_intervals(spark, 100, 7).groupBy(fits.alias("fits")).agg(F.count("*").alias("n"))
+    return text.random_intervals(spark, v.table(spark, sf_dir, "orders").count(), 7).groupBy(fits.alias("fits")).agg(F.count("*").alias("n"))
 
 
 # --- functions and operators beside those above --------------------------------------------------------

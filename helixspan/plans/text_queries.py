@@ -226,12 +226,24 @@ def wiggle_of_one_long_block(spark, sf_dir):
     return signal.track_intervals(text.read_wiggle(spark, path)).select(F.col("start").alias("start_"), F.col("stop").alias("stop_"), "value")
 
 
-@query("SELECT unnest(['##fileformat=VCFv4.1', '##INFO=<ID=DP,Number=1,Type=Integer,Description=\"depth\">', '##INFO=<ID=DB,Number=0,Type=Flag,Description=\"known\">', "
-       "'##FORMAT=<ID=GT,Number=1,Type=String,Description=\"call\">', '##FILTER=<ID=q10,Description=\"low\">', '##FILTER=<ID=x,Description=\"other\">', "
-       "'#CHROM' || chr(9) || 'POS' || chr(9) || 'ID' || chr(9) || 'REF' || chr(9) || 'ALT' || chr(9) || 'QUAL' || chr(9) || 'FILTER' || chr(9) || 'INFO' || chr(9) || 'FORMAT' || chr(9) || 's1' || chr(9) || 's2' || chr(9) || 's3']) AS line")
+@query("""WITH n AS (SELECT n_nationkey AS k, replace(n_name, ' ', '_') AS name, CAST(n_regionkey AS VARCHAR) AS r FROM nation),
+ s AS (SELECT string_agg(name, chr(9) ORDER BY CASE WHEN k < 15 THEN 0 ELSE 1 END, k) AS names FROM n)
+ SELECT '##fileformat=VCFv4.1' AS line UNION ALL SELECT '##FILTER=<ID=' || name || ',Description="' || r || '">' FROM n
+ UNION ALL SELECT '##INFO=<ID=R' || r || ',Number=1,Type=Integer,Description="' || min(name) || '">' FROM n GROUP BY r
+ UNION ALL SELECT array_to_string(['#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', names], chr(9)) FROM s""")
 def vcf_headers_merged(spark, sf_dir):
-    other = vcf.Header.parse(["##fileformat=VCFv4.1", '##INFO=<ID=DP,Number=1,Type=Integer,Description="again">', '##FILTER=<ID=x,Description="other">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts2\ts3"])
-    return spark.createDataFrame([(x,) for x in _header().merge(other).render()], "line string")
+    """Two headers with filters, fields and samples of overlapping halves of a table, as one."""
+    n = [(r.k, r.name, r.r) for r in v.table(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS INT) AS k", "replace(n_name, ' ', '_') AS name", "CAST(n_regionkey AS STRING) AS r").orderBy("k").collect()]
+    least = {r: min(x[1] for x in n if x[2] == r) for r in {x[2] for x in n}}
+
+    def half(rows, samples):
+        meta = [f'##FILTER=<ID={name},Description="{r}">' for _, name, r in rows] + [f'##INFO=<ID=R{r},Number=1,Type=Integer,Description="{least[r]}">' for r in sorted({x[2] for x in rows})]
+        cols = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples]
+        return vcf.Header.parse(["##fileformat=VCFv4.1", *meta, "\t".join(cols)])
+
+    a, b = [x for x in n if x[0] < 15], [x for x in n if x[0] >= 8]
+    merged = half(a, [x[1] for x in a]).merge(half(b, [x[1] for x in b]))
+    return spark.createDataFrame([(x,) for x in merged.render()], "line string")
 
 
 @query("SELECT unnest(['INFO/DB', 'INFO/DP', 'FORMAT/GT']) AS key WHERE (SELECT count(*) FROM part) > 0")
@@ -353,8 +365,14 @@ def depth_filter_command(spark, sf_dir):
     return commands.vcf_filter(rows, 10).select("pos", F.size("samples").alias("kept"))
 
 
-@query(_AB + "SELECT place, chrom, start_, stop_ FROM (SELECT chrom, start_, stop_, CAST(substr(chrom, 4) AS INT) AS c, 0 AS s FROM b UNION ALL SELECT chrom, start_, start_, CAST(substr(chrom, 4) AS INT), 1 FROM b), (SELECT 0 AS place)")
+@query(_AB + """SELECT chrom, start_, stop_, row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INT), start_, stop_) AS place
+ FROM (SELECT chrom, start_, stop_ FROM b UNION ALL SELECT chrom, start_, start_ FROM b)""")
 def sort_beds_and_positions(spark, sf_dir):
+    """Each row's place in the parts that the sorted rows are written to, one after another."""
     b = v.point_b(spark, sf_dir).select("chrom", "start", "stop", F.lit(None).cast("string").alias("alleles"))
     out = commands.sort([b, b.withColumn("stop", F.col("start"))])
-    return out.select(F.lit(0).alias("place"), "chrom", F.col("start").alias("start_"), F.col("stop").alias("stop_"))
+    path = scratch(spark, "sorted")
+    out.select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("stop").cast("string")).alias("value")).write.text(path)
+    f = F.split("value", "\t")
+    number = lambda i: F.get(f, F.lit(i)).cast("bigint")
+    return _placed(lines.numbered(spark, path)).select(F.get(f, F.lit(0)).alias("chrom"), number(1).alias("start_"), number(2).alias("stop_"), "place")
