@@ -865,3 +865,8 @@ from . import text_queries as _texts  # noqa: E402  (they use the same tables)
 
 QUERIES.update(_texts.QUERIES)
 ORACLES.update(_texts.ORACLES)
+
+from . import command_queries as _commands  # noqa: E402
+
+QUERIES.update(_commands.QUERIES)
+ORACLES.update(_commands.ORACLES)
