@@ -11,14 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import scratch
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.staging import staged
 
 
 def _large(edges: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alleles as al
+from ..sources.staging import staged
 from . import contraction, islands
 
 RECORD = (
@@ -54,7 +55,7 @@ def with_components(records: DataFrame, small: int = SMALL_ISLAND) -> DataFrame:
     records are linked to the least one of each region that they edit, and these links are contracted.
     """
     rows = with_islands(records)
-    regions = contraction.staged(regions_of(rows), "regions")
+    regions = staged(regions_of(rows), "regions")
     sizes = regions.groupBy("chrom", "island").agg(F.count("*").alias("n"), F.min("ord").alias("least"), F.max("ord").alias("most"))
     held = regions.join(sizes.filter((F.col("n") <= small) & (F.col("least") < F.col("most"))).select("chrom", "island"), ["chrom", "island"])
     groups = held.groupBy("chrom", "island").agg(F.collect_list(F.struct("ord", "start", "stop")).alias("regions"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alleles as al
+from ..sources.staging import staged
 
 PIECE = 1 << 14
 
@@ -192,7 +193,8 @@ def left_aligned(variants: DataFrame, seqs: DataFrame, windows=(64, 4096, 1 << 1
 
     Every variant meets the piece of its sequence that holds its position, with as many bases before
     the piece as the first window has. Only where it repeats all of a window, the bases of the next
-    one are put together from their pieces, and at last those before its position. Rows on unknown
+    one are put together from their pieces, and at last those before its position. Each step's rows are a
+    table in the shared folder, so that the sequences are only read again while such rows are left. Rows on unknown
     sequences stay as they are.
     """
     first = windows[0]
@@ -202,14 +204,16 @@ def left_aligned(variants: DataFrame, seqs: DataFrame, windows=(64, 4096, 1 << 1
     before = F.col("pos") - 1 - F.col("_offset")
     n = F.least(before, F.lit(first)).cast("int")
     left = F.coalesce(F.substr("_bases", (before - n + 1).cast("int"), n), F.lit(""))
-    r = r.withColumn("_shift", repeated_left(F.col("ref"), F.col("alt"), left)).drop("_bases", "_offset")
+    r = staged(r.withColumn("_shift", repeated_left(F.col("ref"), F.col("alt"), left)).drop("_bases", "_offset"), "aligned")
     out, rest = r.filter(F.col("_shift") < first), r.filter(F.col("_shift") >= first)
     for width in (*windows[1:], None):
+        if rest.isEmpty():
+            break
         lo = F.lit(0).cast("bigint") if width is None else F.greatest(F.col("pos") - 1 - width, F.lit(0))
         met = with_bases(rest.withColumns({"_lo": lo, "_hi": F.col("pos") - 1}), seqs, "_lo", "_hi")
-        met = met.withColumn("_shift", repeated_left(F.col("ref"), F.col("alt"), F.col("_text"))).select(*r.columns)
+        met = staged(met.withColumn("_shift", repeated_left(F.col("ref"), F.col("alt"), F.col("_text"))).select(*r.columns), "aligned")
         out = out.unionByName(met if width is None else met.filter(F.col("_shift") < width))
-        rest = met if width is None else met.filter(F.col("_shift") >= width)
+        rest = met.filter(F.lit(False)) if width is None else met.filter(F.col("_shift") >= width)
     return out.withColumn("_s", moved_left(F.col("pos"), F.col("ref"), F.col("alt"), F.col("_shift"))).select(*keep, "_s.pos", "_s.ref", "_s.alt", "_s.shift")
 
 
