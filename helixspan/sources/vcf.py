@@ -153,10 +153,13 @@ def _values(text: Column) -> Column:
 
 
 def read_rows(spark: SparkSession, path: str, header: Header | None = None, source: int = 0) -> DataFrame:
-    header = header or read_header(spark, path)
+    return rows_of(spark.read.text(path).filter("value <> '' and value not like '#%'"), header or read_header(spark, path), source)
+
+
+def rows_of(rows: DataFrame, header: Header, source: int = 0, keep: tuple = ()) -> DataFrame:
+    """Records of lines (value, ...) that aren't blank or comments; keep: further columns that stay."""
     f = F.split("value", "\t", -1)
     at = lambda i: F.get(f, F.lit(i))
-    rows = spark.read.text(path).filter("value <> '' and value not like '#%'")
     names = F.array(*[F.lit(s) for s in header.samples]) if header.samples else F.array().cast("array<string>")
     items = F.transform(_list(at(7), ";"), lambda x: F.struct(
         F.substring_index(x, "=", 1).alias("k"),
@@ -171,7 +174,7 @@ def read_rows(spark: SparkSession, path: str, header: Header | None = None, sour
 
     calls = F.transform(names, lambda n, i: F.struct(n.alias("k"), call(F.try_element_at(f, i + 10)).alias("v")))
     return rows.select(
-        F.lit(source).alias("source"), F.monotonically_increasing_id().alias("ord"), at(0).alias("chrom"), at(1).cast("bigint").alias("pos"),
+        *keep, F.lit(source).alias("source"), F.monotonically_increasing_id().alias("ord"), at(0).alias("chrom"), at(1).cast("bigint").alias("pos"),
         F.array_sort(F.array_distinct(_list(at(2), ";"))).alias("ids"), at(3).alias("ref"), _list(at(4), ",").alias("alts"),
         at(5).try_cast("double").alias("qual"), F.array_sort(F.array_distinct(_list(at(6), ";"))).alias("filters"),
         F.map_from_entries(items).alias("info"), form.alias("format"), F.map_filter(F.map_from_entries(calls), lambda k, v: v.isNotNull()).alias("samples"),
