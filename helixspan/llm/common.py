@@ -1,6 +1,7 @@
 """Shared plumbing of the training-data operators: table access, staging and Arrow batch maps."""
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from contextlib import contextmanager
@@ -69,12 +70,20 @@ def batch_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def trim_memory() -> None:
+    """Gives freed memory back to the system, where its C library can: workers live on into stages that need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def released(run):
-    """run for mapInArrow, which at its end gives the memory back that Arrow holds: Python workers live on into other tasks."""
+    """run for mapInArrow, which at its end gives freed memory back: Python workers live on into other tasks."""
 
     def whole(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        trim_memory()
 
     return whole
 

@@ -313,5 +313,6 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.05, penalty: floa
                 piece = batch.slice(i, PIECE)
                 done = shared.value.predict(piece.column(at).to_pylist(), penalty)
                 yield piece.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in done], pa.bool_()))
+        shared.value.reset()  # the next stage has other uses for the words' room
 
     return own.mapInArrow(released(run), own.schema).toDF(*docs.columns)

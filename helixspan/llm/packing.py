@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, doc_columns, stage, tokenizer_path
+from .common import arrow_schema, doc_columns, released, stage, tokenizer_path
 from .tokens import encoder, lots
 
 CAPACITY = 1024
@@ -216,7 +216,7 @@ def encode_queues(docs: DataFrame, vocabulary: str | None = None, end_id: int =
                 cols = [[part] * len(frames), queues, piece.column(0), local, sizes.tolist(), frames]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) if isinstance(v, list) else v for v, f in zip(cols, target)], schema=target)
 
-    return stage(docs.select("doc_id", queue.alias("queue"), "text").mapInArrow(run, ddl), "packing")
+    return stage(docs.select("doc_id", queue.alias("queue"), "text").mapInArrow(released(run), ddl), "packing")
 
 
 def pack(
@@ -258,4 +258,4 @@ def pack(
     placed = encoded.join(bases, ["part", "queue"]).select(
         "doc_id", "queue", (F.col("base") + F.col("local")).alias("place"), "n_tokens", "ids"
     )
-    return placed.mapInArrow(run, ddl)
+    return placed.mapInArrow(released(run), ddl)
