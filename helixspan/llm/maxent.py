@@ -2,17 +2,20 @@
 
 Words are the runs of non-white characters of a text, with A-Z lower-cased, then one end.
 
-P(word | history) = P(group | history) * P(class | group, history) * P(word | class). The first
-two factors are softmaxes over GROUPS and over the classes of a group; their logits are sums of
-rows of two hashed weight tables, a row for each feature of the history: a bias, the word
-before, the two words before, and (in the first table) a skip to the second word before. In the second
-table the features are crossed with the group. The third factor is the word's share of its class.
+P(word | history) = P(group | history) * P(class | group, history) * P(word | class, history). All
+factors are softmaxes, whose logits are sums of rows of three hashed weight tables, a row for each
+feature of the history: a bias, the word before, the two words before, and (in the first table) a
+skip to the second word before. In the second table the features are crossed with the group. The
+words of a class are cut into at most BRANCHES parts of about equal mass, and those again, down to
+single words: the third factor is the product of the softmaxes over the parts on a word's way. Each cut has
+a bias row in the third table, and its feature is the word before, crossed with the cut; classes of one
+word need none.
 
 Classes are cut from the common words (at most COMMON of them, so that they fit every task) in
 the order of their company: a word belongs to the bucket of texts, by their most frequent word,
 in which it occurs most. Frequent words are classes of their own. All other words, with one
-place for all unseen ones, are the last class; their counts are joined by word, so the vocabulary
-is never gathered anywhere. The probabilities of all words and the unseen one add up to 1.
+place for all unseen ones, are the last class, in which a word has its share whatever the history;
+their counts are joined by word, so the vocabulary is never gathered anywhere. The probabilities of all words and the unseen one add up to 1.
 
 Training goes once over all training texts, in ROUNDS parts. In a part each task takes steps
 from the common weights over its own texts (row-wise AdaGrad on the gradient of small batches) and
@@ -35,8 +38,8 @@ import math
 import uuid
 import zlib
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
-from itertools import repeat
+from dataclasses import dataclass, field, replace
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,13 +62,18 @@ COMMON = 1 << 17
 COMMON_FROM = 4
 GROUPS = 16
 CLASSES = 16  # of a group
-#: Rows of the two weight tables for hashed features, as powers of two, 16 at most; bias rows stand before them.
-ROW_BITS = (15, 16)
+BRANCHES = 16  # of a cut of a class
+WIDTHS = (GROUPS, CLASSES, BRANCHES)
+#: Rows of the weight tables for hashed features, as powers of two, 16 at most; bias rows stand before them.
+ROW_BITS = (15, 16, 16)
+#: Of the first two tables; the third has one for each cut.
 BIASES = (1, GROUPS)
 ROUNDS = 2
 TASKS_PER_CORE = 4
 RATE = 0.3
 BATCH = 4096
+#: Softmaxes computed together: most words of a batch have few cuts on their ways.
+ROOM = 2 * BATCH
 #: Bound of a hashed feature's weight, so that sums of logits have exponentials.
 MOST = 12.0
 #: Texts scored together.
@@ -82,7 +90,7 @@ OTHER_BITS = 20
 _COUNTS = "word string, n bigint, home bigint"
 _CHANGES = "part int, block int, rows binary, weight binary, scale binary, change binary, square binary"
 _SCORED = (
-    "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_common bigint, base double, inner double, path double, "
+    "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_common bigint, base double, path double, "
     "rare array<struct<word: string, n: bigint>>"
 )
 #: Logit of what can't occur.
@@ -129,9 +137,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = Counter(words_of(text))
-                top = words.most_common(1)[0][0] if words else END  # of equals the first in the text
-                words[END] += 1
+                words = words_of(text)
+                top = Counter(words).most_common(1)[0][0] if words else END  # of equals the first in the text
+                words.append(END)
                 counter = held[zlib.crc32(top) % BUCKETS]
                 size -= len(counter)
                 counter.update(words)
@@ -169,6 +177,9 @@ class Model:
     counts: np.ndarray
     leaf: np.ndarray  # class of each common word
     mass: np.ndarray  # occurrences of each class
+    first: np.ndarray  # where each common word's way begins in cuts and turns; then twice where the last one's ends
+    cuts: np.ndarray
+    turns: np.ndarray  # the part taken at each cut of a way
     total: int  # all training tokens
     distinct: int  # all training words
     tables: list[np.ndarray]
@@ -185,6 +196,10 @@ class Model:
         """The denominator of a word's share in the last class."""
         return self.total - int(self.counts.sum()) + PSEUDO * (self.distinct - len(self.words) + 1)
 
+    @property
+    def biases(self) -> tuple[int, ...]:
+        return *BIASES, len(self.tables[2]) - (1 << ROW_BITS[2])
+
     def base_total(self) -> float:
         return self.total + PSEUDO * (self.distinct + 1)
 
@@ -208,6 +223,38 @@ def classes_of(counts: np.ndarray, buckets: np.ndarray, total: int, classes: int
     return out
 
 
+def ways_of(counts: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, cuts, turns, bias rows of the cuts): each word's way from its class to itself; a bias row holds logarithms of shares."""
+    words, owner = np.arange(len(counts)), leaf
+    levels, bias = [], [np.zeros((0, BRANCHES))]
+    made = 0
+    while True:
+        _, owner, size = np.unique(owner, return_inverse=True, return_counts=True)
+        left = size[owner] > 1
+        words, owner = words[left], owner[left]
+        if not len(words):
+            break
+        order = np.lexsort((-counts[words], owner))
+        words, (_, owner, size) = words[order], np.unique(owner[order], return_inverse=True, return_counts=True)
+        n, begin = counts[words].astype(np.float64), np.cumsum(size) - size
+        mass = np.bincount(owner, n)
+        before = np.cumsum(n) - n
+        middle = before - before[begin][owner] + n / 2
+        place = np.arange(len(words)) - begin[owner]
+        turn = np.where(size[owner] <= BRANCHES, place, np.minimum(middle * BRANCHES / mass[owner], BRANCHES - 1).astype(np.int64))
+        slot = owner * BRANCHES + turn
+        with np.errstate(divide="ignore"):
+            share = np.log(np.bincount(slot, n, len(size) * BRANCHES).reshape(-1, BRANCHES) / mass[:, None])
+        bias.append(np.maximum(share, NO_SHARE))
+        levels.append((words, owner + made, turn))
+        made, owner = made + len(size), slot
+    words, cuts, turns = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*levels) if levels else ((), (), ())))
+    order = np.argsort(words, kind="stable")
+    ends = np.cumsum(np.bincount(words, minlength=len(counts)))
+    first = np.concatenate([[0], ends, ends[-1:]]) if len(ends) else np.zeros(2, np.int64)
+    return first.astype(np.int64), cuts[order].astype(np.int32), turns[order].astype(np.int8), np.concatenate(bias)
+
+
 def vocabulary(counts: DataFrame, common: int) -> Model:
     """An untrained model of counted words; only the common ones come to the driver."""
     least = common_from(counts, common)
@@ -220,13 +267,15 @@ def vocabulary(counts: DataFrame, common: int) -> Model:
     leaf = classes_of(n, bucket, total, GROUPS * CLASSES - 1)
     mass = np.bincount(leaf, n, GROUPS * CLASSES).astype(np.int64)
     mass[-1] = total - int(n.sum())
+    first, cuts, turns, bias = ways_of(n, leaf)
     # A start at the classes' own frequencies: the bias rows hold their logarithms. Classes without words get no share.
-    tables = [np.zeros((free + (1 << bits), width), np.float32) for free, bits, width in zip(BIASES, ROW_BITS, (GROUPS, CLASSES))]
+    tables = [np.zeros((free + (1 << bits), width), np.float32) for free, bits, width in zip((*BIASES, len(bias)), ROW_BITS, WIDTHS)]
     used = np.append(np.bincount(leaf, minlength=GROUPS * CLASSES - 1) > 0, True)
     share = np.where(used, np.log((mass + PSEUDO) / (mass.sum() + PSEUDO * len(mass))), NO_SHARE).reshape(GROUPS, CLASSES)
     tables[0][0] = np.logaddexp.reduce(share, axis=1)
     tables[1][:GROUPS] = share
-    return Model(words, n, leaf, mass, int(total), int(distinct), tables, [np.full(len(t), 1e-2, np.float32) for t in tables])
+    tables[2][: len(bias)] = bias
+    return Model(words, n, leaf, mass, first, cuts, turns, int(total), int(distinct), tables, [np.full(len(t), 1e-2, np.float32) for t in tables])
 
 
 # --- histories ----------------------------------------------------------------------------------
@@ -268,21 +317,43 @@ def history(ids: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def feature_rows(hashes: list[np.ndarray], k: int, group: np.ndarray) -> list[np.ndarray]:
-    """Rows of table k, after its bias rows, for each hashed feature; the second table has no skips, and the group takes part."""
+    """Rows of table k, after its bias rows, for each hashed feature.
+
+    The second table has no skips, and the group takes part; in the third it is the cut, with the word before alone.
+    """
     shift = np.uint64(64 - ROW_BITS[k])
     with np.errstate(over="ignore"):
         if k:
-            hashes = [hashes[0], hashes[2]]
+            hashes = [hashes[0], hashes[2]] if k == 1 else hashes[:1]
             turn = (group.astype(np.uint64) + np.uint64(1)) * np.uint64(_ODD[3])
             hashes = [(h ^ turn) * np.uint64(_ODD[1]) for h in hashes]
         return [(h >> shift).astype(np.uint16) for h in hashes]
 
 
+def choices(model: Model, ids: np.ndarray, at: np.ndarray, leaf: np.ndarray):
+    """(table, feature rows, owner, choice, position) of all softmaxes on the words' ways, for ROOM positions or cuts at most.
+
+    The owner, which has a bias row, is the group or the cut; position is the place in at.
+    """
+    hashes, group, every = history(ids, at), leaf // CLASSES, np.arange(len(at))
+    for k, want in enumerate((group, leaf % CLASSES)):
+        yield k, feature_rows(hashes, k, group), group, want, every
+    words = np.minimum(ids[at], len(model.words))
+    start = model.first[words]
+    size = model.first[words + 1] - start
+    own = np.repeat(every, size)
+    step = np.arange(len(own)) + np.repeat(start - (np.cumsum(size) - size), size)
+    for i in range(0, len(own), ROOM):
+        here, there = own[i : i + ROOM], step[i : i + ROOM]
+        cut = model.cuts[there]
+        yield 2, feature_rows([hashes[0][here]], 2, cut), cut, model.turns[there], here
+
+
 class Softmax:
     """Exponentials of the logits at some positions and their sums, in buffers that are used again."""
 
     def __init__(self, width: int):
-        self.z, self.e, self.ones = np.empty((BATCH, width), np.float32), np.empty((BATCH, width), np.float32), np.ones(width, np.float32)
+        self.z, self.e, self.ones = np.empty((ROOM, width), np.float32), np.empty((ROOM, width), np.float32), np.ones(width, np.float32)
 
     def of(self, table: np.ndarray, free: int, rows: list[np.ndarray], group: np.ndarray):
         """(logits, exponentials, sums)."""
@@ -308,41 +379,34 @@ class Trainer:
     """Steps over a task's texts from the common weights."""
 
     def __init__(self, model: Model):
+        self.model, self.biases = model, model.biases
         self.tables = [t.copy() for t in model.tables]
         self.squares = [s.copy() for s in model.squares]
         self.touched = [np.zeros(len(t), np.float32) for t in model.tables]
         self.softmax = [Softmax(t.shape[1]) for t in model.tables]
 
     def step(self, ids: np.ndarray, at: np.ndarray, leaf: np.ndarray) -> None:
-        hashes, group = history(ids, at), leaf // CLASSES
-        for k, want in enumerate((group, leaf % CLASSES)):
-            rows = feature_rows(hashes, k, group)
-            _, g, total = self.softmax[k].of(self.tables[k], BIASES[k], rows, group)
+        for k, rows, owner, want, _ in choices(self.model, ids, at, leaf):
+            _, g, total = self.softmax[k].of(self.tables[k], self.biases[k], rows, owner)
             g /= total[:, None]
-            g[np.arange(len(at)), want] -= 1
-            columns = g.T.astype(np.float64, order="C")
+            g[np.arange(len(want)), want] -= 1
             for r in rows:
-                self._down(k, BIASES[k], r, columns)
+                self._down(k, self.biases[k], r, g)
 
-    def _down(self, k: int, base: int, rows: np.ndarray, columns: np.ndarray) -> None:
-        """One step of the rows (after base) against their summed slopes; columns: the positions' slopes, a line for each weight of a row."""
+    def _down(self, k: int, base: int, rows: np.ndarray, slopes: np.ndarray) -> None:
+        """One step of the rows (after base) against their summed slopes, of which each position has a line."""
         order = np.argsort(rows, kind="stable")  # of 16 bits: by radix
         there = rows[order]
-        new = np.concatenate([[True], there[1:] != there[:-1]])
-        number = np.empty(len(rows), np.int64)
-        number[order] = np.cumsum(new) - 1
-        there = there[new].astype(np.int64) + base
-        n = len(there)
-        slope = np.empty((n, len(columns)), np.float32)
-        for c, x in enumerate(columns):
-            slope[:, c] = np.bincount(number, x, n)
-        self.touched[k][there] += np.bincount(number, minlength=n)
+        begin = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
+        slope = np.add.reduceat(np.take(slopes, order, axis=0), begin, axis=0)
+        there, n = there[begin].astype(np.int64) + base, np.diff(begin, append=len(rows))
+        self.touched[k][there] += n
         square = self.squares[k][there] + np.einsum("ij,ij->i", slope, slope)
         self.squares[k][there] = square
         slope *= (RATE / np.sqrt(square))[:, None]
         slope -= np.take(self.tables[k], there, axis=0)
         np.negative(slope, out=slope)
-        self.tables[k][there] = np.clip(slope, -MOST, MOST, out=slope) if base else slope
+        self.tables[k][there] = np.clip(slope, -MOST, MOST, out=slope)
 
     def changes(self, model: Model):
         """Rows of the changes' schema: a block's touched rows with their weights, changes and sums of squares."""
@@ -419,7 +483,7 @@ def train_part(docs: DataFrame, model: Model) -> Model:
         for batch in batches:
             for part, block, rows, weight, scale, change, square in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 r, w = np.frombuffer(rows, "<u2"), np.frombuffer(weight, "<f4")
-                width = (GROUPS, CLASSES)[part]
+                width = WIDTHS[part]
                 if (part, block) not in sums:
                     sums[part, block] = np.zeros((BLOCK_ROWS, width + 2))
                 s = sums[part, block]
@@ -440,7 +504,7 @@ def train_part(docs: DataFrame, model: Model) -> Model:
         tables[k][at] += np.frombuffer(r["change"], "<f4").reshape(len(at), -1)
         squares[k][at] = np.frombuffer(r["square"], "<f4")
     sent.destroy()
-    return Model(model.words, model.counts, model.leaf, model.mass, model.total, model.distinct, tables, squares, model.key)
+    return replace(model, tables=tables, squares=squares)
 
 
 def train(docs: DataFrame, counts: DataFrame, common: int = COMMON, rounds: int = ROUNDS) -> Model:
@@ -456,15 +520,27 @@ def train(docs: DataFrame, counts: DataFrame, common: int = COMMON, rounds: int
 
 
 def path_logs(model: Model, softmax: list[Softmax], ids: np.ndarray, at: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-    """log10 of P(group | history) * P(class | group, history) at these positions, BATCH of them at most."""
-    hashes, group = history(ids, at), leaf // CLASSES
-    every, out = np.arange(len(at)), np.zeros(len(at))
-    for k, want in enumerate((group, leaf % CLASSES)):
-        z, _, total = softmax[k].of(model.tables[k], BIASES[k], feature_rows(hashes, k, group), group)
-        out += z[every, want] - np.log(total.astype(np.float64))
+    """log10 of P(group | history) * P(class | group, history) * P(word | class, history) at these positions, BATCH of them at most.
+
+    The last factor is left out for words that aren't common.
+    """
+    out = np.zeros(len(at))
+    for k, rows, owner, want, own in choices(model, ids, at, leaf):
+        z, _, total = softmax[k].of(model.tables[k], model.biases[k], rows, owner)
+        logs = z[np.arange(len(want)), want] - np.log(total.astype(np.float64))
+        out += np.bincount(own, logs, len(at)) if k == 2 else logs
     return out / math.log(10)
 
 
+def _listed(counters: list[Counter], kind: pa.ListType) -> pa.Array:
+    """An array of the words and numbers of each counter."""
+    ends = np.cumsum([0, *map(len, counters)]).astype(np.int32)
+    words = pa.array(chain.from_iterable(counters), pa.binary()).cast(pa.string())
+    numbers = pa.array(chain.from_iterable(c.values() for c in counters), pa.int64())
+    pairs = pa.StructArray.from_arrays([words, numbers], fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(ends), pairs, type=kind)
+
+
 def score_rows(docs: DataFrame, model: Model) -> DataFrame:
     """A row for each text: sums over its common words, and its other words with their numbers."""
     spark = docs.sparkSession
@@ -475,22 +551,20 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
         model = sent.value
         reader, made = _reader(model), TaskContext.get().partitionId() << 40
         base = np.append(np.log10(model.counts + PSEUDO), 0)
-        inner = np.append(np.log10(model.counts / model.mass[model.leaf]), 0)
         softmax = [Softmax(t.shape[1]) for t in model.tables]
 
         def sums(held: list[np.ndarray]) -> np.ndarray:
-            """(base, inner, path) of each of these texts, a row each; batches go over the texts' borders."""
+            """(base, path) of each of these texts, a row each; batches go over the texts' borders."""
             ids = np.concatenate(held)
             own = np.repeat(np.arange(len(held)), [len(x) for x in held])
-            out = np.zeros((3, len(held)))
+            out = np.zeros((2, len(held)))
             at = np.flatnonzero(ids != reader.pad)
             for i in range(0, len(at), BATCH):
                 here = at[i : i + BATCH]
                 words, text = ids[here], own[here]
                 common = np.minimum(words, reader.common)
                 out[0] += np.bincount(text, base[common], len(held))
-                out[1] += np.bincount(text, inner[common], len(held))
-                out[2] += np.bincount(text, path_logs(model, softmax, ids, here, reader.classes(words, model.last)), len(held))
+                out[1] += np.bincount(text, path_logs(model, softmax, ids, here, reader.classes(words, model.last)), len(held))
             return out
 
         for batch in batches:
@@ -498,7 +572,7 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
             for i in range(0, len(texts), TEXTS):
                 read = [reader.read(t) for t in texts[i : i + TEXTS]]
                 lengths, rare = [len(ids) - PADS for ids, _ in read], [len(r) for _, r in read]
-                others = [[{"word": w.decode("utf-8"), "n": k} for w, k in Counter(r).items()] for _, r in read]
+                others = _listed([Counter(r) for _, r in read], target.field("rare").type)
                 columns = [range(made, made + len(read)), ids_of[i : i + TEXTS], flags[i : i + TEXTS], lengths, [n - r for n, r in zip(lengths, rare)], *sums([ids for ids, _ in read]), others]
                 made += len(read)
                 yield as_batch(dict(zip(target.names, columns)), target)
@@ -523,5 +597,5 @@ def score(docs: DataFrame, common: int = COMMON, rounds: int = ROUNDS) -> DataFr
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_common") + F.col("rare_known")).alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.col("rare_log") - F.col("n_tokens") * math.log10(model.base_total())).alias("base_score"),
-        (F.col("path") + F.col("inner") + F.col("rare_log") - F.col("n_rare") * math.log10(model.rare_total)).alias("score"),
+        (F.col("path") + F.col("rare_log") - F.col("n_rare") * math.log10(model.rare_total)).alias("score"),
     )

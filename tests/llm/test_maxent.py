@@ -165,3 +165,76 @@ def test_histories_of_texts_in_one_batch_and_in_many(scored):
             ids, _ = reader.read(text)
             alone += [tuple(ids[k - 2 : k + 1]) for k in range(2, len(ids))]
         assert seen == alone
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """Far more words than classes; the next word is a function of the one before, but for noise."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(1200):
+        at, words = int(rng.integers(1500)), []
+        for _ in range(60):
+            at = (at * 7 + int(rng.integers(2))) % 1500
+            words.append(f"w{at}")
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(2)
+    training = docs.where(~maxent.held_out())
+    return texts, maxent.train(training, maxent.word_counts(training).cache()), docs
+
+
+def plain_way(model, i, before):
+    """log10 of P(word i | its class, before): the softmaxes on its way, one loop for each step; None stands before a text."""
+    ids = {w: k for k, w in enumerate(model.words)}
+    hashes = maxent.history(np.array([*(len(ids) + (1 << maxent.OTHER_BITS) if w is None else ids[w] for w in before), 0]), np.array([2]))
+    out, table = 0.0, model.tables[2]
+    for s in range(int(model.first[i]), int(model.first[i + 1])):
+        cut = int(model.cuts[s])
+        z = [float(a) for a in table[cut]]
+        for r in maxent.feature_rows(hashes, 2, np.array([cut])):
+            z = [a + float(b) for a, b in zip(z, table[model.biases[2] + int(r[0])])]
+        top = max(z)
+        out += z[int(model.turns[s])] - top - math.log(math.fsum(math.exp(a - top) for a in z))
+    return out / math.log(10)
+
+
+def test_words_of_a_class_depend_on_the_history(crowded):
+    texts, model, docs = crowded
+    sizes = np.bincount(model.leaf)
+    assert sizes.max() > 3
+    for leaf in np.argsort(sizes)[-3:]:
+        own = np.flatnonzero(model.leaf == leaf)
+        a, b = own[:2].tolist()
+        # The word that stands before a: times 7, it is a.
+        before_a, before_b = ([b"w1", f"w{int(model.words[i][1:]) * pow(7, -1, 1500) % 1500}".encode()] for i in (a, b))
+        after_a, after_b = ([10 ** plain_way(model, int(i), before) for i in own] for before in (before_a, before_b))
+        assert abs(math.fsum(after_a) - 1) < 1e-4 and abs(math.fsum(after_b) - 1) < 1e-4
+        assert after_a[0] > 2 * after_b[0] and after_b[1] > 2 * after_a[1]
+
+
+def test_scores_hold_the_word_given_its_class_and_history(crowded):
+    texts, model, docs = crowded
+    got = {r["doc_id"]: r["path"] for r in maxent.score_rows(docs.withColumn("held_out", maxent.held_out()), model).where("doc_id < 12").collect()}
+    ids = {w: k for k, w in enumerate(model.words)}
+    for i, x in texts[:12]:
+        t = [None, None, *(w.encode() for w in tokens(x))]
+        assert all(w in ids for w in t[2:])
+        plain = 0.0
+        for k in range(2, len(t)):
+            j = ids[t[k]]
+            share = math.log10(model.counts[j] / model.mass[model.leaf[j]])  # what plain_probability takes for a word in its class
+            plain += plain_probability(model, {}, t[k - 2 : k], t[k]) - share + plain_way(model, j, t[k - 2 : k])
+        assert abs(got[i] - plain) < 0.02 + 1e-4 * abs(plain)
+
+
+def test_ways_lead_to_single_words_by_their_shares():
+    rng = np.random.default_rng(6)
+    counts = rng.zipf(1.3, 4000).clip(max=10**6).astype(np.int64)
+    leaf = rng.integers(0, 40, 4000)
+    leaf[:5] = 50 + np.arange(5)  # classes of one word
+    first, cuts, turns, bias = maxent.ways_of(counts, leaf)
+    ways = [tuple(zip(cuts[a:b].tolist(), turns[a:b].tolist())) for a, b in zip(first[:-2], first[1:-1])]
+    assert all(w == () for w in ways[:5]) and len(set(ways[5:])) == len(ways) - 5 and max(map(len, ways)) <= 8
+    share = np.array([math.exp(math.fsum(bias[c, t] for c, t in w)) for w in ways])
+    assert np.allclose(share, counts / np.bincount(leaf, counts)[leaf])
+    assert [len(x) for x in maxent.ways_of(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [2, 0, 0, 0]
