@@ -14,6 +14,8 @@ from helixspan.llm.common import stage, table
 
 #: Rows of an Arrow batch, which are whole texts: what a task holds of them outside the heap, in the JVM and in Python.
 BATCH_ROWS = 1000
+#: A task's cache of encoded pieces: workers also hold what the stages before have left.
+CACHE_BYTES = 64 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -48,7 +50,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' ids into training sequences, sources by their sizes to the power 0.7; null texts are empty, null sources a queue, repeated rows separate documents."""
     small_batches(spark)
-    return packing.pack(docs, temperature=0.7)
+    return packing.pack(docs, temperature=0.7, cache_bytes=CACHE_BYTES)
 
 
 STAGES = [

@@ -78,11 +78,24 @@ def trim_memory() -> None:
         trim(0)
 
 
+#: Bytes of batches after which a task gives freed memory back.
+TRIM_BYTES = 4 << 20
+
+
 def released(run):
-    """run for mapInArrow, which at its end gives freed memory back: Python workers live on into other tasks."""
+    """run for mapInArrow, which gives freed memory back as batches pass and at its end: Python workers live on into other tasks."""
+
+    def passing(batches):
+        left = TRIM_BYTES
+        for batch in batches:
+            left -= batch.nbytes
+            yield batch
+            if left < 0:  # what was made of the batches so far is done with
+                trim_memory()
+                left = TRIM_BYTES
 
     def whole(batches):
-        yield from run(batches)
+        yield from run(passing(batches))
         trim_memory()
 
     return whole

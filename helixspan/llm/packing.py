@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, doc_columns, released, stage, tokenizer_path
-from .tokens import encoder, lots
+from .tokens import CACHE_BYTES, encoder, lots
 
 CAPACITY = 1024
 WINDOW = 64 * CAPACITY
@@ -191,7 +191,7 @@ class Rounds:
         guess[:] = [w]
 
 
-def encode_queues(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
+def encode_queues(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Rows (part, queue, doc_id, local, n_tokens, ids) in the shared folder; ids are zstd frames of u16."""
     vocabulary = vocabulary or tokenizer_path("byte_bpe_50k.json")
     docs = doc_columns(docs, "doc_id", "source", "text")
@@ -201,7 +201,7 @@ def encode_queues(docs: DataFrame, vocabulary: str | None = None, end_id: int =
 
     def run(batches):
         part, sent = TaskContext.get().partitionId(), {}
-        enc, pack = encoder(vocabulary, False, end_id), zstandard.ZstdCompressor(level=1).compress
+        enc, pack = encoder(vocabulary, False, end_id, cache_bytes), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for at, rows in lots(batch.column(2)):
                 piece = batch.slice(at, rows)
@@ -221,11 +221,11 @@ def encode_queues(docs: DataFrame, vocabulary: str | None = None, end_id: int =
 
 def pack(
     docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, window: int = WINDOW,
-    weights: dict[str, int] | None = None, with_ids: bool = False, temperature: float = 1.0,
+    weights: dict[str, int] | None = None, with_ids: bool = False, temperature: float = 1.0, cache_bytes: int = CACHE_BYTES,
 ) -> DataFrame:
-    """Pieces of documents with their places in sequences; with_ids adds each piece's ids (u16 bytes)."""
+    """Pieces of documents with their places in sequences; with_ids adds each piece's ids (u16 bytes). cache_bytes: of a task's cache of encoded pieces."""
     spark = docs.sparkSession
-    encoded = encode_queues(docs, vocabulary, end_id)
+    encoded = encode_queues(docs, vocabulary, end_id, cache_bytes)
     sums = encoded.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n"))
     totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row for each source
     if weights is None and temperature != 1:

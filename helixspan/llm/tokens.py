@@ -100,11 +100,11 @@ class Encoder:
     A piece's ids are flat[first : first + size] of its row; row 0 is the end of a document.
     """
 
-    def __init__(self, path: str, words: bool, end: int):
+    def __init__(self, path: str, words: bool, end: int, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words, self.end = words, end
+        self.words, self.end, self.cache_bytes = words, end, cache_bytes
         # What every special token's string holds, so that a search for it finds all texts with one.
         self.special = os.path.commonprefix([t.content for t in self.library.get_added_tokens_decoder().values()])
         self.marks = np.zeros(65536, bool)
@@ -121,7 +121,7 @@ class Encoder:
         self.rows = Rows()
         self.rows[None] = 0
         self.first, self.size, self.flat = Grown(np.int64), Grown(np.int32), Grown(np.uint16)
-        self.room = CACHE_BYTES
+        self.room = self.cache_bytes
         self._put(np.array([0]), np.array([1]), np.array([self.end]))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,9 +198,10 @@ class Encoder:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, words: bool, end: int) -> Encoder:
-    """One encoder for each worker process and vocabulary."""
+def encoder(path: str, words: bool, end: int, cache_bytes: int = CACHE_BYTES) -> Encoder:
+    """One encoder for each worker process, vocabulary and size of its cache, on which no id depends."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (path, words, end) not in _ENCODERS:
-        _ENCODERS[path, words, end] = Encoder(path, words, end)
-    return _ENCODERS[path, words, end]
+    key = path, words, end, cache_bytes
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
