@@ -22,7 +22,8 @@ import pyarrow.compute as pc
 CACHE_BYTES = 160 << 20
 LOT = 128
 _PIECES = re.compile(r"(?<=\S)(?= )")
-_MARKS = frozenset(".,;:!?")
+#: A run of these behind letters is a unit of its own in both vocabularies; an apostrophe may belong to letters.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _TWO_SPACES = re.compile(r"\s\s")
 
 
@@ -160,15 +161,17 @@ class Encoder:
         self.rows.todo = []
         text = [x.decode("utf-8") for x in new] if self.words else new
         self.room -= 200 * len(new) + sum(map(len, new))
-        plain, rest, marked = [], [], []
+        plain, rest, marked, tails = [], [], [], []
         for i, t in enumerate(text):
             body = t if self.words or t[:1] != " " else t[1:]
             if (self.words or body is not t) and len(t) < 64:
                 if body.isalpha():
                     plain.append(i)
                     continue
-                if body[-1:] in _MARKS and body[:-1].isalpha():
-                    marked.append(i)  # a word and one mark are split before merging
+                head = body.rstrip(_MARKS)
+                if head.isalpha():
+                    marked.append(i)  # a word and the marks behind it are split before merging
+                    tails.append(len(head) - len(body))
                     continue
             rest.append(i)
         # Plain words go to the library many at a time, as one text, whose ids fall into words again
@@ -189,7 +192,7 @@ class Encoder:
             self._put(base + np.array(rest), sizes, np.fromiter(chain.from_iterable(found), np.uint16, int(sizes.sum())))
         if marked:
             look = self.rows.__getitem__
-            parts = np.array([(look(new[i][:-1]), look(new[i][-1:])) for i in marked])
+            parts = np.array([(look(new[i][:k]), look(new[i][k:])) for i, k in zip(marked, tails)])
             self._learn_noted()
             ids, sizes = self._gather(parts.ravel())
             self._put(base + np.array(marked), sizes.reshape(-1, 2).sum(1), ids)

@@ -41,6 +41,8 @@ MAGIC = b"WVM2"
 BITS = 16
 STEP = 512
 SHARD_TOKENS = 1 << 22
+#: A task's cache of encoded words: texts that are dealt by doc_id share few of their rare ones.
+CACHE_BYTES = 320 << 20
 BLOCK_BYTES = 1 << 14
 END_ID = 1
 NULL_ID = -(1 << 63)
@@ -99,9 +101,9 @@ class WaveletMatrix:
             packed = np.packbits(bit, bitorder="little")
             planes.append(Packed(packed))
             ones.append(_step_counts(packed))
-            left = cur[~bit]
-            zeros[k] = len(left)
-            cur = np.concatenate([left, cur[bit]])
+            none = np.flatnonzero(~bit)  # places are several times faster than masks
+            zeros[k] = len(none)
+            cur = np.concatenate([cur[none], cur[np.flatnonzero(bit)]])
         return cls(planes, ones, zeros, len(ids))
 
     def _bit(self, k: int, at: np.ndarray) -> np.ndarray:
@@ -186,8 +188,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[k].whole(), count=self.n, bitorder="little").view(bool)
             z = int(self.zeros[k])
             up = np.empty_like(cur)
-            up[~bit] = cur[:z]
-            up[bit] = cur[z:] | cur.dtype.type(1 << (self.bits - 1 - k))
+            up[np.flatnonzero(~bit)] = cur[:z]
+            up[np.flatnonzero(bit)] = cur[z:] | cur.dtype.type(1 << (self.bits - 1 - k))
             cur = up
         return cur
 
@@ -265,7 +267,7 @@ def write(
             ids, names, sizes, held = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, target)], schema=target)
 
-        enc = encoder(vocabulary, True, end_id)
+        enc = encoder(vocabulary, True, end_id, CACHE_BYTES)
         for batch in batches:
             for at, rows in lots(batch.column(1)):
                 piece = batch.slice(at, rows)

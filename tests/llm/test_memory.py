@@ -39,3 +39,18 @@ def test_packing_does_not_depend_on_the_cache(spark):
     docs = spark.createDataFrame([(i, f"s{i % 2}", f"text number {i} of some " * (i % 5)) for i in range(40)], "doc_id bigint, source string, text string").repartition(2)
     got, small = (sorted(map(tuple, packing.pack(docs, temperature=0.7, cache_bytes=n).drop("sequence_id", "offset").collect())) for n in (tokens.CACHE_BYTES, 2000))
     assert [r[:5] for r in got] == [r[:5] for r in small]
+
+
+@pytest.mark.parametrize("words, name", [(False, "byte_bpe_50k.json"), (True, "word_bpe_49k.json")])
+def test_marks_behind_a_word_are_no_new_word(words, name):
+    from tokenizers import Tokenizer
+
+    path = common.tokenizer_path(name)
+    library, enc = Tokenizer.from_file(path), tokens.Encoder(path, words, 1)
+    marks = ["***", ".###", "&&&", "%%%", "$", "...", "<=>", "_-_", "'", "'s", "s'.", ".'", '"', "\\^`", "~{|}", "2.", ".2", "!é", "é!", "≠", "́."]
+    texts = [f"first {w}{m} then {w}{m}{m}  {m}{w}" for w in ("straw", "Été", "don't", "x1", "漢字", "l") for m in marks]
+    ids, sizes = enc.encode(texts)
+    for t, own in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
+        assert own.tolist() == [*library.encode(t, add_special_tokens=False).ids, 1], t
+    got = enc.rows.keys()
+    assert {b"straw", b"***", b".###"} <= got if words else {" straw", "***", ".###"} <= got
