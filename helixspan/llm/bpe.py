@@ -310,7 +310,7 @@ def common_words(docs: DataFrame, ranks: dict[bytes, int], common: int) -> tuple
                     yield from out()
         yield from out()
 
-    counted = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(released(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counted = stage(counted.filter("n > 1"), "words")
     # The smallest count (in steps of 1/16 of its power of two) for which the words aren't too many.
     step = F.floor(F.log2("n") * 16).cast("int")
@@ -412,5 +412,5 @@ def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, common: in
                 cols += [[bytes(x).decode() for x in all_ids]] if with_ids else []
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, target_b)], schema=target_b)
 
-    rows = fold_columns(docs.mapInArrow(gather, gathered), ranks).withColumn("long_pieces", decode_ids(F.col("long_ids"), ranks)).drop("words")
+    rows = fold_columns(docs.mapInArrow(released(gather), gathered), ranks).withColumn("long_pieces", decode_ids(F.col("long_ids"), ranks)).drop("words")
     return rows.mapInArrow(released(assemble), ddl)
