@@ -39,10 +39,11 @@ import uuid
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field, replace
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,8 +77,8 @@ BATCH = 4096
 ROOM = 2 * BATCH
 #: Bound of a hashed feature's weight, so that sums of logits have exponentials.
 MOST = 12.0
-#: Texts scored together.
-TEXTS = 64
+#: Bytes of texts read together, or one text.
+READ_BYTES = 1 << 20
 #: Rows of a block of changes.
 BLOCK_ROWS = 512
 #: Buckets of texts by their most frequent word.
@@ -285,23 +286,33 @@ class Reader:
     """Texts as ids: common words by their number, others by a hash beyond these, and a pad before each text."""
 
     def __init__(self, model: Model):
-        self.ids = {w: i for i, w in enumerate(model.words)}
+        self.words = pa.array(model.words, pa.binary()).cast(pa.string())
         self.common = len(model.words)
         self.pad = self.common + (1 << OTHER_BITS)
         self.leaf = np.append(model.leaf, 0)
 
     def read(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
         """(ids with pads before them, the words that aren't common)."""
-        words = words_of(text)
-        words.append(END)
-        out = np.empty(len(words) + PADS, np.int64)
-        out[:PADS] = self.pad
-        ids = out[PADS:]
-        ids[:] = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
-        rare = [words[i] for i in np.flatnonzero(ids < 0).tolist()]
-        if rare:
-            ids[ids < 0] = [self.common + (zlib.crc32(w) & ((1 << OTHER_BITS) - 1)) for w in rare]
-        return out, rare
+        ids, _, _, others = self.read_all(pa.array([text], pa.string()))
+        return ids, [w.encode("utf-8") for w in others.to_pylist()]
+
+    def read_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
+        """(ids of the texts one after the other, how many each has, with pads; the text of each word that isn't common, those words)."""
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+        words, own = parts.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy())
+        kept = pc.not_equal(words, "")  # beside white space at a text's borders
+        words, own = words.filter(kept), own[kept.to_numpy(zero_copy_only=False)]
+        sizes = np.bincount(own, minlength=len(texts)) + PADS + 1
+        place = np.concatenate([np.arange(len(own)) + own * (PADS + 1) + PADS, np.cumsum(sizes) - 1])
+        words, own = pa.concat_arrays([words, pa.array([END.decode()] * len(texts), pa.string())]), np.append(own, np.arange(len(texts)))
+        number = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        rare = number < 0
+        others = words.filter(pa.array(rare)).dictionary_encode()
+        hashed = [self.common + (zlib.crc32(w) & ((1 << OTHER_BITS) - 1)) for w in others.dictionary.cast(pa.binary()).to_pylist()]
+        number[rare] = np.array(hashed, np.int64)[others.indices.to_numpy()]
+        ids = np.full(int(sizes.sum()), self.pad)
+        ids[place] = number
+        return ids, sizes, own[rare], others
 
     def classes(self, ids: np.ndarray, last: int) -> np.ndarray:
         out = self.leaf[np.minimum(ids, self.common)]
@@ -384,6 +395,8 @@ class Trainer:
         self.squares = [s.copy() for s in model.squares]
         self.touched = [np.zeros(len(t), np.float32) for t in model.tables]
         self.softmax = [Softmax(t.shape[1]) for t in model.tables]
+        # Used again by all steps: fresh memory for each of them took longer than the sums.
+        self.slope, self.lines = ({w: np.empty((ROOM, w), np.float32) for w in WIDTHS} for _ in range(2))
 
     def step(self, ids: np.ndarray, at: np.ndarray, leaf: np.ndarray) -> None:
         for k, rows, owner, want, _ in choices(self.model, ids, at, leaf):
@@ -396,17 +409,23 @@ class Trainer:
     def _down(self, k: int, base: int, rows: np.ndarray, slopes: np.ndarray) -> None:
         """One step of the rows (after base) against their summed slopes, of which each position has a line."""
         order = np.argsort(rows, kind="stable")  # of 16 bits: by radix
-        there = rows[order]
+        there, (_, width), table = rows[order], slopes.shape, self.tables[k]
         begin = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
-        slope = np.add.reduceat(np.take(slopes, order, axis=0), begin, axis=0)
         there, n = there[begin].astype(np.int64) + base, np.diff(begin, append=len(rows))
+        slope = np.take(slopes, order[begin], axis=0, out=self.slope[width][: len(n)], mode="clip")
+        many = n > 1
+        if many.any():  # the others have their whole sum already
+            more, m = order[np.repeat(many, n)], n[many]
+            lines = np.take(slopes, more, axis=0, out=self.lines[width][: len(more)], mode="clip")
+            slope[many] = np.add.reduceat(lines, np.cumsum(m) - m, axis=0)
         self.touched[k][there] += n
         square = self.squares[k][there] + np.einsum("ij,ij->i", slope, slope)
         self.squares[k][there] = square
         slope *= (RATE / np.sqrt(square))[:, None]
-        slope -= np.take(self.tables[k], there, axis=0)
-        np.negative(slope, out=slope)
-        self.tables[k][there] = np.clip(slope, -MOST, MOST, out=slope)
+        np.subtract(np.take(table, there, axis=0, out=self.lines[width][: len(n)], mode="clip"), slope, out=slope)
+        np.clip(slope, -MOST, MOST, out=slope)
+        whole = np.dtype((np.void, slope.itemsize * width))  # a row as one item
+        table.view(whole)[there, 0] = slope.view(whole)[:, 0]
 
     def changes(self, model: Model):
         """Rows of the changes' schema: a block's touched rows with their weights, changes and sums of squares."""
@@ -422,18 +441,21 @@ class Trainer:
                     yield k, b, *(x.tobytes() for x in parts)
 
 
+def pieces(batch: pa.RecordBatch):
+    """Slices of a batch with about READ_BYTES of its text, or one longer text."""
+    size = pc.binary_length(batch["text"]).fill_null(0).to_numpy().astype(np.int64)
+    group = (np.cumsum(size) - size) // READ_BYTES
+    borders = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(borders, borders[1:]):
+        if i < j:
+            yield batch.slice(i, j - i)
+
+
 def batches_of(reader: Reader, last: int, texts, size: int):
     """(ids, positions, classes) of so many positions, over the borders of texts and within them."""
-    held, n = [], 0
-    for text in texts:
-        ids, _ = reader.read(text)
-        held.append(ids)
-        n += len(ids)
-        if n >= size:
-            yield from _cut(reader, last, np.concatenate(held), size)
-            held, n = [], 0
-    if held:
-        yield from _cut(reader, last, np.concatenate(held), size)
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    for piece in pieces(pa.RecordBatch.from_arrays([texts], ["text"])):
+        yield from _cut(reader, last, reader.read_all(piece["text"])[0], size)
 
 
 def _cut(reader: Reader, last: int, ids: np.ndarray, size: int):
@@ -465,7 +487,7 @@ def train_part(docs: DataFrame, model: Model) -> Model:
         reader, trainer, any_text = _reader(model), Trainer(model), False
         for batch in batches:
             any_text |= batch.num_rows > 0
-            for ids, at, leaf in batches_of(reader, model.last, batch.column(0).to_pylist(), BATCH):
+            for ids, at, leaf in batches_of(reader, model.last, batch["text"], BATCH):
                 trainer.step(ids, at, leaf)
         if any_text:
             rows = []
@@ -532,12 +554,12 @@ def path_logs(model: Model, softmax: list[Softmax], ids: np.ndarray, at: np.ndar
     return out / math.log(10)
 
 
-def _listed(counters: list[Counter], kind: pa.ListType) -> pa.Array:
-    """An array of the words and numbers of each counter."""
-    ends = np.cumsum([0, *map(len, counters)]).astype(np.int32)
-    words = pa.array(chain.from_iterable(counters), pa.binary()).cast(pa.string())
-    numbers = pa.array(chain.from_iterable(c.values() for c in counters), pa.int64())
-    pairs = pa.StructArray.from_arrays([words, numbers], fields=list(kind.value_type))
+def _listed(own: np.ndarray, words: pa.DictionaryArray, texts: int, kind: pa.ListType) -> pa.Array:
+    """An array of the words, with their numbers, of each text; own is the text of each of them."""
+    most = len(words.dictionary)
+    seen, n = np.unique(own * most + words.indices.to_numpy(), return_counts=True)
+    ends = np.searchsorted(seen, np.arange(texts + 1) * most).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([words.dictionary.take(pa.array(seen % most)), pa.array(n, pa.int64())], fields=list(kind.value_type))
     return pa.ListArray.from_arrays(pa.array(ends), pairs, type=kind)
 
 
@@ -553,29 +575,26 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
         base = np.append(np.log10(model.counts + PSEUDO), 0)
         softmax = [Softmax(t.shape[1]) for t in model.tables]
 
-        def sums(held: list[np.ndarray]) -> np.ndarray:
+        def sums(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
             """(base, path) of each of these texts, a row each; batches go over the texts' borders."""
-            ids = np.concatenate(held)
-            own = np.repeat(np.arange(len(held)), [len(x) for x in held])
-            out = np.zeros((2, len(held)))
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            out = np.zeros((2, len(sizes)))
             at = np.flatnonzero(ids != reader.pad)
             for i in range(0, len(at), BATCH):
                 here = at[i : i + BATCH]
                 words, text = ids[here], own[here]
                 common = np.minimum(words, reader.common)
-                out[0] += np.bincount(text, base[common], len(held))
-                out[1] += np.bincount(text, path_logs(model, softmax, ids, here, reader.classes(words, model.last)), len(held))
+                out[0] += np.bincount(text, base[common], len(sizes))
+                out[1] += np.bincount(text, path_logs(model, softmax, ids, here, reader.classes(words, model.last)), len(sizes))
             return out
 
-        for batch in batches:
-            ids_of, flags, texts = (batch.column(i).to_pylist() for i in range(3))
-            for i in range(0, len(texts), TEXTS):
-                read = [reader.read(t) for t in texts[i : i + TEXTS]]
-                lengths, rare = [len(ids) - PADS for ids, _ in read], [len(r) for _, r in read]
-                others = _listed([Counter(r) for _, r in read], target.field("rare").type)
-                columns = [range(made, made + len(read)), ids_of[i : i + TEXTS], flags[i : i + TEXTS], lengths, [n - r for n, r in zip(lengths, rare)], *sums([ids for ids, _ in read]), others]
-                made += len(read)
-                yield as_batch(dict(zip(target.names, columns)), target)
+        for piece in chain.from_iterable(map(pieces, batches)):
+            ids, sizes, own, others = reader.read_all(piece["text"])
+            rare = np.bincount(own, minlength=len(sizes))
+            columns = [range(made, made + len(sizes)), piece["doc_id"], piece["held_out"], sizes - PADS, sizes - PADS - rare]
+            columns += [*sums(ids, sizes), _listed(own, others, len(sizes), target.field("rare").type)]
+            made += len(sizes)
+            yield as_batch(dict(zip(target.names, columns)), target)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(released(run), _SCORED)
 

@@ -1,10 +1,12 @@
 """The language model: exact base scores, probabilities that add up to 1, scores against a plain version."""
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("helixspan.llm")
@@ -238,3 +240,64 @@ def test_ways_lead_to_single_words_by_their_shares():
     share = np.array([math.exp(math.fsum(bias[c, t] for c, t in w)) for w in ways])
     assert np.allclose(share, counts / np.bincount(leaf, counts)[leaf])
     assert [len(x) for x in maxent.ways_of(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [2, 0, 0, 0]
+
+
+def test_a_step_sums_the_slopes_of_each_row(crowded):
+    """Rows of one position and of many, against one loop for each of them."""
+    _, model, _ = crowded
+    rng = np.random.default_rng(7)
+    trainer = maxent.Trainer(model)
+    for k, width in enumerate(maxent.WIDTHS):
+        base = model.biases[k]
+        for rows in (np.append(rng.integers(0, 90, 300), [7] * 200), np.arange(50), np.array([3]), np.full(20, 4)):
+            rows, slopes = rows.astype(np.uint16), rng.normal(size=(len(rows), width)).astype(np.float32)
+            table, square, touched = trainer.tables[k].copy(), trainer.squares[k].copy(), trainer.touched[k].copy()
+            for r in set(rows.tolist()):
+                slope = slopes[rows == r].astype(np.float64).sum(0)
+                square[base + r] += (slope**2).sum()
+                touched[base + r] += (rows == r).sum()
+                table[base + r] = np.clip(table[base + r] - maxent.RATE / math.sqrt(square[base + r]) * slope, -maxent.MOST, maxent.MOST)
+            trainer._down(k, base, rows, slopes)
+            assert np.allclose(trainer.tables[k], table, atol=1e-4) and np.allclose(trainer.squares[k], square, rtol=1e-4) and (trainer.touched[k] == touched).all()
+
+
+def test_steps_take_no_fresh_memory_for_their_slopes(crowded):
+    """Blocks of a line for each position are used again: fresh ones in each step took longer than its sums."""
+    _, model, _ = crowded
+    trainer, rng = maxent.Trainer(model), np.random.default_rng(8)
+    rows, slopes = rng.integers(0, 1 << 15, maxent.BATCH).astype(np.uint16), rng.normal(size=(maxent.BATCH, maxent.GROUPS)).astype(np.float32)
+    trainer._down(0, 1, rows, slopes)
+    tracemalloc.start()
+    try:
+        trainer._down(0, 1, rows, slopes)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.5 * slopes.nbytes
+
+
+def test_steps_are_full_over_the_borders_of_texts(scored):
+    _, model = scored
+    sizes = [len(at) for _, at, _ in maxent.batches_of(maxent.Reader(model), model.last, [" ".join(["w1"] * (i % 7)) for i in range(100)], 10)]
+    assert sizes[:-1] == [10] * (len(sizes) - 1) and sum(sizes) == sum(i % 7 + 1 for i in range(100))
+
+
+@pytest.mark.parametrize("most", [1, 1 << 20])
+def test_texts_read_together_are_as_read_alone(scored, rows, most, monkeypatch):
+    _, model = scored
+    monkeypatch.setattr(maxent, "READ_BYTES", most)
+    kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+    texts = [x for _, x in rows] + ["", " a  b\x0b\x0c\r\n\tÀÉ A ", "\x1cx\x85 y　z\x00\x1f q", "\x00 W\x00 ", None]
+    for known in (model.words, []):  # without common words the end is none either
+        ids, pad = {w: i for i, w in enumerate(known)}, len(known) + (1 << maxent.OTHER_BITS)
+        reader, at = maxent.Reader(maxent.replace(model, words=known, leaf=model.leaf[: len(known)])), 0
+        for piece in maxent.pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])):
+            got, sizes, own, others = reader.read_all(piece["text"])
+            here = [[w.encode() for w in tokens(x)] for x in piece["text"].to_pylist()]
+            assert here == [[w.encode() for w in tokens(x)] for x in texts[at : at + len(here)]]
+            want = [[pad, pad, *(ids.get(w, len(known) + (zlib.crc32(w) & ((1 << maxent.OTHER_BITS) - 1))) for w in t)] for t in here]
+            assert got.tolist() == [i for t in want for i in t] and sizes.tolist() == [len(t) for t in want]
+            listed = maxent._listed(own, others, len(here), kind).to_pylist()
+            assert [{p["word"].encode(): p["n"] for p in x} for x in listed] == [dict(Counter(w for w in t if w not in ids)) for t in here]
+            at += len(here)
+        assert at == len(texts)
