@@ -3,7 +3,8 @@
 All rows are dealt evenly, without a key, into shards of about shard_rows vectors; each task
 writes its shard's index as one binary row into the shared folder. The queries (rows whose
 vec_id is divisible by the step) are dealt into blocks in the same way. Every block meets every
-shard by a join on the shard's number; a block's rows are never paired with single candidates.
+shard by the shard's number, under which the index comes first and the blocks behind it, so that an
+index is shipped once and nothing is broadcast; a block's rows are never paired with single candidates.
 A first round searches each block in one shard and keeps its k-th scores; the second round
 takes these along to the other shards, which then only return candidates that can still count.
 
@@ -22,7 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, by_place, column_place, stage
+from .common import arrow_schema, batch_rows, by_place, column_place, stage
+
+#: Rows of an Arrow batch that hold an image each.
+IMAGES = 16
 
 
 def to_bytes(**arrays) -> bytes:
@@ -128,20 +132,33 @@ def search(rows: DataFrame, every: int, k: int, build, find, shard_rows: int, bl
     target = arrow_schema(spark, ddl)
 
     def run(batches):
+        held, index = None, None
         for batch in batches:
-            for block, d, shard, queries, image, kth in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                q = from_bytes(queries)
+            for r in range(batch.num_rows):
+                shard, d, block, image, kth = (batch.column(i)[r].as_py() for i in range(5))
+                if block < 0:
+                    held, index = (shard, d), from_bytes(image)
+                    continue
+                if held != (shard, d):  # a shard without vectors of this length
+                    continue
+                q = from_bytes(image)
                 best = Best(len(q["ids"]), k, None if kth is None else np.array(kth))
-                find(from_bytes(image), q["vectors"].astype(float), q["ids"], best)
+                find(index, q["vectors"].astype(float), q["ids"], best)
                 at, c = np.nonzero(best.score > -np.inf)
                 m = len(at)
                 cols = [np.full(m, block), np.full(m, d), at, q["ids"][at], np.full(m, shard), best.ids[at, c], best.score[at, c], best.least[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, target)], schema=target)
 
     none = F.lit(None).cast("array<double>")
+
+    def searched(met: DataFrame) -> DataFrame:
+        """met (shard, dim, block, image, kth) against its shards. An index comes once and its blocks behind it; no image is ever broadcast."""
+        index = shards.select("shard", "dim", F.lit(-1).alias("block"), "image", none.alias("kth"))
+        return index.unionByName(met).repartition("shard", "dim").sortWithinPartitions("shard", "dim", "block").mapInArrow(run, ddl)
+
     blocks = blocks.select(F.col("part").alias("block"), "dim", "image", home.alias("home"))
-    once = blocks.withColumn("shard", F.col("home")).join(shards.withColumnRenamed("image", "index"), ["shard", "dim"])
-    first = stage(once.select("block", "dim", "shard", "image", "index", none.alias("kth")).mapInArrow(run, ddl), f"{name}-first")
+    with batch_rows(spark, IMAGES):
+        first = stage(searched(blocks.select(F.col("home").alias("shard"), "dim", "block", "image", none.alias("kth"))), f"{name}-first")
     # k-th scores of a block, in order of its queries (block_rows numbers); queries without any have -inf.
     least = first.groupBy("block", "dim", "at").agg(F.max("least").alias("least"))
     kth = least.groupBy("block", "dim").agg(F.map_from_entries(F.collect_list(F.struct("at", "least"))).alias("kth"))
@@ -155,9 +172,12 @@ def search(rows: DataFrame, every: int, k: int, build, find, shard_rows: int, bl
                 lst = [got.get(i, -np.inf) for i in range(len(from_bytes(image)["ids"]))]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip([[block], [d], [image], [h], [lst]], target_kth)], schema=target_kth)
 
-    rest = blocks.join(kth, ["block", "dim"], "left").select("block", "dim", "image", "home", "kth").mapInArrow(order_kth, ddl_kth)
-    rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).filter("shard <> home") if n > 1 else rest.withColumn("shard", F.col("home")).filter("false")
-    others = rest.join(shards.withColumnRenamed("image", "index"), ["shard", "dim"]).select("block", "dim", "shard", "image", "index", "kth").mapInArrow(run, ddl)
+    found = first
+    if n > 1:
+        with batch_rows(spark, IMAGES):
+            rest = blocks.join(kth.hint("merge"), ["block", "dim"], "left").select("block", "dim", "image", "home", "kth").mapInArrow(order_kth, ddl_kth)
+            rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).filter("shard <> home")
+            found = first.unionByName(stage(searched(rest.select("shard", "dim", "block", "image", "kth")), f"{name}-others"))
     order = Window.partitionBy("block", "dim", "at").orderBy(F.desc("score"), "vec_id")
-    ranked = first.unionByName(others).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
