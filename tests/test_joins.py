@@ -68,3 +68,15 @@ def test_empty_sides_and_residual(spark):
     assert sweep.sweep_join(a, none).collect() == [] and sweep.sweep_join(none, a).collect() == []
     assert reach.semi(a, none).count() == 0 and reach.anti(a, none).count() == 2 and reach.anti(none, a).count() == 0
     assert [(r.a_id, r.b_id) for r in sweep.sweep_join(a, a, residual=F.col("a_id") < F.col("b_id")).collect()] == [(1, 2)]
+
+
+def test_short_rows_make_no_pairs_in_bins_of_long_ones(spark):
+    short = lambda n: spark.range(n).selectExpr("'c' AS chrom", "id * 7 AS start", "id * 7 + 5 AS stop", "CAST(id AS INT) AS id")
+    long = spark.createDataFrame([("c", 3, 150_000, -1), ("c", 70_000, 9_000_000, -2)], SCHEMA)
+    a, b = short(9000).unionByName(long), short(9100).unionByName(long)
+    keys = ["chrom", "tier", "bin"]
+    met = overlap.binned(a, 1024, 3, 0, "a").join(overlap.binned(b, 1024, 3, 0, "b"), keys)
+    pairs = overlap.overlap_join(a, b, tiers=3)
+    assert met.count() < 200 * 9100  # all pairs of short rows in two bins of 65,536 places would be 80 million
+    assert pairs.count() == 9000 + 4 + sum(s < e2 and s2 < e for s2, e2 in ((3, 150_000), (70_000, 9_000_000)) for n in (9000, 9100) for s, e in ((i * 7, i * 7 + 5) for i in range(n)))
+    assert pairs.count() == pairs.distinct().count()
