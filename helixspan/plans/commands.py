@@ -64,6 +64,20 @@ class Intersect:
         return "I A B" if self.full else "A B" if self.output_both else self.format
 
 
+def _one_of_each(df: DataFrame, keys: list) -> DataFrame:
+    """The first row for each value of the keys (expressions), by the columns `ord` and `line` where there are such, else by the rows' text."""
+    order = [c for c in ("ord", "line", "extra") if c in df.columns]
+    if not {"ord", "line"} & set(df.columns) and not any("map<" in kind for _, kind in df.dtypes):
+        df = df.distinct()
+    same = [k for k in keys if isinstance(k, str)]
+    by = [*same, *[k.alias("_k") for k in keys if not isinstance(k, str)]]
+    rest = [c for c in df.columns if c not in same]
+    if not rest:
+        return df
+    first = F.min_by(F.struct(*rest), F.struct(*order)) if order else F.first(F.struct(*rest))
+    return df.groupBy(*by).agg(first.alias("_row")).select(*same, "_row.*")
+
+
 def intersect(a: DataFrame, b: DataFrame, o: Intersect = Intersect()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines of hits, rows of a without a partner, rows of b without one).
 
@@ -71,37 +85,52 @@ def intersect(a: DataFrame, b: DataFrame, o: Intersect = Intersect()) -> tuple[D
     give one line, whatever the format shows: that of the first pair, by the column `ord` of a and of
     b where they have one, else by the partner's place and the rows' text. B rows without a partner
     are those that match no row of a under the whole predicate.
+
+    What a row meets depends on its place and alleles alone, so but for output_both and full one row of
+    each stands for those that share them: pairs don't grow with the depth of a place.
     """
-    keys = ("start", "stop")
-    if o.exact_allele or o.iub_match or o.dbsnp_match:
+    by_alleles = o.exact_allele or o.iub_match or o.dbsnp_match
+    if by_alleles:
         a, b = (df if "ref" in df.columns else text.as_variants(df) for df in (a, b))
-        keys = ("start", "stop", "ref", "alt")
-        rule = (F.col("a_ref") == F.col("b_ref")) & (F.col("a_alt") == F.col("b_alt"))
-        if o.iub_match or o.dbsnp_match:
-            rule = overlap.partial_allele_match()
-        if o.dbsnp_match:
-            rule = overlap.strand_agnostic_match(F.split(F.col("b_alleles"), "/"))
-            keys = (*keys, "alleles")
-        pairs = overlap.equal_join(a, b, ("chrom", "start", "stop"), None)
-        pairs = pairs.withColumns({f"{s}_{k}": F.col(k) for s in "ab" for k in ("start", "stop")}).filter(rule)
-    elif o.exact_pos:
-        pairs = overlap.equal_join(a, b).withColumns({f"{s}_{k}": F.col(k) for s in "ab" for k in ("start", "stop")})
+    keys_a = ("start", "stop", "ref", "alt") if by_alleles else ("start", "stop")
+    keys_b = (*keys_a, "alleles") if o.dbsnp_match else keys_a
+
+    tiers = None if by_alleles or o.exact_pos else overlap.tiers_in_use((a, b))
+
+    def paired(a: DataFrame, b: DataFrame) -> DataFrame:
+        if by_alleles:
+            rule = (F.col("a_ref") == F.col("b_ref")) & (F.col("a_alt") == F.col("b_alt"))
+            if o.iub_match or o.dbsnp_match:
+                rule = overlap.partial_allele_match()
+            if o.dbsnp_match:
+                rule = overlap.strand_agnostic_match(F.split(F.col("b_alleles"), "/"))
+            pairs = overlap.equal_join(a, b, ("chrom", "start", "stop"), None)
+            pairs = pairs.withColumns({f"{s}_{k}": F.col(k) for s in "ab" for k in ("start", "stop")}).filter(rule)
+        elif o.exact_pos:
+            pairs = overlap.equal_join(a, b).withColumns({f"{s}_{k}": F.col(k) for s in "ab" for k in ("start", "stop")})
+        else:
+            pairs = overlap.overlap_join(a, b, o.adjacent_insertions, tiers=tiers)
+        for side in "ab":
+            if f"{side}_extra" not in pairs.columns:
+                pairs = pairs.withColumn(f"{side}_extra", F.array().cast("array<string>"))
+        return pairs
+
+    if "ref" in a.columns:
+        alleles = ["ref", "alt"]
+    else:
+        alleles = [text.alleles_of(F.col("extra"))] if "extra" in a.columns else []
+    few = paired(_one_of_each(a, ["chrom", "start", "stop", *alleles]), _one_of_each(b, ["chrom", *keys_b]))
+    if o.output_both or o.full:
+        hits = paired(a, b)
     else:
-        pairs = overlap.overlap_join(a, b, o.adjacent_insertions)
-    for side in "ab":
-        if f"{side}_extra" not in pairs.columns:
-            pairs = pairs.withColumn(f"{side}_extra", F.array().cast("array<string>"))
-    hits = pairs
-    if not (o.output_both or o.full):
-        alleles = F.struct("a_ref", "a_alt") if "a_ref" in pairs.columns else text.alleles_of(F.col("a_extra"))
-        order = [c for c in ("a_ord", "a_line", "b_start", "b_stop", "b_ord", "b_line", "a_extra", "b_extra") if c in pairs.columns]
-        first = F.min_by(F.struct(*[c for c in pairs.columns if c not in ("chrom", "a_start", "a_stop")]), F.struct(*order))
-        hits = pairs.groupBy("chrom", "a_start", "a_stop", alleles.alias("_alleles")).agg(first.alias("_row")).select("chrom", "a_start", "a_stop", "_row.*")
-    a_keys = tuple(k for k in keys if k in a.columns)
+        alleles = F.struct("a_ref", "a_alt") if "a_ref" in few.columns else text.alleles_of(F.col("a_extra"))
+        order = [c for c in ("a_ord", "a_line", "b_start", "b_stop", "b_ord", "b_line", "a_extra", "b_extra") if c in few.columns]
+        first = F.min_by(F.struct(*[c for c in few.columns if c not in ("chrom", "a_start", "a_stop")]), F.struct(*order))
+        hits = few.groupBy("chrom", "a_start", "a_stop", alleles.alias("_alleles")).agg(first.alias("_row")).select("chrom", "a_start", "a_stop", "_row.*")
     lines = hits.select(projection.line(o.output()).alias("line"))
-    if keys == ("start", "stop") and not o.exact_pos:  # the predicate is the place alone
+    if not by_alleles and not o.exact_pos:  # the predicate is the place alone
         return lines, reach.anti(a, b, o.adjacent_insertions), reach.anti(b, a, o.adjacent_insertions)
-    return lines, overlap.anti(a, pairs, "a", a_keys), overlap.anti(b, pairs, "b", a_keys)
+    return lines, overlap.anti(a, few, "a", keys_a), overlap.anti(b, few, "b", keys_b)
 
 
 def ref_stats(regions: DataFrame, seqs: DataFrame, tokens=sequences.DEFAULT_TOKENS, bases: bool = False) -> DataFrame:

@@ -280,3 +280,26 @@ def test_make_contigs_command(spark, tmp_path):
     cli.main(["make-contigs", "-b", str(tmp_path / "a.bed"), "-f", str(tmp_path / "a.fa"), "-o", str(tmp_path / "o")])
     got = [r.value for r in spark.read.text(str(tmp_path / "o")).collect()]
     assert got[0].startswith(">REMAP-c|2|12|3M3N4M|") and got[1] == "GTAACGT"
+
+
+def test_intersect_of_deep_places_makes_few_pairs(spark):
+    from pyspark.sql import functions as F
+
+    n, b_alleles = 30_000, ("A/C", "A/M", "G/A", "T/C")
+    a = spark.range(n).selectExpr("'c' AS chrom", "id % 5 AS start", "id % 5 + 2 AS stop", "array(concat('A/', substr('cCGt', CAST(id % 4 + 1 AS INT), 1)), CAST(id AS STRING)) AS extra")
+    b = spark.range(n).selectExpr("'c' AS chrom", "id % 3 + 1 AS start", "id % 3 + 3 AS stop", f"array(element_at(array{b_alleles}, CAST(id % 4 + 1 AS INT)), CAST(id AS STRING)) AS extra")
+    rows_a = [(i % 5, i % 5 + 2, "A", "cCGt"[i % 4].upper()) for i in range(20)]
+    rows_b = [(i % 3 + 1, i % 3 + 3, *b_alleles[i % 4].split("/")) for i in range(12)]
+    share = lambda x, y: "ACMGRSVTWYHKDBN".index(x) + 1 & "ACMGRSVTWYHKDBN".index(y) + 1
+    turned = lambda x: x.translate(str.maketrans("ACGTM", "TGCAK"))
+    either = lambda x, r, y: (x[2] == r and share(x[3], y)) or (x[2] == y and share(x[3], r))
+    for option, rule in (
+        ({}, lambda x, y: x[0] < y[1] and y[0] < x[1]), ({"iub_match": True}, lambda x, y: x[:2] == y[:2] and x[2] == y[2] and share(x[3], y[3])),
+        ({"exact_allele": True}, lambda x, y: x == y), ({"dbsnp_match": True}, lambda x, y: x[:2] == y[:2] and (either(x, *y[2:]) or either(x, turned(y[2]), turned(y[3])))),
+    ):
+        met = [(x, y) for x in rows_a for y in rows_b if rule(x, y)]
+        lines, miss_a, miss_b = commands.intersect(a, b, commands.Intersect(**option))
+        want = len({x for x, _ in met}), sum(x not in {m for m, _ in met} for x in rows_a) * n // 20, sum(y not in {m for _, m in met} for y in rows_b) * n // 12
+        assert (lines.count(), miss_a.count(), miss_b.count()) == want and met
+    first = commands.intersect(a, b, commands.Intersect(format="A B"))[0].filter(F.col("line").startswith("c\t2\t4\tA/G")).collect()
+    assert [r.line for r in first] == ["c\t2\t4\tA/G\t10002\tc\t1\t3\tA/C\t0"]
