@@ -153,9 +153,14 @@ def _deep(spark, sf_dir):
  SELECT a.chrom, b.start_ AS b_start, CAST(count(*) AS BIGINT) AS n, CAST(sum(a.orderkey * 10 + a.line) AS BIGINT) AS keys, CAST(sum(least(a.stop_, b.stop_) - greatest(a.start_, b.start_)) AS BIGINT) AS shared
  FROM a JOIN b ON a.chrom = b.chrom AND {_OVERLAP} GROUP BY ALL""")
 def sweep_join_of_deep_rows(spark, sf_dir):
-    pairs = overlap.with_intersection(sweep.sweep_join(*_deep(spark, sf_dir), room=1024))
+    """Sums over all pairs. Rows of one place meet the same rows, so a row for each place goes through the join, with its number of rows and their sum."""
+    a, b = _deep(spark, sf_dir)
+    place = ["chrom", "start", "stop"]
+    a = a.groupBy(*place).agg(F.count("*").alias("rows"), F.sum(F.col("orderkey") * 10 + F.col("line")).alias("keys"))
+    b = b.groupBy(*place).agg(F.count("*").alias("rows"))
+    pairs = overlap.with_intersection(sweep.sweep_join(a, b, room=1024)).withColumn("n", F.col("a_rows") * F.col("b_rows"))
     return pairs.groupBy("chrom", "b_start").agg(
-        F.count("*").alias("n"), F.sum(F.col("a_orderkey") * 10 + F.col("a_line")).alias("keys"), F.sum(F.col("i_stop") - F.col("i_start")).alias("shared"))
+        F.sum("n").alias("n"), F.sum(F.col("a_keys") * F.col("b_rows")).alias("keys"), F.sum((F.col("i_stop") - F.col("i_start")) * F.col("n")).alias("shared"))
 
 
 @query(_AB + f"""SELECT a.chrom, a.start_, a.stop_, CAST(sum(greatest(0, least(a.stop_, b.stop_) - greatest(a.start_, b.start_))) AS BIGINT) AS covered,

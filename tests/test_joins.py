@@ -80,3 +80,29 @@ def test_short_rows_make_no_pairs_in_bins_of_long_ones(spark):
     assert met.count() < 200 * 9100  # all pairs of short rows in two bins of 65,536 places would be 80 million
     assert pairs.count() == 9000 + 4 + sum(s < e2 and s2 < e for s2, e2 in ((3, 150_000), (70_000, 9_000_000)) for n in (9000, 9100) for s, e in ((i * 7, i * 7 + 5) for i in range(n)))
     assert pairs.count() == pairs.distinct().count()
+
+
+def test_deep_rows_go_through_the_sweep_by_place(spark, tmp_path, monkeypatch):
+    from helixspan.plans import queries
+
+    spark.range(40_000).selectExpr("id % 5 AS l_orderkey", "id AS l_suppkey", "CAST(id % 4 + 1 AS INT) AS l_linenumber", "CAST(id % 7 AS DOUBLE) AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(9000).selectExpr("id % 3 AS s_suppkey", "CAST(id % 10 AS INT) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    swept, plain = [], sweep.sweep_join
+    monkeypatch.setattr(queries.sweep, "sweep_join", lambda a, b, **more: swept.append((a.count(), b.count())) or plain(a, b, **more))
+    got = {(r.chrom, r.b_start): (r.n, r["keys"], r.shared) for r in queries.sweep_join_of_deep_rows(spark, str(tmp_path)).collect()}
+    assert swept[0][0] <= 3 * 5 * 8 and swept[0][1] <= 3 * 10
+    a, b = {}, {}
+    for i in range(40_000):
+        s, size = i % 5 * 53 % 3000, 0 if (i % 4 + 1) % 2 == 0 else i % 7
+        n, k = a.get((i % 3, s, s + size), (0, 0))
+        a[i % 3, s, s + size] = n + 1, k + i % 5 * 10 + i % 4 + 1
+    for i in range(9000):
+        p = (i % 3, i % 3 * 37, i % 3 * 37 + i % 10)
+        b[p] = b.get(p, 0) + 1
+    want = {}
+    for x, (n, k) in a.items():
+        for y, m in b.items():
+            if meets(x, y, False):
+                w = want.setdefault((f"chr{x[0] + 1}", y[1]), [0, 0, 0])
+                w[0], w[1], w[2] = w[0] + n * m, w[1] + k * m, w[2] + n * m * (min(x[2], y[2]) - max(x[1], y[1]))
+    assert got == {k: tuple(w) for k, w in want.items()} and want
