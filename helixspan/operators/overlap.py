@@ -88,6 +88,21 @@ def equal_join(a: DataFrame, b: DataFrame, keys=("chrom", "start", "stop"), resi
     return out if residual is None else out.filter(residual)
 
 
+def equal_join_by(a: DataFrame, b: DataFrame, of: tuple[str, ...], residual: Column, keys=("chrom", "start", "stop")) -> DataFrame:
+    """Pairs that are equal in the keys and meet a residual on the columns `of` of both sides, none of them null where it holds.
+
+    The residual is looked at once for the values that occur at a place; rows of b then come with the values of a they
+    meet, so that the join by these makes no pairs but those that are given.
+    """
+    keys = list(keys)
+    named = lambda df, s: df.select(*[F.col(c) if c in keys else F.col(c).alias(f"{s}_{c}") for c in df.columns])
+    of_a, of_b = ([f"{s}_{c}" for c in of] for s in "ab")
+    left, right = named(a, "a"), named(b, "b")
+    values = left.select(*keys, *of_a).distinct().join(right.select(*keys, *of_b).distinct(), keys).filter(residual)
+    out = left.join(right.join(values, [*keys, *of_b]), [*keys, *of_a])
+    return out.select(*left.columns, *[c for c in right.columns if c not in keys])
+
+
 def partial_allele_match() -> Column:
     """References equal and the alternatives' IUPAC codes share a base; indels never match."""
     return (F.col("a_ref") == F.col("b_ref")) & al.masks_overlap(F.col("a_alt"), F.col("b_alt"))

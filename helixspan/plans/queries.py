@@ -87,7 +87,7 @@ def exact_allele(spark, sf_dir):
 
 @query(_PAB + _PAIR + f"{_KEYS} AND a.ref = b.ref AND ({_MASK.format('a.alt')} & {_MASK.format('b.alt')}) <> 0")
 def iub_match(spark, sf_dir):
-    out = overlap.equal_join(v.point_a(spark, sf_dir), v.point_b(spark, sf_dir), residual=overlap.partial_allele_match())
+    out = overlap.equal_join_by(v.point_a(spark, sf_dir), v.point_b(spark, sf_dir), ("ref", "alt"), overlap.partial_allele_match())
     return _ends(out.drop("a_ref", "a_alt", "b_ref", "b_alt"))
 
 
@@ -101,7 +101,7 @@ def _either(r, a):
 
 @query(_PAB + _PAIR + f"{_KEYS} AND ({_either('b.ref', 'b.alt')} OR {_either(_RC.format('b.ref'), _RC.format('b.alt'))})")
 def revcomp_match(spark, sf_dir):
-    out = overlap.equal_join(v.point_a(spark, sf_dir), v.point_b(spark, sf_dir), residual=overlap.strand_agnostic_match(F.array("b_ref", "b_alt")))
+    out = overlap.equal_join_by(v.point_a(spark, sf_dir), v.point_b(spark, sf_dir), ("ref", "alt"), overlap.strand_agnostic_match(F.array("b_ref", "b_alt")))
     return _ends(out.drop("a_ref", "a_alt", "b_ref", "b_alt"))
 
 

@@ -106,3 +106,16 @@ def test_deep_rows_go_through_the_sweep_by_place(spark, tmp_path, monkeypatch):
                 w = want.setdefault((f"chr{x[0] + 1}", y[1]), [0, 0, 0])
                 w[0], w[1], w[2] = w[0] + n * m, w[1] + k * m, w[2] + n * m * (min(x[2], y[2]) - max(x[1], y[1]))
     assert got == {k: tuple(w) for k, w in want.items()} and want
+
+
+@pytest.mark.parametrize("rule", ["partial", "strand"])
+def test_allele_matches_are_looked_at_once_for_values(spark, rule):
+    residual = lambda: overlap.partial_allele_match() if rule == "partial" else overlap.strand_agnostic_match(F.array("b_ref", "b_alt"))
+    rng = np.random.default_rng(6)
+    pick = lambda n, of: [None if x == "-" else str(x) for x in rng.choice(list(of), n)]
+    schema = "chrom string, start bigint, stop bigint, ref string, alt string, id int"
+    da, db = (spark.createDataFrame([(c, int(s), int(s) + 1, r, x, i) for i, (c, s, r, x) in enumerate(zip(pick(n, "xy-"), rng.integers(0, 4, n), pick(n, "ACGT-"), pick(n, of)))], schema).repartition(3) for n, of in ((90, "ACGT-"), (80, "ACMRNT-")))
+    want = overlap.equal_join(da, db, residual=residual())
+    pairs = overlap.equal_join_by(da, db, ("ref", "alt"), residual())
+    assert pairs.columns == want.columns and sorted(map(str, pairs.collect())) == sorted(map(str, want.collect())) and want.count() > 5
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
